@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import quality, sharding, urls, warc
+from . import decontaminate, mixing, neardup, quality, sharding, urls, warc
 
 QUERIES = {
     "op1_url_filters": urls.query,
+    "op2_decontamination": decontaminate.query,
     "op5_warc": warc.query,
+    "op6_mixing": mixing.query,
     "op7_quality_rules": quality.query,
     "op8_sharding": sharding.query,
+    "op10_near_duplicates": neardup.query,
 }
 ORACLES = {
     "op1_url_filters": urls.SQL,
+    "op6_mixing": mixing.SQL,
     "op7_quality_rules": quality.SQL,
 }
