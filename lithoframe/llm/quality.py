@@ -6,6 +6,7 @@ A null or empty text has no words, fails the base rule and is not kept. Rows com
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -44,64 +45,79 @@ RULES = (
 )
 
 
-def _covered(pairs: Column) -> Column:
-    """Words in 5-word windows that occur twice or more; ``pairs``: (hash, place) of the windows, sorted by hash."""
-    same = F.transform(
-        pairs,
-        lambda p, k: F.when((F.get(pairs, k - 1)["h"] == p["h"]) | (F.get(pairs, k + 1)["h"] == p["h"]), p["i"]),
-    )
-    return F.aggregate(
-        F.sort_array(F.array_compact(same)),
-        F.struct(F.lit(-5).alias("last"), F.lit(0).cast("long").alias("n")),
-        lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(5), i - a["last"])).alias("n")),
-        lambda a: a["n"],
-    )
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def metrics(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the base counts and the method's ratios as columns prefixed ``q_``; ``df`` keeps its own columns."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    out = df.select("*", whole.alias("q_text"), F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)).alias("q_words"))
-    codes = F.transform("q_words", lambda w: F.xxhash64(w))
-    out = out.withColumn("q_codes", codes)
-    windows = F.transform(
-        F.slice("q_codes", 1, F.greatest(F.size("q_codes") - 4, F.lit(0))),
-        lambda h, i: F.xxhash64(h, *(F.get(F.col("q_codes"), i + k) for k in range(1, 5))),
-    )
-    lines = F.filter(F.split("q_text", "\n"), lambda x: x.rlike(WORD))
+def _covered(windows: Column) -> Column:
+    """Words in 5-word windows that occur twice or more: windows sorted by hash, neighbours compared, spans united."""
+
+    def spans(pairs: Column) -> Column:
+        same = F.transform(
+            pairs,
+            lambda p, k: F.when((F.get(pairs, k - 1)["h"] == p["h"]) | (F.get(pairs, k + 1)["h"] == p["h"]), p["i"]),
+        )
+        return F.aggregate(
+            F.sort_array(F.array_compact(same)),
+            F.struct(F.lit(-5).alias("last"), F.lit(0).cast("long").alias("n")),
+            lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(5), i - a["last"])).alias("n")),
+            lambda a: a["n"],
+        )
+
+    placed = F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    some = F.size(F.array_distinct(windows)) < F.size(windows)  # only then is the sort paid for
+    return F.when(some, _let(F.sort_array(placed), spans)).otherwise(F.lit(0).cast("long"))
+
+
+def metrics(text: Column) -> Column:
+    """A struct of the base counts and what the rules need, from a text that is not null."""
     stop = F.array(*(F.xxhash64(F.lit(w)) for w in sorted(set(STOP_WORDS.split()))))
-    out = out.withColumns({"q_windows": windows, "q_lines": lines})
-    # only a text with a repeated window pays for the sort; the pairs are a column of their own, computed once
-    some = F.size(F.array_distinct("q_windows")) < F.size("q_windows")
-    placed = F.transform("q_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    out = out.withColumn("q_pairs", F.when(some, F.sort_array(placed)))
-    chars = F.char_length("q_text")
-    out = out.withColumns(
-        {
-            "q_n_words": F.size("q_words").cast("long"),
-            "q_word_chars": F.char_length(F.array_join("q_words", "")).cast("long"),
-            "q_n_symbols": (chars - F.char_length(F.regexp_replace("q_text", SYMBOLS, ""))).cast("long"),
-            "q_n_shouts": (chars - F.char_length(F.replace(F.col("q_text"), F.lit("!!"), F.lit("!")))).cast("long"),
-            "q_n_lines": F.size("q_lines").cast("long"),
-            "q_n_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
-            "q_n_repeat_words": F.coalesce(_covered(F.col("q_pairs")), F.lit(0).cast("long")),
-            "q_n_stops": F.size(F.array_intersect("q_codes", stop)).cast("long"),
-        }
+    chars = F.char_length(text)
+
+    def of_words(words: Column) -> Column:
+        def of_codes(codes: Column) -> Column:
+            five = F.transform(
+                F.slice(codes, 1, F.greatest(F.size(codes) - 4, F.lit(0))),
+                lambda h, i: F.xxhash64(h, *(F.get(codes, i + k) for k in range(1, 5))),
+            )
+            return F.struct(
+                F.size(words).cast("long").alias("n_words"),
+                F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
+                _let(five, _covered).alias("n_repeat_words"),
+                F.size(F.array_intersect(codes, stop)).cast("long").alias("n_stops"),
+            )
+
+        return _let(F.transform(words, lambda w: F.xxhash64(w)), of_codes)
+
+    counts = _let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), of_words)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
+    return _let(
+        F.struct(counts.alias("c"), lines.alias("l")),
+        lambda v: F.struct(
+            *(v["c"][x].alias(x) for x in ("n_words", "word_chars", "n_repeat_words", "n_stops")),
+            (chars - F.char_length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            (chars - F.char_length(F.replace(text, F.lit("!!"), F.lit("!")))).cast("long").alias("n_shouts"),
+            F.size(v["l"]).cast("long").alias("n_lines"),
+            (F.size(v["l"]) - F.size(F.array_distinct(v["l"]))).cast("long").alias("n_dup_lines"),
+        ),
     )
-    return out.drop("q_text", "q_words", "q_codes", "q_windows", "q_lines", "q_pairs")
 
 
-def verdicts(rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]:
-    """The threshold table as two expressions over :func:`metrics`: the names of failed rules, and the base rule."""
-    n = F.col("q_n_words")
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_shouts", "n_lines", "n_dup_lines", "n_repeat_words", "n_stops")
+
+
+def verdict(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The threshold table as one struct: the counts, the names of failed rules, the base rule and the verdict."""
+    n = m["n_words"]
     value = {
         "n_words": n.cast("double"),
-        "mean_word_chars": F.try_divide(F.col("q_word_chars"), n),
-        "symbol_ratio": F.try_divide(F.col("q_n_symbols"), F.col("q_word_chars")),
-        "shout_ratio": F.try_divide(F.col("q_n_shouts"), n),
-        "stop_ratio": F.when(n >= 100, F.try_divide(F.col("q_n_stops"), F.least(n, F.lit(400)))),
-        "dup_line_ratio": F.try_divide(F.col("q_n_dup_lines"), F.col("q_n_lines")),
-        "repeat_ratio": F.try_divide(F.col("q_n_repeat_words"), n),
+        "mean_word_chars": F.try_divide(m["word_chars"], n),
+        "symbol_ratio": F.try_divide(m["n_symbols"], m["word_chars"]),
+        "shout_ratio": F.try_divide(m["n_shouts"], n),
+        "stop_ratio": F.when(n >= 100, F.try_divide(m["n_stops"], F.least(n, F.lit(400)))),
+        "dup_line_ratio": F.try_divide(m["n_dup_lines"], m["n_lines"]),
+        "repeat_ratio": F.try_divide(m["n_repeat_words"], n),
     }
     failed = []
     for r in rules:
@@ -111,27 +127,38 @@ def verdicts(rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]:
         if r.high is not None:
             bad = bad | (value[r.metric] > r.high)
         failed.append(F.when(bad, F.lit(r.metric)))
-    base = (n < 10) | (100 * F.col("q_n_repeat_words") > 20 * n)
-    return F.array_compact(F.array(*failed)), base
+    base = (n < 10) | (100 * m["n_repeat_words"] > 20 * n)
+    return _let(
+        F.struct(F.array_compact(F.array(*failed)).alias("f"), base.alias("b")),
+        lambda v: F.struct(
+            *(m[x].alias(x) for x in _COUNTS),
+            v["f"].alias("failed"),
+            v["b"].alias("base_failed"),
+            (~v["b"] & (F.size(v["f"]) == 0)).alias("kept"),
+        ),
+    )
+
+
+def judgement(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Everything about a text in one expression."""
+    return _let(F.coalesce(text, F.lit("")), lambda t: _let(metrics(t), lambda m: verdict(m, rules)))
 
 
 def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``df`` with the metrics, ``q_failed`` (names of failed rules), ``q_base_failed`` and ``q_kept``."""
-    failed, base = verdicts(rules)
-    out = metrics(df, text).withColumns({"q_failed": failed, "q_base_failed": base})
-    return out.withColumn("q_kept", ~F.col("q_base_failed") & (F.size("q_failed") == 0))
+    """``df`` with the struct ``quality``: counts, ``failed`` (names of rules), ``base_failed`` and ``kept``."""
+    return df.withColumn("quality", judgement(F.col(text), rules))
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that pass, with the columns of ``docs``."""
-    return judge(docs, text, rules).where("q_kept").select(*docs.columns)
+    return docs.where(judgement(F.col(text), rules)["kept"])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """One row per document with the base counts and the verdict."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return judge(docs).select("doc_id", *(F.col(f"q_{x}").alias(x) for x in names))
+    return judge(docs).select("doc_id", *(F.col("quality")[x].alias(x) for x in names))
 
 
 _STOPS = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS.split())))
