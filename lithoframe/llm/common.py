@@ -100,6 +100,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def span_sums(data: np.ndarray) -> np.ndarray:
+    """Running sums from which :func:`span_codes` hashes any span of ``data``."""
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(len(data) + 1)[0][: len(data)], out=total[1:])
+    return total
+
+
+def span_codes(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans: equal bytes have equal hashes wherever they are."""
+    return mix64((total[end] - total[start]) * _powers(len(total))[1][start])
+
+
 def words_of(offsets: np.ndarray, data: np.ndarray, lower: bool = True):
     """Words of several texts: ``(hash, first_word)``; text k has the words first_word[k] to first_word[k + 1].
 
@@ -120,10 +132,7 @@ def words_of(offsets: np.ndarray, data: np.ndarray, lower: bool = True):
     cut = edges[edges > 0] - 1
     stops[cut] = inside[cut]
     end = np.flatnonzero(stops) + 1
-    power, inverse = _powers(n + 1)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    code = mix64((total[end] - total[start]) * inverse[start])
+    code = span_codes(span_sums(data), start, end)
     return code, np.searchsorted(start, offsets), start, end
 
 

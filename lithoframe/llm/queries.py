@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, neardup, quality, sharding, urls, warc
+from . import decontaminate, html, mixing, neardup, quality, sharding, toxicity, urls, warc
 
 QUERIES = {
     "op1_url_filters": urls.query,
     "op2_decontamination": decontaminate.query,
+    "op4_toxicity": toxicity.query,
     "op5_warc": warc.query,
     "op6_mixing": mixing.query,
     "op7_quality_rules": quality.query,
     "op8_sharding": sharding.query,
+    "op9_html_text": html.query,
     "op10_near_duplicates": neardup.query,
 }
 ORACLES = {
