@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, mixing, neardup, quality, sharding, toxicity, urls, warc
+from . import decontaminate, html, mixing, neardup, quality, sharding, suffixes, toxicity, urls, warc
 
 QUERIES = {
     "op1_url_filters": urls.query,
     "op2_decontamination": decontaminate.query,
+    "op3_suffix_dedup": suffixes.query,
     "op4_toxicity": toxicity.query,
     "op5_warc": warc.query,
     "op6_mixing": mixing.query,
