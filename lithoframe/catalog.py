@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import geometry, wells
+
+QUERIES: dict = {**wells.QUERIES, **geometry.QUERIES}
+ORACLES: dict = {**wells.ORACLES, **geometry.ORACLES}

@@ -1 +1 @@
-"""See the modules of this subpackage."""
+"""Registered queries, grouped by domain, and the DuckDB SQL that each is checked against."""
