@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import geometry, wells
+from .plans import extras, geometry, wells
 
-QUERIES: dict = {**wells.QUERIES, **geometry.QUERIES}
-ORACLES: dict = {**wells.ORACLES, **geometry.ORACLES}
+QUERIES: dict = {**wells.QUERIES, **geometry.QUERIES, **extras.QUERIES}
+ORACLES: dict = {**wells.ORACLES, **geometry.ORACLES, **extras.ORACLES}

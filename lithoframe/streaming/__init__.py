@@ -1 +1 @@
-"""See the modules of this subpackage."""
+"""Streaming forms over append-only samples."""
