@@ -4,9 +4,10 @@ Sets of k-word shingles (A-Z lower-cased) are banded by MinHash; signatures of c
 and a pair is given up once the posterior probability of reaching the threshold is below the chosen miss probability;
 survivors are verified on their full sets. Equal sets are one class from the start, so copies are never paired.
 
-Buckets are not expanded into all pairs. Each member meets the bucket's smallest id; after components are known, only
-members of a bucket that are still in different components meet, block by block, so no link that could join two
-components is lost. A text without words is linked with nothing; a null id is kept and belongs to nothing.
+Buckets are not expanded into all pairs. Each member meets the bucket's smallest id. Then components are known; buckets
+whose members are still in different components are joined to clusters, and members of different components of a
+cluster meet inside a task, block against block, where only verified links leave it. So no link that could join two
+components is lost, and no table of candidate pairs grows with the square of a group. A text without words is linked with nothing; a null id is kept and belongs to nothing.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ BATCH = 40
 MISS = 1e-7
 #: Per cent of the union that must be shared.
 PER_CENT = 80
-#: Members of a bucket that meet in one block.
-BLOCK = 128
+#: Members of a cluster, and bytes of their sets, that a block holds about.
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: Up to this many ids (8 bytes each) a table of ids is broadcast; beyond it both sides shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -151,25 +152,46 @@ def _prune(least: list[int]):
     return run
 
 
-def _meet(least: list[int]):
-    """Pairs of a block that are in different components and stay in play."""
+def _meet(least: list[int], per_cent: int):
+    """Verified links between members of two blocks that are in different components; nothing else leaves the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v = [], []
-            for i, j, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, j, members in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 ids = np.array([m["id"] for m in members], dtype=np.int64)
                 comp = np.array([m["component"] for m in members], dtype=np.int64)
                 at = np.array([m["block"] for m in members])
                 sig = np.frombuffer(b"".join(m["sig"] for m in members), dtype=np.uint8).reshape(-1, _K)
-                left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
-                x, y = np.nonzero((comp[left][:, None] != comp[right][None, :]) & ((ids[left][:, None] < ids[right][None, :]) if i == j else True))
-                x, y = left[x], right[y]
-                keep = _in_play(sig[x], sig[y], least)
-                u.append(np.minimum(ids[x[keep]], ids[y[keep]]))
-                v.append(np.maximum(ids[x[keep]], ids[y[keep]]))
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+                sets = [np.frombuffer(m["shingles"], dtype=np.uint64) for m in members]
+                right = np.flatnonzero(at == j)
+                for x in np.flatnonzero(at == i):
+                    y = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) if i == j else True)]
+                    y = y[_in_play(np.broadcast_to(sig[x], (len(y), _K)), sig[y], least)]
+                    if not len(y):
+                        continue
+                    sizes = np.array([len(sets[k]) for k in y])
+                    every = np.concatenate([sets[k] for k in y])
+                    place = np.searchsorted(sets[x], every)
+                    place[place == len(sets[x])] = 0
+                    shared = np.add.reduceat((sets[x][place] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+                    linked = y[100 * shared >= per_cent * (sizes + len(sets[x]) - shared)]
+                    u.append(np.minimum(ids[x], ids[linked]))
+                    v.append(np.maximum(ids[x], ids[linked]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+
+    return run
+
+
+def _shingles(k: int):
+    """Full sets of texts, ascending."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, offsets, data in texts_of(batch.column(1)):
+                value, _, first = sets_of(offsets, data, k)
+                raw = [value[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(raw)), pa.array(raw, pa.binary())], names=["id", "shingles"])
 
     return run
 
@@ -220,33 +242,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = PER_CENT, key:
     buckets = bands.groupBy("band").agg(F.min("id").alias("center"), F.count("*").alias("size")).where("size > 1")
     members = written(bands.join(buckets, "band"), "members")
 
-    def verified(pairs: DataFrame, signed_off: bool) -> DataFrame:
-        """Pairs (u, v) that hold on their full sets."""
-        if not signed_off:
-            a, b = sigs.select(F.col("id").alias("u"), F.col("sig").alias("su")), sigs.select(F.col("id").alias("v"), F.col("sig").alias("sv"))
-            pairs = pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(_prune(least), "u long, v long")
-        pairs = written(pairs, "pairs")
-        needed = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-        texts = without(rows, needed, "doc_id", "left_semi")
-        # an id that repeats stands for the text that its class was made from
-        texts = written(texts.dropDuplicates(["doc_id"]), "texts")
-        a, b = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv"))
-        full = pairs.join(a, "u").join(b, "v").select("u", "v", "tu", "tv")
-        return written(full.mapInArrow(_verify(k, per_cent), "u long, v long"), "links")
-
     star = members.where("id <> center").select(F.col("center").alias("u"), F.col("id").alias("v")).distinct()
-    links = verified(star, False)
+    a, b = sigs.select(F.col("id").alias("u"), F.col("sig").alias("su")), sigs.select(F.col("id").alias("v"), F.col("sig").alias("sv"))
+    pairs = star.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(_prune(least), "u long, v long")
+    pairs = written(pairs, "pairs")
+    # an id that repeats stands for one of its texts
+    texts = without(rows, pairs.select(F.col("u").alias("id")).union(pairs.select("v")), "doc_id", "left_semi")
+    texts = written(texts.dropDuplicates(["doc_id"]), "texts")
+    a, b = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv"))
+    full = pairs.join(a, "u").join(b, "v").select("u", "v", "tu", "tv")
+    links = written(full.mapInArrow(_verify(k, per_cent), "u long, v long"), "links")
     known = components(links)
+
     placed = members.where("size > 2").join(known.withColumnRenamed("node", "id"), "id", "left")
-    placed = placed.select("band", "id", "size", F.coalesce("component", "id").alias("component"))
+    placed = placed.select("band", "id", "center", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    open_ = placed.join(mixed, "band").join(sigs, "id")
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
-    open_ = open_.withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    open_ = written(placed.join(mixed, "band").select("id", "center", "component").distinct(), "open")
+    # buckets that share members are settled as one cluster, so that no pair meets in several of them
+    clusters = components(open_.where("id <> center").select(F.col("center").alias("u"), F.col("id").alias("v")))
+    texts = written(without(rows, open_.select("id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "open-texts")
+    sets = texts.mapInArrow(_shingles(k), "id long, shingles binary")
+    who = open_.select("id", "component").distinct().join(clusters.withColumnsRenamed({"node": "id", "component": "cluster"}), "id").join(sigs, "id").join(sets, "id")
+    who = written(who, "who")
+    size = who.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES)).cast("int").alias("n"))
+    who = who.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     to = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
-    spread = open_.select("band", F.struct("id", "component", "block", "sig").alias("m"), F.explode(to).alias("p"))
-    blocks = spread.groupBy("band", "p").agg(F.collect_list("m").alias("members")).select("p.i", "p.j", "members")
-    rest = verified(blocks.mapInArrow(_meet(least), "u long, v long").distinct(), True)
+    spread = who.select("cluster", F.struct("id", "component", "block", "sig", "shingles").alias("m"), F.explode(to).alias("p"))
+    blocks = spread.groupBy("cluster", "p").agg(F.collect_list("m").alias("members")).select("p.i", "p.j", "members")
+    rest = written(blocks.mapInArrow(_meet(least, per_cent), "u long, v long"), "rest")
     found = components(links.union(rest))
     joined = classes.select("digest", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     out = linked.select("doc_id", "n", "digest").join(joined, "digest").select("doc_id", "n", "component_id")
