@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import uncertain as U
+from ..operators import petro
 from ..streaming import events
 from . import expressions as X
 from . import views as V
@@ -65,3 +67,38 @@ def _(spark, d):
 def _(spark, d):
     e = _events(spark, d)
     return events.paired(e.where("event_type = 'view'"), e.where("event_type = 'click'")).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+_PAIR_SQL = f"""{V.with_('curve', V.log_sql('p0', 'view'), V.log_sql('s0', 'click'))}, p AS (SELECT bore_id, md, least(value / 200.0, 1.0) AS phi, row_number() OVER (PARTITION BY bore_id ORDER BY md) AS k FROM p0),
+ s AS (SELECT bore_id, least(value / 200.0, 1.0) AS sw, row_number() OVER (PARTITION BY bore_id ORDER BY md) AS k FROM s0), j AS (SELECT bore_id, md, phi, sw FROM p JOIN s USING (bore_id, k)),
+ h AS (SELECT *, (coalesce(lead(md) OVER w, md) - coalesce(lag(md) OVER w, md)) / 2 AS h, coalesce(phi >= 0.08 AND sw <= 0.5, false) AS net FROM j WINDOW w AS (PARTITION BY bore_id ORDER BY md)),
+ b AS (SELECT bore_id, coalesce(sum(CASE WHEN net THEN h END), 0) AS pay, max(md) - min(md) AS span, count(*) AS n FROM h GROUP BY 1),
+ l AS (SELECT 'net_pay' AS input, pay * 0.3048 AS v FROM b UNION ALL SELECT 'net_to_gross', CASE WHEN n < 2 OR span <= 0 THEN 0 ELSE pay / span END FROM b UNION ALL SELECT 'porosity', phi FROM h WHERE net UNION ALL SELECT 'water_saturation', sw FROM h WHERE net)"""
+
+
+@register("model_inputs", f"{_PAIR_SQL} SELECT input, round(avg(v), 5) AS value, CASE WHEN count(v) < 2 OR stddev_pop(v) = 0 THEN 'deterministic' ELSE 'normal' END AS dist, round(avg(v), 5) AS p1, round(stddev_pop(v), 5) AS p2, NULL::DOUBLE AS p3 FROM l GROUP BY 1")
+def _(spark, d):
+    f = lambda m: V.log(spark, d, m).withColumn("value", F.least(F.col("value") / 200.0, F.lit(1.0)))
+    return rounded(petro.model_inputs(petro.paired(f("view"), f("click")), "ft"), value=5, p1=5, p2=5)
+
+
+@register("pick_curve", f"{V.with_('curve')}, c AS (SELECT *, CASE WHEN seq % 3 = 0 THEN 'PHI_2019' WHEN seq % 3 = 1 THEN 'POR' ELSE 'GR' END AS name FROM curve), f AS (SELECT bore_id, min(CASE name WHEN 'POR' THEN 1 ELSE 2 END) AS first FROM c WHERE name <> 'GR' GROUP BY 1) SELECT c.seq FROM c JOIN f USING (bore_id) WHERE name <> 'GR' AND (CASE name WHEN 'POR' THEN 1 ELSE 2 END) = first")
+def _(spark, d):
+    name = F.when(F.col("seq") % 3 == 0, "PHI_2019").when(F.col("seq") % 3 == 1, "POR").otherwise("GR")
+    c = V.curve(spark, d).withColumn("mnemonic", name).withColumn("load_seq", F.when(F.col("mnemonic") == "POR", 1).when(F.col("mnemonic") == "GR", 0).otherwise(2))
+    return petro.pick_curve(c, "PHIE").select("seq")
+
+
+@register("route_tops", "WITH w AS (SELECT n_name AS id, n_nationkey AS load_seq FROM nation WHERE n_nationkey % 2 = 0), r AS (SELECT n_nationkey AS rec, n_name || CASE n_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' ST2' ELSE 'X' END AS well FROM nation) SELECT rec, arg_min(id, load_seq) AS id, trim(substr(arg_min(well, load_seq), length(arg_min(id, load_seq)) + 2)) AS bore FROM r JOIN w ON replace(lower(well), ' ', '_') = replace(lower(id), ' ', '_') OR starts_with(replace(lower(well), ' ', '_'), replace(lower(id), ' ', '_') || '_') GROUP BY rec")
+def _(spark, d):
+    n = V.table(spark, d, "nation")
+    tail = F.when(F.col("n_nationkey") % 3 == 0, "").when(F.col("n_nationkey") % 3 == 1, " ST2").otherwise("X")
+    wells = n.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("id"), F.col("n_nationkey").alias("load_seq"))
+    return petro.route_tops(n.select(F.col("n_nationkey").alias("rec"), F.concat("n_name", tail).alias("well")), wells)
+
+
+@register("uncertain_values", "SELECT p_partkey, round((p_size + p_size * 2) / 2.0, 6) AS uniform, round(exp(p_size / 10.0), 5) AS lognormal, 'assumed' AS provenance FROM part")
+def _(spark, d):
+    s = F.col("p_size").cast("double")
+    p = V.table(spark, d, "part").select("p_partkey", U.uniform(s, s * 2).alias("u"), U.with_provenance(U.lognormal(s / 10, F.lit(1.0)), "assumed").alias("l"))
+    return rounded(p.select("p_partkey", F.col("u.value").alias("uniform"), F.col("l.value").alias("lognormal"), F.col("l.provenance").alias("provenance")), lognormal=5)
