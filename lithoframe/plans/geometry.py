@@ -90,9 +90,9 @@ _OTHER = "o AS (SELECT i, j, CASE WHEN (i + j) % 4 <> 0 THEN z * 0.9 + i END AS
 for _op, _expr in (("plus", "a.z + o.z"), ("minus", "a.z - o.z"), ("times", "a.z * o.z"), ("divided_by", "a.z / nullif(o.z, 0)")):
 
     def _make(op):
-        return lambda spark, d: rounded(grid.combine(V.node(spark, d), _other(spark, d), op), z=4)
+        return lambda spark, d: rounded(grid.combine(V.node(spark, d), _other(spark, d), op), z=7)
 
-    register(f"surface_{_op}", f"{V.with_('node', _OTHER)} SELECT a.i, a.j, round({_expr}, 4) AS z FROM node a JOIN o ON a.i = o.i AND a.j = o.j")(_make(_op))
+    register(f"surface_{_op}", f"{V.with_('node', _OTHER)} SELECT a.i, a.j, round({_expr}, 7) AS z FROM node a JOIN o ON a.i = o.i AND a.j = o.j")(_make(_op))
 
 
 @register("surface_thickness", f"{V.with_('node', _OTHER)} SELECT a.i, a.j, CASE WHEN o.z IS NOT NULL THEN round(greatest(o.z - a.z, 0), 6) END AS z FROM node a JOIN o ON a.i = o.i AND a.j = o.j")
@@ -121,9 +121,9 @@ def _(spark, d):
     return rounded(grid.hypsometry(V.node(spark, d), CELL))
 
 
-@register("surface_smooth", f"{V.with_('node')} SELECT a.i, a.j, round(avg(b.z), 5) AS z FROM node a JOIN node b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 GROUP BY 1, 2")
+@register("surface_smooth", f"{V.with_('node')} SELECT a.i, a.j, round(avg(b.z), 8) AS z FROM node a JOIN node b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 GROUP BY 1, 2")
 def _(spark, d):
-    return rounded(grid.smooth(V.node(spark, d), 1), z=5)
+    return rounded(grid.smooth(V.node(spark, d), 1), z=8)
 
 
 @register("node_xy", f"{V.with_('node')} SELECT i, j, round(1000 + i * 25.0 * cos(radians(30.0)) - j * 25.0 * sin(radians(30.0)), 5) AS x, round(2000 + i * 25.0 * sin(radians(30.0)) + j * 25.0 * cos(radians(30.0)), 5) AS y FROM node")

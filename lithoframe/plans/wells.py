@@ -245,14 +245,14 @@ def _(spark, d):
     "net_pay",
     f"""{V.with_('curve', V.log_sql('p0', PHI), V.log_sql('s0', SW))}, s AS (SELECT bore_id, md, least(value / 200.0, 1.0) AS value FROM s0), p AS (SELECT bore_id, md, least(value / 200.0, 1.0) AS value FROM p0), {_lerp_sql('s', 'p', 'x')},
  h AS (SELECT bore_id, md, (coalesce(lead(md) OVER w, md) - coalesce(lag(md) OVER w, md)) / 2 AS h, coalesce(value >= 0.08 AND x_v <= 0.5, false) AS net FROM x WINDOW w AS (PARTITION BY bore_id ORDER BY md))
- SELECT bore_id, round(coalesce(sum(CASE WHEN net THEN h END), 0), 5) AS net_pay, round(CASE WHEN count(*) < 2 OR max(md) <= min(md) THEN 0 ELSE coalesce(sum(CASE WHEN net THEN h END), 0) / (max(md) - min(md)) END, 6) AS ntg FROM h GROUP BY 1""",
+ SELECT bore_id, round(coalesce(sum(CASE WHEN net THEN h END), 0), 7) AS net_pay, round(CASE WHEN count(*) < 2 OR max(md) <= min(md) THEN 0 ELSE coalesce(sum(CASE WHEN net THEN h END), 0) / (max(md) - min(md)) END, 6) AS ntg FROM h GROUP BY 1""",
 )
 def _(spark, d):
     at = series.at_md(scaled(spark, d, SW), scaled(spark, d, PHI).withColumnRenamed("value", "phi"), ["bore_id"], out="sw")
     h = series.representative_thickness(at, ["bore_id"]).withColumn("net", S.net_flag(F.col("phi"), F.col("sw")))
     pay = F.coalesce(F.sum(F.when(F.col("net"), F.col("h"))), F.lit(0.0))
     span = F.max("md") - F.min("md")
-    return rounded(h.groupBy("bore_id").agg(pay.alias("net_pay"), F.when((F.count("*") < 2) | (span <= 0), F.lit(0.0)).otherwise(F.try_divide(pay, span)).alias("ntg")), net_pay=5)
+    return rounded(h.groupBy("bore_id").agg(pay.alias("net_pay"), F.when((F.count("*") < 2) | (span <= 0), F.lit(0.0)).otherwise(F.try_divide(pay, span)).alias("ntg")), net_pay=7)
 
 
 @register("characterise_lognormal", f"{V.with_('curve')} SELECT mnemonic, round(avg(value), 6) AS value, CASE WHEN count(CASE WHEN value > 0 THEN 1 END) < 2 OR stddev_pop(value) = 0 THEN 'deterministic' ELSE 'lognormal' END AS dist, round(avg(CASE WHEN value > 0 THEN ln(value) END), 6) AS p1, round(stddev_pop(CASE WHEN value > 0 THEN ln(value) END), 6) AS p2, NULL::DOUBLE AS p3 FROM curve GROUP BY mnemonic")
