@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import stats as A
-from ..operators import grid, mesh, path, sets, spatial
+from ..operators import grid, kernels, lattice, mesh, path, sets, spatial
 from . import views as V
 from .wells import BUNDLE_SQL, rounded
 
@@ -259,3 +259,64 @@ def _(spark, d):
 def _(spark, d):
     s = V.table(spark, d, "supplier").select(F.col("s_nationkey").alias("x"), (F.col("s_suppkey") % 5).alias("y"), (F.col("s_suppkey") % 3).alias("z"))
     return s.groupBy("x", "y").agg(F.count("*").alias("n"), F.countDistinct("z").alias("zs"))
+
+
+def _indexed(spark, d):
+    x, y = S.node_xy(F.col("i"), F.col("j"), GEOMETRY)
+    return V.node(spark, d).select((F.col("i") + 1).alias("column"), (F.col("j") + 1).alias("row"), x.alias("x"), y.alias("y"), "z")
+
+
+@register("infer_geometry", f"{V.with_('node')} SELECT 1000.0::DOUBLE + 25.0 * (min(i) * cos(radians(30.0)) - min(j) * sin(radians(30.0))) AS xori, 2000.0::DOUBLE + 25.0 * (min(i) * sin(radians(30.0)) + min(j) * cos(radians(30.0))) AS yori, 25.0::DOUBLE AS xinc, 25.0::DOUBLE AS yinc, (max(i) - min(i) + 1)::BIGINT AS ncol, (max(j) - min(j) + 1)::BIGINT AS nrow, 30.0::DOUBLE AS rotation_deg, false AS yflip, true AS fits FROM node")
+def _(spark, d):
+    return rounded(lattice.infer_geometry(_indexed(spark, d)).drop("residual"), xori=4, yori=4, xinc=4, yinc=4, rotation_deg=4)
+
+
+@register(
+    "occupied_edges",
+    f"""{V.with_('node', _QUAD)}, s AS (SELECT ci AS i1, cj AS j1, ci + 1 AS i2, cj AS j2 FROM q UNION ALL SELECT ci + 1, cj, ci + 1, cj + 1 FROM q UNION ALL SELECT ci + 1, cj + 1, ci, cj + 1 FROM q UNION ALL SELECT ci, cj + 1, ci, cj FROM q)
+ SELECT * FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.i1 = a.i2 AND b.j1 = a.j2 AND b.i2 = a.i1 AND b.j2 = a.j1)""",
+)
+def _(spark, d):
+    return lattice.occupied_edges(V.node(spark, d))
+
+
+@register("structured_points", f"{V.with_('node')} SELECT i + 1 AS \"column\", j + 1 AS \"row\", round(z, 6) AS z FROM node")
+def _(spark, d):
+    return rounded(lattice.structured_points(V.node(spark, d)))
+
+
+@register("duplicate_slots", "SELECT a AS \"column\", b AS \"row\", count(*) AS n FROM (SELECT s_nationkey AS a, s_suppkey % 2 AS b FROM supplier) GROUP BY 1, 2 HAVING count(*) > 1")
+def _(spark, d):
+    return lattice.duplicate_slots(V.table(spark, d, "supplier").select(F.col("s_nationkey").alias("column"), (F.col("s_suppkey") % 2).alias("row")))
+
+
+@register("copy_topology", f"{V.with_('node')} SELECT i * 100 + j AS seq, CASE WHEN i % 3 <> 0 THEN i + 1 END AS \"column\", CASE WHEN i % 3 <> 0 THEN j + 1 END AS \"row\" FROM node")
+def _(spark, d):
+    p = _indexed(spark, d)
+    points = p.select(((F.col("column") - 1) * 100 + F.col("row") - 1).alias("seq"), (F.col("x") + 0.0004).alias("x"), "y", "z")
+    return lattice.copy_topology(points, p.where("(column - 1) % 3 <> 0")).select("seq", "column", "row")
+
+
+@register("modal_step", "WITH s AS (SELECT p_retailprice::DOUBLE AS d FROM part), b AS (SELECT floor(d / (1.4 * 1200.0 / 240)) AS b, count(*) AS n, avg(d) AS m FROM s WHERE d > 0 AND d < 1.4 * 1200 GROUP BY 1) SELECT round(m, 6) AS step FROM b ORDER BY n DESC, b LIMIT 1")
+def _(spark, d):
+    return rounded(lattice.modal_step(V.table(spark, d, "part").select(F.col("p_retailprice").cast("double").alias("d")), 1200.0))
+
+
+@register("step_azimuth", f"{V.with_('point')} SELECT round(degrees(atan2(sum(sin(4 * atan2(y, x))), sum(cos(4 * atan2(y, x))))) / 4, 5) AS azimuth FROM point")
+def _(spark, d):
+    return rounded(lattice.azimuth(V.point(spark, d).select(F.col("x").alias("dx"), F.col("y").alias("dy"))), azimuth=5)
+
+
+@register("ring_area", f"WITH {RINGS_SQL} SELECT poly_id AS ring, sum(x1 * y2 - x2 * y1) / 2 AS area FROM edge GROUP BY 1")
+def _(spark, d):
+    return lattice.ring_area(rings(spark).withColumnsRenamed({"poly_id": "ring", "vseq": "seq"}))
+
+
+@register("contour_lines")
+def _(spark, d):
+    return kernels.contour_lines(mesh.contour_segments(mesh.quad_split(V.node(spark, d)), [1400.5]), 0.05)
+
+
+@register("min_curvature_grid")
+def _(spark, d):
+    return kernels.min_curvature_grid(V.point(spark, d).withColumn("surface_id", F.col("point_id") % 4), WIDE)
