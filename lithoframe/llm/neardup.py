@@ -287,3 +287,16 @@ def keep_one(docs: DataFrame, k: int = 5, per_cent: int = PER_CENT, key: str = "
 def query(spark, sf_dir: str) -> DataFrame:
     """Groups of ``documents`` by sets of 2-word shingles."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), k=2)
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS g FROM w),
+s AS (SELECT doc_id, len(g)::BIGINT AS n, unnest(g) AS x FROM g),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p),
+c(doc_id, root) AS (SELECT doc_id, doc_id FROM g UNION SELECT e.v, c.root FROM c JOIN e ON e.u = c.doc_id WHERE c.root < e.v)
+SELECT g.doc_id, len(g)::BIGINT AS n_shingles, r.component_id, g.doc_id = r.component_id AS kept
+FROM g JOIN (SELECT doc_id, min(root) AS component_id FROM c GROUP BY 1) r USING (doc_id)"""

@@ -18,6 +18,8 @@ QUERIES = {
 }
 ORACLES = {
     "op1_url_filters": urls.SQL,
+    "op5_warc": warc.SQL,
     "op6_mixing": mixing.SQL,
     "op7_quality_rules": quality.SQL,
+    "op10_near_duplicates": neardup.SQL,
 }

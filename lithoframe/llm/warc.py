@@ -106,3 +106,11 @@ def query(spark, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest",
         field(h, "WARC-Type").alias("record_type"), field(h, "X-Refers-To-Key").cast("long").alias("refers_to"),
     )
+
+
+_CHARS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(h, {5 * i + 1}, 5))::INT // {1 << shift}) % 32 + 1, 1)" for i in range(8) for shift in (15, 10, 5, 0))
+SQL = f"""
+WITH r AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+f AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS h, min(page_id) OVER (PARTITION BY b) AS first_id FROM r)
+SELECT page_id, payload_bytes, {_CHARS} AS payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to FROM f"""
