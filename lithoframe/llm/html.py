@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import bounded, small_batches
 
 #: Labelled pages that training collects at most; a page is labelled if it marks its article itself.
 TRAINING_PAGES = 400
@@ -82,7 +82,7 @@ class Weights:
     def score(self, token: Token) -> float:
         if token.kind == "boilerplate":  # neither scores nor is taken, so that it does not cut an article in two
             return 0.0
-        if token.words:
+        if token.text:
             return token.words * self.of.get(token.kind, self.word)
         return self.of.get(token.kind, self.tag)
 
@@ -169,7 +169,7 @@ def train(pages: list[str]) -> Weights:
     inside, outside = Counter(), Counter()
     for page in pages:
         for t in tokens(page):
-            (inside if t.inside else outside)[t.kind] += t.words if t.words else 1
+            (inside if t.inside else outside)[t.kind] += t.words if t.text else 1
     weights = Weights()
     for kind in inside.keys() | outside.keys():
         odds = math.log((inside[kind] + 0.5) / (outside[kind] + 0.5))
@@ -240,8 +240,11 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     known = (rows if labelled is None else labelled.select(F.col(html).alias("html"))).where(F.col("html").rlike("(?i)<(article|main)[ >]"))
-    sample = known.select("html").orderBy(F.xxhash64("html")).limit(training_pages).collect()
-    weights = train([r["html"] for r in sample])
+    # equal pages count once; what each task sends is a share of the sample, however many tasks there are
+    ids = bounded(known.select(F.xxhash64("html").alias("hash")).distinct(), "hash", training_pages)
+    chosen = known.select("html", F.xxhash64("html").alias("hash")).join(F.broadcast(ids), "hash")
+    sample = chosen.groupBy("hash").agg(F.any_value("html").alias("html")).collect()
+    weights = train(sorted(r["html"] for r in sample))
     return rows.mapInArrow(_apply(weights), SCHEMA).withColumnRenamed("page_id", key).withColumnRenamed("url", url)
 
 
