@@ -75,9 +75,9 @@ class Token:
 class Weights:
     """Score of a word or a tag by its kind; unseen tags cost ``tag``."""
 
-    of: dict[str, float] = field(default_factory=dict)
+    of: dict[str, float] = field(default_factory=lambda: {"word:outside": -2.0})
     word: float = 1.0
-    tag: float = -1.0
+    tag: float = -0.5
 
     def score(self, token: Token) -> float:
         if token.kind == "boilerplate":  # neither scores nor is taken, so that it does not cut an article in two
@@ -170,7 +170,7 @@ def train(pages: list[str]) -> Weights:
     for page in pages:
         for t in tokens(page):
             (inside if t.inside else outside)[t.kind] += t.words if t.text else 1
-    weights = Weights()
+    weights = Weights({"word:outside": -2.0})
     for kind in inside.keys() | outside.keys():
         odds = math.log((inside[kind] + 0.5) / (outside[kind] + 0.5))
         if kind == "word":

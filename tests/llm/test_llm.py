@@ -258,6 +258,7 @@ def test_html():
     weights = html.train([page] * 3)
     assert html.extract(page, weights) == want
     assert html.extract(page.replace("article>", "div>"), weights) == want
+    assert html.extract(page.replace("<footer>", "<div><p>Some unmarked words of the site that go on and on here.</p></div><footer>"), html.train([])) == want
     for odd in ("", "   ", "<", "<p", "no tags at all", "<!-- open", "<script>x", "</div></p>", "&amp; <b", "\x00"):
         html.extract(odd, weights)
     assert html.extract("", weights) == "" and html.extract("plain words only", weights) == "plain words only"
