@@ -63,3 +63,36 @@ def aligned_levels(low: float, high: float, interval: float) -> list[float]:
         raise ValueError("interval must be positive")
     e = 1e-9 * max(abs(low), abs(high), 1.0)
     return [k * interval for k in range(ceil((low - e) / interval), floor((high + e) / interval) + 1)]
+
+
+def wireframe_stride(triangles: DataFrame, stride: int) -> DataFrame:
+    """The wireframe's every ``stride``-th grid lines, with all boundary edges."""
+    on = lambda c: F.pmod(F.col(f"u.{c}"), F.lit(stride)) == 0
+    along_i, along_j = F.col("u.j") == F.col("v.j"), F.col("u.i") == F.col("v.i")
+    return wireframe(triangles).where((F.col("n") == 1) | (along_i & on("j")) | (along_j & on("i")))
+
+
+def components(triangles: DataFrame, mesh: str = "mesh_id") -> DataFrame:
+    """Component of each triangle (``mesh``, ``tid``, vertices ``a``, ``b``, ``c``) by shared vertices: the smallest vertex.
+
+    One small union-find per mesh; many meshes spread over tasks.
+    """
+    import pandas as pd
+
+    def per_mesh(pdf: pd.DataFrame) -> pd.DataFrame:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            parent.setdefault(x, x)
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for a, b, c in pdf[["a", "b", "c"]].itertuples(index=False, name=None):
+            r = sorted((root(a), root(b), root(c)))
+            parent[r[1]] = parent[r[2]] = r[0]
+        return pd.DataFrame({mesh: pdf[mesh], "tid": pdf["tid"], "component": [root(a) for a in pdf["a"]]})
+
+    kind = dict(triangles.dtypes)[mesh]
+    return triangles.groupBy(mesh).applyInPandas(per_mesh, f"{mesh} {kind}, tid long, component long")

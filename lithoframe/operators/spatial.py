@@ -111,3 +111,10 @@ def hull(points: DataFrame) -> DataFrame:
 
     small = points.select("x", "y").where("x IS NOT NULL AND y IS NOT NULL").mapInPandas(partial, "x double, y double")
     return small.withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(final, "vseq int, x double, y double")
+
+
+def clip(nodes: DataFrame, rings: DataFrame, poly: str = "poly_id") -> DataFrame:
+    """Grid nodes (i, j, x, y, z) with z undefined outside every ring."""
+    key = F.struct("i", "j")
+    hit = inside(nodes.withColumn("_node", key), rings, "_node", poly).select(F.col("_node.i").alias("i"), F.col("_node.j").alias("j"), F.lit(True).alias("_in"))
+    return nodes.join(hit, ["i", "j"], "left").withColumn("z", F.when(F.col("_in"), F.col("z"))).drop("_in")

@@ -320,3 +320,28 @@ def _(spark, d):
 @register("min_curvature_grid")
 def _(spark, d):
     return kernels.min_curvature_grid(V.point(spark, d).withColumn("surface_id", F.col("point_id") % 4), WIDE)
+
+
+@register(
+    "surface_clip",
+    f"""{V.with_('node', RINGS_SQL)}, n AS (SELECT i, j, -150.0 + i * 8.0 AS x, -150.0 + j * 13.0 AS y, z FROM node),
+ h AS (SELECT DISTINCT i, j FROM (SELECT i, j, poly_id, sum(CASE WHEN (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1 THEN 1 ELSE 0 END) AS k,
+   max(CASE WHEN (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) = 0 AND x BETWEEN least(x1, x2) AND greatest(x1, x2) AND y BETWEEN least(y1, y2) AND greatest(y1, y2) THEN 1 ELSE 0 END) AS b FROM n, edge GROUP BY 1, 2, 3) WHERE k % 2 = 1 AND b = 0)
+ SELECT n.i, n.j, CASE WHEN h.i IS NOT NULL THEN round(z, 6) END AS z FROM n LEFT JOIN h USING (i, j)""",
+)
+def _(spark, d):
+    n = V.node(spark, d).select("i", "j", (F.col("i") * 8.0 - 150.0).alias("x"), (F.col("j") * 13.0 - 150.0).alias("y"), "z")
+    return rounded(spatial.clip(n, rings(spark)).select("i", "j", "z"))
+
+
+@register("mesh_wireframe_stride", f"{V.with_('node', _QUAD)} SELECT u::BIGINT AS u, v::BIGINT AS v, n FROM edges WHERE NOT (n = 2 AND u // 1000 <> v // 1000 AND u % 1000 <> v % 1000) AND (n = 1 OR (u % 1000 = v % 1000 AND (u % 1000) % 3 = 0) OR (u // 1000 = v // 1000 AND (u // 1000) % 3 = 0))")
+def _(spark, d):
+    return _edge(mesh.wireframe_stride(mesh.quad_split(V.node(spark, d)), 3))
+
+
+@register("mesh_components")
+def _(spark, d):
+    t = mesh.quad_split(V.node(spark, d))
+    vid = lambda c: (F.col(f"{c}.i") * 1000 + F.col(f"{c}.j")).cast("long").alias(c)
+    flat = t.select(F.lit(0).alias("mesh_id"), ((F.col("ci") * 1000 + F.col("cj")) * 2 + F.col("half")).cast("long").alias("tid"), vid("a"), vid("b"), vid("c"))
+    return mesh.components(flat)

@@ -117,3 +117,10 @@ def test_stream(spark, sf_dir, tmp_path):
 def test_empty(spark):
     none = spark.createDataFrame([], "i int, j int, z double")
     assert grid.hypsometry(none, 1.0).count() == 0 and grid.smooth(none, 2).count() == 0
+
+
+def test_mesh_components(spark):
+    from lithoframe.operators import mesh
+
+    t = spark.createDataFrame([("m", 1, 5, 6, 7), ("m", 2, 7, 8, 9), ("m", 3, 20, 21, 22), ("n", 1, 5, 6, 7)], "mesh_id string, tid long, a long, b long, c long")
+    assert {(r["mesh_id"], r["tid"]): r["component"] for r in mesh.components(t).collect()} == {("m", 1): 5, ("m", 2): 5, ("m", 3): 20, ("n", 1): 5}
