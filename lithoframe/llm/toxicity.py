@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches, span_codes, span_sums, texts_of, words_of
+from .common import bounded, mix64, small_batches, span_codes, span_sums, texts_of, words_of
 
 #: Rows collected to fit the classifier at most, those with the smallest hashes of their ids.
 POSITIVES, UNLABELLED = 2000, 5000
@@ -165,9 +165,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     prior = min(max(prior or 0.01, 1e-3), 0.9)
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ids = rows.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id")
-    order = F.xxhash64("doc_id")
-    p = known.where("toxic = 1").join(ids.distinct(), "doc_id", "left_semi").orderBy(order, "doc_id").limit(positives).select("doc_id", F.lit(1).alias("toxic"))
-    u = ids.orderBy(order, "doc_id").limit(unlabelled).select("doc_id", F.lit(0).alias("toxic"))
+    ids = ids.distinct()
+    p = bounded(known.where("toxic = 1").join(ids, "doc_id", "left_semi").select("doc_id", F.xxhash64("doc_id").alias("hash")), "hash", positives)
+    u = bounded(ids.select("doc_id", F.xxhash64("doc_id").alias("hash")), "hash", unlabelled)
+    p, u = p.select("doc_id", F.lit(1).alias("toxic")), u.select("doc_id", F.lit(0).alias("toxic"))
     # the sample's ids are bounded by the two parameters
     sample = rows.join(F.broadcast(p.union(u)), "doc_id").select("toxic", "text")
     found = sample.mapInArrow(_featurize, "toxic int, f binary").collect()
