@@ -5,10 +5,16 @@ Poisson distribution of that mean at a uniform number hashed from seed and key,
 the same after a lost executor. Documents are exploded by their count and dealt and ordered by a hash of seed, key and
 copy: a global shuffle. A null source is a source of its own; a null key is hashed as an empty string; a null text has
 no bytes; a source without bytes repeats once. Equal keys get equal counts.
+
+Small mean rates are looked up in a table of the distribution. Larger ones, whose exp(-rate) underflows at last, are
+inverted at the same number by summing probabilities from 12 deviations below the mean, the first one from its
+logarithm. The steps are fewer than the copies that they yield.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +23,10 @@ SEED = 17
 ALPHA = 0.5
 #: Up to this many sources (about 1 kB each) the table of rates is broadcast; beyond it both sides shuffle.
 BROADCAST_SOURCES = 10_000
-#: Mean rates above this are refused.
+#: Mean rates above this have no table.
 MOST = 500.0
+#: Copies that one step of the explosion yields at most.
+COPIES = 10_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -26,8 +34,27 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+def inverse(u: Column, rate: Column) -> Column:
+    """The smallest count with a Poisson distribution function above ``u``, for rates above ``MOST``.
+
+    The start is 200 at least there, where Stirling's series for log(k!) is exact to rounding.
+    """
+    k = F.floor(rate - 12 * F.sqrt(rate) - 30).cast("double")
+    d = (rate - k) / k
+    first = F.exp(k * (F.log1p(d) - d) - F.log(2 * math.pi * k) / 2 - 1 / (12 * k) + 1 / (360 * k * k * k))
+    start = F.struct(first.alias("p"), first.alias("sum"), F.when(u >= first, k + 1).otherwise(k).alias("n"))
+
+    def step(s: Column, i: Column) -> Column:
+        p = s["p"] * rate / (k + i)
+        total = s["sum"] + p
+        return F.struct(p.alias("p"), total.alias("sum"), F.when(u >= total, k + i + 1).otherwise(s["n"]).alias("n"))
+
+    steps = F.sequence(F.lit(1), F.ceil(24 * F.sqrt(rate) + 60).cast("int"))
+    return F.aggregate(steps, start, step, lambda s: s["n"]).cast("long")
+
+
 def rates(docs: DataFrame, source: str = "source", text: str = "text", weights: dict[str, float] | None = None, alpha: float = ALPHA) -> DataFrame:
-    """``source``, ``bytes``, ``rate`` and the Poisson distribution function ``cdf`` of each source."""
+    """``source``, ``bytes``, ``rate`` and the Poisson distribution function ``cdf`` (null for rates above ``MOST``) of each source."""
     sizes = docs.groupBy(F.col(source).alias("source")).agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes"))
     if weights is None:
         weight = F.pow(F.col("bytes").cast("double"), F.lit(alpha))
@@ -38,7 +65,7 @@ def rates(docs: DataFrame, source: str = "source", text: str = "text", weights:
     total = sizes.agg(F.sum("bytes").cast("double").alias("all_bytes"), F.sum("weight").alias("all_weights"))
     sizes = sizes.crossJoin(F.broadcast(total))  # one row
     rate = F.when(F.col("bytes") == 0, F.lit(1.0)).otherwise(F.col("weight") / F.col("all_weights") * F.col("all_bytes") / F.col("bytes"))
-    sizes = sizes.withColumn("rate", F.when(rate <= MOST, rate).otherwise(F.raise_error(F.lit("a source would repeat too often")).cast("double")))
+    sizes = sizes.withColumn("rate", rate)
     steps = F.sequence(F.lit(1), F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int"))
     first = F.exp(-F.col("rate"))
     start = F.struct(first.alias("p"), first.alias("sum"), F.array(first).alias("cdf"))
@@ -47,21 +74,25 @@ def rates(docs: DataFrame, source: str = "source", text: str = "text", weights:
         p = s["p"] * F.col("rate") / k
         return F.struct(p.alias("p"), (s["sum"] + p).alias("sum"), F.concat(s["cdf"], F.array(s["sum"] + p)).alias("cdf"))
 
-    return sizes.withColumn("cdf", F.aggregate(steps, start, step, lambda s: s["cdf"])).select("source", "bytes", "rate", "cdf")
+    table = F.when(F.col("rate") <= MOST, F.aggregate(steps, start, step, lambda s: s["cdf"]))
+    return sizes.withColumn("cdf", table).select("source", "bytes", "rate", "cdf")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: dict[str, float] | None = None, seed: int = SEED) -> DataFrame:
     """``docs`` replicated and globally shuffled, with ``n_copies``, ``copy`` (from 0) and ``mix_key`` added."""
-    table = rates(docs, source, text, weights).withColumnsRenamed({"source": "_source", "cdf": "_cdf"}).select("_source", "_cdf")
+    table = rates(docs, source, text, weights).withColumnsRenamed({"source": "_source", "rate": "_rate", "cdf": "_cdf"}).select("_source", "_rate", "_cdf")
     few = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
     # a hot source is a third of the rows at most times: broadcast where small, else adaptive execution splits it
     out = docs.join(F.broadcast(table) if few else table, F.col(source).eqNullSafe(F.col("_source")))
     out = out.withColumn("_u", uniform(F.lit(str(seed)), name))
-    out = out.withColumn("n_copies", F.size(F.filter("_cdf", lambda c: F.col("_u") >= c)).cast("long")).where("n_copies > 0")
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
+    looked_up = F.size(F.filter("_cdf", lambda c: F.col("_u") >= c)).cast("long")
+    out = out.withColumn("n_copies", F.when(F.col("_rate") <= MOST, looked_up).otherwise(inverse(F.col("_u"), F.col("_rate")))).where("n_copies > 0")
+    # by blocks, so that no array has all copies of a document
+    out = out.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1, F.lit(COPIES).cast("long"))))
+    out = out.withColumn("copy", F.explode(F.sequence(F.col("_block"), F.least(F.col("_block") + COPIES, "n_copies") - 1)))
     order = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), name, F.col("copy").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
-    out = out.withColumn("mix_key", order).drop("_source", "_cdf", "_u")
+    out = out.withColumn("mix_key", order).drop("_source", "_rate", "_cdf", "_u", "_block")
     return out.repartition("mix_key").sortWithinPartitions("mix_key")
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 from collections import Counter
 
@@ -149,6 +150,26 @@ def test_mixing(spark, docs, duck):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_tiny_sources(spark):
+    def count(key, rate):  # smallest count whose distribution function is above the document's number
+        u = int(hashlib.md5(f"17|{key}".encode()).hexdigest()[:13], 16) / 2.0**52
+        total, k = 0.0, 0
+        while u >= (total := total + math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))):
+            k += 1
+        return k
+
+    rows = [(i, "big", "x" * 100_000) for i in range(10)] + [(i, "tiny", "y") for i in range(10, 14)] + [(20, None, "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = Counter(r["doc_id"] for r in mixing.mix(docs).select("doc_id", "copy").distinct().collect())
+    size = {"big": 1_000_000, "tiny": 4, None: 2}
+    rate = {k: n**0.5 / sum(x**0.5 for x in size.values()) * sum(size.values()) / n for k, n in size.items()}
+    assert rate["tiny"] < mixing.MOST < rate[None]
+    assert got == {i: n for i, s, _ in rows if (n := count(i, rate[s]))}
+    weights = {"big": 1, "tiny": 1, "": 1}
+    got = Counter(r["doc_id"] for r in mixing.mix(docs, weights=weights).select("doc_id", "copy").distinct().collect())
+    assert got == {i: n for i, s, _ in rows if (n := count(i, sum(size.values()) / 3 / size[s]))}
+
+
 def test_near_duplicates(spark, docs):
     for k in (2, 5):
         sets = {}
