@@ -15,10 +15,14 @@ left as context, and of these only the ones whose first 24 bytes occur in two do
 4. Runs are merged by a loser tree that keeps each run's common prefix with the last winner. Of two candidates the
    one with the longer common prefix is smaller, unseen; equal ones are compared behind it; no known byte is read again.
    Neighbours' common prefixes and left contexts then say which windows a smaller id has.
+   Anchors whose first 24 bytes are very common ("hot") are not sorted, as all of them would meet in one range: their
+   windows are compared instead, each whole, and dealt by a hash of all its bytes. Each chunk settles copies of a window
+   of its own and sends those of its smallest id.
 5. Removed windows go back to the chunks, which cut them out.
 
 Equal ids are one document's rows and never remove each other's bytes; a null id counts as larger than any other.
-No step gathers more than a chunk, or a hash range whose number grows with the input.
+No step gathers more than a chunk, or a hash range whose number grows with the input; of one anchor hash a range has
+``HOT`` entries at most, and of one window as many as there are chunks.
 """
 
 from __future__ import annotations
@@ -41,7 +45,11 @@ K = 24
 CHUNK_BYTES = 8 << 20
 #: Text bytes per hash range, and the fewest ranges.
 RANGE_BYTES, LEAST_RANGES = 16 << 20, 64
+#: Anchors with one hash, in all chunks, above which their windows are dealt one by one.
+HOT = 50_000
 _SEGMENT = 1 << 19
+#: Windows of hot anchors that a chunk settles in one step.
+_WINDOWS = 1 << 18
 _LAST = np.iinfo(np.int64).max
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -157,14 +165,14 @@ class Chunk:
             self.hash = np.zeros(0, dtype=np.uint64)
 
     def distinct(self):
-        """Distinct 40-bit hashes of anchors, ascending, and whether several ids have each."""
+        """Distinct 40-bit hashes of anchors, ascending, whether several ids have each, and how many anchors."""
         order = np.lexsort((self.ids[self.doc], self.hash))
         h, who = self.hash[order], self.ids[self.doc][order]
         new = np.ones(len(h), dtype=bool)
         new[1:] = h[1:] != h[:-1]
         start = np.flatnonzero(new)
         last = np.append(start[1:], len(h)) - 1
-        return h[start], who[start] != who[last] if len(h) else np.zeros(0, bool)
+        return h[start], who[start] != who[last] if len(h) else np.zeros(0, bool), last - start + 1
 
 
 def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
@@ -178,13 +186,14 @@ def _hashes(length: int, ranges: int):
             for name, *parts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 c = Chunk(*parts)
                 c.anchors(length)
-                h, several = c.distinct()
+                h, several, times = c.distinct()
                 cut = np.searchsorted(_range_of(h, ranges), np.arange(ranges + 1))
                 keys, blobs = [], []
                 for r in np.flatnonzero(np.diff(cut)):
                     own = h[cut[r] : cut[r + 1]]
                     keys.append(int(r))
-                    blobs.append(_squeeze(_planes(np.diff(own, prepend=np.uint64(0))), np.packbits(several[cut[r] : cut[r + 1]])))
+                    n = times[cut[r] : cut[r + 1]]
+                    blobs.append(_squeeze(_planes(np.diff(own, prepend=np.uint64(0))), np.packbits(several[cut[r] : cut[r + 1]]), np.packbits(n > 1), n[n > 1].astype(np.uint32)))
                     keys[-1] = (int(r), len(own))
                 if keys:
                     yield pa.RecordBatch.from_arrays(
@@ -194,24 +203,38 @@ def _hashes(length: int, ranges: int):
     return run
 
 
-def _shared(group: pa.Table) -> pa.Table:
-    """Of one hash range: for each chunk, a bit per hash, set if two documents have it."""
-    chunks, sizes = group["chunk"].to_pylist(), group["n"].to_pylist()
-    hashes, several = [], []
-    for n, blob in zip(sizes, group["blob"].to_pylist(), strict=True):
-        raw = np.frombuffer(_loosen(blob), dtype=np.uint8)
-        hashes.append(np.cumsum(_unplanes(raw[: 8 * n], np.uint64), dtype=np.uint64))
-        several.append(np.unpackbits(raw[8 * n :], count=n).astype(bool))
-    h, flag = np.concatenate(hashes), np.concatenate(several)
-    order = np.argsort(h, kind="stable")
-    same = np.zeros(len(h), dtype=bool)
-    same[1:] = h[order][1:] == h[order][:-1]
-    same[:-1] |= same[1:]
-    flag[order] |= same
-    # a chunk has each hash once, so a hash that is there twice is in two chunks, and documents do not cross chunks
-    cut = np.concatenate([[0], np.cumsum(sizes)])
-    some = [i for i in range(len(chunks)) if flag[cut[i] : cut[i + 1]].any()]
-    return pa.table({"chunk": pa.array([chunks[i] for i in some], pa.int64()), "range": pa.array([group["range"][0].as_py()] * len(some), pa.int64()), "bits": pa.array([np.packbits(flag[cut[i] : cut[i + 1]]).tobytes() for i in some], pa.binary())})
+def _shared(hot: int):
+    """Of one hash range: for each chunk, a bit per hash, set if two documents have it, and then one set if it is hot."""
+
+    def run(group: pa.Table) -> pa.Table:
+        chunks, sizes = group["chunk"].to_pylist(), group["n"].to_pylist()
+        hashes, several, times = [], [], []
+        for n, blob in zip(sizes, group["blob"].to_pylist(), strict=True):
+            raw = np.frombuffer(_loosen(blob), dtype=np.uint8)
+            hashes.append(np.cumsum(_unplanes(raw[: 8 * n], np.uint64), dtype=np.uint64))
+            bits = -(-n // 8)
+            several.append(np.unpackbits(raw[8 * n : 8 * n + bits], count=n).astype(bool))
+            times.append(np.ones(n, dtype=np.int64))
+            times[-1][np.unpackbits(raw[8 * n + bits : 8 * n + 2 * bits], count=n).astype(bool)] = np.frombuffer(raw[8 * n + 2 * bits :].tobytes(), np.uint32)
+        h, flag, count = np.concatenate(hashes), np.concatenate(several), np.concatenate(times)
+        order = np.argsort(h, kind="stable")
+        same = np.zeros(len(h), dtype=bool)
+        same[1:] = h[order][1:] == h[order][:-1]
+        first = np.flatnonzero(~same)
+        many = np.zeros(len(h), dtype=bool)
+        many[order] = np.repeat(np.add.reduceat(count[order], first) > hot, np.diff(first, append=len(h)))
+        same[:-1] |= same[1:]
+        flag[order] |= same
+        # a chunk has each hash once, so a hash that is there twice is in two chunks, and documents do not cross chunks
+        cut = np.concatenate([[0], np.cumsum(sizes)])
+        some = [i for i in range(len(chunks)) if flag[cut[i] : cut[i + 1]].any()]
+        bits = []
+        for i in some:
+            of = many[cut[i] : cut[i + 1]]
+            bits.append(np.packbits(flag[cut[i] : cut[i + 1]]).tobytes() + (np.packbits(of).tobytes() if of.any() else b""))
+        return pa.table({"chunk": pa.array([chunks[i] for i in some], pa.int64()), "range": pa.array([group["range"][0].as_py()] * len(some), pa.int64()), "bits": pa.array(bits, pa.binary())})
+
+    return run
 
 
 def _cut_windows(start: np.ndarray, count: np.ndarray) -> bytes:
@@ -220,6 +243,48 @@ def _cut_windows(start: np.ndarray, count: np.ndarray) -> bytes:
     return np.int64(len(start)).tobytes() + _squeeze(_planes(start[order].astype(np.uint32)), count[order].astype(np.uint8))
 
 
+def _words(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as rows of 64-bit numbers in the same order."""
+    rows = np.hstack([rows, np.zeros((len(rows), -rows.shape[1] % 8), np.uint8)])
+    return np.ascontiguousarray(rows).view(">u8").astype(np.uint64)
+
+
+def _least(words: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows, then of ids; and in this order whether a smaller id has the same row."""
+    order = np.lexsort((who, *words.T[::-1]))
+    words, who = words[order], who[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (words[1:] != words[:-1]).any(axis=1)
+    return order, who > who[np.flatnonzero(new)][np.cumsum(new) - 1]
+
+
+def _windows(c: Chunk, name: int, lo: np.ndarray, hi: np.ndarray, who: np.ndarray, length: int, ranges: int) -> list[tuple]:
+    """Windows that start in ``lo`` to ``hi``, dealt by their bytes to ranges behind the others, and those that the chunk settles."""
+    rows = []
+    end = np.cumsum(hi - lo + 1)
+    for k in range(0, int(end[-1]) if len(end) else 0, _WINDOWS):
+        nth = np.arange(k, min(k + _WINDOWS, int(end[-1])))
+        e = np.searchsorted(end, nth, side="right")
+        start, own = hi[e] + 1 - (end[e] - nth), who[e]
+        words = _words(c.data[start[:, None] + np.arange(length)])
+        order, mine = _least(words, own)
+        start, own, words = start[order], own[order], words[order]
+        if mine.any():
+            rows.append((ranges + int(start[0]) % ranges, name, 1, 0, _cut_windows(start[mine], np.ones(mine.sum(), np.int64))))
+        start, own, words = start[~mine], own[~mine], words[~mine]
+        code = np.zeros(len(words), dtype=np.uint64)
+        for x in words.T:
+            code = mix64(code * np.uint64(0x100000001B3) + x)
+        where = (code % np.uint64(ranges)).astype(np.int64)
+        deal = np.argsort(where, kind="stable")
+        bounds = np.searchsorted(where[deal], np.arange(ranges + 1))
+        for r in np.flatnonzero(np.diff(bounds)):
+            i = deal[bounds[r] : bounds[r + 1]]
+            body = c.data[start[i][:, None] + np.arange(length)]
+            rows.append((ranges + int(r), name, 2, len(i), _squeeze(body, _planes(own[i]), _planes(start[i].astype(np.uint32)))))
+    return rows
+
+
 def _runs(length: int, ranges: int):
     """Sorted front-coded runs of suffixes for each range, and the windows that the chunk settles itself (range of its own)."""
     w = length - K + 1
@@ -229,13 +294,17 @@ def _runs(length: int, ranges: int):
             for name, ids, lengths, body, found in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 c = Chunk(ids, lengths, body)
                 c.anchors(length)
-                h, _ = c.distinct()
-                flag = np.zeros(len(h), dtype=bool)
+                h, _, _ = c.distinct()
+                flag, many = np.zeros(len(h), dtype=bool), np.zeros(len(h), dtype=bool)
                 cut = np.searchsorted(_range_of(h, ranges), np.arange(ranges + 1))
                 for x in found:
                     a, b = cut[x["range"]], cut[x["range"] + 1]
-                    flag[a:b] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=b - a).astype(bool)
-                at = np.flatnonzero(flag[np.searchsorted(h, c.hash)])
+                    bits = np.frombuffer(x["bits"], np.uint8)
+                    flag[a:b] = np.unpackbits(bits, count=b - a).astype(bool)
+                    if len(bits) > -(-(b - a) // 8):
+                        many[a:b] = np.unpackbits(bits[-(-(b - a) // 8) :], count=b - a).astype(bool)
+                place = np.searchsorted(h, c.hash)
+                at = np.flatnonzero(flag[place])
                 if not len(at):
                     continue
                 anchor, doc = c.a[at], c.doc[at]
@@ -246,17 +315,15 @@ def _runs(length: int, ranges: int):
                 back = np.arange(w - 1)
                 context = np.where(back < left[:, None], c.data[np.maximum(anchor[:, None] - 1 - back, 0)], 0).astype(np.uint8)
                 key = np.hstack([suffix, right[:, None].astype(np.uint8), context, left[:, None].astype(np.uint8)])
-                key = np.hstack([key, np.zeros((len(key), -key.shape[1] % 8), np.uint8)])
                 who = c.ids[doc]
-                order = np.lexsort((who, *np.ascontiguousarray(key).view(">u8").T[::-1].astype(np.uint64)))
-                key, who = key[order], who[order]
-                new = np.ones(len(order), dtype=bool)
-                new[1:] = (key[1:] != key[:-1]).any(axis=1)
-                least = who[np.flatnonzero(new)][np.cumsum(new) - 1]
-                mine = who > least
+                order, mine = _least(_words(key), who)
+                who = who[order]
                 lo, hi, anchor = c.lo[at][order], c.hi[at][order], anchor[order]
                 rows = [(int(c.hash[at[0]] % np.uint64(ranges)), name, 1, 0, _cut_windows(lo[mine], hi[mine] - lo[mine] + 1))] if mine.any() else []
-                keep = np.flatnonzero(~mine)
+                common = many[place[at]][order]
+                keep = np.flatnonzero(~mine & common)
+                rows += _windows(c, name, lo[keep], hi[keep], who[keep], length, ranges)
+                keep = np.flatnonzero(~mine & ~common)
                 where = _range_of(c.hash[at][order][keep], ranges)
                 deal = keep[np.argsort(where, kind="stable")]
                 bounds = np.searchsorted(np.sort(where), np.arange(ranges + 1))
@@ -352,13 +419,33 @@ def merge(runs: list[list[bytes]], common: list[list[int]]) -> tuple[list[int],
 
 
 def _settle(length: int):
-    """Merges the runs of one range and says which windows a smaller id has."""
+    """Merges the runs of one range, or compares its windows, and says which windows a smaller id has."""
     w = length - K + 1
 
+    def whole(group: list[tuple[int, int, bytes]], out_chunk: list[int], out_blob: list[bytes]) -> None:
+        keys, ids, places = [], [], []
+        for _, n, blob in group:
+            raw = np.frombuffer(_loosen(blob), dtype=np.uint8)
+            keys.append(_words(raw[: length * n].reshape(n, length)))
+            ids.append(_unplanes(raw[length * n : (length + 8) * n], np.int64))
+            places.append(_unplanes(raw[(length + 8) * n :], np.uint32))
+        of = np.repeat(np.arange(len(group)), [n for _, n, _ in group])
+        order, gone = _least(np.concatenate(keys), np.concatenate(ids))
+        gone = np.sort(order[gone])
+        start, of = np.concatenate(places)[gone].astype(np.int64), of[gone]
+        bounds = np.searchsorted(of, np.arange(len(group) + 1))
+        for i in np.flatnonzero(np.diff(bounds)):
+            own = start[bounds[i] : bounds[i + 1]]
+            out_chunk.append(group[i][0])
+            out_blob.append(_cut_windows(own, np.ones(len(own), np.int64)))
+
     def run(group: pa.Table) -> pa.Table:
         out_chunk, out_blob = [], []
-        names, runs, commons, cols = [], [], [], []
+        names, runs, commons, cols, windows = [], [], [], [], []
         for name, kind, n, blob in zip(*(group[x].to_pylist() for x in ("chunk", "kind", "n", "blob")), strict=True):
+            if kind == 2:
+                windows.append((name, n, blob))
+                continue
             if kind:
                 out_chunk.append(name)
                 out_blob.append(blob)
@@ -379,6 +466,8 @@ def _settle(length: int):
             runs.append(strings)
             commons.append(common.tolist())
             cols.append((right, left, near, far, anchor, who, before))
+        if windows:
+            whole(windows, out_chunk, out_blob)
         if runs:
             r, p, shared = (np.array(x, dtype=np.int64) for x in merge(runs, commons))
             base = np.concatenate([[0], np.cumsum([len(x) for x in runs])])
@@ -460,6 +549,14 @@ def _cut(length: int):
     return run
 
 
+def sorted_runs(chunks: DataFrame, length: int, ranges: int) -> DataFrame:
+    """What chunks send to each ``range``: sorted runs (kind 0), windows that they settle (1), windows of hot anchors (2)."""
+    hashes = chunks.mapInArrow(_hashes(length, ranges), "range long, chunk long, n long, blob binary")
+    bits = hashes.groupBy("range").applyInArrow(_shared(HOT), "chunk long, range long, bits binary")
+    bits = bits.groupBy("chunk").agg(F.collect_list(F.struct("range", "bits")).alias("found"))
+    return chunks.join(bits, "chunk").select("chunk", "ids", "lengths", "body", "found").mapInArrow(_runs(length, ranges), "range long, chunk long, kind long, n long, blob binary")
+
+
 def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """``key``, ``n_bytes``, ``spans`` (removed byte ranges, begin and end) and ``kept`` (remaining bytes) for every row."""
     if not 32 <= length <= 80:
@@ -469,10 +566,7 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length
     chunks = written(rows.mapInArrow(_pack(CHUNK_BYTES), "chunk long, ids binary, lengths binary, body binary"), "chunks")
     total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     ranges = max(LEAST_RANGES, -(-total // RANGE_BYTES))
-    hashes = chunks.mapInArrow(_hashes(length, ranges), "range long, chunk long, n long, blob binary")
-    bits = hashes.groupBy("range").applyInArrow(_shared, "chunk long, range long, bits binary")
-    bits = bits.groupBy("chunk").agg(F.collect_list(F.struct("range", "bits")).alias("found"))
-    runs = chunks.join(bits, "chunk").select("chunk", "ids", "lengths", "body", "found").mapInArrow(_runs(length, ranges), "range long, chunk long, kind long, n long, blob binary")
+    runs = sorted_runs(chunks, length, ranges)
     cuts = runs.groupBy("range").applyInArrow(_settle(length), "chunk long, blob binary")
     cuts = cuts.groupBy("chunk").agg(F.collect_list("blob").alias("found"))
     whole = chunks.join(cuts, "chunk", "left").select("chunk", "ids", "lengths", "body", "found")

@@ -236,6 +236,37 @@ def test_suffixes(spark, monkeypatch, chunk):
         assert len(b) - sum(y - x for x, y in spans) == len(want[i]) and all(x[1] < y[0] for x, y in zip(spans, spans[1:], strict=False))
 
 
+def test_suffixes_hot_anchor(spark, monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(suffixes, "CHUNK_BYTES", 2_000)
+    monkeypatch.setattr(suffixes, "HOT", 40, raising=False)
+    letters, common = "abcdefghij klmnop", "".join(rng.choices("qrstuvwxyz", k=60))
+    rows = [(i, "".join(rng.choices(letters, k=60)) + common + "".join(rng.choices(letters, k=rng.randint(0, 60)))) for i in range(300)]
+    rows += [(300 + i, rows[7 * i][1][20 * (i % 3) :]) for i in range(40)] + [(None, rows[3][1]), (5, rows[5][1]), (400, common[:50] * 3)]
+    groups = []
+    settle = suffixes.sorted_runs
+
+    def seen(*given):
+        runs = settle(*given)
+        groups.extend(runs.where("n > 0").groupBy("range").agg({"n": "sum", "kind": "max"}).collect())
+        return runs
+
+    monkeypatch.setattr(suffixes, "sorted_runs", seen)
+    got = sorted((r["doc_id"] is None, r["doc_id"], bytes(r["kept"])) for r in suffixes.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    strings = {}
+    for i, t in rows:
+        for k in range(len(t) - 49):
+            strings[t[k : k + 50]] = min(strings.get(t[k : k + 50], math.inf), math.inf if i is None else i)
+    want = []
+    for i, t in rows:
+        gone = {k + j for k in range(len(t) - 49) if strings[t[k : k + 50]] < (math.inf if i is None else i) for j in range(50)}
+        want.append((i is None, i, "".join(c for k, c in enumerate(t) if k not in gone).encode()))
+    assert got == sorted(want)
+    assert {r["max(kind)"] for r in groups} == {0, 2}
+    # the common passage is in every document, but no group has an entry of each
+    assert max(r["sum(n)"] for r in groups if r["max(kind)"] == 0) < len(rows)
+
+
 def test_loser_tree():
     rng = random.Random(1)
 
