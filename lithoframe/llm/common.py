@@ -171,3 +171,11 @@ def shingles_of(code: np.ndarray, first: np.ndarray, k: int):
         order = np.argsort(out_t, kind="stable")
         out_v, out_t = out_v[order], out_t[order]
     return out_v, out_t
+
+
+def sequences_of(code: np.ndarray, n: int) -> np.ndarray:
+    """The hash of each run of ``n`` words, across texts too, as :func:`shingles_of` hashes a text of so few words."""
+    value = np.full(max(len(code) - n + 1, 0), 0x5851F42D4C957F2D, dtype=np.uint64)
+    for i in range(n):
+        value = mix64(value * np.uint64(0x100000001B3) + code[i : i + len(value)])
+    return value

@@ -6,8 +6,9 @@ bit, so probing each block's value and its eight neighbours finds every item wit
 verified by weighted Jaccard similarity of shingle multisets (weight: how often a shingle occurs).
 
 Windows that cannot reach the similarity are left out before any fingerprint is made: at 0.8 at least 8/9 of a window's
-shingles must occur in items of that size. Items of fewer than five words count only where a document consists of
-exactly these words; items without words never match. Null texts are empty. Repeated documents give repeated rows.
+shingles must occur in items of that size. A document shorter than an item is compared whole, if it has at least 0.8 of
+the item's number of shingles. Items of fewer than five words count where a document consists of exactly these words,
+and with ``short_inside`` (as in the query and the pipeline) wherever it contains them; items without words never match. Null texts are empty. Repeated documents give repeated rows.
 The benchmark is taken in blocks of bounded size, each broadcast with the closure of one pass over the documents.
 """
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingles_of, small_batches, texts_of, words_of, written
+from .common import sequences_of, shingles_of, small_batches, texts_of, words_of, written
 from .neardup import without
 
 K = 5
@@ -91,7 +92,7 @@ def indexes(items: list[tuple[int, str]]) -> tuple[dict[int, Index], dict[int, d
     return {n: Index(*x) for n, x in by_size.items()}, short
 
 
-def matches(offsets: np.ndarray, data: np.ndarray, sizes: dict[int, Index], short: dict[int, dict[int, list[int]]]):
+def matches(offsets: np.ndarray, data: np.ndarray, sizes: dict[int, Index], short: dict[int, dict[int, list[int]]], short_inside: bool = False):
     """``(text, item_id, first_word, n_words, distance, similarity)``: the best window of each text and item."""
     code, first, _, _ = words_of(offsets, data)
     count = np.diff(first)
@@ -99,6 +100,14 @@ def matches(offsets: np.ndarray, data: np.ndarray, sizes: dict[int, Index], shor
     begin = np.searchsorted(text, np.arange(len(offsets)))
     best: dict[tuple[int, int], tuple] = {}
     for n, table in short.items():
+        if short_inside:
+            run = sequences_of(code, n)
+            for s in np.flatnonzero(np.isin(run, np.array(list(table), dtype=np.uint64))).tolist():
+                t = int(np.searchsorted(first, s, side="right")) - 1
+                if s + n <= first[t + 1]:
+                    for item_id in table[int(run[s])]:
+                        best.setdefault((t, item_id), (1.0, 0, int(first[t]) - s, n))
+            continue
         for t in np.flatnonzero(count == n):
             for item_id in table.get(int(value[begin[t]]), ()):
                 best[int(t), item_id] = (1.0, 0, 0, n)
@@ -116,13 +125,15 @@ def matches(offsets: np.ndarray, data: np.ndarray, sizes: dict[int, Index], shor
         places = hit[bounds[t] : bounds[t + 1]] - begin[t]
         totals = None
         for n, index in sizes.items():
-            m = n - K + 1
-            if len(own) < m or len(places) * 9 < 8 * m:
+            whole = n - K + 1
+            m = min(whole, len(own))
+            # windows and items of so many shingles share 4/9 of their sum at least where 0.8 of their union is shared
+            if 5 * m < 4 * whole or len(places) * 9 < 4 * (m + whole):
                 continue
             good = np.zeros(len(own) + 1, dtype=np.int64)
             good[places + 1] = member(index.known, own[places])
             good = np.cumsum(good)
-            starts = np.flatnonzero((good[m:] - good[:-m]) * 9 >= 8 * m)
+            starts = np.flatnonzero((good[m:] - good[:-m]) * 9 >= 4 * (m + whole))
             if not len(starts):
                 continue
             if totals is None:
@@ -135,17 +146,17 @@ def matches(offsets: np.ndarray, data: np.ndarray, sizes: dict[int, Index], shor
                     alike = similarity(bag, index.bags[item])
                     key = int(t), index.ids[item]
                     if alike >= SIMILARITY and (alike, -distance, -s) > best.get(key, (0.0, 0, 0))[:3]:
-                        best[key] = (alike, -distance, -s, n)
+                        best[key] = (alike, -distance, -s, m + K - 1)
     return [(t, i, -s, n, -d, a) for (t, i), (a, d, s, n) in sorted(best.items())]
 
 
-def _scan(items: list[tuple[int, str]]):
+def _scan(items: list[tuple[int, str]], short_inside: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, short = indexes(items)
         for batch in batches:
             ids = batch.column(0)
             for at, offsets, data in texts_of(batch.column(1)):
-                if found := matches(offsets, data, sizes, short):
+                if found := matches(offsets, data, sizes, short, short_inside):
                     text, item, start, n, far, alike = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays(
                         [ids.take(pa.array(np.array(text) + at)), pa.array(item, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(far, pa.int32()), pa.array(alike, pa.float64())],
@@ -155,7 +166,7 @@ def _scan(items: list[tuple[int, str]]):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", block_items: int = BLOCK_ITEMS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", block_items: int = BLOCK_ITEMS, short_inside: bool = False) -> DataFrame:
     """One row for each document and item that it contains, with the best window."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -165,17 +176,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     passes = []
     for b in range(n):
         block = [(r["item_id"], r["text"]) for r in dealt.where(F.col("block") == b).collect()]
-        passes.append(rows.mapInArrow(_scan(block), SCHEMA))
+        passes.append(rows.mapInArrow(_scan(block, short_inside), SCHEMA))
     return reduce(DataFrame.unionByName, passes).withColumnRenamed("doc_id", key)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", short_inside: bool = False) -> DataFrame:
     """``docs`` without the documents that contain an item."""
-    found = written(contaminated(docs, benchmark, key, text).select(key), "contaminated")
+    found = written(contaminated(docs, benchmark, key, text, short_inside=short_inside).select(key), "contaminated")
     return without(docs, found, key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Items of ``benchmark`` in all ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), short_inside=True)

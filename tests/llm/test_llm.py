@@ -140,6 +140,34 @@ def test_decontamination(spark):
     assert {r["doc_id"] for r in decontaminate.decontaminate(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
 
 
+def test_decontamination_short(spark):
+    rng = random.Random(12)
+    items = [(i, " ".join(rng.choices([f"w{k}" for k in range(300)], k=n))) for i, n in enumerate((24, 30, 60, 60, 100))] + [(90, "tiny item"), (91, "Solo"), (92, "a b a b")]
+    rows = [(100 * i + cut, " ".join(t.split()[:-cut])) for i, t in items[:5] for cut in (1, 2, 5, 9, 12, 20)]
+    rows += [(1000 + i, " ".join(t.split()[2:])) for i, t in items[:5]]
+    rows += [(2000, "not a TINY  item"), (2001, "tiny"), (2002, "item"), (2003, "x solo y solo"), (2004, "c a b a b a b"), (2005, "a b a"), (2006, None), (2007, "b"), (2008, "tiny item")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def bag(w):
+        return Counter(zip(*(w[k:] for k in range(5)), strict=False)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+
+    want = {}
+    for d, t in rows:
+        w = (t or "").lower().split()
+        for i, v in ((i, s.lower().split()) for i, s in items):
+            size = min(len(v), len(w))
+            for k in range(len(w) - size + 1):
+                a, b = bag(w[k : k + size]), bag(v)
+                n = sum((a & b).values())
+                if n >= 0.8 * (sum(a.values()) + sum(b.values()) - n):
+                    want.setdefault((d, i), (k, size))
+    found = decontaminate.contaminated(docs, bench, short_inside=True).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["first_word"], r["n_words"]) for r in found} == want
+    assert {(1, 0), (201, 2), (2000, 90), (2003, 91), (2004, 92)} <= set(want)
+    assert {r["doc_id"] for r in decontaminate.decontaminate(docs, bench, short_inside=True).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
 def test_mixing(spark, docs, duck):
     out = mixing.mix(docs, weights={"s0": 3, "s1": 1, "": 1}).collect()
     assert {r["source"] for r in out} <= {"s0", "s1", None}
