@@ -1,11 +1,11 @@
-"""Benchmark decontamination by SimHash of item-sized windows.
+"""Benchmark decontamination by item-sized windows and their shingles.
 
-For each benchmark item, the windows of a document that have as many words get a 64-bit SimHash of their 5-word
-shingles. Fingerprints of items are indexed by eight 8-bit blocks: within radius 15 some block differs in at most one
-bit, so probing each block's value and its eight neighbours finds every item within the radius. Candidates are
-verified by weighted Jaccard similarity of shingle multisets (weight: how often a shingle occurs).
+For each benchmark item, the windows of a document that have as many words are compared by 5-word shingles. An index
+from shingle to items says how many of a window's shingles each item has. Items with too few for the similarity are
+left out, which loses none; the others are verified by weighted Jaccard similarity of shingle multisets (weight: how
+often a shingle occurs). The distance of 64-bit SimHashes is reported and settles ties; no candidate depends on it.
 
-Windows that cannot reach the similarity are left out before any fingerprint is made: at 0.8 at least 8/9 of a window's
+Windows that cannot reach the similarity are left out before any item is looked up: at 0.8 at least 8/9 of a window's
 shingles must occur in items of that size. A document shorter than an item is compared whole, if it has at least 0.8 of
 the item's number of shingles. Items of fewer than five words count where a document consists of exactly these words,
 and with ``short_inside`` (as in the query and the pipeline) wherever it contains them; items without words never match. Null texts are empty. Repeated documents give repeated rows.
@@ -28,7 +28,6 @@ from .neardup import without
 
 K = 5
 SIMILARITY = 0.8
-RADIUS = 15
 #: Items of one pass; at 60 words each about 10 MB.
 BLOCK_ITEMS = 20_000
 SCHEMA = "doc_id long, item_id long, first_word long, n_words long, distance int, similarity double"
@@ -45,29 +44,33 @@ def bits_of(value: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Items of one size with their fingerprints, blocks and shingles."""
+    """Items of one size with their fingerprints and shingles, and the items that have each shingle."""
 
     def __init__(self, ids: list[int], shingles: list[np.ndarray]):
         self.ids = ids
+        self.size = len(shingles[0])
         self.bags = [Counter(s.tolist()) for s in shingles]
-        self.known = np.unique(np.concatenate(shingles))
         self.prints = np.concatenate([fingerprints(bits_of(s).sum(axis=0, keepdims=True)) for s in shingles])
-        blocks = self.prints.view(np.uint8).reshape(-1, 8)
-        near = [1 << i for i in range(8)] + [0]
-        self.tables: list[dict[int, list[int]]] = []
-        for b in range(8):
-            table: dict[int, list[int]] = {}
-            for item, value in enumerate(blocks[:, b].tolist()):
-                for flip in near:
-                    table.setdefault(value ^ flip, []).append(item)
-            self.tables.append(table)
-
-    def within(self, fingerprint: np.uint64) -> list[tuple[int, int]]:
-        """Every item within the radius, with its distance."""
-        parts = np.array([fingerprint]).view(np.uint8)
-        found = sorted({i for b in range(8) for i in self.tables[b].get(int(parts[b]), ())})
-        far = np.bitwise_count(self.prints[found] ^ fingerprint) if found else []
-        return [(i, int(d)) for i, d in zip(found, far, strict=True) if d <= RADIUS]
+        each = [np.unique(s) for s in shingles]
+        flat, item = np.concatenate(each), np.repeat(np.arange(len(each)), [len(e) for e in each])
+        order = np.argsort(flat, kind="stable")
+        self.holders = item[order]
+        self.known, first = np.unique(flat[order], return_index=True)
+        self.bounds = np.append(first, len(flat))
+
+    def like(self, window: np.ndarray, fingerprint: np.uint64) -> list[tuple[int, int]]:
+        """Every item that may be similar enough to the window's shingles, with the distance of the fingerprints.
+
+        Where 0.8 of the union is shared, 4/9 of the sum is; an item shares at most the places whose shingles it has.
+        """
+        at = np.searchsorted(self.known, window)
+        at[at == len(self.known)] = 0
+        at = at[self.known[at] == window]
+        if not len(at):
+            return []
+        have = np.bincount(np.concatenate([self.holders[self.bounds[k] : self.bounds[k + 1]] for k in at.tolist()]), minlength=len(self.ids))
+        found = np.flatnonzero(have * 9 >= 4 * (len(window) + self.size))
+        return list(zip(found.tolist(), np.bitwise_count(self.prints[found] ^ fingerprint).tolist(), strict=True))
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -141,7 +144,7 @@ def matches(offsets: np.ndarray, data: np.ndarray, sizes: dict[int, Index], shor
                 np.cumsum(bits_of(own), axis=0, out=totals[1:])
             for s, f in zip(starts.tolist(), fingerprints(totals[starts + m] - totals[starts]), strict=True):
                 bag = None
-                for item, distance in index.within(f):
+                for item, distance in index.like(own[s : s + m], f):
                     bag = bag if bag is not None else Counter(own[s : s + m].tolist())
                     alike = similarity(bag, index.bags[item])
                     key = int(t), index.ids[item]

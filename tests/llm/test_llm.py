@@ -140,6 +140,20 @@ def test_decontamination(spark):
     assert {r["doc_id"] for r in decontaminate.decontaminate(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
 
 
+def test_decontamination_edited(spark):
+    # 60 words with one changed mid-passage and one near an end: 50 of 56 shingles shared, a similarity of 0.806
+    items = [(i, [f"w{i}x{k}" for k in range(60)]) for i in range(1500)]
+    rows = [(i, " ".join(["before", "it", *w[:25 + i % 9], "changed", *w[26 + i % 9 : 59], "last", "after"])) for i, w in items]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    found = decontaminate.contaminated(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, i) for i, _ in items}
+    # the window from one word earlier shares as many
+    assert {r["first_word"] for r in found} <= {1, 2} and {round(r["similarity"], 3) for r in found} == {0.806}
+    # fingerprints may be farther apart than the old radius
+    assert max(r["distance"] for r in found) > 15
+
+
 def test_decontamination_short(spark):
     rng = random.Random(12)
     items = [(i, " ".join(rng.choices([f"w{k}" for k in range(300)], k=n))) for i, n in enumerate((24, 30, 60, 60, 100))] + [(90, "tiny item"), (91, "Solo"), (92, "a b a b")]
