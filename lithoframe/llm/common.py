@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that one vectorised step takes at most, unless a single text is longer.
 SLICE_BYTES = 1 << 20
 
+#: At most so many keys are hot, a key only with so many rows, and its rows are dealt over so many parts.
+HOT_KEYS, LEAST_HOT, SALTS = 1000, 1000, 64
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -29,13 +32,15 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a new local one only where that is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``; a new local one only where that is unset and Spark runs on this machine alone."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir")
     if not found:
         known = sc._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(found)
     elif not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -43,14 +48,53 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/llm-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder; cuts lineage and survives lost executors."""
+    """``df`` as a Parquet table in the shared folder; cuts lineage and survives lost executors.
+
+    Results may read it until they are used, so it stays; :func:`clear` removes all tables of the application.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/{name}"
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes the tables that the application has written; results that read them cannot be used afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def hot_limit(rows: int) -> int:
+    """Rows of one key above which it is hot; fewer than ``HOT_KEYS`` keys have so many."""
+    return max(LEAST_HOT, rows // HOT_KEYS)
+
+
+def hot_keys(counts: DataFrame, rows: int) -> list:
+    """The keys of ``counts(key, n)`` that are hot in a table of so many rows, at most ``HOT_KEYS``."""
+    if rows <= LEAST_HOT:
+        return []
+    found = [r[0] for r in counts.where(F.col(counts.columns[1]) > hot_limit(rows)).collect()]
+    return [bytes(x) if isinstance(x, bytearray) else x for x in found]
+
+
+def met(left: DataFrame, right: DataFrame, key: str, hot: list, spread: str) -> DataFrame:
+    """The inner join on ``key``, where rows of ``left`` with a ``hot`` key are dealt by ``spread`` over ``SALTS`` parts.
+
+    ``hot`` is from :func:`hot_keys`. Their rows of ``right``, where a key is rare, are repeated for each part.
+    """
+    if not hot:
+        return left.join(right, key)
+    is_hot = F.col(key).isin(hot)
+    a = left.withColumn("_part", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
+    parts = F.when(is_hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return a.join(right.withColumn("_part", F.explode(parts)), [key, "_part"]).drop("_part")
+
+
 def bounded(df: DataFrame, by: str, most: int) -> DataFrame:
     """The ``most`` rows of ``df`` with the smallest 64-bit hashes ``by``, which are distinct.
 
@@ -63,7 +107,10 @@ def bounded(df: DataFrame, by: str, most: int) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of whole texts stay small, so that Python workers need little memory."""
+    """Arrow batches of whole texts stay small, so that Python workers need little memory.
+
+    The setting is read when a result is used, so it holds for the session from then on.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -4,10 +4,15 @@ Sets of k-word shingles (A-Z lower-cased) are banded by MinHash; signatures of c
 and a pair is given up once the posterior probability of reaching the threshold is below the chosen miss probability;
 survivors are verified on their full sets. Equal sets are one class from the start, so copies are never paired.
 
-Buckets are not expanded into all pairs. Each member meets the bucket's smallest id. Then components are known; buckets
-whose members are still in different components are joined to clusters, and members of different components of a
-cluster meet inside a task, block against block, where only verified links leave it. So no link that could join two
-components is lost, and no table of candidate pairs grows with the square of a group. A text without words is linked with nothing; a null id is kept and belongs to nothing.
+Buckets are not expanded into all pairs. Each member meets the bucket's smallest id. Then components are known; members
+of buckets that still have several components are dealt to blocks by their largest bucket's center, and blocks
+that share such a bucket meet inside a task, where only verified links leave it. So no link that could join two
+components is lost, and no table of candidate pairs grows with the square of a group. Rows of buckets, centers and
+components that very many texts share are dealt over several parts where they are joined.
+
+A text without words is linked with nothing; a null id is kept and belongs to nothing. The nodes of the graph are the
+smallest ids of equal sets: where ids repeat, a row gets the component of its own text, and an id that is the smallest of
+several sets stands for all of them. An empty table gives an empty one; columns that are not read do not matter.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, shingles_of, small_batches, texts_of, words_of, written
+from .common import hot_keys, met, mix64, shingles_of, small_batches, texts_of, words_of, written
 from .components import components
 
 BANDS, ROWS = 40, 5
@@ -30,7 +35,7 @@ BATCH = 40
 MISS = 1e-7
 #: Per cent of the union that must be shared.
 PER_CENT = 80
-#: Members of a cluster, and bytes of their sets, that a block holds about.
+#: Members, and bytes of their sets, that a block holds about.
 BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: Up to this many ids (8 bytes each) a table of ids is broadcast; beyond it both sides shuffle.
 BROADCAST_IDS = 1_000_000
@@ -227,6 +232,37 @@ def without(docs: DataFrame, ids: DataFrame, key: str, how: str = "left_anti") -
     return docs.join(F.broadcast(ids) if few else ids, key, how)
 
 
+def _hot(pairs: DataFrame) -> list[int]:
+    """Centers with very many of the pairs, of bounded number."""
+    return hot_keys(pairs.groupBy("u").count(), pairs.count())
+
+
+def _among_blocks(rows: DataFrame, open_: DataFrame, classes: DataFrame, sigs: DataFrame, least: list[int], k: int, per_cent: int) -> DataFrame:
+    """Links between members of different components that share a bucket of ``open_`` (band, id, center, size, component).
+
+    A member's home is its largest bucket, so that members of a bucket have few homes.
+    """
+    ids = open_.groupBy("id", "component").agg(F.max(F.struct("size", "center"))["center"].alias("home"))
+    sized = ids.join(classes.groupBy("id").agg(F.sum("n").alias("n")), "id")
+    homes = sized.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).alias("parts"), F.count("*").alias("size"))
+    homes = written(homes, "homes")
+    hot = hot_keys(homes.select("home", "size"), homes.agg(F.sum("size")).head()[0] or 0)
+    block = F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("parts")))
+    who = written(met(ids, homes, "home", hot, "id").select("id", "component", block.alias("block")), "who")
+    touched = open_.select("id", "band").join(who.select("id", "block"), "id").groupBy("band").agg(F.collect_set("block").alias("blocks"))
+    # a bucket has a block for each BLOCK members or so of a home; pairs of blocks, not of members
+    touched = touched.where(F.size("blocks") > 0).select(F.sort_array("blocks").alias("blocks")).distinct()
+    pairs = touched.select("blocks", F.posexplode("blocks").alias("at", "i"))
+    pairs = written(pairs.select("i", F.explode(F.expr("slice(blocks, at + 1, size(blocks) - at)")).alias("j")).distinct(), "block-pairs")
+    texts = without(rows, who.select("id"), "doc_id", "left_semi")
+    texts = texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).drop("h")
+    sets = texts.mapInArrow(_shingles(k), "id long, shingles binary")
+    members = written(who.join(sigs, "id").join(sets, "id"), "block-members")
+    both = pairs.select(F.col("i").alias("block"), "i", "j").union(pairs.where("i <> j").select(F.col("j").alias("block"), "i", "j"))
+    met_ = members.join(both, "block").groupBy("i", "j").agg(F.collect_list(F.struct("id", "component", "block", "sig", "shingles")).alias("members"))
+    return met_.select("i", "j", "members").mapInArrow(_meet(least, per_cent), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = PER_CENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_shingles``, ``component_id`` and ``kept`` for every row of ``docs``."""
     small_batches(docs.sparkSession)
@@ -235,51 +271,49 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = PER_CENT, key:
     signed = written(rows.mapInArrow(_sign(k), "doc_id long, n long, digest binary, mins binary"), "signed")
     linked = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = written(
-        linked.groupBy("digest").agg(F.min(F.struct("doc_id", "mins")).alias("r")).select("digest", F.col("r.doc_id").alias("id"), F.col("r.mins").alias("mins")), "classes"
+        linked.groupBy("digest").agg(F.min(F.struct("doc_id", "mins")).alias("r"), F.any_value("n").alias("n"), F.count("*").alias("copies"))
+        .select("digest", F.col("r.doc_id").alias("id"), F.col("r.mins").alias("mins"), "n", "copies"), "classes"
     )
     sigs = classes.select("id", "mins").mapInArrow(_bytes_of, "id long, sig binary")
     bands = classes.select("id", "mins").mapInArrow(_bands, "band long, id long")
-    buckets = bands.groupBy("band").agg(F.min("id").alias("center"), F.count("*").alias("size")).where("size > 1")
-    members = written(bands.join(buckets, "band"), "members")
+    buckets = written(bands.groupBy("band").agg(F.min("id").alias("center"), F.count("*").alias("size")).where("size > 1"), "buckets")
+    size = classes.agg(F.count("*").alias("sets"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).head()
+    hot = hot_keys(buckets.select("band", "size"), BANDS * size["sets"])
+    members = written(met(bands, buckets, "band", hot, "id"), "members")
 
-    star = members.where("id <> center").select(F.col("center").alias("u"), F.col("id").alias("v")).distinct()
+    star = written(members.where("id <> center").select(F.col("center").alias("u"), F.col("id").alias("v")).distinct(), "star")
     a, b = sigs.select(F.col("id").alias("u"), F.col("sig").alias("su")), sigs.select(F.col("id").alias("v"), F.col("sig").alias("sv"))
-    pairs = star.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(_prune(least), "u long, v long")
+    pairs = met(star, a, "u", _hot(star), "v").join(b, "v").select("u", "v", "su", "sv").mapInArrow(_prune(least), "u long, v long")
     pairs = written(pairs, "pairs")
-    # an id that repeats stands for one of its texts
     texts = without(rows, pairs.select(F.col("u").alias("id")).union(pairs.select("v")), "doc_id", "left_semi")
-    texts = written(texts.dropDuplicates(["doc_id"]), "texts")
+    # equal texts of a repeated id are compared once
+    texts = written(texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).drop("h"), "texts")
     a, b = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv"))
-    full = pairs.join(a, "u").join(b, "v").select("u", "v", "tu", "tv")
+    full = met(pairs, a, "u", _hot(pairs), "v").join(b, "v").select("u", "v", "tu", "tv")
     links = written(full.mapInArrow(_verify(k, per_cent), "u long, v long"), "links")
     known = components(links)
 
     placed = members.where("size > 2").join(known.withColumnRenamed("node", "id"), "id", "left")
-    placed = placed.select("band", "id", "center", F.coalesce("component", "id").alias("component"))
+    placed = placed.select("band", "id", "center", "size", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    open_ = written(placed.join(mixed, "band").select("id", "center", "component").distinct(), "open")
-    # buckets that share members are settled as one cluster, so that no pair meets in several of them
-    clusters = components(open_.where("id <> center").select(F.col("center").alias("u"), F.col("id").alias("v")))
-    texts = written(without(rows, open_.select("id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "open-texts")
-    sets = texts.mapInArrow(_shingles(k), "id long, shingles binary")
-    who = open_.select("id", "component").distinct().join(clusters.withColumnsRenamed({"node": "id", "component": "cluster"}), "id").join(sigs, "id").join(sets, "id")
-    who = written(who, "who")
-    size = who.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES)).cast("int").alias("n"))
-    who = who.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    to = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
-    spread = who.select("cluster", F.struct("id", "component", "block", "sig", "shingles").alias("m"), F.explode(to).alias("p"))
-    blocks = spread.groupBy("cluster", "p").agg(F.collect_list("m").alias("members")).select("p.i", "p.j", "members")
-    rest = written(blocks.mapInArrow(_meet(least, per_cent), "u long, v long"), "rest")
-    found = components(links.union(rest))
+    open_ = written(met(placed, mixed, "band", hot, "id"), "open")
+    found = known
+    if not open_.isEmpty():
+        rest = written(_among_blocks(rows, open_, classes, sigs, least, k, per_cent), "rest")
+        found = components(known.select(F.col("component").alias("u"), F.col("node").alias("v")).union(rest))
     joined = classes.select("digest", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    out = linked.select("doc_id", "n", "digest").join(joined, "digest").select("doc_id", "n", "component_id")
+    copied = hot_keys(classes.select("digest", "copies"), size["rows"])
+    out = met(linked.select("doc_id", "n", "digest"), joined, "digest", copied, "doc_id").select("doc_id", "n", "component_id")
     alone = signed.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     out = out.unionByName(alone)
     return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, per_cent: int = PER_CENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each group, that with the smallest id."""
+    """``docs`` with one document of each group, that with the smallest id; rows without an id stay.
+
+    A repeated id goes with all of its rows if one of its texts is a copy of a smaller id's.
+    """
     gone = written(near_duplicates(docs, k, per_cent, key, text).where("NOT kept").select(key), "gone")
     return without(docs, gone, key)
 
