@@ -3,10 +3,13 @@
 A page is a sequence of tokens: words score positive, tags negative, with weights learnt from labelled pages (log odds of
 a token lying inside the article, by tag name and by whether a word stands in a link, outside the marked article or in
 plain flow). A linear scan finds the contiguous region with the best sum; words of boilerplate elements inside it
-(menus, forms, scripts, notices, adverts, reader comments and the like) are left out.
+(menus, forms, scripts, notices, adverts, reader comments and the like) are left out. Which elements these are follows
+from their names and from evidence of the words in class, id and role: log odds learnt from the labelled pages, with a
+prior for words that usually mark boilerplate. An element that holds the articles, or most words, is never boilerplate.
 
 Null or empty html gives an empty text. Character references are decoded, white space within a block becomes one
-space, blocks are joined by one newline. Every page is read whole and comes back once.
+space, blocks are joined by one newline. Every page is read whole and comes back once, repeated rows as often; end tags
+may be missing. Other columns than the three that are read do not matter; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -51,6 +54,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: An open paragraph-like element ends where one of these begins.
 CLOSES = {"p": BLOCKS - {"br", "button"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
+#: Elements of a page's head; any other one, and words, end it.
+HEAD = frozenset("html head title meta link script style noscript template base".split())
+#: Elements that are boilerplate whatever they hold.
+NO_FRAME = frozenset("nav aside footer menu button dialog".split())
+#: What a known mark adds to the learnt evidence (log odds of -3 to 3), and the evidence below which an element is left out.
+PRIOR, AGAINST = -4.0, -2.0
+#: Words in elements with a class word that learning needs.
+LEAST_WORDS = 20
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _RAW_END = {x: re.compile(rf"</{x}(?=[\s/>])", re.I) for x in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -59,25 +71,40 @@ _WORD = re.compile(r"[^\s]+")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
+@dataclass
+class Element:
+    """An element with the words of its class, id and role, and the tokens from its begin to its end."""
+
+    name: str
+    parent: int
+    marks: frozenset[str] = frozenset()
+    hidden: bool = False
+    begin: int = 0
+    end: int = 0
+
+
 @dataclass
 class Token:
-    """A tag or a run of text; ``kind`` is what weights are learnt for."""
+    """A tag (by name) or a run of text within an element; ``kind`` is what weights are learnt for."""
 
-    kind: str
+    name: str
+    element: int
     words: int = 0
     text: str = ""
-    flow: bool = False
     block: int = 0
+    kind: str = ""
+    flow: bool = False
     inside: bool = False
 
 
 @dataclass
 class Weights:
-    """Score of a word or a tag by its kind; unseen tags cost ``tag``."""
+    """Score of a word or a tag by its kind, where unseen tags cost ``tag``; and evidence of class words for an article."""
 
-    of: dict[str, float] = field(default_factory=lambda: {"word:outside": -2.0})
+    of: dict[str, float] = field(default_factory=lambda: {"word:outside": -2.0, "word:link": -1.0})
     word: float = 1.0
-    tag: float = -0.5
+    tag: float = -0.2
+    evidence: dict[str, float] = field(default_factory=dict)
 
     def score(self, token: Token) -> float:
         if token.kind == "boilerplate":  # neither scores nor is taken, so that it does not cut an article in two
@@ -86,38 +113,33 @@ class Weights:
             return token.words * self.of.get(token.kind, self.word)
         return self.of.get(token.kind, self.tag)
 
-
-def _marked(element: str, attributes: str) -> bool:
-    """Whether an element says that it is boilerplate; an article can only be a comment, a page's frame cannot be."""
-    if element in ("html", "body", "main"):
-        return False
-    marks = COMMENTS if element == "article" else MARKS
-    for name, *values in _ATTR.findall(attributes):
-        if name.lower() == "hidden" or any(w in marks for w in _SPLIT.split("".join(values).lower())):
-            return True
-    return False
+    def against(self, marks: frozenset[str]) -> bool:
+        """Whether the words of an element's class speak against it: what was learnt, and a prior for known marks."""
+        return any(self.evidence.get(m, 0.0) + (PRIOR if m in MARKS else 0.0) < AGAINST for m in marks)
 
 
-def tokens(page: str) -> list[Token]:
-    """The tokens of a page with the element that each stands in."""
+def parse(page: str) -> tuple[list[Token], list[Element]]:
+    """Tokens and elements in page order; end tags that may be left out are implied, element 0 is the page."""
     out: list[Token] = []
-    open_: list[tuple[str, bool]] = []  # name, boilerplate
-    bad = link = articles = block = 0
-    at, n = 0, len(page)
-    marked = _ARTICLE.search(page) is not None
+    elements = [Element("", -1)]
+    open_ = [0]
+    block, at, n = 0, 0, len(page)
+
+    def shut(place: int) -> None:
+        while len(open_) > place:
+            elements[open_.pop()].end = len(out)
+
+    def leave_head() -> None:
+        if "head" in (names := [elements[e].name for e in open_]):
+            shut(names.index("head"))
 
     def put(text: str) -> None:
         if text:
             decoded = entities.unescape(text)
             count = len(_WORD.findall(decoded))
-            kind = "boilerplate" if bad else "word:outside" if marked and not articles else "word:link" if link else "word"
-            out.append(Token(kind, count, decoded, not bad, block, articles > 0))
-
-    def shut(name: str, boiler: bool) -> None:
-        nonlocal bad, link, articles
-        bad -= boiler
-        link -= name == "a"
-        articles -= name in ("article", "main")
+            if count and elements[open_[-1]].name == "head":
+                leave_head()
+            out.append(Token("", open_[-1], count, decoded, block))
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -130,56 +152,140 @@ def tokens(page: str) -> list[Token]:
         if not name:
             continue
         if m[1]:
-            place = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), -1)
-            inline = name not in BLOCKS
+            place = next((i for i in range(len(open_) - 1, 0, -1) if elements[open_[i]].name == name), 0)
             # an inline end tag does not reach through an open block
-            if place >= 0 and not (inline and any(x in BLOCKS for x, _ in open_[place + 1 :])):
-                while len(open_) > place:
-                    shut(*open_.pop())
+            if place and not (name not in BLOCKS and any(elements[e].name in BLOCKS for e in open_[place + 1 :])):
+                shut(place)
         else:
-            while open_ and name in CLOSES.get(open_[-1][0], ()):
-                shut(*open_.pop())
+            if name not in HEAD:
+                leave_head()
+            while name in CLOSES.get(elements[open_[-1]].name, ()):
+                shut(len(open_) - 1)
             if name in BLOCKS:
                 # a new block also ends a paragraph that has open inline elements
-                for i in range(len(open_) - 1, -1, -1):
-                    if open_[i][0] == "p" and name in CLOSES["p"]:
-                        while len(open_) > i:
-                            shut(*open_.pop())
+                for i in range(len(open_) - 1, 0, -1):
+                    above = elements[open_[i]].name
+                    if above == "p" and name in CLOSES["p"]:
+                        shut(i)
                         break
-                    if open_[i][0] in BLOCKS:
+                    if above in BLOCKS:
                         break
         if name in BLOCKS:
             block += 1
-        boiler = not m[1] and (name in HIDDEN or name in BOILERPLATE and not (name == "header" and articles) or _marked(name, m[3]))
-        out.append(Token("boilerplate" if bad or boiler else ("/" if m[1] else "") + name, block=block, inside=articles > 0))
-        if not m[1] and name in HIDDEN and name in _RAW_END and not m[3].endswith("/"):
+        out.append(Token(f"/{name}" if m[1] else name, open_[-1], block=block))
+        if m[1] or name in VOID or m[3].endswith("/") and any(elements[e].name in ("svg", "math") for e in open_):
+            continue
+        found = [(k.lower(), "".join(v).lower()) for k, *v in _ATTR.findall(m[3])]
+        marks = frozenset(w for k, v in found if k != "hidden" for w in _SPLIT.split(v) if w)
+        elements.append(Element(name, open_[-1], marks, any(k == "hidden" for k, _ in found), len(out) - 1, n))
+        if name in _RAW_END:
             end = _RAW_END[name].search(page, at)
             at = end.start() if end else n
-        elif not m[1] and name not in VOID and not m[3].endswith("/"):
-            if name in ("article", "main"):
-                articles += 1
-            bad += boiler
-            link += name == "a"
-            open_.append((name, boiler))
-    return out
+        open_.append(len(elements) - 1)
+    shut(0)
+    return out, elements
+
+
+def _is_article(e: Element) -> bool:
+    return e.name == "main" or e.name == "article" and not e.marks & COMMENTS
+
+
+def tokens(page: str, weights: Weights | None = None) -> tuple[list[Token], list[Element], list[bool], list[int]]:
+    """Judged tokens, elements, whether each element holds all articles of its page, and running counts of plain words.
+
+    An element is boilerplate by its name or because the words of its class speak against it, unless it is a frame: it
+    holds all articles of the page or, where no article is marked, more than half of the words outside of links.
+    """
+    weights = weights or Weights()
+    out, elements = parse(page)
+    n = len(elements)
+    hidden, link, holds = [False] * n, [False] * n, [0] * n
+    articles = headline = 0
+    for i, e in enumerate(elements[1:], 1):
+        hidden[i] = hidden[e.parent] or e.hidden or e.name in HIDDEN
+        link[i] = link[e.parent] or e.name == "a"
+        if not hidden[i] and _is_article(e):
+            articles += 1
+            up = i
+            while up >= 0:
+                holds[up] += 1
+                up = elements[up].parent
+        headline = headline or (e.begin if e.name == "h1" else 0)
+    plain = [0]
+    for t in out:
+        plain.append(plain[-1] + (t.words if not (hidden[t.element] or link[t.element]) else 0))
+    bad, inside = [False] * n, [False] * n
+    for i, e in enumerate(elements[1:], 1):
+        if hidden[i]:
+            boiler = True
+        elif e.name in ("html", "body", "main"):
+            boiler = False
+        elif e.name == "article":
+            boiler = bool(e.marks & COMMENTS)
+        else:
+            boiler = e.name in BOILERPLATE and not (e.name == "header" and inside[e.parent]) or weights.against(e.marks)
+            if boiler and e.name not in NO_FRAME:
+                large = 2 * (plain[min(e.end, len(out))] - plain[e.begin]) > plain[-1] and (not e.marks & COMMENTS or e.begin <= headline < e.end)
+                boiler = not (holds[i] == articles if articles else large)
+        bad[i] = bad[e.parent] or boiler
+        inside[i] = inside[e.parent] or not bad[i] and _is_article(e)
+    marked = any(inside)
+    for i, e in enumerate(elements):
+        if bad[i]:  # its own tags, too
+            out[e.begin].kind = "boilerplate"
+            if e.end < len(out) and out[e.end].name == f"/{e.name}":
+                out[e.end].kind = "boilerplate"
+    for t in out:
+        k = t.element
+        t.inside = inside[k]
+        if bad[k] or t.kind:
+            t.kind = "boilerplate"
+        elif t.name:
+            t.kind = "tag:inside" if t.inside else t.name
+        else:
+            t.kind = "word" if t.inside else "word:outside" if marked else "word:link" if link[k] else "word"
+            t.flow = t.kind != "word:outside"
+    return out, elements, [articles > 0 and h == articles for h in holds], plain
 
 
 def train(pages: list[str]) -> Weights:
-    """Log odds of lying inside the marked article, for words by their surroundings and for tags by name."""
+    """Log odds of lying inside the marked article: of words by their surroundings, of tags by name, of class words.
+
+    Class words count every element that has them. A known mark inside an article stays boilerplate; only one that
+    holds articles speaks for it.
+    """
+    weights = Weights()
+    within, without = Counter(), Counter()
+    for page in pages:
+        out, elements, frame, plain = tokens(page)
+        own = [0]
+        for t in out:
+            own.append(own[-1] + (t.words if t.inside else 0))
+        for e, holds in zip(elements, frame, strict=True):
+            end = min(e.end, len(out))
+            article, every = own[end] - own[e.begin], plain[end] - plain[e.begin]
+            for m in e.marks:
+                if holds or m not in MARKS:
+                    within[m] += article
+                without[m] += 0 if holds else max(every - article, 0)
+    weights.evidence = {m: min(max(math.log((within[m] + 0.5) / (without[m] + 0.5)), -3.0), 3.0) for m in within.keys() | without.keys() if within[m] + without[m] >= LEAST_WORDS}
     inside, outside = Counter(), Counter()
     for page in pages:
-        for t in tokens(page):
+        for t in tokens(page, weights)[0]:
             (inside if t.inside else outside)[t.kind] += t.words if t.text else 1
-    weights = Weights({"word:outside": -2.0})
     for kind in inside.keys() | outside.keys():
         odds = math.log((inside[kind] + 0.5) / (outside[kind] + 0.5))
         if kind == "word":
             weights.word = min(max(odds, 0.5), 3.0)
-            weights.of[kind] = weights.word
-        elif kind.startswith("word:"):
-            weights.of[kind] = 1.0 if kind == "word:link" and inside[kind] else min(odds, -0.5)
-        else:  # tags are negative: those that occur in articles cost little
+        elif kind == "word:outside":
+            weights.of[kind] = min(max(odds, -3.0), -0.5)
+        elif kind != "boilerplate":  # tags are negative: those that occur in articles cost little
             weights.of[kind] = min(-0.05, max(odds - 1.0, -3.0))
+    # inside articles tags bear one kind; by name they are known there, too
+    known = Counter(t.name for page in pages for t in tokens(page, weights)[0] if t.inside and t.name)
+    for kind, count in known.items():
+        odds = math.log((count + 0.5) / (outside[kind] + 0.5))
+        weights.of[kind] = min(-0.05, max(odds - 1.0, -3.0))
     return weights
 
 
@@ -197,7 +303,7 @@ def region(scores: list[float]) -> tuple[int, int]:
 
 def extract(page: str, weights: Weights) -> str:
     """The main text of a page."""
-    seen = tokens(page)
+    seen = tokens(page, weights)[0]
     start, end = region([weights.score(t) for t in seen])
     if end > start:
         # a block that is cut at the edge is taken whole, with the links and words that scored low in it
@@ -205,7 +311,7 @@ def extract(page: str, weights: Weights) -> str:
         last = seen[end - 1].block
         while start and seen[start - 1].block == first and seen[start - 1].flow:
             start -= 1
-        while end < len(seen) and seen[end].block == last and (seen[end].flow or seen[end].kind.lstrip("/") not in BLOCKS):
+        while end < len(seen) and seen[end].block == last and (seen[end].flow or seen[end].name.lstrip("/") not in BLOCKS):
             end += 1
     blocks: list[list[str]] = []
     current = None
