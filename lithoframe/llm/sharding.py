@@ -3,15 +3,21 @@
 The published recurrence runs as a built-in fold over the shard numbers, with the 64-bit product in 32-bit halves
 (ANSI arithmetic does not wrap). Slots are numbered without one task per shard: rows are dealt into a fixed number of
 sub-ranges, each sub-range is numbered on its own, and a table of at most shards x sub-ranges counts gives the offsets.
-A null key shares the key 0's place with the shard count's law intact; equal rows get different slots.
+Equal rows (key, size and CRC) are counted before they are shuffled and get slots one after another, so that a key that
+many rows have is one row there. A null key shares the key 0's place; keys that are no integers are hashed by their text.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-#: Sub-ranges per shard; with the shard count it bounds the only broadcast table (16 bytes a row).
+#: Up to this many rows (24 bytes each) the table of offsets is broadcast; it has at most shards x sub-ranges.
+BROADCAST_ROWS = 1_000_000
+#: Equal rows that one step yields at most.
+COPIES = 10_000
+#: Sub-ranges per shard.
 SUB_RANGES = 4096
 _MASK = 0xFFFFFFFF
 #: Fixed value: the multiplier of the published generator.
@@ -34,8 +40,7 @@ def _next(high: Column, low: Column) -> tuple[Column, Column]:
 
 
 def jump(key: Column, shards: int) -> Column:
-    """The shard of each 64-bit key, 0 to ``shards - 1``."""
-    key = F.coalesce(key.cast("long"), F.lit(0).cast("long"))
+    """The shard of each 64-bit key that is not null, 0 to ``shards - 1``."""
     start = F.struct(
         F.shiftrightunsigned(key, 32).alias("hi"),
         key.bitwiseAND(_MASK).alias("lo"),
@@ -53,24 +58,41 @@ def jump(key: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, step, lambda s: s["b"]).cast("int")
 
 
+def number_of(key: str, df: DataFrame) -> Column:
+    """The key as a 64-bit number: integers as they are, others hashed by their text; null is 0."""
+    if isinstance(df.schema[key].dataType, IntegralType):
+        return F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long"))
+    return F.when(F.col(key).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.col(key).cast("string")))
+
+
 def shard(df: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", sub_ranges: int = SUB_RANGES) -> DataFrame:
-    """``key``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot`` and ``grown_shard`` for every row of ``df``."""
+    """``key``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot`` and ``grown_shard`` for every row of ``df``.
+
+    Other columns of ``df`` do not matter, whatever their names; an empty table gives an empty one.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(
-        F.col(key),
-        (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")).alias("text_crc32"),
-        F.lit("key").alias("law"),
-        jump(F.col(key), shards).alias("shard"),
-        jump(F.col(key), shards + 1).alias("grown_shard"),
-        F.pmod(F.xxhash64(F.coalesce(F.col(key), F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")))), F.lit(sub_ranges)).alias("part"),
+        number_of(key, df).alias("_number"), F.col(key).alias("_key"),
+        (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
     )
-    counts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    # all that is returned follows from these columns, so equal rows are one group with a count
+    same = rows.groupBy("_number", "_key", "size", "text_crc32").agg(F.count("*").alias("n"))
+    groups = same.withColumns({
+        "shard": jump(F.col("_number"), shards), "grown_shard": jump(F.col("_number"), shards + 1),
+        "part": F.pmod(F.xxhash64("_number", "size", "text_crc32"), F.lit(sub_ranges)),
+    })
+    counts = groups.groupBy("shard", "part").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    own = Window.partitionBy("shard", "part").orderBy(key, "text_crc32", "size")
-    numbered = rows.withColumn("at", F.row_number().over(own).cast("long"))
-    return numbered.join(F.broadcast(offsets), ["shard", "part"]).select(
-        key, "size", "text_crc32", "law", "shard", (F.col("offset") + F.col("at") - 1).alias("slot"), "grown_shard"
+    own = Window.partitionBy("shard", "part").orderBy("_key", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = groups.withColumn("at", F.coalesce(F.sum("n").over(own), F.lit(0)))
+    placed = placed.join(F.broadcast(offsets) if shards * sub_ranges <= BROADCAST_ROWS else offsets, ["shard", "part"])
+    # by blocks, so that no array has all copies of a row
+    placed = placed.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))))
+    placed = placed.withColumn("_copy", F.explode(F.sequence(F.col("_block"), F.least(F.col("_block") + COPIES, "n") - 1)))
+    return placed.select(
+        F.col("_key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard",
+        (F.col("offset") + F.col("at") + F.col("_copy")).alias("slot"), "grown_shard",
     )
 
 
