@@ -4,7 +4,7 @@ A source's mean repetition rate is its target share of all bytes over its own by
 Poisson distribution of that mean at a uniform number hashed from seed and key, so it depends on nothing else and is
 the same after a lost executor. Documents are exploded by their count and dealt and ordered by a hash of seed, key and
 copy: a global shuffle. A null source is a source of its own; a null key is hashed as an empty string; a null text has
-no bytes; a source without bytes repeats once. Equal keys get equal counts.
+no bytes; a source without bytes repeats once. Equal keys get equal counts; an empty table gives an empty one.
 
 Small mean rates are looked up in a table of the distribution. Larger ones, whose exp(-rate) underflows at last, are
 inverted at the same number by summing probabilities from 12 deviations below the mean, the first one from its
@@ -54,17 +54,24 @@ def inverse(u: Column, rate: Column) -> Column:
 
 
 def rates(docs: DataFrame, source: str = "source", text: str = "text", weights: dict[str, float] | None = None, alpha: float = ALPHA) -> DataFrame:
-    """``source``, ``bytes``, ``rate`` and the Poisson distribution function ``cdf`` (null for rates above ``MOST``) of each source."""
-    sizes = docs.groupBy(F.col(source).alias("source")).agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes"))
+    """``source``, ``bytes``, ``rate`` and the Poisson distribution function ``cdf`` (null for rates above ``MOST``) of each source.
+
+    ``weights`` names the sources that take part ("" is the null source); others have rate 0 and leave the mix.
+    """
+    if weights is not None and (min(weights.values(), default=0) < 0 or not any(weights.values())):
+        raise ValueError("weights must not be negative, and one must be positive")
+    sizes = docs.groupBy(F.col(source).cast("string").alias("source")).agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes"))
     if weights is None:
         weight = F.pow(F.col("bytes").cast("double"), F.lit(alpha))
     else:
         given = F.create_map(*(x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))))
-        weight = F.coalesce(F.get(F.array(given), F.lit(0))[F.coalesce("source", F.lit(""))], F.lit(0.0))
+        weight = F.coalesce(F.try_element_at(given, F.coalesce("source", F.lit(""))), F.lit(0.0))
     sizes = sizes.withColumn("weight", weight)
     total = sizes.agg(F.sum("bytes").cast("double").alias("all_bytes"), F.sum("weight").alias("all_weights"))
     sizes = sizes.crossJoin(F.broadcast(total))  # one row
-    rate = F.when(F.col("bytes") == 0, F.lit(1.0)).otherwise(F.col("weight") / F.col("all_weights") * F.col("all_bytes") / F.col("bytes"))
+    share = F.coalesce(F.try_divide("weight", "all_weights"), F.lit(0.0))
+    empty = F.lit(1.0) if weights is None else (F.col("weight") > 0).cast("double")
+    rate = F.when(F.col("bytes") == 0, empty).otherwise(share * F.col("all_bytes") / F.col("bytes"))
     sizes = sizes.withColumn("rate", rate)
     steps = F.sequence(F.lit(1), F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int"))
     first = F.exp(-F.col("rate"))
@@ -78,22 +85,33 @@ def rates(docs: DataFrame, source: str = "source", text: str = "text", weights:
     return sizes.withColumn("cdf", table).select("source", "bytes", "rate", "cdf")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: dict[str, float] | None = None, seed: int = SEED) -> DataFrame:
-    """``docs`` replicated and globally shuffled, with ``n_copies``, ``copy`` (from 0) and ``mix_key`` added."""
-    table = rates(docs, source, text, weights).withColumnsRenamed({"source": "_source", "rate": "_rate", "cdf": "_cdf"}).select("_source", "_rate", "_cdf")
+def mix(
+    docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: dict[str, float] | None = None, seed: int = SEED,
+    names: tuple[str, str, str] | None = ("n_copies", "copy", "mix_key"),
+) -> DataFrame:
+    """``docs`` replicated and globally shuffled, with the number of copies, the copy (from 0) and its place's key as ``names``.
+
+    Columns of ``docs`` are never overwritten: a name that it has is refused. Without ``names`` only its columns come back.
+    """
+    if clash := {c.lower() for c in docs.columns} & {c.lower() for c in names or ()}:
+        raise ValueError(f"the table has the columns {sorted(clash)} already: give others by names")
+    table = rates(docs, source, text, weights).select(F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate"), F.col("cdf").alias("_mix_cdf"))
     few = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
     # a hot source is a third of the rows at most times: broadcast where small, else adaptive execution splits it
-    out = docs.join(F.broadcast(table) if few else table, F.col(source).eqNullSafe(F.col("_source")))
-    out = out.withColumn("_u", uniform(F.lit(str(seed)), name))
-    looked_up = F.size(F.filter("_cdf", lambda c: F.col("_u") >= c)).cast("long")
-    out = out.withColumn("n_copies", F.when(F.col("_rate") <= MOST, looked_up).otherwise(inverse(F.col("_u"), F.col("_rate")))).where("n_copies > 0")
+    out = docs.join(F.broadcast(table) if few else table, F.col(source).cast("string").eqNullSafe(F.col("_mix_source")))
+    out = out.withColumn("_mix_u", uniform(F.lit(str(seed)), name))
+    looked_up = F.size(F.filter("_mix_cdf", lambda c: F.col("_mix_u") >= c)).cast("long")
+    copies = F.when(F.col("_mix_rate") <= MOST, looked_up).otherwise(inverse(F.col("_mix_u"), F.col("_mix_rate")))
+    out = out.withColumn("_mix_n", copies).where("_mix_n > 0")
     # by blocks, so that no array has all copies of a document
-    out = out.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1, F.lit(COPIES).cast("long"))))
-    out = out.withColumn("copy", F.explode(F.sequence(F.col("_block"), F.least(F.col("_block") + COPIES, "n_copies") - 1)))
-    order = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), name, F.col("copy").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
-    out = out.withColumn("mix_key", order).drop("_source", "_rate", "_cdf", "_u", "_block")
-    return out.repartition("mix_key").sortWithinPartitions("mix_key")
+    out = out.withColumn("_mix_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_mix_n") - 1, F.lit(COPIES).cast("long"))))
+    out = out.withColumn("_mix_copy", F.explode(F.sequence(F.col("_mix_block"), F.least(F.col("_mix_block") + COPIES, "_mix_n") - 1)))
+    order = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), name, F.col("_mix_copy").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+    out = out.withColumn("_mix_key", order).drop("_mix_source", "_mix_rate", "_mix_cdf", "_mix_u", "_mix_block")
+    out = out.repartition("_mix_key").sortWithinPartitions("_mix_key")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*own, *(F.col(c).alias(n) for c, n in zip(("_mix_n", "_mix_copy", "_mix_key"), names or (), strict=False)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
