@@ -1,9 +1,11 @@
 """WARC archives with content-addressed payloads.
 
-Payload bytes are stored once per SHA-256, checked when stored and when read; exact record headers are a table of
-their own; records are rebuilt by joining the two. A null payload is empty, a null id sorts last. Rows that repeat an
+Payload bytes are stored once per SHA-256; exact record headers are a table of their own; records are rebuilt by joining
+the two. Digests are verified: copies of one SHA-256 must agree in SHA-1 and length to be stored once, and stored bytes
+must have their SHA-256 when read; else the job fails. A null payload is empty, a null id sorts last. Rows that repeat an
 id and a payload are one record written again and keep one type: all of them are the response if that id is the
-smallest of its payload. Hot payloads are reduced to one row per task before any shuffle.
+smallest of its payload. An empty table gives empty archives; columns that are not read do not matter. Hot payloads are
+reduced to one row per task before any shuffle, and their records are dealt over several parts where they meet them.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hot_keys, met, written
 
 #: Payloads of fewer bytes never become revisits.
 MIN_BYTES = 0
@@ -32,7 +34,7 @@ def base32(hex40: Column) -> Column:
 
 @dataclass
 class Archive:
-    """``payloads`` (sha256, payload) and ``headers`` (id, sha256, header) as stored."""
+    """``payloads`` (sha256, payload, smallest id, number of records) and ``headers`` (id, sha256, header) as stored."""
 
     payloads: DataFrame
     headers: DataFrame
@@ -46,11 +48,13 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str
         F.coalesce(F.col(url), F.lit("")).alias("uri"),
         F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8").alias("payload"),
     )
-    rows = rows.withColumns({"sha256": F.sha2("payload", 256), "bytes": F.octet_length("payload").cast("long")})
-    firsts = rows.groupBy("sha256", "bytes").agg(F.min("id").alias("first_id"))
-    # any one copy will do: the digest says they are the same bytes, and the stored bytes are checked against it
-    store = written(rows.select("sha256", "payload").groupBy("sha256").agg(F.any_value("payload").alias("payload")), "payloads")
-    facts = rows.select("id", "uri", "sha256", "bytes", base32(F.sha1("payload")).alias("sha1")).join(firsts, ["sha256", "bytes"])
+    rows = rows.withColumns({"sha256": F.sha2("payload", 256), "bytes": F.octet_length("payload").cast("long"), "sha1": base32(F.sha1("payload"))})
+    unlike = (F.min("sha1") != F.max("sha1")) | (F.min("bytes") != F.max("bytes"))
+    stored = rows.groupBy("sha256").agg(F.any_value("payload").alias("payload"), F.min("id").alias("first_id"), F.count("*").alias("n"), unlike.alias("unlike"))
+    sure = F.when(~F.col("unlike"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("two payloads have the digest "), F.col("sha256"))).cast("binary"))
+    store = written(stored.select("sha256", sure.alias("payload"), "first_id", "n"), "payloads")
+    rare = store.select("sha256", "first_id")
+    facts = met(rows.select("id", "uri", "sha256", "bytes", "sha1"), rare, "sha256", hot_payloads(store), "id")
     response = (F.col("bytes") < min_bytes) | F.col("id").eqNullSafe(F.col("first_id"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     uuid = lambda of: F.regexp_replace(F.md5(F.coalesce(of.cast("string"), F.lit("null")).cast("binary")), r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
@@ -75,6 +79,11 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str
     return Archive(store, headers, key)
 
 
+def hot_payloads(payloads: DataFrame) -> list[str]:
+    """Digests that very many records have, of bounded number."""
+    return hot_keys(payloads.select("sha256", "n"), payloads.agg(F.sum("n")).head()[0] or 0)
+
+
 def field(header: Column, name: str) -> Column:
     """The value of a header line, null if there is none."""
     found = F.regexp_extract(F.decode(header, "UTF-8"), rf"\r\n{name}: ([^\r\n]*)", 1)
@@ -88,23 +97,25 @@ def read(archive: Archive) -> DataFrame:
             F.raise_error(F.concat(F.lit("payload does not match its digest "), F.col("sha256"))).cast("boolean")
         )
     ).select("sha256", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"))
-    return archive.headers.join(good, "sha256").withColumnRenamed("id", archive.key)
+    return met(archive.headers, good, "sha256", hot_payloads(archive.payloads), "id").withColumnRenamed("id", archive.key)
 
 
 def records(archive: Archive) -> DataFrame:
-    """Every record's exact bytes: header, blank line, payload of responses, two line ends."""
+    """Every record as (key, record, payload_bytes, payload_digest); ``record`` has its exact bytes: header, blank line, payload of responses, two line ends."""
     end = F.lit(b"\r\n")
     body = F.when(field(F.col("header"), "WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return read(archive).select(archive.key, F.concat("header", end, body, end, end).alias("record"))
+    return read(archive).select(archive.key, F.concat("header", end, body, end, end).alias("record"), "payload_bytes", "payload_digest")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Archives every page, reads the archives back and returns what they say."""
+    """Archives every page, rebuilds every record and returns what it says."""
     archive = write(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
-    h = F.col("header")
-    return read(archive).select(
+    # a record's header ends at its first blank line, which no header line can hold
+    header = F.substring_index(F.decode("record", "UTF-8"), "\r\n\r\n", 1)
+    said = lambda name: F.nullif(F.regexp_extract(F.col("_header"), rf"\r\n{name}: ([^\r\n]*)", 1), F.lit(""))
+    return records(archive).withColumn("_header", header).select(
         "page_id", "payload_bytes", "payload_digest",
-        field(h, "WARC-Type").alias("record_type"), field(h, "X-Refers-To-Key").cast("long").alias("refers_to"),
+        said("WARC-Type").alias("record_type"), said("X-Refers-To-Key").cast("long").alias("refers_to"),
     )
 
 
