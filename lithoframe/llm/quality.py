@@ -1,7 +1,9 @@
 """Quality rules: a threshold table compiled into one projection of built-in functions.
 
 Every metric is a Spark expression over the whole text; no Python runs on executors and nothing is shuffled.
-A null or empty text has no words, fails the base rule and is not kept. Rows come back once each, whatever repeats.
+A null or empty text has no words, fails the base rule and is not kept. Rows come back once each, whatever repeats; an
+empty table gives an empty one. Very long texts are judged whole. A column ``quality`` that ``docs`` already has stays
+with :func:`keep_good`; :func:`judge` refuses it, unless its result gets another name.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ RULES = (
     Rule("mean_word_chars", 3.0, 12.0),
     Rule("symbol_ratio", None, 0.02),
     Rule("shout_ratio", None, 0.3),
-    Rule("stop_ratio", 0.005, None),
+    Rule("stop_ratio", 0.02, None),
     Rule("dup_line_ratio", None, 0.5),
     Rule("repeat_ratio", None, 0.2),
 )
@@ -72,7 +74,7 @@ def _covered(windows: Column) -> Column:
 
 def metrics(text: Column) -> Column:
     """A struct of the base counts and what the rules need, from a text that is not null."""
-    stop = F.array(*(F.xxhash64(F.lit(w)) for w in sorted(set(STOP_WORDS.split()))))
+    stop = sorted(set(STOP_WORDS.split()))
     chars = F.char_length(text)
 
     def of_words(words: Column) -> Column:
@@ -85,7 +87,7 @@ def metrics(text: Column) -> Column:
                 F.size(words).cast("long").alias("n_words"),
                 F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
                 _let(five, _covered).alias("n_repeat_words"),
-                F.size(F.array_intersect(codes, stop)).cast("long").alias("n_stops"),
+                F.size(F.filter(words, lambda w: F.lower(w).isin(*stop))).cast("long").alias("n_stops"),
             )
 
         return _let(F.transform(words, lambda w: F.xxhash64(w)), of_codes)
@@ -115,7 +117,7 @@ def verdict(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
         "mean_word_chars": F.try_divide(m["word_chars"], n),
         "symbol_ratio": F.try_divide(m["n_symbols"], m["word_chars"]),
         "shout_ratio": F.try_divide(m["n_shouts"], n),
-        "stop_ratio": F.when(n >= 100, F.try_divide(m["n_stops"], F.least(n, F.lit(400)))),
+        "stop_ratio": F.try_divide(m["n_stops"], n),
         "dup_line_ratio": F.try_divide(m["n_dup_lines"], m["n_lines"]),
         "repeat_ratio": F.try_divide(m["n_repeat_words"], n),
     }
@@ -144,9 +146,11 @@ def judgement(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return _let(F.coalesce(text, F.lit("")), lambda t: _let(metrics(t), lambda m: verdict(m, rules)))
 
 
-def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``df`` with the struct ``quality``: counts, ``failed`` (names of rules), ``base_failed`` and ``kept``."""
-    return df.withColumn("quality", judgement(F.col(text), rules))
+def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, name: str = "quality") -> DataFrame:
+    """``df`` with the struct ``name``: counts, ``failed`` (names of rules), ``base_failed`` and ``kept``."""
+    if name.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"the table has a column {name} already: give the verdict another name")
+    return df.withColumn(name, judgement(F.col(text), rules))
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -176,7 +180,7 @@ q_m AS (
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          (length(t) - length(replace(t, '!!', '!')))::BIGINT AS n_shouts,
          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
-         len(list_intersect(w, [{_STOPS}]))::BIGINT AS n_stops
+         len(list_filter(w, lambda x: lower(x) IN ({_STOPS})))::BIGINT AS n_stops
   FROM q_word),
 q_n AS (
   SELECT q_m.*, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
@@ -187,7 +191,7 @@ judged AS (
          NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
          AND word_chars::DOUBLE / n_words >= 3.0 AND word_chars::DOUBLE / n_words <= 12.0
          AND n_symbols::DOUBLE / word_chars <= 0.02 AND n_shouts::DOUBLE / n_words <= 0.3
-         AND NOT (n_words >= 100 AND n_stops::DOUBLE / least(n_words, 400) < 0.005)
+         AND n_stops::DOUBLE / n_words >= 0.02
          AND n_dup_lines::DOUBLE / n_lines <= 0.5 AS kept
   FROM q_n)"""
 SQL = rf"""WITH src AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents), {JUDGED_SQL}
