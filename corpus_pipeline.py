@@ -1,7 +1,12 @@
 """Corpus pipeline: quality rules, near-duplicates, decontamination, mixing, sharding.
 
 Each stage takes ``(spark, docs, sf_dir)``, works on all rows its predecessor kept, and is written as Parquet and read
-again before the next. All but the last return the columns of ``documents``.
+again before the next. All but the last return the columns of ``documents``, whatever further ones that table has; the
+last returns what sharding does.
+
+Null and empty texts fail the quality rules and end there; very long ones are judged whole. Rows that repeat an id pass
+every stage together and get slots of their own. Of equally similar documents the smallest id stays; rows without an id
+are never dropped as copies. Empty tables of documents or of items give empty results and nothing to remove.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ def clean_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replicates documents so that sources meet their target weights, in a global random order."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs, names=None)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
