@@ -13,18 +13,18 @@ LENGTH_UNITS = {"m": "m", "metre": "m", "metres": "m", "meter": "m", "meters": "
 PERCENT_UNITS = ("%", "percent", "pct", "p.u.", "pu")
 #: Aliases of curve families.
 FAMILIES = {
-    "PHIE": ("PHIE", "PHI", "PORO", "POR", "EPOR"),
-    "PHIT": ("PHIT", "TPOR"),
-    "SW": ("SW", "SUWI", "SWE"),
-    "SWT": ("SWT",),
-    "VSH": ("VSH", "VCL", "VSHALE"),
-    "NTG": ("NTG", "NET"),
-    "GR": ("GR", "CGR", "SGR"),
-    "RHOB": ("RHOB", "DEN", "ZDEN"),
-    "NPHI": ("NPHI", "NEU", "TNPH"),
-    "DT": ("DT", "AC", "DTC"),
-    "RT": ("RT", "RES", "ILD", "LLD"),
-    "PERM": ("PERM", "K", "KLOGH"),
+    "PHIE": ("PHIE", "PHI", "PHI_E", "EFFPHI", "PHIEF"),
+    "PHIT": ("PHIT", "PHI_T", "TOTPHI"),
+    "NPHI": ("NPHI", "TNPH", "NEU", "CNL"),
+    "SW": ("SW", "SWE", "SUWI", "SW_E"),
+    "SWT": ("SWT", "SW_T", "SWTOT"),
+    "GR": ("GR", "GRC", "SGR", "CGR", "GAMMA"),
+    "VSH": ("VSH", "VCL", "VSHALE", "VCLAY", "VSHGR"),
+    "PERM": ("PERM", "K", "KLOGH", "KH", "PERMH"),
+    "RHOB": ("RHOB", "DEN", "DENS", "ZDEN"),
+    "DT": ("DT", "AC", "SONIC", "DTCO"),
+    "RT": ("RT", "RES", "ILD", "LLD", "RDEP"),
+    "NTG": ("NTG", "NET_GROSS", "N_G"),
 }
 #: Ranges of valid samples by family.
 VALID = {
@@ -105,7 +105,7 @@ def harmonise_fraction(x: Column, unit: Column) -> Column:
 
 def canonical_mnemonic(name: Column, user: dict[str, str] | None = None) -> Column:
     """The family of a curve name: user aliases on the raw name first, then built-in ones without a year suffix."""
-    bare = F.regexp_replace(name, "_[0-9]{4}$", "")
+    bare = F.regexp_replace(F.trim(name), "_[0-9]{4}$", "")
     family = F.lit(None).cast("string")
     for to, names in FAMILIES.items():
         family = F.when(F.upper(bare).isin(*names), F.lit(to)).otherwise(family)
@@ -115,16 +115,26 @@ def canonical_mnemonic(name: Column, user: dict[str, str] | None = None) -> Colu
     return out
 
 
-def in_range(family: Column, x: Column) -> Column:
-    """Undefined is never in range; families without a range take any value."""
-    ok = x.isNotNull()
+def _within(family: Column, x: Column, otherwise: Column) -> Column:
+    ok = otherwise
     for to, (low, high) in VALID.items():
-        ok = F.when(family == to, x.between(low, high) & x.isNotNull()).otherwise(ok)
-    return F.coalesce(ok, F.lit(False))
+        ok = F.when(F.upper(F.trim(family)) == to, x.between(low, high)).otherwise(ok)
+    return ok
+
+
+def in_range(family: Column, x: Column) -> Column:
+    """Undefined is never in range; families without a range take any finite value."""
+    finite = ~F.isnan(x) & (F.abs(x) != float("inf"))
+    return F.coalesce(_within(family, x, finite) & ~F.isnan(x), F.lit(False))
+
+
+def out_of_range(family: Column, x: Column) -> Column:
+    """Whether masking rejects a value: undefined ones, and families without a range, are never rejected."""
+    return F.coalesce(~_within(family, defined(x), F.lit(True)), F.lit(False))
 
 
 def mask_out_of_range(family: Column, x: Column) -> Column:
-    return F.when(in_range(family, x), x)
+    return F.when(~out_of_range(family, x), x)
 
 
 def net_flag(phi: Column, sw: Column, vsh: Column | None = None, phi_min: float = 0.08, sw_max: float = 0.5, vsh_max: float = 0.5) -> Column:

@@ -22,24 +22,25 @@ def geomean(v: Column) -> Column:
     return F.exp(F.avg(F.when(v > 0, F.ln(v))))
 
 
-def weighted(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
-    """The bundle with weights: pairs that are undefined or not positive are dropped; percentiles are nearest-rank.
+def weighted(df: DataFrame, keys: list[str], value: str, weight: str, also: tuple[Column, ...] = ()) -> DataFrame:
+    """The bundle with weights: pairs that are undefined or not positive do not count; percentiles are nearest-rank.
 
-    One shuffle on ``keys``; the running weight and the mean are windows over the same partitioning.
+    One shuffle on ``keys``; the running weight and the mean are windows over the same partitioning. ``also`` has further
+    aggregates over all rows of a group; groups without a pair are left out.
     """
-    used = df.where(F.col(value).isNotNull() & (F.col(weight) > 0))
+    ok = F.col(value).isNotNull() & (F.col(weight) > 0)
     own = Window.partitionBy(*keys)
-    run = own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    used = used.withColumns(
-        {"_total": F.sum(weight).over(own), "_n": F.count("*").over(own), "_mean": F.sum(F.col(value) * F.col(weight)).over(own) / F.sum(weight).over(own), "_run": F.sum(weight).over(run)}
-    )
-    at = lambda p: F.min(F.when(F.col("_run") >= p * F.col("_total") - 1e-12 * F.col("_total"), F.col(value)))
-    v, w = F.col(value), F.col(weight)
-    return used.groupBy(*keys).agg(
-        F.count("*").alias("count"), F.max("_mean").alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"),
+    run = own.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    used = df.withColumns({"_v": F.when(ok, F.col(value).cast("double")), "_w": F.when(ok, F.col(weight).cast("double"))})
+    used = used.withColumns({"_total": F.sum("_w").over(own), "_mean": F.sum(F.col("_v") * F.col("_w")).over(own) / F.sum("_w").over(own), "_run": F.sum("_w").over(run)})
+    at = lambda p: F.min(F.when(F.col("_run") >= p * F.col("_total") - 1e-12 * F.col("_total"), F.col("_v")))
+    v, w = F.col("_v"), F.col("_w")
+    out = used.groupBy(*keys).agg(
+        F.count("_v").alias("count"), F.max("_mean").alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"),
         F.sqrt(F.sum(w * (v - F.col("_mean")) * (v - F.col("_mean"))) / F.max("_total")).alias("std"),
-        F.sum(w * v).alias("sum"), at(0.1).alias("p10"), at(0.5).alias("p50"), at(0.9).alias("p90"),
+        F.sum(w * v).alias("sum"), at(0.1).alias("p10"), at(0.5).alias("p50"), at(0.9).alias("p90"), *also,
     )
+    return out.where(F.col("count") > 0)
 
 
 def characterise(v: Column, kind: str = "normal") -> list[Column]:

@@ -8,11 +8,30 @@ from pyspark.sql import functions as F
 from ..functions.scalars import divided, node_xy, xy_to_ij
 
 
-def combine(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
-    """Node-wise ``plus``, ``minus``, ``times`` or ``divided_by`` of two grids of one geometry; undefined propagates."""
+def same_geometry(a: dict, b: dict, tolerance: float = 1e-9) -> None:
+    """Refuses two geometries that differ."""
+    for k in sorted(a.keys() | b.keys()):
+        x, y = a.get(k), b.get(k)
+        close = x == y or isinstance(x, float) and isinstance(y, float) and abs(x - y) <= tolerance * max(abs(x), abs(y), 1.0)
+        if not close:
+            raise ValueError(f"geometry mismatch: {k} is {x} and {y}")
+
+
+def combine(a: DataFrame, b: DataFrame, op: str, geometry: tuple[dict, dict] | None = None, sparse: bool = False) -> DataFrame:
+    """Node-wise ``plus``, ``minus``, ``times`` or ``divided_by`` of two grids of one geometry; undefined propagates.
+
+    Geometries that differ are refused, if given, and so is a node that only one grid has. With ``sparse`` grids, which
+    leave undefined nodes out, such a node is undefined.
+    """
+    if geometry is not None:
+        same_geometry(*geometry)
     x, y = F.col("a.z"), F.col("b.z")
     z = {"plus": x + y, "minus": x - y, "times": x * y, "divided_by": divided(x, y)}[op]
-    return a.alias("a").join(b.alias("b"), ["i", "j"]).select("i", "j", z.alias("z"))
+    if sparse:
+        return a.alias("a").join(b.alias("b"), ["i", "j"]).select("i", "j", z.alias("z"))
+    met = a.withColumn("_in", F.lit(True)).alias("a").join(b.withColumn("_in", F.lit(True)).alias("b"), ["i", "j"], "full")
+    missing = F.col("a._in").isNull() | F.col("b._in").isNull()
+    return met.select("i", "j", F.when(missing, F.raise_error(F.lit("geometry mismatch: a node is in one grid only")).cast("double")).otherwise(z).alias("z"))
 
 
 def thickness(top: DataFrame, base: DataFrame, clamp: bool = True) -> DataFrame:
@@ -28,25 +47,39 @@ def area_above(grid: DataFrame, depth: float, cell: float) -> DataFrame:
     return grid.agg((F.count(F.when(F.col("z") >= depth, 1)) * cell).alias("area"))
 
 
+def areas(grid: DataFrame, depth: float, cell: float) -> DataFrame:
+    """``below`` and ``above`` of one depth in one pass."""
+    return grid.agg((F.count(F.when(F.col("z") <= depth, 1)) * cell).alias("below"), (F.count(F.when(F.col("z") >= depth, 1)) * cell).alias("above"))
+
+
 def volume_between(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     """Unsigned volume over nodes that both define."""
     return combine(a, b, "minus").agg((F.coalesce(F.sum(F.abs("z")), F.lit(0.0)) * cell).alias("volume"))
 
 
-def hypsometry(grid: DataFrame, cell: float, parts: int = 64) -> DataFrame:
+#: Nodes that one range of values holds about, and the most ranges (one row each where their counts are added up).
+RANGE_NODES, MOST_RANGES = 1_000_000, 1024
+
+
+def hypsometry(grid: DataFrame, cell: float) -> DataFrame:
     """A row per defined node: value and area of all nodes up to it, ties in order of i and j.
 
-    Values are dealt into ranges; each range is ranked on its own and offset by the counts before it, so no single task
-    sorts the whole grid. The table of offsets has one row per range.
+    Nodes are dealt into ranges by approximate quantiles of (z, i, j), as many as their number needs; each range is
+    ranked on its own and offset by the counts before it, so no task sorts the whole grid, even where one value is
+    common. The table of offsets has one row per range.
     """
     rows = grid.where(F.col("z").isNotNull())
-    low, high = rows.agg(F.min("z"), F.max("z")).head()
-    width = ((high - low) / parts or 1.0) if low is not None else 1.0
-    rows = rows.withColumn("_b", F.least(F.floor((F.col("z") - F.lit(low if low is not None else 0.0)) / width), F.lit(parts - 1)))
+    n = rows.count()
+    parts = min(max(64, n // RANGE_NODES), MOST_RANGES)
+    cuts = sorted(set(rows.approxQuantile("z", [k / parts for k in range(1, parts)], 0.2 / parts))) if n > parts else []
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("z"))) if cuts else F.lit(0)
+    # a value that is a cut may be common: its nodes are dealt further by i
+    common = F.coalesce(F.col("z").isin(*cuts), F.lit(False)) if cuts else F.lit(False)
+    rows = rows.withColumn("_b", F.struct(at.alias("k"), F.when(common, F.lit(1)).otherwise(0).alias("c"), F.when(common, F.col("i")).alias("i")))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offset = rows.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
     rank = F.row_number().over(Window.partitionBy("_b").orderBy("z", "i", "j"))
-    return rows.withColumn("_r", rank).join(F.broadcast(offset), "_b").select("i", "j", "z", ((F.col("_o") + F.col("_r")) * cell).alias("area"))
+    return rows.withColumn("_r", rank).join(offset, "_b").select("i", "j", "z", ((F.col("_o") + F.col("_r")) * cell).alias("area"))
 
 
 def smooth(grid: DataFrame, radius: int) -> DataFrame:
@@ -92,3 +125,36 @@ def nodes(g: dict, spark) -> DataFrame:
 
 def constant(g: dict, spark, value: float) -> DataFrame:
     return nodes(g, spark).withColumn("z", F.lit(float(value)))
+
+
+def resample(grid: DataFrame, g: dict, target: dict) -> DataFrame:
+    """The grid on another geometry: bilinear at each of its nodes, undefined outside."""
+    points = nodes(target, grid.sparkSession).withColumn("_node", F.struct("i", "j"))
+    return sample(grid, points, g, "_node").select("_node.i", "_node.j", "z")
+
+
+def from_points(points: DataFrame, g: dict, method: str = "nearest", power: float = 2.0) -> DataFrame:
+    """``i, j, z`` of scattered points on a geometry by ``nearest``, ``idw`` or ``min_curvature``; no points leave it undefined."""
+    from . import kernels, spatial
+
+    spark, known = points.sparkSession, points.where("z IS NOT NULL")
+    to = nodes(g, spark)
+    if method == "idw":
+        return to.select("i", "j").join(spatial.idw(known, to, ["i", "j"], power), ["i", "j"], "left")
+    if method == "min_curvature":
+        got = kernels.min_curvature_grid(known.withColumn("surface_id", F.lit(0)), g).select("i", "j", "z")
+        return to.select("i", "j").join(got, ["i", "j"], "left")
+    if method != "nearest":
+        raise ValueError(f"unknown method: {method}")
+    cell = 2 * max(g["xinc"], g["yinc"])
+    queries = to.select((F.col("j") * g["ncol"] + F.col("i")).cast("long").alias("query_id"), "x", "y")
+    near = spatial.nearest(known, queries, cell).join(known.select("point_id", "z"), "point_id", "left")
+    return near.select((F.col("query_id") % g["ncol"]).cast("int").alias("i"), F.floor(F.col("query_id") / g["ncol"]).cast("int").alias("j"), "z")
+
+
+def area_mask(nodes_: DataFrame, stride: int) -> DataFrame:
+    """A thinner lattice: every ``stride``-th node in both directions, numbered anew."""
+    if stride < 1:
+        raise ValueError("stride must be positive")
+    every = nodes_.where((F.pmod("i", F.lit(stride)) == 0) & (F.pmod("j", F.lit(stride)) == 0))
+    return every.withColumns({"i": (F.col("i") / stride).cast("int"), "j": (F.col("j") / stride).cast("int")})

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import graph
+
 
 def quad_split(nodes: DataFrame, stride: int = 1) -> DataFrame:
     """Two triangles (i, j of each corner) for every cell whose four corners are defined; ``stride`` thins the lattice."""
@@ -75,24 +77,23 @@ def wireframe_stride(triangles: DataFrame, stride: int) -> DataFrame:
 def components(triangles: DataFrame, mesh: str = "mesh_id") -> DataFrame:
     """Component of each triangle (``mesh``, ``tid``, vertices ``a``, ``b``, ``c``) by shared vertices: the smallest vertex.
 
-    One small union-find per mesh; many meshes spread over tasks.
+    Vertices are linked along edges and joined in rounds, so a mesh of any size spreads over tasks.
     """
-    import pandas as pd
-
-    def per_mesh(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            parent.setdefault(x, x)
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for a, b, c in pdf[["a", "b", "c"]].itertuples(index=False, name=None):
-            r = sorted((root(a), root(b), root(c)))
-            parent[r[1]] = parent[r[2]] = r[0]
-        return pd.DataFrame({mesh: pdf[mesh], "tid": pdf["tid"], "component": [root(a) for a in pdf["a"]]})
-
-    kind = dict(triangles.dtypes)[mesh]
-    return triangles.groupBy(mesh).applyInPandas(per_mesh, f"{mesh} {kind}, tid long, component long")
+    at = lambda c: F.struct(F.col(mesh).alias("mesh"), F.col(c).alias("vertex"))
+    links = triangles.select(F.inline(F.array(F.struct(at("a").alias("u"), at("b").alias("v")), F.struct(at("a").alias("u"), at("c").alias("v")))))
+    found = graph.components(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+    own = triangles.withColumn("_a", at("a")).join(found, F.col("_a") == F.col("node"), "left")
+    return own.select(mesh, "tid", F.coalesce("component.vertex", "a").alias("component"))
+
+
+def faults(triangles: DataFrame, vertices: DataFrame, mesh: str = "mesh_id") -> DataFrame:
+    """What is wrong with a mesh: ``mesh, kind, n`` for unknown vertices, triangles that repeat one, and edges of more than two."""
+    known = vertices.select(mesh, F.col("vid").alias("v"), F.lit(True).alias("_known")).distinct()
+    corners = triangles.select(mesh, F.explode(F.array("a", "b", "c")).alias("v"))
+    unknown = corners.join(known, [mesh, "v"], "left").where("_known IS NULL").groupBy(mesh).agg(F.count("*").alias("n")).withColumn("kind", F.lit("unknown vertex"))
+    flat = triangles.where("a = b OR b = c OR c = a").groupBy(mesh).agg(F.count("*").alias("n")).withColumn("kind", F.lit("repeated vertex"))
+    pair = lambda u, v: F.struct(F.least(u, v).alias("u"), F.greatest(u, v).alias("v"))
+    sides = triangles.select(mesh, F.inline(F.array(pair("a", "b"), pair("b", "c"), pair("c", "a"))))
+    many = sides.where("u <> v").groupBy(mesh, "u", "v").agg(F.count("*").alias("_n")).where("_n > 2").groupBy(mesh).agg(F.count("*").alias("n")).withColumn("kind", F.lit("edge of more than two"))
+    columns = [mesh, "kind", "n"]
+    return unknown.select(columns).union(flat.select(columns)).union(many.select(columns))

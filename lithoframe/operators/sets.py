@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +25,10 @@ def precedence(picks: DataFrame) -> DataFrame:
     return met.groupBy("above", "below").agg(F.count("*").alias("wells"))
 
 
-def strat_order(picks: DataFrame, hints: list[tuple[str, str]] = (), most: int = 10_000) -> list[str]:
-    """Names from top to bottom. Names, not picks, come to the driver; more than ``most`` edges are refused.
+def strat_order(picks: DataFrame, hints: list[tuple[str, str]] = (), most: int = 2_000_000) -> list[str]:
+    """Names from top to bottom. Names and their edges, not picks, come to the driver, as the order is built one by one.
+
+    ``most`` edges (about 200 MB) are its bound of memory, enough for 1,400 names that are all ordered among each other.
 
     Edges need a strict order in any well; hints count only where data do not order the names the other way. Among free
     names the one seen first goes first; in a cycle the first unplaced one.
@@ -52,10 +57,60 @@ def strat_order(picks: DataFrame, hints: list[tuple[str, str]] = (), most: int =
     for a, b in hints:
         if a in under and b in under and not reaches(b, a):
             under[a].add(b)
-    out: list[str] = []
-    left = list(names)
-    while left:
-        free = next((n for n in left if not any(n in under[m] for m in left if m != n)), left[0])
-        out.append(free)
-        left.remove(free)
+    above = Counter(b for a, v in under.items() for b in v if b != a)
+    place = {n: k for k, n in enumerate(names)}
+    free = [k for k, n in enumerate(names) if not above[n]]
+    heapq.heapify(free)
+    placed, first, out = [False] * len(names), 0, []
+    while len(out) < len(names):
+        while first < len(names) and placed[first]:
+            first += 1
+        k = heapq.heappop(free) if free else first  # a cycle: the first unplaced one
+        if placed[k]:
+            continue
+        placed[k] = True
+        out.append(names[k])
+        for n in under[names[k]]:
+            above[n] -= 1
+            if not above[n] and not placed[place[n]]:
+                heapq.heappush(free, place[n])
     return out
+
+
+def parse_hint(text: str) -> tuple[str, str]:
+    """``(above, below)`` of ``A < B`` (A lies above) or ``A > B`` (A lies below)."""
+    for sign, turn in (("<", 1), (">", -1)):
+        left, found, right = text.partition(sign)
+        if found:
+            pair = (left.strip(), right.strip())[::turn]
+            if not all(pair):
+                raise ValueError(f"a side of the hint is empty: {text}")
+            return pair
+    raise ValueError(f"a hint needs < or >: {text}")
+
+
+def resolve_hints(tops: DataFrame, hints: list[str]) -> list[tuple[str, str]]:
+    """Hints with each side as the one top that it means: its name, its name without `` top``, or the only name with it.
+
+    Only names that a side occurs in come to the driver.
+    """
+    pairs = [parse_hint(h) for h in hints]
+    sides = sorted({x for p in pairs for x in p})
+    if not sides:
+        return []
+    low = F.lower("name")
+    known = tops.where(F.exists(F.array(*(F.lit(x.lower()) for x in sides)), lambda x: F.contains(low, x))).select("name").distinct()
+    names = sorted(r[0] for r in known.collect())
+    meant = {}
+    for x in sides:
+        like = [n for n in names if x.lower() in n.lower()]
+        best = [n for n in like if n.lower() == x.lower()] or [n for n in like if n.lower() == f"{x.lower()} top"]
+        if not like or not best and len(like) > 1:
+            raise ValueError(f"{x}: {'matches ' + ', '.join(like) if like else 'no top has this name'}")
+        meant[x] = (best or like)[0]
+    return [(meant[a], meant[b]) for a, b in pairs]
+
+
+def anti(elements: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """Elements whose key ``others`` do not have."""
+    return elements.join(others.select(*keys).distinct(), keys, "left_anti")

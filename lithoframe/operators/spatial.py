@@ -3,51 +3,76 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Up to this many edges (48 bytes each) polygons are broadcast; more are dealt over the cells of their boxes.
-BROADCAST_EDGES = 100_000
+from . import graph
+
+#: Up to this many edges (48 bytes each) polygons are broadcast; more meet points by bands of y, of which there are so many at most.
+BROADCAST_EDGES, MOST_BANDS = 100_000, 1_000_000
+#: Control points (40 bytes each) of one block of inverse-distance sums.
+BROADCAST_POINTS = 100_000
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """Rows whose x and y are numbers."""
+    return df.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) < 1e300" for c in "xy"))
 
 
 def nearest(points: DataFrame, queries: DataFrame, cell: float, key: str = "point_id", query: str = "query_id") -> DataFrame:
-    """The nearest point of each query in the plane, ties to the smallest id.
+    """The nearest point of each query in the plane, ties to the smallest id; none for queries without a position.
 
     Points and queries meet by cell. A query is settled once its best distance is no longer than the searched rings
-    reach; the rest go on with rings twice as wide (cells doubled), so no pair outside a ring is ever made.
+    reach; the rest go on with rings twice as wide (cells doubled), so no pair outside a ring is ever made. Rings end
+    at the extent of all points and queries, and each round's result is stored.
     """
-    left = queries.where("x IS NOT NULL AND y IS NOT NULL").select(query, F.col("x").alias("qx"), F.col("y").alias("qy"))
+    if not cell > 0:
+        raise ValueError("cell must be positive")
+    points, placed = _placed(points), _placed(queries)
+    left = placed.select(query, F.col("x").alias("qx"), F.col("y").alias("qy"))
+    nowhere = queries.join(placed.select(query), query, "left_anti").select(query)
+    none = lambda q: q.select(query, F.lit(None).cast(dict(points.dtypes)[key]).alias(key), F.lit(None).cast("double").alias("distance"))
+    b = points.select("x", "y").union(left.select("qx", "qy")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).head()
     if points.isEmpty():
-        return left.select(query, F.lit(None).cast("long").alias(key), F.lit(None).cast("double").alias("distance"))
-    done = []
-    size = float(cell)
-    while not done or not left.isEmpty():
+        return none(queries.select(query))
+    done = [none(nowhere)]
+    size, extent = float(cell), 2 * ((b[0] or 0.0) + (b[1] or 0.0))
+    while not left.isEmpty():
         pts = points.select(key, "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
         around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
         q = left.select("*", around.alias("o")).select(query, "qx", "qy", (F.floor(F.col("qx") / size) + F.col("o.a")).alias("cx"), (F.floor(F.col("qy") / size) + F.col("o.b")).alias("cy"))
         d = F.sqrt((F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy")))
         best = q.join(pts, ["cx", "cy"]).groupBy(query).agg(F.min(F.struct(d.alias("distance"), F.col(key).alias("id"))).alias("b"))
-        # nothing outside the ring of cells can be nearer than one cell
-        found = best.where(F.col("b.distance") <= size).select(query, F.col("b.id").alias(key), F.col("b.distance").alias("distance"))
-        done.append(found)
-        left = left.join(found.select(query), query, "left_anti")
+        # nothing outside the ring of cells can be nearer than one cell; the last ring has everything
+        found = best if size > extent else best.where(F.col("b.distance") <= size)
+        done.append(graph.cut(found.select(query, F.col("b.id").alias(key), F.col("b.distance").alias("distance"))))
+        if size > extent:
+            break
+        left = graph.cut(left.join(done[-1].select(query), query, "left_anti"))
         size *= 2
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out
+    return reduce(DataFrame.unionByName, done)
 
 
 def idw(points: DataFrame, targets: DataFrame, keys: list[str], power: float = 2.0) -> DataFrame:
-    """Inverse-distance values at ``targets`` from a stated set of control points; exact on a point (smallest id)."""
+    """Inverse-distance values at ``targets`` from a stated set of control points; exact on a point (smallest id).
+
+    Every point weighs at every target by definition. Up to ``BROADCAST_POINTS`` points meet the targets by broadcast;
+    more are dealt into blocks of so many, whose sums are added up per target.
+    """
     d2 = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
-    p = points.where("z IS NOT NULL").select(F.col("point_id"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
-    met = targets.join(p, how="cross").withColumn("_d", d2)
+    p = _placed(points).where("z IS NOT NULL").select(F.col("point_id"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
+    n = p.count()
     w = F.when(F.col("_d") > 0, 1 / F.pow("_d", F.lit(power / 2)))
-    on = F.min(F.when(F.col("_d") == 0, F.struct("point_id", "pz")))
-    return met.groupBy(*keys).agg(F.coalesce(on["pz"], F.sum(w * F.col("pz")) / F.sum(w)).alias("z"))
+    parts = []
+    dealt = p.withColumn("_block", F.pmod(F.xxhash64("point_id"), F.lit(max(1, -(-n // BROADCAST_POINTS)))))
+    for k in range(max(1, -(-n // BROADCAST_POINTS))):
+        met = targets.join(F.broadcast(dealt.where(F.col("_block") == k)), how="cross").withColumn("_d", d2)
+        parts.append(met.groupBy(*keys).agg(F.min(F.when(F.col("_d") == 0, F.struct("point_id", "pz"))).alias("_on"), F.sum(w * F.col("pz")).alias("_z"), F.sum(w).alias("_w")))
+    every = reduce(DataFrame.unionByName, parts).groupBy(*keys)
+    return every.agg(F.coalesce(F.min("_on")["pz"], F.sum("_z") / F.sum("_w")).alias("z"))
 
 
 def edges(rings: DataFrame, poly: str = "poly_id", order: str = "vseq") -> DataFrame:
@@ -58,16 +83,26 @@ def edges(rings: DataFrame, poly: str = "poly_id", order: str = "vseq") -> DataF
     return e.where("_n >= 3").drop("_n")
 
 
-def inside(points: DataFrame, rings: DataFrame, key: str = "point_id", poly: str = "poly_id") -> DataFrame:
+def inside(points: DataFrame, rings: DataFrame, key: str = "point_id", poly: str = "poly_id", broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
     """Ids of points in any ring, by even-odd crossings; the boundary is outside."""
     e = edges(rings, poly)
-    if e.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES:
+    facts = e.agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y2") - F.col("y1"))).alias("height"), (F.max(F.greatest("y1", "y2")) - F.min(F.least("y1", "y2"))).alias("span")).head()
+    points = points.select(key, "x", "y")
+    band = None
+    if facts["n"] <= broadcast_edges:
         e = F.broadcast(e)
+    else:
+        # points meet the edges of their band of y; a band is about as high as two edges
+        size = max(2 * facts["height"], facts["span"] / MOST_BANDS) or 1.0
+        e = e.withColumn("_band", F.explode(F.sequence(F.floor(F.least("y1", "y2") / size), F.floor(F.greatest("y1", "y2") / size))))
+        points = points.withColumn("_band", F.floor(F.col("y") / size))
+        band = points["_band"] == e["_band"]
     x, y = F.col("x"), F.col("y")
     cross = (F.col("x2") - F.col("x1")) * (y - F.col("y1")) - (F.col("y2") - F.col("y1")) * (x - F.col("x1"))
     on = (cross == 0) & x.between(F.least("x1", "x2"), F.greatest("x1", "x2")) & y.between(F.least("y1", "y2"), F.greatest("y1", "y2"))
     hit = ((F.col("y1") > y) != (F.col("y2") > y)) & (x < (F.col("x2") - F.col("x1")) * F.try_divide(y - F.col("y1"), F.col("y2") - F.col("y1")) + F.col("x1"))
-    met = points.select(key, "x", "y").join(e, (F.col("y") >= F.least("y1", "y2")) & (F.col("y") <= F.greatest("y1", "y2")))
+    near = (F.col("y") >= F.least("y1", "y2")) & (F.col("y") <= F.greatest("y1", "y2"))
+    met = points.join(e, near if band is None else band & near)
     each = met.groupBy(key, poly).agg(F.sum(F.coalesce(hit, F.lit(False)).cast("int")).alias("n"), F.max(on.cast("int")).alias("on"))
     return each.where("n % 2 = 1 AND on = 0").select(key).distinct()
 
@@ -77,6 +112,11 @@ def polygon_area(rings: DataFrame, poly: str = "poly_id") -> DataFrame:
     return edges(rings, poly).groupBy(poly).agg((F.abs(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))) / 2).alias("area"))
 
 
+def total_area(rings: DataFrame, poly: str = "poly_id") -> DataFrame:
+    """The area of all rings together, 0 if there is none."""
+    return polygon_area(rings, poly).agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("area"))
+
+
 def bbox(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min("x").alias("xmin"), F.min("y").alias("ymin"), F.max("x").alias("xmax"), F.max("y").alias("ymax"))
 

@@ -40,11 +40,30 @@ def zone_stats(samples: DataFrame, zones: DataFrame, value: str = "value", bore:
     return out.withColumns({"count": F.coalesce("count", F.lit(0).cast("long")), "sum": F.coalesce("sum", F.lit(0.0))})
 
 
-def net_samples(value: DataFrame, phi: DataFrame, sw: DataFrame, flag, bore: str = "bore_id") -> DataFrame:
-    """Samples of ``value`` that are net by ``flag(phi, sw)``, both read at the value's depths."""
-    at = at_md(phi, value, [bore], out="phi_at") if "value" not in value.columns else at_md(phi, value.withColumnRenamed("value", "_v"), [bore], out="phi_at")
-    at = at_md(sw, at, [bore], out="sw_at").withColumnRenamed("_v", "value")
-    return at.where(flag(F.col("phi_at"), F.col("sw_at")))
+def net_samples(value: DataFrame, phi: DataFrame, sw: DataFrame, flag, bore: str = "bore_id", vsh: DataFrame | None = None) -> DataFrame:
+    """Samples of ``value`` that are net by ``flag(phi, sw)``, or ``flag(phi, sw, vsh)``, all read at the value's depths."""
+    at = value.withColumnRenamed("value", "_v")
+    for name, log in (("phi_at", phi), ("sw_at", sw), *((("vsh_at", vsh),) if vsh is not None else ())):
+        at = at_md(log, at, [bore], out=name)
+    inputs = [F.col("phi_at"), F.col("sw_at"), *((F.col("vsh_at"),) if vsh is not None else ())]
+    return at.withColumnRenamed("_v", "value").where(flag(*inputs))
+
+
+def net_zone_stats(net: DataFrame, zones: DataFrame, value: str = "value", bore: str = "bore_id", mean: str = "arithmetic") -> DataFrame:
+    """One row per bore and zone with the bundle of its net samples; ``mean`` may be ``geometric`` (of positive values)."""
+    if mean not in ("arithmetic", "geometric"):
+        raise ValueError(f"unknown mean: {mean}")
+    out = zone_stats(net, zones, value, bore) if mean == "arithmetic" else None
+    if out is not None:
+        return out
+    got = clip(net, zones, bore).groupBy(bore, "zone").agg(geomean(F.col(value)).alias("mean"), F.count(F.when(F.col(value) > 0, 1)).alias("count"))
+    every = zones.select(bore, F.col("name").alias("zone"), "zone_ord")
+    return every.join(got, [bore, "zone"], "left").withColumn("count", F.coalesce("count", F.lit(0).cast("long")))
+
+
+def _weighed(samples: DataFrame, zones: DataFrame, bore: str, weigh: bool = True) -> DataFrame:
+    inside = clip(samples, zones, bore).withColumn("_gross", F.col("base_md") - F.col("top_md"))
+    return dz_weights(inside, [bore, "zone"], out="w") if weigh else inside.withColumn("w", F.lit(1.0))
 
 
 def zone_table(samples: DataFrame, zones: DataFrame, value: str = "value", bore: str = "bore_id", weigh: bool = True) -> DataFrame:
@@ -52,21 +71,24 @@ def zone_table(samples: DataFrame, zones: DataFrame, value: str = "value", bore:
 
     Weights are the midpoint steps of the samples given, per bore and zone, before anything is pooled.
     """
-    inside = clip(samples, zones, bore)
-    if weigh:
-        inside = dz_weights(inside, [bore, "zone"], out="w")
-    else:
-        inside = inside.withColumn("w", F.lit(1.0))
-    facts = inside.groupBy(bore, "zone", "zone_ord").agg(F.first(F.col("base_md") - F.col("top_md")).alias("gross"), F.count("*").alias("samples"))
-    return facts.join(weighted(inside, [bore, "zone"], value, "w"), [bore, "zone"])
+    inside = _weighed(samples, zones, bore, weigh)
+    return weighted(inside, [bore, "zone", "zone_ord"], value, "w", (F.first("_gross").alias("gross"), F.count("*").alias("samples")))
 
 
 def pooled_zone_table(samples: DataFrame, zones: DataFrame, value: str = "value", bore: str = "bore_id") -> DataFrame:
     """One row per zone over all bores: raw samples pooled with their bores' weights, gross averaged over bores."""
-    inside = dz_weights(clip(samples, zones, bore), [bore, "zone"], out="w")
-    per_bore = inside.groupBy("zone", bore).agg(F.first(F.col("base_md") - F.col("top_md")).alias("g"), F.count("*").alias("n"))
-    facts = per_bore.groupBy("zone").agg(F.avg("g").alias("gross"), F.sum("n").alias("samples"))
-    return facts.join(weighted(inside, ["zone"], value, "w"), "zone")
+    each = Window.partitionBy(bore, "zone")
+    inside = _weighed(samples, zones, bore).withColumn("_share", 1 / F.count("*").over(each))
+    gross = F.sum(F.col("_gross") * F.col("_share")) / F.sum("_share")
+    return weighted(inside, ["zone"], value, "w", (gross.alias("gross"), F.count("*").alias("samples")))
+
+
+def zone_table_all(samples: DataFrame, zones: DataFrame, value: str = "value", bore: str = "bore_id", label: str = "all") -> DataFrame:
+    """The zone table of every bore, and a row per zone over all of them whose bore is ``label``."""
+    own = zone_table(samples, zones, value, bore).withColumn(bore, F.col(bore).cast("string"))
+    pooled = pooled_zone_table(samples, zones, value, bore)
+    rank = zones.groupBy(F.col("name").alias("zone")).agg(F.min("zone_ord").alias("zone_ord"))
+    return own.unionByName(pooled.join(rank, "zone").withColumn(bore, F.lit(label)))
 
 
 def zone_geomean(samples: DataFrame, zones: DataFrame, value: str = "value", bore: str = "bore_id") -> DataFrame:

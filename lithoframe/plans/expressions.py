@@ -135,9 +135,16 @@ def compile(e: Any, column: dict[str, Column], in_span: dict[str, Column]) -> Co
     return {"and": lambda: a[0] & a[1], "or": lambda: a[0] | a[1], "not": lambda: ~a[0]}[e.op]()
 
 
+def _names(curves: DataFrame, wanted: set[str], aliases: dict[str, str] | None = None) -> list[str]:
+    """The logs there are that any of the wanted names may mean; others are not looked at."""
+    want = {n.lower() for n in wanted} | {b.lower() for a, b in (aliases or {}).items() if a.lower() in {n.lower() for n in wanted}}
+    family = {m.lower() for names in FAMILIES.values() if want & {m.lower() for m in names} for m in names}
+    return [r[0] for r in curves.select("mnemonic").where(F.lower("mnemonic").isin(*(want | family))).distinct().collect()]
+
+
 def evaluate(curves: DataFrame, e: Expr, basis: str, method: str = "linear", bore: str = "bore_id") -> DataFrame:
     """``bore, md, value`` of an expression at the depths of the log ``basis``; other logs are read by ``method``."""
-    known = [r[0] for r in curves.select("mnemonic").distinct().limit(10_000).collect()]
+    known = _names(curves, {basis, *channels(e)})
     of = lambda name: curves.where(F.col("mnemonic") == name).groupBy(bore, "md").agg(F.min_by("value", "seq").alias("value"))
     base = resolve(basis, known)
     out = of(base).withColumnRenamed("value", "_c0")
@@ -157,6 +164,6 @@ def evaluate(curves: DataFrame, e: Expr, basis: str, method: str = "linear", bor
 def where(curves: DataFrame, name: str, predicate: Expr, bore: str = "bore_id") -> DataFrame:
     """Samples of one log at whose depth a predicate holds."""
     keep = evaluate(curves, predicate, name, bore=bore).where("value").select(bore, "md")
-    known = [r[0] for r in curves.select("mnemonic").distinct().limit(10_000).collect()]
+    known = _names(curves, {name})
     log = curves.where(F.col("mnemonic") == resolve(name, known)).groupBy(bore, "md").agg(F.min_by("value", "seq").alias("value"))
     return log.join(keep, [bore, "md"], "left_semi")

@@ -82,10 +82,10 @@ def _(spark, d):
     return rounded(petro.model_inputs(petro.paired(f("view"), f("click")), "ft"), value=5, p1=5, p2=5)
 
 
-@register("pick_curve", f"{V.with_('curve')}, c AS (SELECT *, CASE WHEN seq % 3 = 0 THEN 'PHI_2019' WHEN seq % 3 = 1 THEN 'POR' ELSE 'GR' END AS name FROM curve), f AS (SELECT bore_id, min(CASE name WHEN 'POR' THEN 1 ELSE 2 END) AS first FROM c WHERE name <> 'GR' GROUP BY 1) SELECT c.seq FROM c JOIN f USING (bore_id) WHERE name <> 'GR' AND (CASE name WHEN 'POR' THEN 1 ELSE 2 END) = first")
+@register("pick_curve", f"{V.with_('curve')}, c AS (SELECT *, CASE WHEN seq % 3 = 0 THEN 'PHI_2019' WHEN seq % 3 = 1 THEN 'EFFPHI' ELSE 'GR' END AS name FROM curve), f AS (SELECT bore_id, min(CASE name WHEN 'EFFPHI' THEN 1 ELSE 2 END) AS first FROM c WHERE name <> 'GR' GROUP BY 1) SELECT c.seq FROM c JOIN f USING (bore_id) WHERE name <> 'GR' AND (CASE name WHEN 'EFFPHI' THEN 1 ELSE 2 END) = first")
 def _(spark, d):
-    name = F.when(F.col("seq") % 3 == 0, "PHI_2019").when(F.col("seq") % 3 == 1, "POR").otherwise("GR")
-    c = V.curve(spark, d).withColumn("mnemonic", name).withColumn("load_seq", F.when(F.col("mnemonic") == "POR", 1).when(F.col("mnemonic") == "GR", 0).otherwise(2))
+    name = F.when(F.col("seq") % 3 == 0, "PHI_2019").when(F.col("seq") % 3 == 1, "EFFPHI").otherwise("GR")
+    c = V.curve(spark, d).withColumn("mnemonic", name).withColumn("load_seq", F.when(F.col("mnemonic") == "EFFPHI", 1).when(F.col("mnemonic") == "GR", 0).otherwise(2))
     return petro.pick_curve(c, "PHIE").select("seq")
 
 

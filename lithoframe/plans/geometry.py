@@ -105,10 +105,9 @@ def _(spark, d):
     return rounded(V.node(spark, d).agg(*A.bundle(F.col("z"))), sum=4)
 
 
-@register("surface_area", f"{V.with_('node')} SELECT count(CASE WHEN z <= 1400 THEN 1 END) * 625.0::DOUBLE AS below, count(CASE WHEN z >= 1400 THEN 1 END) * 625.0::DOUBLE AS above FROM node")
+@register("surface_area", f"{V.with_('node')} SELECT count(CASE WHEN z <= 950 THEN 1 END) * 625.0::DOUBLE AS below, count(CASE WHEN z >= 950 THEN 1 END) * 625.0::DOUBLE AS above FROM node")
 def _(spark, d):
-    n = V.node(spark, d)
-    return grid.area_below(n, 1400.0, CELL).withColumnRenamed("area", "below").join(grid.area_above(n, 1400.0, CELL).withColumnRenamed("area", "above"))
+    return grid.areas(V.node(spark, d), 950.0, CELL)
 
 
 @register("surface_volume", f"{V.with_('node', _OTHER)} SELECT round(sum(abs(a.z - o.z)) * 625.0, 0) AS volume FROM node a JOIN o ON a.i = o.i AND a.j = o.j")
@@ -154,13 +153,13 @@ def _(spark, d):
 
 @register(
     "nearest_point",
-    f"""{V.with_('point')}, q AS (SELECT point_id AS query_id, x + 7 AS qx, y - 3 AS qy FROM point WHERE point_id % 5 = 0), p AS (SELECT * FROM point WHERE point_id % 5 <> 0),
+    f"""{V.with_('point')}, q AS (SELECT point_id AS query_id, x + 7 AS qx, y - 3 AS qy FROM point WHERE point_id % 100 = 0), p AS (SELECT * FROM point),
  r AS (SELECT query_id, point_id, sqrt((x - qx) * (x - qx) + (y - qy) * (y - qy)) AS d FROM q, p) SELECT query_id, arg_min(point_id, d) AS point_id, round(min(d), 6) AS distance FROM r GROUP BY 1""",
 )
 def _(spark, d):
     p = V.point(spark, d)
-    q = p.where("point_id % 5 = 0").select(F.col("point_id").alias("query_id"), (F.col("x") + 7).alias("x"), (F.col("y") - 3).alias("y"))
-    return rounded(spatial.nearest(p.where("point_id % 5 <> 0"), q, 40.0))
+    q = p.where("point_id % 100 = 0").select(F.col("point_id").alias("query_id"), (F.col("x") + 7).alias("x"), (F.col("y") - 3).alias("y"))
+    return rounded(spatial.nearest(p, q, 40.0))
 
 
 @register("idw_grid", f"""{V.with_('point')}, t AS (SELECT k % 12 AS i, k // 12 AS j, -100.0 + (k % 12) * 20.0 AS x, -100.0 + (k // 12) * 20.0 AS y FROM (SELECT unnest(range(0, 120)) AS k))
@@ -229,12 +228,12 @@ def _(spark, d):
 
 @register(
     "contour_segments",
-    f"""{V.with_('node', _QUAD)}, lv(level) AS (VALUES (1300.5::DOUBLE), (1400.5), (1500.5)), x AS (SELECT level, ci, cj, half, [az >= level, bz >= level, kz >= level] AS up, ai, aj, az, bi, bj, bz, ki, kj, kz FROM tri, lv)
+    f"""{V.with_('node', _QUAD)}, lv(level) AS (VALUES (910.5::DOUBLE), (945.5), (955.5)), x AS (SELECT level, ci, cj, half, [az >= level, bz >= level, kz >= level] AS up, ai, aj, az, bi, bj, bz, ki, kj, kz FROM tri, lv)
  SELECT level, count(*) AS n, round(sum(CASE WHEN up[1] <> up[2] THEN ai + (bi - ai) * (level - az) / (bz - az) ELSE 0 END + CASE WHEN up[2] <> up[3] THEN bi + (ki - bi) * (level - bz) / (kz - bz) ELSE 0 END + CASE WHEN up[3] <> up[1] THEN ki + (ai - ki) * (level - kz) / (az - kz) ELSE 0 END), 4) AS sx
  FROM x WHERE NOT (up[1] = up[2] AND up[2] = up[3]) GROUP BY 1""",
 )
 def _(spark, d):
-    s = mesh.contour_segments(mesh.quad_split(V.node(spark, d)), [1300.5, 1400.5, 1500.5])
+    s = mesh.contour_segments(mesh.quad_split(V.node(spark, d)), [910.5, 945.5, 955.5])
     return rounded(s.groupBy("level").agg(F.count("*").alias("n"), F.sum(F.col("x1") + F.col("x2")).alias("sx")), sx=4)
 
 
@@ -314,7 +313,7 @@ def _(spark, d):
 
 @register("contour_lines")
 def _(spark, d):
-    return kernels.contour_lines(mesh.contour_segments(mesh.quad_split(V.node(spark, d)), [1400.5]), 0.05)
+    return kernels.contour_lines(mesh.contour_segments(mesh.quad_split(V.node(spark, d)), [910.5, 955.5]), 0.05)
 
 
 @register("min_curvature_grid")
@@ -339,9 +338,64 @@ def _(spark, d):
     return _edge(mesh.wireframe_stride(mesh.quad_split(V.node(spark, d)), 3))
 
 
-@register("mesh_components")
+@register(
+    "mesh_components",
+    f"""{V.with_('node', _QUAD).replace('WITH ', 'WITH RECURSIVE ', 1)}, t AS (SELECT (ci * 1000 + cj) * 2 + half AS tid, ai * 1000 + aj AS a, bi * 1000 + bj AS b, ki * 1000 + kj AS c FROM tri),
+ e AS (SELECT a AS u, b AS v FROM t UNION SELECT b, c FROM t UNION SELECT c, a FROM t), s AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+ r(v, root) AS (SELECT u, u FROM s UNION SELECT s.v, r.root FROM r JOIN s ON s.u = r.v WHERE r.root < s.v), m AS (SELECT v, min(root) AS root FROM r GROUP BY v)
+ SELECT 0 AS mesh_id, tid::BIGINT AS tid, m.root::BIGINT AS component FROM t JOIN m ON m.v = t.a""",
+)
 def _(spark, d):
     t = mesh.quad_split(V.node(spark, d))
     vid = lambda c: (F.col(f"{c}.i") * 1000 + F.col(f"{c}.j")).cast("long").alias(c)
     flat = t.select(F.lit(0).alias("mesh_id"), ((F.col("ci") * 1000 + F.col("cj")) * 2 + F.col("half")).cast("long").alias("tid"), vid("a"), vid("b"), vid("c"))
     return mesh.components(flat)
+
+
+@register("mesh_faults", f"""{V.with_('node', _QUAD)}, t AS (SELECT ai % 3 AS mesh, ai * 1000 + aj AS a, CASE WHEN ai % 7 = 0 THEN ai * 1000 + aj ELSE bi * 1000 + bj END AS b, ki * 1000 + kj AS c FROM tri UNION ALL SELECT ai % 3, ai * 1000 + aj, bi * 1000 + bj, ki * 1000 + kj FROM tri WHERE aj % 5 = 0),
+ k AS (SELECT DISTINCT m AS mesh, i * 1000 + j AS v FROM node, (VALUES (0), (1), (2)) q(m) WHERE i % 11 <> 0), x AS (SELECT mesh, unnest([a, b, c]) AS v FROM t), s AS (SELECT mesh, unnest([[a, b], [b, c], [c, a]]) AS p FROM t),
+ d AS (SELECT mesh, least(p[1], p[2]) AS u, greatest(p[1], p[2]) AS v, count(*) AS n FROM s WHERE p[1] <> p[2] GROUP BY 1, 2, 3)
+ SELECT mesh AS mesh_id, 'unknown vertex' AS kind, count(*) AS n FROM x ANTI JOIN k USING (mesh, v) GROUP BY 1 UNION ALL SELECT mesh, 'repeated vertex', count(*) FROM t WHERE a = b OR b = c OR c = a GROUP BY 1 UNION ALL SELECT mesh, 'edge of more than two', count(*) FROM d WHERE n > 2 GROUP BY 1""")
+def _(spark, d):
+    n = V.node(spark, d)
+    vid = lambda c: F.col(f"{c}.i") * 1000 + F.col(f"{c}.j")
+    t = mesh.quad_split(n)
+    own = t.select((F.col("a.i") % 3).alias("mesh_id"), vid("a").alias("a"), F.when(F.col("a.i") % 7 == 0, vid("a")).otherwise(vid("b")).alias("b"), vid("c").alias("c"))
+    again = t.where("a.j % 5 = 0").select((F.col("a.i") % 3).alias("mesh_id"), vid("a").alias("a"), vid("b").alias("b"), vid("c").alias("c"))
+    known = n.where("i % 11 <> 0").select(F.explode(F.array(*(F.lit(m) for m in range(3)))).alias("mesh_id"), (F.col("i") * 1000 + F.col("j")).alias("vid"))
+    return mesh.faults(own.union(again), known)
+
+
+#: A finer geometry over part of the grid.
+_FINE = {"xori": 1000.0, "yori": 2010.0, "xinc": 11.0, "yinc": 13.0, "ncol": 60, "nrow": 40, "rotation_deg": 0.0, "yflip": False}
+
+
+@register(
+    "surface_resample",
+    f"""{V.with_('node')}, p AS (SELECT k % 60 AS ti, k // 60 AS tj, 1000.0 + (k % 60) * 11.0 - 1000 AS dx, 2010.0 + (k // 60) * 13.0 - 2000 AS dy FROM (SELECT unnest(range(0, 2400)) AS k)),
+ f AS (SELECT ti, tj, (dx * cos(radians(30.0)) + dy * sin(radians(30.0))) / 25 AS fi, (dy * cos(radians(30.0)) - dx * sin(radians(30.0))) / 25 AS fj FROM p), q AS (SELECT *, least(floor(fi), 48)::INT AS i0, least(floor(fj), 23)::INT AS j0 FROM f WHERE fi BETWEEN 0 AND 49 AND fj BETWEEN 0 AND 24),
+ c AS (SELECT ti, tj, n.z, CASE WHEN a = 1 THEN fi - i0 ELSE 1 - (fi - i0) END * CASE WHEN b = 1 THEN fj - j0 ELSE 1 - (fj - j0) END AS w, ((fi - i0 >= 0.5)::INT = a AND (fj - j0 >= 0.5)::INT = b) AS near FROM q, (VALUES (0,0),(0,1),(1,0),(1,1)) k(a, b) LEFT JOIN node n ON n.i = i0 + a AND n.j = j0 + b),
+ s AS (SELECT ti, tj, CASE WHEN max(CASE WHEN near THEN z END) IS NOT NULL THEN sum(w * z) / nullif(sum(CASE WHEN z IS NOT NULL THEN w END), 0) END AS z FROM c GROUP BY 1, 2) SELECT p.ti::INT AS i, p.tj::INT AS j, round(s.z, 5) AS z FROM p LEFT JOIN s USING (ti, tj)""",
+)
+def _(spark, d):
+    return rounded(grid.resample(V.node(spark, d), GEOMETRY, _FINE), z=5)
+
+
+@register(
+    "surface_from_nearest",
+    f"""{V.with_('point')}, t AS (SELECT k % 12 AS i, k // 12 AS j, -100.0 + (k % 12) * 20.0 AS x, -100.0 + (k // 12) * 20.0 AS y FROM (SELECT unnest(range(0, 120)) AS k))
+ SELECT i::INT AS i, j::INT AS j, round(arg_min(point.z, (t.x - point.x) ** 2 + (t.y - point.y) ** 2), 6) AS z FROM t, point GROUP BY 1, 2""",
+)
+def _(spark, d):
+    return rounded(grid.from_points(V.point(spark, d), WIDE, "nearest"))
+
+
+@register("polygon_total_area", f"WITH {RINGS_SQL} SELECT sum(a) AS area FROM (SELECT abs(sum(x1 * y2 - x2 * y1)) / 2 AS a FROM edge GROUP BY poly_id)")
+def _(spark, d):
+    return spatial.total_area(rings(spark))
+
+
+@register("wells_without_top", "WITH u AS (SELECT DISTINCT user_id AS bore_id FROM events) SELECT bore_id FROM u WHERE bore_id % 3 <> 2")
+def _(spark, d):
+    tops = V.tops(spark, d)
+    return sets.anti(tops.select("bore_id").distinct(), tops.where("name = 'C' AND md = 420"), ["bore_id"])

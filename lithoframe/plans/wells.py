@@ -77,19 +77,33 @@ def _(spark, d):
     )
 
 
-_FAMILY_SQL = "CASE " + " ".join(f"WHEN upper(b) IN ({', '.join(repr(x) for x in names)}) THEN '{to}'" for to, names in S.FAMILIES.items()) + " END"
+#: Raw curve names by nation, and the families that they must come out as, written down by hand.
+_RAW = (
+    ("phi_2020", "PHIE"), ("SUWI", "SW"), ("Gr", "GR"), ("vcl_1999", "VSH"), ("Foo_2001", "Foo"), ("bar", "bar"), (" EffPhi_2024 ", "PHIE"), ("phi_t", "PHIT"), ("CNL", "NPHI"), ("SW_E_2021", "SW"), ("swtot", "SWT"), ("GAMMA", "GR"),
+    ("VClay", "VSH"), ("kh", "PERM"), ("Dens", "RHOB"), ("DTCO_2011", "DT"), ("RDEP", "RT"), ("N_G", "NTG"), ("NET", "NET"), ("PORO", "PORO"), ("NTG_PhieLam", "NTG_PhieLam"), ("zden", "RHOB"), ("PHIE_20", "PHIE_20"), ("net_gross", "NTG"), ("klogh", "PERM"),
+)
 
 
-@register("canonical_mnemonic", f"SELECT n_nationkey, coalesce({_FAMILY_SQL}, b) AS family FROM (SELECT n_nationkey, regexp_replace(raw, '_[0-9]{{4}}$', '') AS b FROM (SELECT n_nationkey, (['phi_2020','SUWI','Gr','vcl_1999','Foo_2001','bar'])[n_nationkey % 6 + 1] AS raw FROM nation))")
+@register("canonical_mnemonic", "SELECT n_nationkey, f AS family FROM nation JOIN (VALUES " + ", ".join(f"({k}, '{f}')" for k, (_, f) in enumerate(_RAW)) + ") v(k, f) ON n_nationkey = k")
 def _(spark, d):
-    raw = F.element_at(F.array(*(F.lit(x) for x in ("phi_2020", "SUWI", "Gr", "vcl_1999", "Foo_2001", "bar"))), (F.col("n_nationkey") % 6 + 1).cast("int"))
+    raw = F.element_at(F.array(*(F.lit(x) for x, _ in _RAW)), F.col("n_nationkey").cast("int") + 1)
     return V.table(spark, d, "nation").select("n_nationkey", S.canonical_mnemonic(raw).alias("family"))
 
 
-@register("validity_mask", f"{V.with_('curve')} SELECT mnemonic, count(*) AS n, sum(CASE WHEN value BETWEEN 0 AND 250 THEN 0 ELSE 1 END)::BIGINT AS rejected, round(avg(CASE WHEN value BETWEEN 0 AND 250 THEN value END), 6) AS mean FROM curve GROUP BY mnemonic")
+#: Some samples undefined, and a family for each log; errors have none.
+_VALIDITY_SQL = f"""{V.with_('curve')}, f AS (SELECT *, CASE WHEN seq % 7 = 0 THEN NULL WHEN seq % 11 = 0 THEN value * -0.01 ELSE value * 0.01 END AS v FROM curve),
+ r AS (SELECT *, CASE mnemonic WHEN 'view' THEN v >= 0 AND v <= 1 WHEN 'click' THEN v >= 0 AND v <= 250 WHEN 'purchase' THEN v >= 1.0 AND v <= 3.5 ELSE true END AS ok FROM f)
+ SELECT mnemonic, count(*) AS n, count(CASE WHEN NOT ok THEN 1 END) AS rejected, count(CASE WHEN ok AND v IS NOT NULL THEN 1 END) AS valid, round(avg(CASE WHEN ok THEN v END), 6) AS mean FROM r GROUP BY mnemonic"""
+
+
+@register("validity_mask", _VALIDITY_SQL)
 def _(spark, d):
-    ok = S.mask_out_of_range(F.lit("GR"), F.col("value"))
-    return rounded(V.curve(spark, d).groupBy("mnemonic").agg(F.count("*").alias("n"), F.sum(ok.isNull().cast("long")).alias("rejected"), F.avg(ok).alias("mean")))
+    v = F.when(F.col("seq") % 7 == 0, F.lit(None)).when(F.col("seq") % 11 == 0, F.col("value") * -0.01).otherwise(F.col("value") * 0.01)
+    m = F.col("mnemonic")
+    family = F.when(m == "view", F.lit(" phie ")).when(m == "click", F.lit("GR")).when(m == "purchase", F.lit("Rhob")).otherwise(m)
+    c = V.curve(spark, d).withColumn("v", v)
+    rejected, kept = S.out_of_range(family, F.col("v")), S.mask_out_of_range(family, F.col("v"))
+    return rounded(c.groupBy("mnemonic").agg(F.count("*").alias("n"), F.sum(rejected.cast("long")).alias("rejected"), F.sum((S.in_range(family, F.col("v"))).cast("long")).alias("valid"), F.avg(kept).alias("mean")))
 
 
 @register("id_key", "SELECT c_custkey, replace(replace(replace(lower(trim(c_name)), '/', '_'), '-', '_'), ' ', '_') AS k FROM (SELECT c_custkey, replace(c_name, '#', '/ -') AS c_name FROM customer)")
@@ -234,11 +248,43 @@ def _(spark, d):
 
 
 @register("zone_table_pivot", f"""{V.with_('curve', V.log_sql('l', VALUE), 'tops', 'zones')}, s AS (SELECT z.bore_id, zone, avg(value) AS m FROM zones z JOIN l ON l.bore_id = z.bore_id AND md >= top_md AND md < base_md GROUP BY 1, 2)
- SELECT zone, round(max(CASE WHEN bore_id = 1 THEN m END), 3) AS b1, round(max(CASE WHEN bore_id = 2 THEN m END), 3) AS b2, round(max(CASE WHEN bore_id = 3 THEN m END), 3) AS b3 FROM s GROUP BY zone""")
+ SELECT zone, {', '.join(f"round(avg(CASE WHEN bore_id % 8 = {k} THEN m END), 3) AS g{k}" for k in range(8))} FROM s GROUP BY zone""")
 def _(spark, d):
     means = zones.clip(V.log(spark, d, VALUE), zones_of(spark, d)).groupBy("bore_id", "zone").agg(F.avg("value").alias("mean"))
-    wide = zones.pivot(means, "mean", [1, 2, 3])
-    return wide.select("zone", *(F.col(str(b)).alias(f"b{b}") for b in (1, 2, 3)))
+    groups = means.groupBy((F.col("bore_id") % 8).alias("g"), "zone").agg(F.avg("mean").alias("mean"))
+    wide = zones.pivot(groups, "mean", list(range(8)), bore="g")
+    return wide.select("zone", *(F.col(str(k)).alias(f"g{k}") for k in range(8)))
+
+
+_ALL_SQL = f"""{_NET_SQL}, {_CELL_SQL}, ww AS ({_weighted_sql('bore_id, zone')}), f AS (SELECT bore_id, zone, zone_ord, round(any_value(base_md - top_md), 3) AS gross, count(*) AS samples FROM cw GROUP BY 1, 2, 3),
+ wa AS ({_weighted_sql('zone')}), fa AS (SELECT zone, min(zone_ord) AS zone_ord, round(avg(g), 3) AS gross, sum(n)::BIGINT AS samples FROM (SELECT zone, zone_ord, bore_id, any_value(base_md - top_md) AS g, count(*) AS n FROM cw GROUP BY 1, 2, 3) GROUP BY 1)
+ SELECT bore_id::VARCHAR AS bore_id, zone, zone_ord, gross, samples, round(mean, 2) AS mean, p50 FROM f JOIN ww USING (bore_id, zone) UNION ALL SELECT 'all', zone, zone_ord, gross, samples, round(mean, 2) AS mean, p50 FROM fa JOIN wa USING (zone)"""
+
+
+@register("zone_table_all", _ALL_SQL)
+def _(spark, d):
+    table = zones.zone_table_all(_net(spark, d), zones_of(spark, d))
+    return rounded(table.select("bore_id", "zone", "zone_ord", "gross", "samples", F.round("mean", 5).alias("mean"), "p50"), mean=2, gross=3)
+
+
+_VSH_SQL = f"""{V.with_('curve', 'tops', 'zones', V.log_sql('p0', PHI), V.log_sql('s0', SW), V.log_sql('v0', 'error'), V.log_sql('l', VALUE))},
+ p AS (SELECT bore_id, md, least(value / 200.0, 1.0) AS value FROM p0), s AS (SELECT bore_id, md, least(value / 200.0, 1.0) AS value FROM s0), h AS (SELECT bore_id, md, least(value / 200.0, 1.0) AS value FROM v0),
+ {_lerp_sql('p', 'l', 'x')}, {_lerp_sql('s', 'x', 'y')}, {_lerp_sql('h', 'y', 'w')}, net AS (SELECT bore_id, md, value FROM w WHERE coalesce(x_v >= 0.08 AND y_v <= 0.5 AND w_v <= 0.4, false))"""
+
+
+def _net_vsh(spark, d):
+    flag = lambda phi, sw, vsh: S.net_flag(phi, sw, vsh, vsh_max=0.4)
+    return zones.net_samples(V.log(spark, d, VALUE), scaled(spark, d, PHI), scaled(spark, d, SW), flag, vsh=scaled(spark, d, "error"))
+
+
+@register("net_zone_stats", f"{_VSH_SQL} SELECT z.bore_id, zone, zone_ord, {BUNDLE_SQL.replace('(v', '(value')} FROM zones z LEFT JOIN net ON net.bore_id = z.bore_id AND md >= top_md AND md < base_md GROUP BY 1, 2, 3")
+def _(spark, d):
+    return rounded(zones.net_zone_stats(_net_vsh(spark, d), zones_of(spark, d)), sum=4)
+
+
+@register("net_zone_geomean", f"{_VSH_SQL} SELECT z.bore_id, zone, zone_ord, round(exp(avg(CASE WHEN value > 0 THEN ln(value) END)), 6) AS mean, count(CASE WHEN value > 0 THEN 1 END) AS count FROM zones z LEFT JOIN net ON net.bore_id = z.bore_id AND md >= top_md AND md < base_md GROUP BY 1, 2, 3")
+def _(spark, d):
+    return rounded(zones.net_zone_stats(_net_vsh(spark, d), zones_of(spark, d), mean="geometric"))
 
 
 @register(
@@ -265,9 +311,14 @@ def _(spark, d):
     return rounded(V.curve(spark, d).groupBy("mnemonic").agg(*A.characterise(F.col("value"), "triangular")))
 
 
-@register("md_increasing", f"{V.with_('curve')}, b AS (SELECT bore_id, mnemonic, seq, md, lag(md) OVER (PARTITION BY bore_id, mnemonic ORDER BY seq) AS before FROM curve) SELECT bore_id, mnemonic, min(seq) AS at FROM b WHERE md <= before GROUP BY 1, 2")
+#: Some depths are put back, so that series break.
+_BROKEN = "c AS (SELECT bore_id, mnemonic, seq, CASE WHEN seq % 13 = 0 THEN md - 90 ELSE md END AS md FROM curve)"
+
+
+@register("md_increasing", f"{V.with_('curve', _BROKEN)}, b AS (SELECT bore_id, mnemonic, seq, md, lag(md) OVER (PARTITION BY bore_id, mnemonic ORDER BY seq) AS before FROM c) SELECT bore_id, mnemonic, min(seq) AS at FROM b WHERE md <= before GROUP BY 1, 2")
 def _(spark, d):
-    return series.increasing(V.curve(spark, d), ["bore_id", "mnemonic"])
+    broken = V.curve(spark, d).withColumn("md", F.when(F.col("seq") % 13 == 0, F.col("md") - 90).otherwise(F.col("md")))
+    return series.increasing(broken, ["bore_id", "mnemonic"])
 
 
 @register("mnemonic_inventory", f"{V.with_('curve')} SELECT lower(mnemonic) AS k, arg_min(mnemonic, seq) AS name, count(DISTINCT bore_id) AS bores FROM curve GROUP BY 1")

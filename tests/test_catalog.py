@@ -16,13 +16,17 @@ def canon(rows):
     return sorted((tuple(one(v) for v in r) for r in rows), key=repr)
 
 
+#: Too few nodes in the smallest tables make no cells of these meshes.
+SPARSE = {"duplicate_slots", "mesh_decimated", "mesh_faults"}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(name, spark, duck, sf_dir):
     df = QUERIES[name](spark, sf_dir)
     cols = sorted(df.columns)
     got = canon(tuple(r[c] for c in cols) for r in df.select(*(f"`{c}`" for c in cols)).collect())
+    assert got or name in SPARSE, "no rows: the query compares nothing"
     if name not in ORACLES:
-        assert got is not None
         return
     rel = duck.execute(ORACLES[name])
     names = [x[0] for x in rel.description]

@@ -14,11 +14,11 @@ from lithoframe.plans import expressions as X
 
 def test_survey(spark):
     s = spark.createDataFrame([("A", 0.0, 0.0, 0.0), ("A", 600.0, 0.0, 0.0), ("A", 900.0, 90.0, 90.0)], "bore_id string, md double, inc double, azi double")
-    r = {x["md"]: x for x in path.positions(s, 1000.0, 2000.0, 27.3).collect()}
-    assert -r[600.0]["z"] == pytest.approx(572.7, abs=1e-9)
+    r = {x["md"]: x for x in path.positions(s, 1000.0, 2000.0, 18.5).collect()}
+    assert -r[600.0]["z"] == pytest.approx(581.5, abs=1e-9)
     radius = 300 / (math.pi / 2)
-    assert r[900.0]["x"] == pytest.approx(1000 + radius) and r[900.0]["y"] == pytest.approx(2000) and -r[900.0]["z"] == pytest.approx(572.7 + radius)
-    mid = path.position_at(path.positions(s, 1000.0, 2000.0, 27.3), spark.createDataFrame([("A", 750.0), ("A", 600.0), ("A", 901.0)], "bore_id string, md double"))
+    assert r[900.0]["x"] == pytest.approx(1000 + radius) and r[900.0]["y"] == pytest.approx(2000) and -r[900.0]["z"] == pytest.approx(581.5 + radius)
+    mid = path.position_at(path.positions(s, 1000.0, 2000.0, 18.5), spark.createDataFrame([("A", 750.0), ("A", 600.0), ("A", 901.0)], "bore_id string, md double"))
     got = {x["md"]: x for x in mid.collect()}
     assert got[750.0]["x"] == pytest.approx(1000 + radius * (1 - math.cos(math.pi / 4))) and got[600.0]["x"] == 1000.0 and got[901.0]["x"] is None
 
@@ -48,7 +48,7 @@ def test_expressions():
     assert X.from_dict(X.to_dict(e)) == e and X.channels(e) == {"a", "b", "c"}
     assert X.resolve("phie", ["PHI", "GR"]) == "PHI" and X.resolve("x", ["GR"], {"x": "gr"}) == "GR"
     with pytest.raises(KeyError, match="ambiguous"):
-        X.resolve("phie", ["PHI", "PORO"])
+        X.resolve("phie", ["PHI", "EFFPHI"])
 
 
 def test_hull_and_area(spark):
@@ -124,3 +124,130 @@ def test_mesh_components(spark):
 
     t = spark.createDataFrame([("m", 1, 5, 6, 7), ("m", 2, 7, 8, 9), ("m", 3, 20, 21, 22), ("n", 1, 5, 6, 7)], "mesh_id string, tid long, a long, b long, c long")
     assert {(r["mesh_id"], r["tid"]): r["component"] for r in mesh.components(t).collect()} == {("m", 1): 5, ("m", 2): 5, ("m", 3): 20, ("n", 1): 5}
+
+
+def test_families():
+    assert X.resolve("poro", ["PORO"]) == "PORO"
+    with pytest.raises(KeyError):
+        X.resolve("poro", ["PHI"])
+
+
+def test_geometry_mismatch(spark):
+    a = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0)], "i int, j int, z double")
+    b = spark.createDataFrame([(0, 0, 1.0)], "i int, j int, z double")
+    with pytest.raises(Exception, match="geometry mismatch"):
+        grid.combine(a, b, "plus").collect()
+    assert grid.combine(a, b, "plus", sparse=True).count() == 1
+    g = {"xori": 0.0, "xinc": 1.0, "ncol": 2}
+    with pytest.raises(ValueError, match="xinc"):
+        grid.combine(a, a, "plus", (g, g | {"xinc": 2.0}))
+    assert grid.combine(a, a, "minus", (g, dict(g))).agg({"z": "sum"}).head()[0] == 0.0
+
+
+def test_nearest_ends(spark):
+    rng = random.Random(2)
+    points = [(i, rng.uniform(0, 1e4), rng.uniform(0, 10)) for i in range(60)] + [(90, None, 1.0), (91, float("nan"), 1.0), (92, float("inf"), 0.0), (93, 5.0, None)]
+    queries = [(i, rng.uniform(-1e5, 1e5), rng.uniform(-1e5, 1e5)) for i in range(20)] + [(50, None, 1.0), (51, float("nan"), 1.0), (52, 1.0, float("inf"))]
+    p, q = spark.createDataFrame(points, "point_id long, x double, y double"), spark.createDataFrame(queries, "query_id long, x double, y double")
+    got = {r["query_id"]: r["point_id"] for r in spatial.nearest(p, q, 500.0).collect()}
+    want = {k: min((math.dist((x, y), (a, b)), i) for i, a, b in points[:60])[1] for k, x, y in queries[:20]}
+    assert got == want | {50: None, 51: None, 52: None}
+    nowhere = spatial.nearest(p.where("point_id >= 90"), q, 1.0).collect()
+    assert len(nowhere) == 23 and all(r["point_id"] is None for r in nowhere)
+    assert spatial.nearest(p, q.limit(0), 1.0).count() == 0
+
+
+def test_inside_by_bands(spark):
+    rng = random.Random(7)
+    rings = []
+    for k in range(30):
+        cx, cy, r = rng.uniform(0, 100), rng.uniform(0, 100), rng.uniform(1, 20)
+        rings += [(k, n, cx + r * math.cos(n), cy + r * math.sin(n)) for n in range(6)]
+    rings += [(99, 0, 0.0, 0.0), (99, 1, 1.0, 1.0)]
+    r = spark.createDataFrame(rings, "poly_id int, vseq int, x double, y double")
+    points = spark.createDataFrame([(i, rng.uniform(-5, 105), rng.uniform(-5, 105)) for i in range(800)] + [(900, None, 1.0)], "point_id long, x double, y double")
+    bands = spatial.inside(points, r, broadcast_edges=10)
+    assert "CartesianProduct" not in bands._jdf.queryExecution().toString() and "NestedLoop" not in bands._jdf.queryExecution().toString()
+    assert {x[0] for x in bands.collect()} == {x[0] for x in spatial.inside(points, r).collect()} != set()
+
+
+def test_idw_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    p = spark.createDataFrame([(i, rng.uniform(0, 9), rng.uniform(0, 9), rng.uniform(0, 5)) for i in range(50)] + [(70, 1.0, 1.0, 4.0), (71, 1.0, 1.0, 9.0)], "point_id long, x double, y double, z double")
+    t = spark.createDataFrame([(i, j, float(i), float(j)) for i in range(4) for j in range(4)], "i int, j int, x double, y double")
+    whole = {(r["i"], r["j"]): r["z"] for r in spatial.idw(p, t, ["i", "j"]).collect()}
+    monkeypatch.setattr(spatial, "BROADCAST_POINTS", 9)
+    for r in spatial.idw(p, t, ["i", "j"]).collect():
+        assert r["z"] == pytest.approx(whole[r["i"], r["j"]])
+    assert whole[1, 1] == 4.0
+
+
+def test_hypsometry_ties(spark):
+    rng = random.Random(5)
+    rows = [(i, j, rng.choice([1.0, 2.0, 2.0, 2.0, rng.uniform(0, 3)])) for i in range(40) for j in range(30)] + [(50, 0, None)]
+    got = {(r["i"], r["j"]): r["area"] for r in grid.hypsometry(spark.createDataFrame(rows, "i int, j int, z double"), 2.0).collect()}
+    want = {(i, j): 2.0 * n for n, (z, i, j) in enumerate(sorted((z, i, j) for i, j, z in rows if z is not None), 1)}
+    assert got == want
+
+
+def test_strat_order_many(spark):
+    # a thousand names, in more wells than one, and a cycle at the end
+    names = [f"n{i:04d}" for i in range(1000)]
+    picks = [(w, n, float(k), 1000 * w + k) for w in range(2) for k, n in enumerate(names[w * 500 : w * 500 + 510])]
+    picks += [(5, "x", 1.0, 9001), (5, "y", 2.0, 9002), (6, "y", 1.0, 9003), (6, "x", 2.0, 9004)]
+    order = sets.strat_order(spark.createDataFrame(picks, "well int, name string, md double, seq long"))
+    assert order == [*names, "x", "y"]
+
+
+def test_hints(spark):
+    assert sets.parse_hint("A < B top") == ("A", "B top") and sets.parse_hint(" C > D") == ("D", "C")
+    for bad in ("A B", "< B", "A >"):
+        with pytest.raises(ValueError):
+            sets.parse_hint(bad)
+    tops = spark.createDataFrame([("Sand Top",), ("Sandy",), ("Lower shale",), ("Upper shale",)], "name string")
+    assert sets.resolve_hints(tops, ["sand < lower", "UPPER > Sandy"]) == [("Sand Top", "Lower shale"), ("Sandy", "Upper shale")]
+    for bad in ("shale < sand", "lime < sand"):
+        with pytest.raises(ValueError):
+            sets.resolve_hints(tops, [bad])
+
+
+def test_unconverged_surface(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "STEPS", 2)
+    p = spark.createDataFrame([(1, 0.0, 0.0, 1.0), (1, 9.0, 9.0, 7.0), (1, 0.0, 9.0, -3.0)], "surface_id int, x double, y double, z double")
+    g = {"xori": 0.0, "yori": 0.0, "xinc": 1.0, "yinc": 1.0, "ncol": 10, "nrow": 10, "rotation_deg": 0.0, "yflip": False}
+    import numpy as np
+
+    held = np.zeros((10, 10), dtype=bool)
+    held[0, 0] = held[9, 9] = held[0, 9] = True
+    with pytest.raises(ArithmeticError):
+        kernels._biharmonic(np.where(held, 5.0, 0.0) + np.arange(100).reshape(10, 10) % 7, held)
+    monkeypatch.undo()
+    # brute force: the least curvature by least squares on all second differences
+    rng = np.random.default_rng(1)
+    held = np.zeros((7, 6), dtype=bool)
+    held[rng.integers(0, 7, 9), rng.integers(0, 6, 9)] = True
+    z = np.where(held, rng.uniform(-5, 5, (7, 6)), 0.0)
+    rows = []
+    for i in range(7):
+        for j in range(6):
+            for stencil, w in ((((i, j, 1), (i + 1, j, -2), (i + 2, j, 1)), 1.0), (((i, j, 1), (i, j + 1, -2), (i, j + 2, 1)), 1.0), (((i, j, 1), (i + 1, j, -1), (i, j + 1, -1), (i + 1, j + 1, 1)), 2**0.5)):
+                if all(a < 7 and b < 6 for a, b, _ in stencil):
+                    row = np.zeros((7, 6))
+                    for a, b, x in stencil:
+                        row[a, b] = w * x
+                    rows.append(row.ravel())
+    m, f = np.array(rows), held.ravel()
+    best = z.ravel().copy()
+    best[~f] = np.linalg.lstsq(m[:, ~f], -m[:, f] @ best[f], rcond=None)[0]
+    assert np.abs(kernels._biharmonic(z, held).ravel() - best).max() < 1e-6
+    z = grid.from_points(p.withColumn("point_id", p["x"].cast("long")), g, "min_curvature").where("i = 9 AND j = 9").head()["z"]
+    assert z == pytest.approx(7.0)
+
+
+def test_in_range(spark):
+    rows = [("phie ", 0.5, True), ("PHIE", 1.5, False), ("gr", -1.0, False), ("own", 9e9, True), ("own", float("inf"), False), ("own", float("nan"), False), ("PERM", float("nan"), False), ("GR", None, False)]
+    df = spark.createDataFrame(rows, "family string, x double, want boolean")
+    f, x = df["family"], df["x"]
+    got = df.select("want", scalars.in_range(f, x).alias("ok"), scalars.out_of_range(f, x).alias("out")).collect()
+    assert [r["ok"] for r in got] == [r["want"] for r in got]
+    assert [r["out"] for r in got] == [False, True, True, False, False, False, False, False]
