@@ -88,3 +88,41 @@ def steer(plan: DataFrame, step: float = 30.0, bore: str = "bore_id") -> DataFra
     k = F.sequence(F.lit(0), F.ceil(F.col("length") / step).cast("int"))
     s = plan.withColumn("_d", F.explode(k)).withColumn("_d", F.least(F.col("_d") * step, F.col("length")))
     return s.select(bore, (F.col("md") + F.col("_d")).alias("md"), (F.col("inc") + F.col("build") * F.col("_d") / 100).alias("inc"), (F.col("azi") + F.col("turn") * F.col("_d") / 100).alias("azi"))
+
+
+def md_range(path: DataFrame, bore: str = "bore_id") -> DataFrame:
+    """The measured depths between which each bore's path is known."""
+    return path.groupBy(bore).agg(F.min("md").alias("md_min"), F.max("md").alias("md_max"))
+
+
+def _increasing(df: DataFrame, bore: str) -> DataFrame:
+    before = F.lag("md").over(Window.partitionBy(bore).orderBy("seq"))
+    bad = F.when(F.col("md") <= before, F.raise_error(F.lit("measured depth must increase strictly")).cast("double"))
+    return df.withColumn("md", F.coalesce(bad, F.col("md")))
+
+
+def from_input(kind: str, rows: DataFrame, x: float = 0.0, y: float = 0.0, kb: float = 0.0, bore: str = "bore_id", step: float = 30.0) -> DataFrame:
+    """``bore, md, x, y, z, tn, te, td`` from any of the inputs that a path may have; depths must increase in order of ``seq``.
+
+    ``stations`` (seq, md, inc, azi) and ``hold`` or ``steer`` plans (md, inc, azi, length, build, turn; one row a bore) start at the
+    wellhead and follow minimum curvature; ``positioned`` rows (seq, md, x, y, z, inc, azi) are taken as they are;
+    ``xyz`` rows (seq, x, y, z) are chords, whose depth is their length.
+    """
+    if kind == "xyz":
+        nothing = {c: F.lit(None).cast("double") for c in ("tn", "te", "td")}
+        return chord_md(rows, bore).withColumns(nothing).select(bore, "md", "x", "y", "z", "tn", "te", "td")
+    if kind == "positioned":
+        t = tangent(F.col("inc"), F.col("azi"))
+        return _increasing(rows, bore).select(bore, "md", "x", "y", "z", *(c.alias(n) for c, n in zip(t, ("tn", "te", "td"), strict=True)))
+    if kind in ("hold", "steer"):
+        plan = rows if kind == "steer" else rows.withColumns({"build": F.lit(0.0), "turn": F.lit(0.0)})
+        return positions(steer(plan, step if kind == "steer" else 1e308, bore), x, y, kb, bore)
+    if kind != "stations":
+        raise ValueError(f"unknown kind of path: {kind}")
+    return positions(_increasing(rows, bore), x, y, kb, bore)
+
+
+def positioned_log(curve: DataFrame, path: DataFrame, bore: str = "bore_id") -> DataFrame:
+    """Samples of a log with their position on the bore's path; undefined outside of it."""
+    at = position_at(path, curve.select(bore, "md").distinct(), bore)
+    return curve.join(at, [bore, "md"], "left")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import FAMILIES, defined, divided
@@ -161,6 +161,23 @@ def evaluate(curves: DataFrame, e: Expr, basis: str, method: str = "linear", bor
     return out.select(bore, "md", compile(e, column, spans).alias("value"))
 
 
+def assign(curves: DataFrame, name: str, e: Expr, basis: str, method: str = "linear", bore: str = "bore_id") -> tuple[DataFrame, DataFrame]:
+    """``curves`` with the log ``name`` computed for every bore that has all logs it needs, in place of one of that name;
+    and a report ``bore, status, samples``: created, or skipped for want of a log."""
+    wanted = {basis, *channels(e)}
+    known = _names(curves, wanted)
+    need = sorted({resolve(n, known) for n in wanted})
+    has = curves.groupBy(bore).agg(F.count_distinct(F.when(F.col("mnemonic").isin(need), F.col("mnemonic"))).alias("_n"))
+    ready = has.where(F.col("_n") == len(need)).select(bore)
+    got = evaluate(curves.join(ready, bore, "left_semi"), e, basis, method, bore).withColumn("mnemonic", F.lit(name))
+    seq = F.row_number().over(Window.partitionBy(bore).orderBy("md")).cast("long")
+    new = got.withColumn("seq", seq)
+    kept = curves.join(ready.withColumn("mnemonic", F.lit(name)), [bore, "mnemonic"], "left_anti")
+    made = new.groupBy(bore).agg(F.count("value").alias("samples"))
+    report = has.select(bore).join(made, bore, "left").select(bore, F.when(F.col("samples").isNull(), "skipped").otherwise("created").alias("status"), F.coalesce("samples", F.lit(0).cast("long")).alias("samples"))
+    return kept.unionByName(new, allowMissingColumns=True), report
+
+
 def where(curves: DataFrame, name: str, predicate: Expr, bore: str = "bore_id") -> DataFrame:
     """Samples of one log at whose depth a predicate holds."""
     keep = evaluate(curves, predicate, name, bore=bore).where("value").select(bore, "md")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import uncertain as U
-from ..operators import petro
+from ..operators import bores, path, petro
 from ..streaming import events
 from . import expressions as X
 from . import views as V
+from .geometry import _AT_SQL
 from .wells import _lerp_sql, rounded
 
 QUERIES: dict = {}
@@ -102,3 +103,71 @@ def _(spark, d):
     s = F.col("p_size").cast("double")
     p = V.table(spark, d, "part").select("p_partkey", U.uniform(s, s * 2).alias("u"), U.with_provenance(U.lognormal(s / 10, F.lit(1.0)), "assumed").alias("l"))
     return rounded(p.select("p_partkey", F.col("u.value").alias("uniform"), F.col("l.value").alias("lognormal"), F.col("l.provenance").alias("provenance")), lognormal=5)
+
+
+_BORES_SQL = "WITH b AS (SELECT s_nationkey AS well, CASE s_suppkey % 4 WHEN 0 THEN '' ELSE 'ST' || (s_suppkey % 4) END AS bore, s_suppkey % 3 = 0 AS has_path FROM supplier), g AS (SELECT well, count(DISTINCT CASE WHEN has_path THEN bore END) AS n, min(CASE WHEN has_path THEN bore END) AS sole, list(bore) AS bores FROM b GROUP BY 1)"
+
+
+def _bores(spark, d):
+    k = F.col("s_suppkey") % 4
+    return V.table(spark, d, "supplier").select(F.col("s_nationkey").alias("well"), F.when(k == 0, F.lit("")).otherwise(F.concat(F.lit("ST"), k.cast("string"))).alias("bore"), (F.col("s_suppkey") % 3 == 0).alias("has_path"))
+
+
+@register("bore_resolution", f"{_BORES_SQL} SELECT well, CASE WHEN well % 5 = 0 AND list_contains(bores, 'ST2') THEN 'ST2' WHEN n = 1 THEN sole ELSE '' END AS bore, CASE WHEN well % 5 = 0 AND list_contains(bores, 'ST2') THEN 'default' WHEN n = 1 THEN 'only path' ELSE 'main' END AS how FROM g")
+def _(spark, d):
+    defaults = V.table(spark, d, "nation").where("n_nationkey % 5 = 0").select(F.col("n_nationkey").alias("well"), F.lit("ST2").alias("bore"))
+    return bores.resolve(_bores(spark, d), defaults)
+
+
+@register("multibore_wells", f"{_BORES_SQL} SELECT well, n AS paths FROM g WHERE n > 1")
+def _(spark, d):
+    return bores.multibore(_bores(spark, d))
+
+
+@register("bore_ids", "SELECT s_suppkey, s_name || CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' A' ELSE ' ST2' END AS id FROM supplier")
+def _(spark, d):
+    k = F.col("s_suppkey") % 3
+    label = F.when(k == 0, F.lit("")).when(k == 1, F.lit("A")).otherwise(F.lit("ST2"))
+    return V.table(spark, d, "supplier").select("s_suppkey", bores.bore_id(F.col("s_name"), label).alias("id"))
+
+
+@register("active_paths", "WITH p AS (SELECT o_custkey % 100 AS bore_id, o_orderkey % 5 AS path_id, o_orderkey AS load_seq FROM orders), m AS (SELECT bore_id, path_id, max(load_seq) AS l FROM p GROUP BY 1, 2), b AS (SELECT bore_id, path_id, row_number() OVER (PARTITION BY bore_id ORDER BY (path_id = 2 AND bore_id % 3 = 0) DESC, l DESC, path_id DESC) AS k FROM m) SELECT p.bore_id, p.path_id, count(*) AS stations FROM p JOIN b ON p.bore_id = b.bore_id AND p.path_id = b.path_id AND k = 1 GROUP BY 1, 2")
+def _(spark, d):
+    p = V.table(spark, d, "orders").select((F.col("o_custkey") % 100).alias("bore_id"), (F.col("o_orderkey") % 5).alias("path_id"), F.col("o_orderkey").alias("load_seq"))
+    chosen = p.where("bore_id % 3 = 0").select("bore_id").distinct().withColumn("path_id", F.lit(2).cast("long"))
+    return bores.active(p, chosen).groupBy("bore_id", "path_id").agg(F.count("*").alias("stations"))
+
+
+@register("path_range", f"{V.with_('survey')} SELECT bore_id, min(md) AS md_min, max(md) AS md_max FROM survey GROUP BY 1")
+def _(spark, d):
+    return path.md_range(path.from_input("stations", V.survey(spark, d).withColumn("seq", F.col("md")), 1000.0, 2000.0, 27.3))
+
+
+@register("path_from_xyz", f"""{V.with_('point')}, s AS (SELECT *, point_id % 7 AS bore_id, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2 + (z - lag(z) OVER w) ** 2), 0) AS step FROM point WINDOW w AS (PARTITION BY point_id % 7 ORDER BY point_id)) SELECT bore_id, round(sum(step) OVER (PARTITION BY bore_id ORDER BY point_id ROWS UNBOUNDED PRECEDING), 4) AS md, round(z, 4) AS z FROM s""")
+def _(spark, d):
+    rows = V.point(spark, d).select((F.col("point_id") % 7).alias("bore_id"), F.col("point_id").alias("seq"), "x", "y", "z")
+    return rounded(path.from_input("xyz", rows).select("bore_id", "md", "z"), md=4, z=4)
+
+
+@register("positioned_log", f"""{_AT_SQL.split(', tg AS')[0]}, lg AS (SELECT user_id AS bore, seq, md FROM (SELECT bore_id AS user_id, seq, md FROM ({V.SQL['curve'].split(' AS ', 1)[1][1:-1]}) WHERE mnemonic = 'view')),
+ k AS (SELECT lg.seq, lg.md, g.*, (lg.md - m0) / (m1 - m0) AS f, acos(least(greatest(n0 * n1 + e0 * e1 + d0 * d1, -1.0), 1.0)) AS beta FROM lg LEFT JOIN seg g ON lg.bore % 5 = g.bore_id AND lg.md >= m0 AND lg.md < m1),
+ h AS (SELECT *, sin((1 - f) * beta) / sin(beta) AS wa, sin(f * beta) / sin(beta) AS wb, (md - m0) / 2 * CASE WHEN f * beta < 1e-4 THEN 1 + (f * beta) ** 2 / 12 ELSE 2 / (f * beta) * tan(f * beta / 2) END AS hf FROM k)
+ SELECT seq, round(x0 + hf * (e0 + wa * e0 + wb * e1), 4) AS x, round(z0 - hf * (d0 + wa * d0 + wb * d1), 4) AS z FROM h""")
+def _(spark, d):
+    curve = V.curve(spark, d).where("mnemonic = 'view'")
+    every = curve.select("bore_id").distinct()
+    ways = path.from_input("stations", V.survey(spark, d).withColumn("seq", F.col("md")), 1000.0, 2000.0, 27.3)
+    own = every.withColumn("_k", F.col("bore_id") % 5).join(ways.withColumnRenamed("bore_id", "_k"), "_k").drop("_k")
+    return rounded(path.positioned_log(curve, own).select("seq", "x", "z"), x=4, z=4)
+
+
+@register("calculated_log_report", f"{V.with_('curve')}, b AS (SELECT bore_id, count(DISTINCT CASE WHEN mnemonic IN ('view', 'click') AND NOT (mnemonic = 'click' AND bore_id % 4 = 0) THEN mnemonic END) AS n FROM curve GROUP BY 1) SELECT bore_id, CASE WHEN n = 2 THEN 'created' ELSE 'skipped' END AS status FROM b")
+def _(spark, d):
+    c = V.curve(spark, d).where("NOT (mnemonic = 'click' AND bore_id % 4 = 0)")
+    e = X.channel("view") + X.channel("click")
+    return X.assign(c, "total", e, "view")[1].select("bore_id", "status")
+
+
+@register("tops_in_order", f"{V.with_('tops')} SELECT bore_id, name, CASE name WHEN 'D' THEN 0 WHEN 'B' THEN 1 WHEN 'A' THEN 2 END AS ord FROM tops")
+def _(spark, d):
+    return bores.order_to_bores(V.tops(spark, d), ["D", "B", "A"]).select("bore_id", "name", "ord")

@@ -258,13 +258,13 @@ def _(spark, d):
 
 _ALL_SQL = f"""{_NET_SQL}, {_CELL_SQL}, ww AS ({_weighted_sql('bore_id, zone')}), f AS (SELECT bore_id, zone, zone_ord, round(any_value(base_md - top_md), 3) AS gross, count(*) AS samples FROM cw GROUP BY 1, 2, 3),
  wa AS ({_weighted_sql('zone')}), fa AS (SELECT zone, min(zone_ord) AS zone_ord, round(avg(g), 3) AS gross, sum(n)::BIGINT AS samples FROM (SELECT zone, zone_ord, bore_id, any_value(base_md - top_md) AS g, count(*) AS n FROM cw GROUP BY 1, 2, 3) GROUP BY 1)
- SELECT bore_id::VARCHAR AS bore_id, zone, zone_ord, gross, samples, round(mean, 2) AS mean, p50 FROM f JOIN ww USING (bore_id, zone) UNION ALL SELECT 'all', zone, zone_ord, gross, samples, round(mean, 2) AS mean, p50 FROM fa JOIN wa USING (zone)"""
+ SELECT bore_id::VARCHAR AS bore_id, zone, zone_ord, gross, samples, min, max, p50 FROM f JOIN ww USING (bore_id, zone) UNION ALL SELECT 'all', zone, zone_ord, gross, samples, min, max, p50 FROM fa JOIN wa USING (zone)"""
 
 
 @register("zone_table_all", _ALL_SQL)
 def _(spark, d):
     table = zones.zone_table_all(_net(spark, d), zones_of(spark, d))
-    return rounded(table.select("bore_id", "zone", "zone_ord", "gross", "samples", F.round("mean", 5).alias("mean"), "p50"), mean=2, gross=3)
+    return rounded(table.select("bore_id", "zone", "zone_ord", "gross", "samples", "min", "max", "p50"), gross=3)
 
 
 _VSH_SQL = f"""{V.with_('curve', 'tops', 'zones', V.log_sql('p0', PHI), V.log_sql('s0', SW), V.log_sql('v0', 'error'), V.log_sql('l', VALUE))},

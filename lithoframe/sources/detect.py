@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +54,11 @@ def kind_of(header: str, path: str) -> str | None:
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, kind, length`` of every file under a folder; only headers are looked at."""
-    kind = F.udf(kind_of, "string")
+    """``path, kind, length`` of every file under a folder; the kind follows from headers, whose files are read whole."""
+
+    @F.pandas_udf("string")
+    def kind(headers: pd.Series, paths: pd.Series) -> pd.Series:
+        return pd.Series([kind_of(h, p) for h, p in zip(headers, paths, strict=True)], dtype=object)
+
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     return files.select("path", kind(F.decode(F.substring("content", 1, HEADER_BYTES), "ISO-8859-1"), "path").alias("kind"), "length")

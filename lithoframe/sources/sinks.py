@@ -40,6 +40,15 @@ def points_geojson(points: DataFrame, path: str) -> None:
     points.select(F.to_json(feature, {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
+def polygons_geojson(rings: DataFrame, path: str) -> None:
+    """A polygon per line in ``path``, from ``poly_id, vseq, x, y``; a ring, which its line must hold, is one row while it is written."""
+    order = F.transform(F.array_sort(F.collect_list(F.struct("vseq", "x", "y"))), lambda v: F.array(v["x"], v["y"]))
+    line = rings.groupBy("poly_id").agg(order.alias("ring"))
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.array("ring").alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.create_map().cast("map<string,string>").alias("properties"))
+    line.select(F.to_json(feature).alias("value")).write.mode("overwrite").text(path)
+
+
 def points_csv(points: DataFrame, path: str) -> None:
     points.select("x", "y", "z", *(c for c in points.columns if c not in ("x", "y", "z"))).write.mode("overwrite").option("header", True).option("nullValue", "NaN").csv(path)
 

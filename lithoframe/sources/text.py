@@ -61,18 +61,36 @@ def cps3_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", "poly_id", order.alias("vseq"), F.get("v", F.lit(0)).alias("x"), F.get("v", F.lit(1)).alias("y"))
 
 
+#: What says in its first lines that a file has another format, and that format.
+FOREIGN = (
+    (r"(?im)^\s*~", "LAS"),
+    (r"(?im)^\s*(?:->|FSASCI|FFASCI|FFATTR|FSNROW|FSXINC|FSLIMI)", "CPS-3"),
+    (r"(?i)EARTHVISION|GRID_SIZE|GRID_SPACE|(?m:^\s*#.*FIELD:)", "EarthVision grid"),
+)
+
+
+def _plain(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of plain coordinate files; files of another format raise."""
+    whole = _whole(spark, path)
+    top = F.array_join(F.slice(F.split("text", r"\r?\n"), 1, 40), "\n")
+    text = F.col("text")
+    for pattern, name in FOREIGN:
+        text = F.when(top.rlike(pattern), F.raise_error(F.concat(F.col("path"), F.lit(f" looks like {name}, not plain coordinates"))).cast("string")).otherwise(text)
+    return whole.select("path", F.posexplode(F.split(text, r"\r?\n")).alias("n", "line"))
+
+
 def xyz_points(spark: SparkSession, path: str) -> DataFrame:
-    """Points of plain files; comments and separator rows (x = 999) are left out, a bad number raises."""
-    rows = _lines(spark, path).where(~F.trim("line").rlike(r"^(?:[#!].*)?$")).withColumn("v", _numbers(F.col("line")))
+    """Points of plain files; comments and separator rows (x = 999) are left out, a bad number or another format raises."""
+    rows = _plain(spark, path).where(~F.trim("line").rlike(r"^(?:[#!].*)?$")).withColumn("v", _numbers(F.col("line")))
     bad = (F.size("v") < 3) | F.get("v", F.lit(0)).isNull() | F.get("v", F.lit(1)).isNull() | F.get("v", F.lit(2)).isNull()
     x = F.when(bad, F.raise_error(F.concat(F.lit("not three numbers: "), F.col("line"))).cast("double")).otherwise(F.get("v", F.lit(0)))
     return rows.select("path", F.col("n").alias("seq"), x.alias("x"), F.get("v", F.lit(1)).alias("y"), sentinel(F.get("v", F.lit(2))).alias("z")).where("x <> 999.0")
 
 
 def xyz_polygons(spark: SparkSession, path: str) -> DataFrame:
-    """Rings ended by separator rows; empty rings are dropped."""
+    """Rings ended by separator rows; empty rings are dropped, another format raises."""
     run = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    rows = _lines(spark, path).where(~F.trim("line").rlike(r"^(?:[#!].*)?$")).withColumn("v", _numbers(F.col("line")))
+    rows = _plain(spark, path).where(~F.trim("line").rlike(r"^(?:[#!].*)?$")).withColumn("v", _numbers(F.col("line")))
     rows = rows.withColumn("end", (F.get("v", F.lit(0)) == 999.0).cast("int")).withColumn("poly_id", F.sum("end").over(run)).where("end = 0")
     order = F.row_number().over(Window.partitionBy("path", "poly_id").orderBy("n")) - 1
     return rows.select("path", "poly_id", order.alias("vseq"), F.get("v", F.lit(0)).alias("x"), F.get("v", F.lit(1)).alias("y"))
@@ -98,9 +116,11 @@ def csv_points(spark: SparkSession, path: str, x: str = "x", y: str = "y", z: st
 
 
 def geojson(spark: SparkSession, path: str) -> DataFrame:
-    """``path, feature, type, coordinates, properties`` (JSON texts) of each feature."""
-    schema = "features array<struct<geometry: struct<type: string, coordinates: string>, properties: map<string, string>>>"
-    f = _whole(spark, path).select("path", F.posexplode(F.from_json("text", schema)["features"]).alias("feature", "f"))
+    """``path, feature, type, coordinates, properties`` (JSON texts) of each feature of a collection, or of a feature a line."""
+    one = "struct<geometry: struct<type: string, coordinates: string>, properties: map<string, string>>"
+    lines = F.transform(F.filter(F.split("text", r"\r?\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, one))
+    every = F.when(F.col("text").rlike(r'"type"\s*:\s*"FeatureCollection"'), F.from_json("text", f"features array<{one}>")["features"]).otherwise(lines)
+    f = _whole(spark, path).select("path", F.posexplode(every).alias("feature", "f"))
     return f.select("path", "feature", F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("coordinates"), F.col("f.properties").alias("properties"))
 
 
@@ -121,6 +141,27 @@ def geojson_rings(spark: SparkSession, path: str) -> DataFrame:
     return r.select("path", ident, "ring").select("path", "poly_id", F.posexplode("ring").alias("vseq", "c")).select("path", "poly_id", "vseq", F.get("c", F.lit(0)).alias("x"), F.get("c", F.lit(1)).alias("y"))
 
 
+def tops_csv(spark: SparkSession, path: str, name: str = "name", md: str = "md") -> DataFrame:
+    """``path, seq, name, md`` of formation tops in a CSV file, by column names; a depth that is no number raises."""
+    raw = spark.read.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    for column in (name, md):
+        if column not in raw.columns:
+            raise KeyError(f"no column {column}")
+    depth = F.trim(F.col(f"`{md}`")).try_cast("double")
+    depth = F.when(depth.isNull(), F.raise_error(F.concat(F.lit("not a depth: "), F.coalesce(F.col(f"`{md}`"), F.lit("")))).cast("double")).otherwise(depth)
+    return raw.select(F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("seq"), F.col(f"`{name}`").alias("name"), depth.alias("md"))
+
+
+def wellpath_head(spark: SparkSession, path: str) -> DataFrame:
+    """``path, well, x, y, kb, crs`` of well path headers; what a header does not say is undefined."""
+    say = lambda *labels: F.coalesce(*(F.nullif(F.trim(F.regexp_extract("text", rf"(?im)^#[^\n]*{label}[^:=\n]*[:=]?\s*([^\r\n]*)", 1)), F.lit("")) for label in labels))
+    number = lambda c: F.regexp_extract(c, NUMBER, 0).try_cast("double")
+    return _whole(spark, path).select(
+        "path", say("WELL NAME", "WELL:").alias("well"), number(say("HEAD X", "X-COORDINATE")).alias("x"), number(say("HEAD Y", "Y-COORDINATE")).alias("y"),
+        number(say(r"\bKB\b", "DATUM")).alias("kb"), say(r"\bCRS\b").alias("crs"),
+    )
+
+
 def wellpath(spark: SparkSession, path: str) -> DataFrame:
     """Stations of well path exports: columns 1 MD, 2 X, 3 Y, 5 TVD, 9 inclination, 11 azimuth."""
     rows = _lines(spark, path).where(~F.trim("line").startswith("#")).withColumn("v", _numbers(F.col("line")))

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from lithoframe.functions import scalars
-from lithoframe.operators import grid, kernels, path, series, sets, spatial, zones
+from lithoframe.operators import bores, grid, kernels, path, series, sets, spatial, zones
 from lithoframe.plans import expressions as X
 
 
@@ -251,3 +251,40 @@ def test_in_range(spark):
     got = df.select("want", scalars.in_range(f, x).alias("ok"), scalars.out_of_range(f, x).alias("out")).collect()
     assert [r["ok"] for r in got] == [r["want"] for r in got]
     assert [r["out"] for r in got] == [False, True, True, False, False, False, False, False]
+
+
+def test_bores(spark):
+    rows = [("w1", "", True), ("w2", "", False), ("w2", "A", True), ("w3", "", False), ("w3", "A", True), ("w3", "B", True), ("w4", "", False)]
+    b = spark.createDataFrame(rows, "well string, bore string, has_path boolean")
+    got = {r["well"]: (r["bore"], r["how"]) for r in bores.resolve(b).collect()}
+    assert got == {"w1": ("", "only path"), "w2": ("A", "only path"), "w3": ("", "main"), "w4": ("", "main")}
+    chosen = spark.createDataFrame([("w3", "B"), ("w1", "gone")], "well string, bore string")
+    got = {r["well"]: (r["bore"], r["how"]) for r in bores.resolve(b, chosen, strict=True).collect()}
+    assert got["w3"] == ("B", "default") and got["w1"] == ("", "only path")
+    with pytest.raises(Exception, match="choose a bore of w3"):
+        bores.resolve(b, strict=True).collect()
+
+
+def test_path_inputs(spark):
+    def at(p):
+        return [(r["md"], round(r["x"], 6), round(r["y"], 6), round(r["z"], 6)) for r in p.orderBy("md").collect()]
+
+    plan = "bore_id string, md double, inc double, azi double, length double, build double, turn double"
+    down = spark.createDataFrame([("A", 100.0, 0.0, 0.0, 50.0, 0.0, 0.0)], plan)
+    assert at(path.from_input("hold", down, 1.0, 2.0, 10.0)) == [(100.0, 1.0, 2.0, -90.0), (150.0, 1.0, 2.0, -140.0)]
+    curve = path.from_input("steer", spark.createDataFrame([("A", 0.0, 0.0, 0.0, 100.0, 90.0, 0.0)], plan)).orderBy("md").collect()
+    assert [r["md"] for r in curve] == [0.0, 30.0, 60.0, 90.0, 100.0] and curve[-1]["y"] == pytest.approx(200 / math.pi)
+    rows = spark.createDataFrame([("A", 1, 0.0, 1.0, 2.0, -3.0, 0.0, 0.0), ("A", 2, 10.0, 1.0, 2.0, -13.0, 0.0, 0.0)], "bore_id string, seq int, md double, x double, y double, z double, inc double, azi double")
+    assert at(path.from_input("positioned", rows)) == [(0.0, 1.0, 2.0, -3.0), (10.0, 1.0, 2.0, -13.0)]
+    assert [x[0] for x in at(path.from_input("xyz", rows))] == [0.0, 10.0]
+    with pytest.raises(Exception, match="increase strictly"):
+        path.from_input("positioned", rows.withColumn("md", rows["md"] * 0)).collect()
+    with pytest.raises(ValueError):
+        path.from_input("other", rows)
+
+
+def test_assigned_log(spark):
+    rows = [(1, "a", float(k), 1.0 * k, k) for k in range(4)] + [(1, "b", float(k), 10.0, 10 + k) for k in range(4)] + [(2, "a", 0.0, 1.0, 20), (1, "sum", 0.0, -1.0, 30)]
+    curves, report = X.assign(spark.createDataFrame(rows, "bore_id int, mnemonic string, md double, value double, seq long"), "sum", X.channel("a") + X.channel("b"), "a")
+    assert {tuple(r) for r in report.collect()} == {(1, "created", 4), (2, "skipped", 0)}
+    assert sorted(r["value"] for r in curves.where("mnemonic = 'sum'").collect()) == [10.0, 11.0, 12.0, 13.0]

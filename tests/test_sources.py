@@ -2,7 +2,7 @@
 
 import pytest
 
-from lithoframe.sources import detect, sinks, text
+from lithoframe.sources import detect, load, sinks, text
 
 
 def put(folder, name, body):
@@ -94,3 +94,58 @@ def test_project(spark, tmp_path):
     sinks.save_project(spark, {"surfaces": a, "other": a}, str(tmp_path / "p"), {"unit": "m"})
     assert set(sinks.inspect(spark, str(tmp_path / "p"))["kinds"]) == {"surfaces", "other"}
     assert rows(sinks.open_project(spark, str(tmp_path / "p"), {"surfaces"})["surfaces"], "name", "z") == [("A", 1.0)]
+
+
+def test_geojson_back(spark, tmp_path):
+    pts = spark.createDataFrame([(1.0, 2.0, 3.0, 0.25), (4.0, 5.0, None, None)], "x double, y double, z double, poro double")
+    sinks.points_geojson(pts, str(tmp_path / "p"))
+    assert rows(text.geojson_points(spark, str(tmp_path / "p" / "part-*")), "x", "y", "z") == [(1.0, 2.0, 3.0), (4.0, 5.0, 0.0)]
+    ring = [(k, n, float(k + n % 2), float(n // 2)) for k in range(3) for n in range(4)]
+    sinks.polygons_geojson(spark.createDataFrame(ring, "poly_id int, vseq int, x double, y double").repartition(3), str(tmp_path / "r"))
+    got = text.geojson_rings(spark, str(tmp_path / "r" / "part-*"))
+    assert rows(got, "vseq", "x", "y") == sorted(r[1:] for r in ring)
+
+
+def test_tops_csv(spark, tmp_path):
+    path = put(tmp_path, "t.csv", "name,md,comment\nBl\u00e5b\u00e6r,2400,x\nDunlin, 2450.5 ,\n")
+    assert rows(text.tops_csv(spark, path), "name", "md") == [("Bl\u00e5b\u00e6r", 2400.0), ("Dunlin", 2450.5)]
+    with pytest.raises(KeyError):
+        text.tops_csv(spark, path, md="depth")
+    bad = put(tmp_path, "b.csv", "name,md\nA,deep\n")
+    with pytest.raises(Exception, match="not a depth"):
+        text.tops_csv(spark, bad).collect()
+
+
+@pytest.mark.parametrize("body,kind", [("~Version\n1 2 3\n", "LAS"), ("FSNROW 2 3\n1 2 3\n", "CPS-3"), ("# Grid_size: 3 x 4\n1 2 3\n", "EarthVision")])
+def test_foreign_formats(spark, tmp_path, body, kind):
+    path = put(tmp_path, "p.xyz", body)
+    for reader in (text.xyz_points, text.xyz_polygons):
+        with pytest.raises(Exception, match=kind):
+            reader(spark, path).collect()
+
+
+def test_load_by_content(spark, tmp_path):
+    irap = put(tmp_path, "s.dat", "-996 2 50.0 25.0\n0.0 50.0 0.0 25.0\n2 0.0 0.0 0.0\n0 0 0 0 0 0 0\n1 2 3 4\n")
+    assert load.surface(spark, irap).count() == 4
+    plain = put(tmp_path, "p.dat", "1 2 3\n4 5 6\n")
+    assert load.points(spark, plain).count() == 2 and load.polygons(spark, plain).count() == 2
+    with pytest.raises(ValueError, match="not a surface"):
+        load.surface(spark, plain)
+
+
+LAS = "~V\nVERS. 2.0 :\nWRAP. NO :\n~W\nNULL. -999.25 :\n~C\nDEPT.M :\nGR.API :\n~A\n1 10\n2 20\n"
+WELLPATH = "# WELL TRACE FROM PETREL\n# WELL HEAD X-COORDINATE: 1000.5 (m)\n# WELL HEAD Y-COORDINATE: 2000 (m)\n# WELL KB: 27.5 (m)\nMD X Y Z TVD DX DY AZIM_TN INCL DLS AZIM_GN\n0 1 2 3 4 5 6 7 8 9 10\n10 1 2 3 14 5 6 7 8 9 10\n"
+
+
+def test_load_well(spark, tmp_path):
+    for name, body in (("99_9-1_A.wellpath", WELLPATH), ("99_9-1_ST2.wellpath", WELLPATH), ("99_9-1_ST2_comp.las", LAS), ("99_9-1_core.las", LAS), ("99_9-2.las", LAS), ("99_9-1_tops.csv", "name,md\nBrent,5\n")):
+        put(tmp_path, name, body)
+    got = load.well(spark, str(tmp_path), "99/9-1")
+    assert set(got) == {"curves", "paths", "tops"}
+    assert rows(got["curves"].groupBy("bore").count(), "bore", "count") == [("", 2), ("ST2", 2)]
+    assert rows(got["paths"].groupBy("bore").count(), "bore", "count") == [("A", 2), ("ST2", 2)]
+    assert rows(got["tops"], "bore", "name") == [("", "Brent")]
+    head = text.wellpath_head(spark, str(tmp_path / "99_9-1_A.wellpath")).head()
+    assert (head["x"], head["y"], head["kb"], head["crs"]) == (1000.5, 2000.0, 27.5, None)
+    other = load.well(spark, str(tmp_path), "99/9-2")
+    assert set(other) == {"curves"} and other["curves"].count() == 2
