@@ -149,10 +149,10 @@ def _(spark, d):
     return rounded(path.from_input("xyz", rows).select("bore_id", "md", "z"), md=4, z=4)
 
 
-@register("positioned_log", f"""{_AT_SQL.split(', tg AS')[0]}, lg AS (SELECT user_id AS bore, seq, md FROM (SELECT bore_id AS user_id, seq, md FROM ({V.SQL['curve'].split(' AS ', 1)[1][1:-1]}) WHERE mnemonic = 'view')),
- k AS (SELECT lg.seq, lg.md, g.*, (lg.md - m0) / (m1 - m0) AS f, acos(least(greatest(n0 * n1 + e0 * e1 + d0 * d1, -1.0), 1.0)) AS beta FROM lg LEFT JOIN seg g ON lg.bore % 5 = g.bore_id AND lg.md >= m0 AND lg.md < m1),
- h AS (SELECT *, sin((1 - f) * beta) / sin(beta) AS wa, sin(f * beta) / sin(beta) AS wb, (md - m0) / 2 * CASE WHEN f * beta < 1e-4 THEN 1 + (f * beta) ** 2 / 12 ELSE 2 / (f * beta) * tan(f * beta / 2) END AS hf FROM k)
- SELECT seq, round(x0 + hf * (e0 + wa * e0 + wb * e1), 4) AS x, round(z0 - hf * (d0 + wa * d0 + wb * d1), 4) AS z FROM h""")
+@register("positioned_log", f"""{_AT_SQL.split(chr(10) + ' tg AS')[0].rstrip(',')}, lg AS (SELECT user_id AS bore, seq, md FROM (SELECT bore_id AS user_id, seq, md FROM ({V.SQL['curve'].split(' AS ', 1)[1][1:-1]}) WHERE mnemonic = 'view')),
+ kk AS (SELECT lg.seq, lg.md, g.*, (lg.md - m0) / (m1 - m0) AS f, acos(least(greatest(n0 * n1 + e0 * e1 + d0 * d1, -1.0), 1.0)) AS beta FROM lg LEFT JOIN seg g ON lg.bore % 5 = g.bore_id AND lg.md >= m0 AND lg.md < m1),
+ hh AS (SELECT *, sin((1 - f) * beta) / sin(beta) AS wa, sin(f * beta) / sin(beta) AS wb, (md - m0) / 2 * CASE WHEN f * beta < 1e-4 THEN 1 + (f * beta) ** 2 / 12 ELSE 2 / (f * beta) * tan(f * beta / 2) END AS hf FROM kk)
+ SELECT seq, round(x0 + hf * (e0 + wa * e0 + wb * e1), 4) AS x, round(z0 - hf * (d0 + wa * d0 + wb * d1), 4) AS z FROM hh""")
 def _(spark, d):
     curve = V.curve(spark, d).where("mnemonic = 'view'")
     every = curve.select("bore_id").distinct()
