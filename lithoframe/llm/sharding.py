@@ -77,9 +77,11 @@ def shard(df: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text
     )
     # all that is returned follows from these columns, so equal rows are one group with a count
     same = rows.groupBy("_number", "_key", "size", "text_crc32").agg(F.count("*").alias("n"))
+    # never null, so that the join puts no filter into one of its sides and both read one exchange
+    sure = lambda c: F.coalesce(c, F.lit(0))
     groups = same.withColumns({
-        "shard": jump(F.col("_number"), shards), "grown_shard": jump(F.col("_number"), shards + 1),
-        "part": F.pmod(F.xxhash64("_number", "size", "text_crc32"), F.lit(sub_ranges)),
+        "shard": sure(jump(F.col("_number"), shards)), "grown_shard": jump(F.col("_number"), shards + 1),
+        "part": sure(F.pmod(F.xxhash64("_number", "size", "text_crc32"), F.lit(sub_ranges))),
     })
     counts = groups.groupBy("shard", "part").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
