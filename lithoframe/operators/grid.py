@@ -150,11 +150,3 @@ def from_points(points: DataFrame, g: dict, method: str = "nearest", power: floa
     queries = to.select((F.col("j") * g["ncol"] + F.col("i")).cast("long").alias("query_id"), "x", "y")
     near = spatial.nearest(known, queries, cell).join(known.select("point_id", "z"), "point_id", "left")
     return near.select((F.col("query_id") % g["ncol"]).cast("int").alias("i"), F.floor(F.col("query_id") / g["ncol"]).cast("int").alias("j"), "z")
-
-
-def area_mask(nodes_: DataFrame, stride: int) -> DataFrame:
-    """A thinner lattice: every ``stride``-th node in both directions, numbered anew."""
-    if stride < 1:
-        raise ValueError("stride must be positive")
-    every = nodes_.where((F.pmod("i", F.lit(stride)) == 0) & (F.pmod("j", F.lit(stride)) == 0))
-    return every.withColumns({"i": (F.col("i") / stride).cast("int"), "j": (F.col("j") / stride).cast("int")})
