@@ -186,9 +186,14 @@ def _(spark, d):
     return rounded(spatial.bbox(V.point(spark, d)))
 
 
-@register("convex_hull")
+@register(
+    "convex_hull",
+    f"""{V.with_('point')}, e AS (SELECT a.x, a.y FROM point a JOIN point b ON a.point_id <> b.point_id WHERE NOT EXISTS (SELECT 1 FROM point c WHERE (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0)),
+ r AS (SELECT x, y, row_number() OVER (ORDER BY atan2(y - (SELECT avg(y) FROM e), x - (SELECT avg(x) FROM e))) - 1 AS k, count(*) OVER () AS n FROM e)
+ SELECT ((k - (SELECT arg_min(k, x) FROM r) + n) % n)::INT AS vseq, round(x, 6) AS x, round(y, 6) AS y FROM r""",
+)
 def _(spark, d):
-    return spatial.hull(V.point(spark, d))
+    return rounded(spatial.hull(V.point(spark, d)))
 
 
 _QUAD = """q AS (SELECT a.i AS ci, a.j AS cj, a.z AS z00, b.z AS z10, c.z AS z11, e.z AS z01 FROM node a JOIN node b ON b.i = a.i + 1 AND b.j = a.j JOIN node c ON c.i = a.i + 1 AND c.j = a.j + 1 JOIN node e ON e.i = a.i AND e.j = a.j + 1),
