@@ -44,6 +44,21 @@ def resolve(bores: DataFrame, defaults: DataFrame | None = None, strict: bool =
     return one.select("well", bore.alias("bore"), how.alias("how"))
 
 
+def view_bore(bores: DataFrame, defaults: DataFrame | None = None) -> DataFrame:
+    """``well, bore``: the bore whose logs a view shows: the default one, else the only one with logs (``has_logs``), else the main bore.
+
+    A default that the well does not have raises, as do several bores with logs and no default.
+    """
+    fail = lambda text: F.raise_error(F.concat(F.lit(text), F.col("well").cast("string"))).cast("string")
+    with_logs = F.when(F.col("has_logs"), F.col("bore"))
+    one = bores.groupBy("well").agg(F.count_distinct(with_logs).alias("_n"), F.min(with_logs).alias("_only"), F.collect_set("bore").alias("_all"))
+    own = defaults.select("well", F.col("bore").alias("_default")).dropDuplicates(["well"]) if defaults is not None else None
+    one = one.join(own, "well", "left") if own is not None else one.withColumn("_default", F.lit(None).cast("string"))
+    bore = F.when(F.col("_default").isNotNull() & ~F.array_contains("_all", F.col("_default")), fail("no such default bore of ")).when(F.col("_default").isNotNull(), F.col("_default"))
+    bore = bore.when(F.col("_n") > 1, fail("choose a bore of ")).when(F.col("_n") == 1, F.col("_only")).otherwise(F.lit(MAIN))
+    return one.select("well", bore.alias("bore"))
+
+
 def active(paths: DataFrame, chosen: DataFrame | None = None, bore: str = "bore_id") -> DataFrame:
     """Stations of each bore's active path: the chosen one if the bore has it, else the one that was added last."""
     known = paths.groupBy(bore, "path_id").agg(F.max("load_seq").alias("load_seq"))

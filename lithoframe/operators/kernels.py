@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import graph
+
 #: Force on a node, relative to the range of values, at which a surface counts as solved, and the most steps for it.
 TOLERANCE, STEPS = 1e-10, 200_000
 
@@ -119,22 +121,34 @@ def simplify(line: list[tuple[float, float]], tolerance: float) -> list[tuple[fl
     return line if ring and len(short) < 4 else short
 
 
-def contour_lines(segments: DataFrame, tolerance: float = 0.0) -> DataFrame:
-    """``level, line, seq, x, y`` from contour segments, a task per level."""
+def _pieces(segments: DataFrame, key: str) -> DataFrame:
+    """``key, piece_x, piece_y, x1, y1, x2, y2``: segments (undirected, once) with the smallest point that they are linked to."""
+    at = lambda k: F.struct(F.col(key).alias("key"), F.round(f"x{k}", 9).alias("x"), F.round(f"y{k}", 9).alias("y"))
+    links = segments.select(F.least(at(1), at(2)).alias("u"), F.greatest(at(1), at(2)).alias("v")).where("u <> v").distinct()
+    links = graph.cut(links)
+    own = links.join(graph.components(links), F.col("u") == F.col("node"))
+    ends = (F.col(f"{e}.{c}").alias(f"{c}{k}") for k, e in ((1, "u"), (2, "v")) for c in "xy")
+    return own.select(F.col("u.key").alias(key), F.col("component.x").alias("piece_x"), F.col("component.y").alias("piece_y"), *ends)
 
-    def per_level(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(pdf["level"].iloc[0], n, k, x, y) for n, line in enumerate(chain(pdf)) for k, (x, y) in enumerate(simplify(line, tolerance))]
-        return pd.DataFrame(rows, columns=["level", "line", "seq", "x", "y"]).astype({"line": "int32", "seq": "int32"})
 
-    return segments.groupBy("level").applyInPandas(per_level, "level double, line int, seq int, x double, y double")
+def _chained(pieces: DataFrame, key: str, name: str, tolerance: float = 0.0) -> DataFrame:
+    def per_piece(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = tuple(pdf[[key, "piece_x", "piece_y"]].iloc[0])
+        rows = [(*own, n, k, x, y) for n, line in enumerate(chain(pdf)) for k, (x, y) in enumerate(simplify(line, tolerance))]
+        return pd.DataFrame(rows, columns=[key, "piece_x", "piece_y", name, "seq", "x", "y"]).astype({name: "int32", "seq": "int32"})
 
+    kind = dict(pieces.dtypes)[key]
+    return pieces.groupBy(key, "piece_x", "piece_y").applyInPandas(per_piece, f"{key} {kind}, piece_x double, piece_y double, {name} int, seq int, x double, y double")
 
-def boundary_rings(directed: DataFrame, mesh: str = "mesh_id") -> DataFrame:
-    """Rings of each mesh from boundary edges ``mesh, x1, y1, x2, y2``: ``mesh, ring, seq, x, y``."""
 
-    def per_mesh(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(pdf[mesh].iloc[0], n, k, x, y) for n, line in enumerate(chain(pdf)) for k, (x, y) in enumerate(line)]
-        return pd.DataFrame(rows, columns=[mesh, "ring", "seq", "x", "y"]).astype({"ring": "int32", "seq": "int32"})
+def contour_lines(segments: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """``level, piece_x, piece_y, line, seq, x, y`` from contour segments, a group for each connected piece of a level.
+
+    A piece is named by its smallest point; its lines are numbered, those from odd ends first, then closed ones.
+    """
+    return _chained(_pieces(segments, "level"), "level", "line", tolerance)
+
 
-    kind = dict(directed.dtypes)[mesh]
-    return directed.groupBy(mesh).applyInPandas(per_mesh, f"{mesh} {kind}, ring int, seq int, x double, y double")
+def boundary_rings(directed: DataFrame, mesh: str = "mesh_id") -> DataFrame:
+    """Rings of each mesh from boundary edges ``mesh, x1, y1, x2, y2``: ``mesh, piece_x, piece_y, ring, seq, x, y``, as :func:`contour_lines`."""
+    return _chained(_pieces(directed, mesh), mesh, "ring")

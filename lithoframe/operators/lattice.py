@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import spatial
+
+#: Neighbours that are looked at for axes and for steps along them, how far steps are sought (in short
+#: steps), how far from its axis a neighbour may lie, and the classes of steps.
+AXIS_NEIGHBOURS, STEP_NEIGHBOURS, STEP_REACH, AXIAL_TAN, STEP_BINS = 12, 64, 20.0, 0.30, 512
+#: Points whose neighbours give the axes of a lattice, about; every point is checked against the result.
+AXIS_POINTS = 2000
+
 
 def infer_geometry(points: DataFrame, tolerance: float = 1e-3, column: str = "column", row: str = "row") -> DataFrame:
     """One row with the regular geometry that indexed points lie on; ``fits`` is whether the median residual is within tolerance.
@@ -34,6 +42,72 @@ def infer_geometry(points: DataFrame, tolerance: float = 1e-3, column: str = "co
     )
 
 
+def infer_geometry_xy(points: DataFrame, cell: float, tolerance: float = 1e-3, key: str = "point_id") -> DataFrame:
+    """One row with the regular geometry of points known by place alone; ``fits`` if all are within tolerance, on nodes of their own.
+
+    The shortest step between neighbours is one axis (of equal ones the one nearest to east), its normal the other;
+    steps along each within one and a half of the shortest give its spacing, as their median. Neighbours are those of about ``AXIS_POINTS`` points by hash
+    (a bounded sample), of which only two numbers an axis come to the driver; ``cell`` is where their search starts.
+    """
+    if not tolerance > 0:
+        raise ValueError("tolerance must be positive")
+    p = points.where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").select(key, "x", "y")
+    n = p.count()
+    if n < 4:
+        raise ValueError("a lattice needs four points with a position")
+    some = p.where(F.pmod(F.xxhash64(key), F.lit(max(n // AXIS_POINTS, 1))) == 0).withColumnRenamed(key, "query_id")
+    near = spatial.knn(p, some, AXIS_NEIGHBOURS + 1, cell, key).where(f"query_id <> {key} AND distance > {tolerance!r}")
+    east = F.col("dx") < 0
+    east = east | (F.col("dx") == 0) & (F.col("dy") < 0)
+    steps = near.select(F.when(east, -F.col("dx")).otherwise(F.col("dx")).alias("dx"), F.when(east, -F.col("dy")).otherwise(F.col("dy")).alias("dy"), "distance")
+    short = steps.agg(F.min(F.struct(F.round("distance", 9).alias("d"), F.abs(F.atan2("dy", "dx")).alias("a"), "dx", "dy")).alias("s")).head()["s"]
+    if short is None:
+        raise ValueError("no two points lie apart")
+    length = (short["dx"] ** 2 + short["dy"] ** 2) ** 0.5
+    ux, uy = short["dx"] / length, short["dy"] / length
+    along, across = F.abs(F.col("dx") * ux + F.col("dy") * uy), F.abs(F.col("dy") * ux - F.col("dx") * uy)
+    axes = steps.select(F.inline(F.array(F.struct(F.lit(0).alias("axis"), along.alias("s"), across.alias("t")), F.struct(F.lit(1).alias("axis"), across.alias("s"), along.alias("t")))))
+    axes = axes.where(f"s > {tolerance!r} AND t <= {tolerance!r}").withColumn("least", F.min("s").over(Window.partitionBy("axis")))
+    found = {r["axis"]: r["step"] for r in axes.where(F.col("s") <= 1.5 * F.col("least") + tolerance).groupBy("axis").agg(F.median("s").alias("step")).collect()}
+    if len(found) < 2:
+        raise ValueError("points do not step along two axes")
+    uv = p.select((F.col("x") * ux + F.col("y") * uy).alias("u"), (F.col("y") * ux - F.col("x") * uy).alias("v"))
+    u0, v0 = uv.agg(F.min("u"), F.min("v")).head()
+    i, j = F.round((F.col("u") - u0) / found[0]), F.round((F.col("v") - v0) / found[1])
+    off = F.sqrt((F.col("u") - u0 - i * found[0]) ** 2 + (F.col("v") - v0 - j * found[1]) ** 2)
+    nodes = uv.select(i.cast("long").alias("i"), j.cast("long").alias("j"), off.alias("off")).groupBy("i", "j").agg(F.max("off").alias("off"), F.count("*").alias("n"))
+    out = nodes.agg(F.max("i").alias("i1"), F.max("j").alias("j1"), F.max("off").alias("residual"), F.max("n").alias("n"))
+    fits = (F.col("residual") <= tolerance) & (F.col("n") == 1) & (F.col("i1") >= 1) & (F.col("j1") >= 1)
+    return out.select(
+        F.lit(u0 * ux - v0 * uy).alias("xori"), F.lit(u0 * uy + v0 * ux).alias("yori"), F.lit(found[0]).alias("xinc"), F.lit(found[1]).alias("yinc"),
+        (F.col("i1") + 1).alias("ncol"), (F.col("j1") + 1).alias("nrow"), F.degrees(F.atan2(F.lit(uy), F.lit(ux))).alias("rotation_deg"), F.lit(False).alias("yflip"), "residual", fits.alias("fits"),
+    )
+
+
+def axis_steps(points: DataFrame, azimuth_deg: float, seed: float, cell: float, key: str = "point_id") -> DataFrame:
+    """``axis, step``: the modal step along an axis (0, at ``azimuth_deg`` from east) and its normal (1), of all points.
+
+    Of each point the nearest neighbour towards either side of each axis counts, in classes up to ``STEP_REACH`` seeds;
+    the step is the mean of the fullest class, ties to the higher. Neighbours beyond the one that settles the last of
+    the four directions are not looked at.
+    """
+    from math import cos, radians, sin
+
+    c, s, reach = cos(radians(azimuth_deg)), sin(radians(azimuth_deg)), STEP_REACH * seed
+    near = spatial.knn(points, points.withColumnRenamed(key, "query_id"), STEP_NEIGHBOURS, cell, key).where((F.col("distance") > 0) & (F.col("distance") <= reach))
+    along = (F.col("dx") * c + F.col("dy") * s, F.col("dy") * c - F.col("dx") * s)
+    axial = lambda a: (F.abs(along[a]) > 0) & (F.abs(along[1 - a]) <= AXIAL_TAN * F.abs(along[a]))
+    ways = [(a, sign, axial(a) & ((along[a] < 0) if sign else (along[a] >= 0))) for a in (0, 1) for sign in (0, 1)]
+    own = Window.partitionBy("query_id")
+    near = near.withColumns({f"_r{a}{g}": F.min(F.when(hit, F.col("rank"))).over(own) for a, g, hit in ways})
+    every = " AND ".join(f"_r{a}{g} IS NOT NULL" for a, g, _ in ways)
+    near = near.where(~F.expr(every) | (F.col("rank") <= F.greatest(*(f"_r{a}{g}" for a, g, _ in ways))))
+    least = near.groupBy("query_id").agg(*(F.min(F.when(hit, F.abs(along[a]))).alias(f"m{a}{g}") for a, g, hit in ways))
+    each = least.select(F.inline(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(f"m{a}{g}").alias("d")) for a, g, _ in ways)))).where("d IS NOT NULL")
+    bins = each.groupBy("axis", F.least(F.floor(F.col("d") / reach * STEP_BINS), F.lit(STEP_BINS - 1)).alias("b")).agg(F.count("*").alias("n"), F.avg("d").alias("mean"))
+    return bins.groupBy("axis").agg(F.max_by("mean", F.struct("n", "b")).alias("step"))
+
+
 def occupied_edges(nodes: DataFrame) -> DataFrame:
     """Directed outline ``(i1, j1, i2, j2)`` of the cells whose four nodes are present, counter-clockwise."""
     n = nodes.where("z IS NOT NULL").select("i", "j")
@@ -74,10 +148,10 @@ def copy_topology(points: DataFrame, indexed: DataFrame, tolerance: float = 1e-3
 
 
 def modal_step(steps: DataFrame, seed: float, bins: int = 240) -> DataFrame:
-    """Mean of the fullest of ``bins`` equal bins over 1.4 times the seed; ties to the lower bin."""
+    """Mean of the fullest of ``bins`` equal bins over 1.4 times the seed; ties to the higher bin."""
     width = 1.4 * seed / bins
     b = steps.where((F.col("d") > 0) & (F.col("d") < 1.4 * seed)).groupBy(F.floor(F.col("d") / width).alias("b")).agg(F.count("*").alias("n"), F.avg("d").alias("mean"))
-    return b.agg(F.max_by("mean", F.struct("n", -F.col("b"))).alias("step"))
+    return b.agg(F.max_by("mean", F.struct("n", "b")).alias("step"))
 
 
 def azimuth(steps: DataFrame) -> DataFrame:

@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
 
 
-def quad_split(nodes: DataFrame, stride: int = 1) -> DataFrame:
-    """Two triangles (i, j of each corner) for every cell whose four corners are defined; ``stride`` thins the lattice."""
+def quad_split(nodes: DataFrame, stride: int = 1, block: str | None = None) -> DataFrame:
+    """Two triangles (i, j of each corner) for every cell whose four corners are defined; ``stride`` thins the lattice.
+
+    With ``block`` each fault block is a lattice of its own, and no cell spans two.
+    """
+    own = [block] if block else []
     n = nodes.where("z IS NOT NULL")
     if stride > 1:
         n = n.where((F.pmod("i", F.lit(stride)) == 0) & (F.pmod("j", F.lit(stride)) == 0))
-    n = n.select("i", "j", F.col("z").alias("z"))
+    n = n.select(*own, "i", "j", F.col("z").alias("z"))
     # each node is a corner of four cells: one shuffle gathers a cell's corners
-    cells = n.select(F.explode(F.array(*(F.struct((F.col("i") - a * stride).alias("ci"), (F.col("j") - b * stride).alias("cj"), F.lit(2 * b + a).alias("k")) for a in (0, 1) for b in (0, 1)))).alias("c"), "z")
-    cells = cells.groupBy("c.ci", "c.cj").agg(*(F.max(F.when(F.col("c.k") == k, F.col("z"))).alias(f"z{k}") for k in range(4)))
+    cells = n.select(*own, F.explode(F.array(*(F.struct((F.col("i") - a * stride).alias("ci"), (F.col("j") - b * stride).alias("cj"), F.lit(2 * b + a).alias("k")) for a in (0, 1) for b in (0, 1)))).alias("c"), "z")
+    cells = cells.groupBy(*own, "c.ci", "c.cj").agg(*(F.max(F.when(F.col("c.k") == k, F.col("z"))).alias(f"z{k}") for k in range(4)))
     cells = cells.where(" AND ".join(f"z{k} IS NOT NULL" for k in range(4)))
     corner = lambda a, b: F.struct((F.col("ci") + a * stride).alias("i"), (F.col("cj") + b * stride).alias("j"), F.col(f"z{2 * b + a}").alias("z"))
     two = F.array(F.struct(F.lit(0).alias("half"), corner(0, 0).alias("a"), corner(1, 0).alias("b"), corner(1, 1).alias("c")), F.struct(F.lit(1).alias("half"), corner(0, 0).alias("a"), corner(1, 1).alias("b"), corner(0, 1).alias("c")))
-    return cells.select("ci", "cj", F.inline(two))
+    return cells.select(*own, "ci", "cj", F.inline(two))
 
 
 def edges(triangles: DataFrame) -> DataFrame:
@@ -54,7 +58,19 @@ def contour_segments(triangles: DataFrame, levels: list[float]) -> DataFrame:
 
     ends = F.array_compact(F.array(cut("a", "b"), cut("b", "c"), cut("c", "a")))
     t = t.select("level", "ci", "cj", "half", ends.alias("ends")).where(F.size("ends") == 2)
-    return t.select("level", "ci", "cj", "half", *(F.col("ends")[k][c].alias(f"{c}{k + 1}") for k in (0, 1) for c in "xy"))
+    return t.select("level", "ci", "cj", "half", *(F.get("ends", F.lit(k))[c].alias(f"{c}{k + 1}") for k in (0, 1) for c in "xy"))
+
+
+def value_layer(nodes: DataFrame, stride: int = 1, value: str = "z", block: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """A layer to draw: its nodes with the value and the ``low`` and ``high`` of all nodes, and its triangles.
+
+    ``stride`` thins nodes and triangles, not the range, so that colours stay as they are; nodes keep their own values.
+    """
+    own = [block] if block else []
+    n = nodes.select(*own, "i", "j", F.when(~F.isnan(value), F.col(value)).alias("z"))
+    span = n.where("abs(z) < double('Infinity')").agg(F.min("z").alias("low"), F.max("z").alias("high"))
+    kept = n.where((F.pmod("i", F.lit(stride)) == 0) & (F.pmod("j", F.lit(stride)) == 0))
+    return kept.join(F.broadcast(span)), quad_split(n, stride, block)  # one row
 
 
 def aligned_levels(low: float, high: float, interval: float) -> list[float]:
@@ -67,6 +83,29 @@ def aligned_levels(low: float, high: float, interval: float) -> list[float]:
     return [k * interval for k in range(ceil((low - e) / interval), floor((high + e) / interval) + 1)]
 
 
+def wireframe_blocks(triangles: DataFrame, stride: int = 1, block: str = "block", mesh: str = "mesh_id") -> DataFrame:
+    """``mesh, u, v`` of the wireframe of meshes whose corners carry ``vid``, and ``block, i, j`` where they are labelled.
+
+    Inner cell diagonals of a block are left out. Of the rest, every ``stride``-th grid line stays, and all boundary
+    edges, edges without labels and seams between blocks.
+    """
+    end = lambda u, v: F.struct(F.least(u, v).alias("u"), F.greatest(u, v).alias("v"))
+    at = {c: F.struct(F.col(f"{c}.vid").alias("vid"), F.col(f"{c}.{block}").alias("block"), F.col(f"{c}.i").alias("i"), F.col(f"{c}.j").alias("j")) for c in "abc"}
+    e = triangles.select(mesh, F.inline(F.array(end(at["a"], at["b"]), end(at["b"], at["c"]), end(at["c"], at["a"])))).groupBy(mesh, "u", "v").agg(F.count("*").alias("n"))
+    same = F.coalesce(F.expr("u.block = v.block"), F.lit(False))
+    di, dj = F.abs(F.col("u.i") - F.col("v.i")), F.abs(F.col("u.j") - F.col("v.j"))
+    on = lambda c: F.pmod(F.col(f"u.{c}"), F.lit(stride)) == 0
+    keep = F.when(F.col("n") == 1, True).when(same & (F.col("n") == 2) & (di == 1) & (dj == 1), False)
+    keep = keep.when(same & (di == 1) & (dj == 0), on("j")).when(same & (di == 0) & (dj == 1), on("i")).otherwise(True)
+    return e.where(keep).select(mesh, F.col("u.vid").alias("u"), F.col("v.vid").alias("v"))
+
+
+def islands(triangles: DataFrame, least: int = 8, mesh: str = "mesh_id") -> DataFrame:
+    """Triangles of components with at least so many of them."""
+    size = components(triangles, mesh).withColumn("_n", F.count("*").over(Window.partitionBy(mesh, "component")))
+    return triangles.join(size.where(F.col("_n") >= least).select(mesh, "tid"), [mesh, "tid"], "left_semi")
+
+
 def wireframe_stride(triangles: DataFrame, stride: int) -> DataFrame:
     """The wireframe's every ``stride``-th grid lines, with all boundary edges."""
     on = lambda c: F.pmod(F.col(f"u.{c}"), F.lit(stride)) == 0

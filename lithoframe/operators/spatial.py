@@ -56,6 +56,39 @@ def nearest(points: DataFrame, queries: DataFrame, cell: float, key: str = "poin
     return reduce(DataFrame.unionByName, done)
 
 
+def knn(points: DataFrame, queries: DataFrame, k: int, cell: float, key: str = "point_id", query: str = "query_id") -> DataFrame:
+    """``query, key, rank, distance, dx, dy``: the ``k`` nearest points of each query, ties by id; fewer where there are fewer points.
+
+    As :func:`nearest`: queries meet points by cell, are settled once all ``k`` lie within one cell's reach, and the rest
+    go on with doubled cells up to the extent. ``dx`` and ``dy`` lead from the query to the point.
+    """
+    if not cell > 0 or k < 1:
+        raise ValueError("cell and k must be positive")
+    points = _placed(points).select(key, "x", "y")
+    left = _placed(queries).select(query, F.col("x").alias("qx"), F.col("y").alias("qy"))
+    b = points.select("x", "y").union(left.select("qx", "qy")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).head()
+    size, extent = float(cell), 2 * ((b[0] or 0.0) + (b[1] or 0.0))
+    first = Window.partitionBy(query).orderBy("distance", key)
+    done: list[DataFrame] = []
+    while not done or not left.isEmpty():
+        pts = points.select("*", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
+        around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
+        q = left.select("*", around.alias("o")).select(query, "qx", "qy", (F.floor(F.col("qx") / size) + F.col("o.a")).alias("cx"), (F.floor(F.col("qy") / size) + F.col("o.b")).alias("cy"))
+        dx, dy = F.col("x") - F.col("qx"), F.col("y") - F.col("qy")
+        pair = q.join(pts, ["cx", "cy"]).select(query, key, F.sqrt(dx * dx + dy * dy).alias("distance"), dx.alias("dx"), dy.alias("dy"))
+        # the rank's limit is applied before the shuffle, too, so that a full cell sends k rows a query and task
+        best = pair.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+        if size <= extent:
+            settled = F.count(F.when(F.col("distance") <= size, 1)).over(Window.partitionBy(query)) == k
+            best = best.withColumn("_settled", settled).where("_settled")
+        done.append(graph.cut(best.select(query, key, "rank", "distance", "dx", "dy")))
+        if size > extent:
+            break
+        left = graph.cut(left.join(done[-1].select(query).distinct(), query, "left_anti"))
+        size *= 2
+    return reduce(DataFrame.unionByName, done)
+
+
 def idw(points: DataFrame, targets: DataFrame, keys: list[str], power: float = 2.0) -> DataFrame:
     """Inverse-distance values at ``targets`` from a stated set of control points; exact on a point (smallest id).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import uncertain as U
-from ..operators import bores, path, petro
+from ..operators import bores, logs, path, petro
 from ..streaming import events
 from . import expressions as X
 from . import views as V
@@ -171,3 +171,32 @@ def _(spark, d):
 @register("tops_in_order", f"{V.with_('tops')} SELECT bore_id, name, CASE name WHEN 'D' THEN 0 WHEN 'B' THEN 1 WHEN 'A' THEN 2 END AS ord FROM tops")
 def _(spark, d):
     return bores.order_to_bores(V.tops(spark, d), ["D", "B", "A"]).select("bore_id", "name", "ord")
+
+
+@register("view_bores", "WITH b AS (SELECT s_nationkey AS well, CASE s_suppkey % 4 WHEN 0 THEN '' ELSE 'ST' || (s_suppkey % 4) END AS bore, s_suppkey % 4 = 1 AS has_logs FROM supplier) SELECT well, CASE WHEN well % 5 = 0 AND max(bore = '') THEN '' ELSE coalesce(min(CASE WHEN has_logs THEN bore END), '') END AS bore FROM b GROUP BY 1")
+def _(spark, d):
+    b = _bores(spark, d).withColumn("has_logs", F.col("bore") == "ST1")
+    defaults = b.where("well % 5 = 0 AND bore = ''").select("well", "bore")
+    return bores.view_bore(b, defaults)
+
+
+@register("raw_logs", f"""{V.with_('curve', V.log_sql('v', 'view'), V.log_sql('c', 'click'))}, g AS (SELECT bore_id, md FROM v UNION SELECT bore_id, md FROM c),
+ gv AS (SELECT * FROM g WHERE bore_id IN (SELECT bore_id FROM v)), gc AS (SELECT * FROM g WHERE bore_id IN (SELECT bore_id FROM c)), {_lerp_sql('v', 'gv', 'x')}, {_lerp_sql('c', 'gc', 'y')},
+ l AS (SELECT bore_id, 'view' AS mnemonic, md, x_v AS value FROM x UNION ALL SELECT bore_id, 'click', md, y_v FROM y) SELECT bore_id, mnemonic, round(md, 6) AS md, round(md - bore_id % 7, 6) AS tvd, round(value, 5) AS value FROM l""")
+def _(spark, d):
+    every = [V.log(spark, d, m).withColumn("mnemonic", F.lit(m)) for m in ("view", "click", "purchase")]
+    curves = every[0].union(every[1]).union(every[2])
+    kb = curves.select("bore_id").distinct().withColumn("kb", (F.col("bore_id") % 7).cast("double"))
+    return rounded(logs.gather(curves, kb, names=["VIEW", "click"]), value=5)
+
+
+@register("curve_flags", "SELECT p_partkey, p_partkey % 7 IN (0, 1, 3, 4, 6) AS flag FROM part")
+def _(spark, d):
+    names = F.array(*(F.lit(x) for x in ("NetFlag", "PAYFLAG", "GR", "myFacies", "lith", "LITHO", "CORE")))
+    return V.table(spark, d, "part").select("p_partkey", logs.is_flag(F.get(names, (F.col("p_partkey") % 7).cast("int")), ["core"]).alias("flag"))
+
+
+@register("flag_codes", f"{V.with_('curve')}, e AS (SELECT DISTINCT bore_id, mnemonic, round_even(value / 40, 0)::BIGINT AS code FROM curve) SELECT bore_id, mnemonic, string_agg(code::VARCHAR, ',' ORDER BY code) AS codes FROM e GROUP BY 1, 2")
+def _(spark, d):
+    codes = logs.flag_codes(V.curve(spark, d).withColumn("value", F.col("value") / 40))
+    return codes.select("bore_id", "mnemonic", F.array_join("codes", ",").alias("codes"))

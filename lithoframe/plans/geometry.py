@@ -301,7 +301,7 @@ def _(spark, d):
     return lattice.copy_topology(points, p.where("(column - 1) % 3 <> 0")).select("seq", "column", "row")
 
 
-@register("modal_step", "WITH s AS (SELECT p_retailprice::DOUBLE AS d FROM part), b AS (SELECT floor(d / (1.4 * 1200.0 / 240)) AS b, count(*) AS n, avg(d) AS m FROM s WHERE d > 0 AND d < 1.4 * 1200 GROUP BY 1) SELECT round(m, 6) AS step FROM b ORDER BY n DESC, b LIMIT 1")
+@register("modal_step", "WITH s AS (SELECT p_retailprice::DOUBLE AS d FROM part), b AS (SELECT floor(d / (1.4 * 1200.0 / 240)) AS b, count(*) AS n, avg(d) AS m FROM s WHERE d > 0 AND d < 1.4 * 1200 GROUP BY 1) SELECT round(m, 6) AS step FROM b ORDER BY n DESC, b DESC LIMIT 1")
 def _(spark, d):
     return rounded(lattice.modal_step(V.table(spark, d, "part").select(F.col("p_retailprice").cast("double").alias("d")), 1200.0))
 

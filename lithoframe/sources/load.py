@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import id_key
-from . import detect, text
+from ..project import Project
+from . import detect, shapes, text
 
 SURFACES = {"irap_grid": text.irap_grid, "cps3_grid": text.cps3_grid}
 POINTS = {"xyz_points": text.xyz_points, "csv_points": text.csv_points, "geojson": text.geojson_points, "earthvision": text.earthvision}
-POLYGONS = {"xyz_points": text.xyz_polygons, "xyz_polygons": text.xyz_polygons, "geojson": text.geojson_rings, "cps3_lines": text.cps3_lines}
+POLYGONS = {"xyz_points": text.xyz_polygons, "xyz_polygons": text.xyz_polygons, "geojson": text.geojson_rings, "cps3_lines": text.cps3_lines, "shapefile": shapes.shapefile_rings}
 
 
 def _by_kind(spark: SparkSession, path: str, readers: dict, what: str) -> DataFrame:
@@ -71,3 +72,82 @@ def well(spark: SparkSession, folder: str, name: str) -> dict[str, DataFrame]:
             out[what] = rows.join(F.broadcast(files.select("path", "bore")), "path").withColumn("well", F.lit(name))
     files.unpersist()
     return out
+
+
+#: Words of a file's or folder's name that say what GeoJSON holds where its shapes do not, names that are no
+#: well's, and ends of names that mean a bore.
+POLYGON_WORDS, POINT_WORDS = ("poly", "outline", "boundary", "fault"), ("point", "sample", "welltop")
+GENERIC = ("logs", "paths", "wells", "tops", "surfaces", "points", "polygons", "sample", "log", "core", "complogs", "comp_logs")
+BORES = r"(?i)^(?:[ABC]|ST.*|COMPLOG.*)$"
+
+
+def geojson_roles(spark: SparkSession, path) -> DataFrame:
+    """``path, role`` of GeoJSON files: ``points`` or ``polygons`` by the shapes they hold, else by name, else ``ambiguous``."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.lower(F.decode("content", "ISO-8859-1")).alias("text"))
+    area, point = F.col("text").rlike('"(?:multi)?polygon"'), F.col("text").rlike('"(?:multi)?point"')
+    named = lambda words: F.lower(_stem(F.col("path"))).rlike("|".join(words))
+    role = F.when(area & ~point, "polygons").when(point & ~area, "points").when(named(POLYGON_WORDS), "polygons").when(named(POINT_WORDS), "points")
+    return files.select("path", role.otherwise("ambiguous").alias("role"))
+
+
+def _well_token(token):
+    """The well that a name stands for: number and block joined by a slash, or the name without a bore; none if it is generic."""
+    parts = F.filter(F.split(F.regexp_replace(token, " ", "_"), "_"), lambda p: p != "")
+    block = (F.size(parts) >= 2) & F.get(parts, F.lit(0)).rlike("^[0-9]+$") & F.get(parts, F.lit(1)).rlike("^[0-9]")
+    bore = (F.size(parts) >= 2) & F.element_at(parts, -1).rlike(BORES)
+    whole = F.when(token.rlike("^[0-9]{2}.*_"), F.replace(token, F.lit("_"), F.lit("/"))).otherwise(token)
+    out = F.when(block, F.concat_ws("/", F.get(parts, F.lit(0)), F.get(parts, F.lit(1))))
+    out = out.when(bore, F.array_join(F.slice(parts, 1, F.size(parts) - 1), "_")).when(F.lower(token).isin(*GENERIC), None)
+    return F.when(F.size(parts) > 0, out.otherwise(whole))
+
+
+def well_ids(files: DataFrame, folder: str) -> DataFrame:
+    """``files`` (with ``path``) with the ``well`` that each belongs to, by its own name, else by the nearest folder's, else its stem."""
+    root = folder.rstrip("/").rsplit("/", 1)[-1]
+    path = F.regexp_replace("path", "%20", " ")
+    steps = F.split(path, "/")
+    inside = F.slice(steps, F.greatest(F.array_position(steps, root), F.lit(1)).cast("int"), F.size(steps))
+    above = F.reverse(F.slice(inside, 1, F.greatest(F.size(inside) - 1, F.lit(0))))
+    stem = _stem(path)
+    near = F.get(F.filter(F.transform(above, _well_token), lambda t: t.isNotNull()), F.lit(0))
+    return files.withColumn("well", F.coalesce(_well_token(stem), near, stem))
+
+
+def tree(spark: SparkSession, folder: str, unit: str = "m") -> tuple[Project, DataFrame]:
+    """A project of everything in a folder tree, and ``path, kind, role, well, name, reason`` of its files.
+
+    Files are read by kind, each kind as one table, however many files it has. Logs and paths belong to wells, by
+    :func:`well_ids` (their bores are told apart by :func:`well`); tops to the wells they name (``pick_well``) or belong to; surfaces, points and polygons are named by their stem, or by their
+    way from the folder where files of a role share one. ``reason`` says why a file was left out.
+    """
+    files = detect.scan(spark, folder)
+    shapes_ = [r["path"] for r in files.where("kind = 'geojson'").select("path").collect()]
+    roles = geojson_roles(spark, shapes_) if shapes_ else spark.createDataFrame([], "path string, role string")
+    fixed = {"las": "curves", "wellpath": "paths", "tops": "tops", "tops_csv": "tops", "shapefile": "polygons", "xyz_polygons": "polygons", "cps3_lines": "polygons"}
+    fixed |= dict.fromkeys(SURFACES, "surfaces") | {k: "points" for k in POINTS if k != "geojson"}
+    by_kind = F.create_map(*(F.lit(x) for pair in fixed.items() for x in pair))[F.col("kind")]
+    files = files.join(roles, "path", "left").withColumn("role", F.coalesce("role", by_kind))
+    reason = F.when(F.col("kind").isNull(), "unknown kind").when(F.col("kind") == "xml", "sidecar").when(F.col("role") == "ambiguous", "points or polygons").when(F.col("role").isNull(), "no reader")
+    files = well_ids(files, folder).withColumn("reason", reason)
+    whole = F.regexp_replace(F.regexp_replace("path", "%20", " "), r"\.[^./]*$", "")
+    inside = F.regexp_replace(whole, rf"^.*?/\Q{folder.rstrip('/').rsplit('/', 1)[-1]}\E/", "")
+    shared = F.count("*").over(Window.partitionBy("role", "stem")) > 1
+    files = files.withColumn("stem", _stem(F.regexp_replace("path", "%20", " "))).withColumn("name", F.when(shared, inside).otherwise(F.col("stem")))
+    files = files.select("path", "kind", "role", "well", "name", "reason").cache()
+    out = Project(spark, unit)
+    groups: dict[tuple[str, str], list] = {}
+    for r in files.where("reason IS NULL").orderBy("path").collect():  # names of files, not their content
+        groups.setdefault((r["role"], r["kind"]), []).append(r)
+    readers = {"curves": {"las": text.las}, "paths": {"wellpath": text.wellpath}, "tops": {"tops": text.well_tops, "tops_csv": text.tops_csv}, "surfaces": SURFACES, "points": POINTS, "polygons": POLYGONS}
+    labels = files.select("path", "well", "name")
+    for (role, kind), rows in groups.items():
+        label = F.col("well") if role in ("curves", "paths") else F.col("name")
+        own = labels.select("path", label.alias("name"), *(["well"] if role in ("curves", "paths", "tops") else []))
+        table = readers[role][kind](spark, [r["path"] for r in rows])
+        table = table.withColumnsRenamed({"name": "pick", "well": "pick_well"})
+        table = table.join(F.broadcast(own) if len(rows) <= 100_000 else own, "path")
+        names = list(dict.fromkeys(r["well"] if role in ("curves", "paths") else r["name"] for r in rows))
+        out.elements[role] = out.elements[role].unionByName(table, allowMissingColumns=True) if role in out.elements else table
+        out.names[role] = list(dict.fromkeys([*out.names.get(role, []), *names]))
+    out.history.append(f"import {folder}")
+    return out, files

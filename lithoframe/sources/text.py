@@ -149,7 +149,9 @@ def tops_csv(spark: SparkSession, path: str, name: str = "name", md: str = "md")
             raise KeyError(f"no column {column}")
     depth = F.trim(F.col(f"`{md}`")).try_cast("double")
     depth = F.when(depth.isNull(), F.raise_error(F.concat(F.lit("not a depth: "), F.coalesce(F.col(f"`{md}`"), F.lit("")))).cast("double")).otherwise(depth)
-    return raw.select(F.regexp_replace(F.input_file_name(), "^file:/+", "file:/").alias("path"), F.monotonically_increasing_id().alias("seq"), F.col(f"`{name}`").alias("name"), depth.alias("md"))
+    # this reader gives paths as URIs, the others as they are
+    path = F.url_decode(F.replace(F.regexp_replace(F.input_file_name(), "^file:/+", "file:/"), F.lit("+"), F.lit("%2B")))
+    return raw.select(path.alias("path"), F.monotonically_increasing_id().alias("seq"), F.col(f"`{name}`").alias("name"), depth.alias("md"))
 
 
 def wellpath_head(spark: SparkSession, path: str) -> DataFrame:
