@@ -43,6 +43,61 @@ def weighted(df: DataFrame, keys: list[str], value: str, weight: str, also: tupl
     return out.where(F.col("count") > 0)
 
 
+#: Ranges of values that each group is dealt into by :func:`spread`, and the most groups whose ranges are broadcast (2 KB each).
+RANGES, BROADCAST_GROUPS = 256, 10_000
+PERCENTILES = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
+
+
+def spread(df: DataFrame, keys: list[str], value: str, weight: str | None = None, also: tuple[Column, ...] = (), parts: int = RANGES) -> DataFrame:
+    """:func:`bundle`, or :func:`weighted` with ``weight``, for few groups of any size: no task holds or sorts a whole group.
+
+    Approximate quantiles cut each group into ranges of values. Weights are added up by range, which tells the range that
+    a percentile lies in, and only that range is ranked, by distinct values, so that results are exact and a common value
+    is one row. ``df`` is read three times; the facts of each group are stored.
+    """
+    from ..operators.graph import cut
+
+    ok = F.col(value).isNotNull() if weight is None else F.col(value).isNotNull() & (F.col(weight) > 0)
+    group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    rows = df.withColumns({"_k": group, "_v": F.when(ok, F.col(value).cast("double")), "_w": F.when(ok, F.lit(1.0) if weight is None else F.col(weight).cast("double"))})
+    v, w = F.col("_v"), F.col("_w")
+    facts = rows.groupBy("_k").agg(
+        F.count(v).alias("count"), F.sum(w).alias("_total"), F.sum(v * w).alias("_sum"), F.min(v).alias("min"), F.max(v).alias("max"),
+        F.percentile_approx(v, [k / parts for k in range(1, parts)], 8 * parts).alias("_cuts"), *also,
+    )
+    facts = cut(facts.withColumn("mean", F.try_divide("_sum", "_total")))
+    few = facts.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    near = F.broadcast if few else lambda small: small
+    dealt = rows.where(v.isNotNull()).select("_k", "_v", "_w").join(near(facts.select("_k", "_cuts", "mean")), "_k")
+    dealt = dealt.select("_k", "_v", "_w", "mean", F.size(F.filter("_cuts", lambda c: c < v)).alias("_b"))
+    ranges = cut(dealt.groupBy("_k", "_b").agg(F.sum("_w").alias("_w"), F.sum(w * (v - F.col("mean")) * (v - F.col("mean"))).alias("_sq")))
+    line = Window.partitionBy("_k").orderBy("_b")
+    runs = ranges.withColumn("_run", F.sum("_w").over(line)).withColumn("_before", F.coalesce(F.lag("_run").over(line), F.lit(0.0)))
+    total = F.col("_total")
+    if weight is None:
+        place = {n: p * (total - 1) for n, p in PERCENTILES.items()}
+        targets = {f"{n}{side}": round_(at) + 1 for n, at in place.items() for side, round_ in (("a", F.floor), ("b", F.ceil))}
+    else:
+        targets = {n: p * total - 1e-12 * total for n, p in PERCENTILES.items()}
+    wanted = F.inline(F.array(*(F.struct(F.lit(n).alias("_name"), t.cast("double").alias("_t")) for n, t in targets.items())))
+    hits = runs.join(near(facts.select("_k", "_total")), "_k").select("_k", "_b", "_run", "_before", wanted).where("_before < _t AND _t <= _run")
+    each = dealt.join(near(hits.select("_k", "_b", "_name", "_t", "_before")), ["_k", "_b"]).groupBy("_k", "_name", "_t", "_before", "_v").agg(F.sum("_w").alias("_w"))
+    run = F.col("_before") + F.sum("_w").over(Window.partitionBy("_k", "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    # the running weight of a range and the sum of it may differ in the last bit
+    found = each.withColumn("_run", run).groupBy("_k", "_name").agg(F.coalesce(F.min(F.when(F.col("_run") >= F.col("_t"), v)), F.max(v)).alias("_at"))
+    found = found.groupBy("_k").agg(*(F.max(F.when(F.col("_name") == n, F.col("_at"))).alias(n) for n in targets))
+    square = ranges.groupBy("_k").agg(F.sum("_sq").alias("_sq"))
+    out = facts.join(square, "_k", "left").join(found, "_k", "left").withColumn("std", F.sqrt(F.try_divide("_sq", "_total")))
+    if weight is None:
+        for n, at in place.items():
+            out = out.withColumn(n, F.col(f"{n}a") + (F.col(f"{n}b") - F.col(f"{n}a")) * (at - F.floor(at)))
+        out = out.withColumn("_sum", F.coalesce("_sum", F.lit(0.0)))
+    else:
+        out = out.where("count > 0")
+    more = [c for c in facts.columns if c not in ("_k", "_total", "_sum", "_cuts", "count", "mean", "min", "max")]
+    return out.select(*(F.col("_k")[k].alias(k) for k in keys), "count", "mean", "min", "max", "std", F.col("_sum").alias("sum"), *PERCENTILES, *more)
+
+
 def characterise(v: Column, kind: str = "normal") -> list[Column]:
     """Parameters of a distribution; fewer than two values are deterministic."""
     n = F.count(v)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import bundle, geomean, weighted
+from ..functions.stats import bundle, geomean, spread, weighted
+from . import graph
 from .series import at_md, dz_weights
 
 
@@ -76,11 +77,15 @@ def zone_table(samples: DataFrame, zones: DataFrame, value: str = "value", bore:
 
 
 def pooled_zone_table(samples: DataFrame, zones: DataFrame, value: str = "value", bore: str = "bore_id") -> DataFrame:
-    """One row per zone over all bores: raw samples pooled with their bores' weights, gross averaged over bores."""
+    """One row per zone over all bores: raw samples pooled with their bores' weights, gross averaged over bores.
+
+    Clipped samples are stored once, as zones are few and any size: no task has a whole zone.
+    """
     each = Window.partitionBy(bore, "zone")
     inside = _weighed(samples, zones, bore).withColumn("_share", 1 / F.count("*").over(each))
+    inside = graph.cut(inside.select("zone", value, "w", "_gross", "_share"))
     gross = F.sum(F.col("_gross") * F.col("_share")) / F.sum("_share")
-    return weighted(inside, ["zone"], value, "w", (gross.alias("gross"), F.count("*").alias("samples")))
+    return spread(inside, ["zone"], value, "w", (gross.alias("gross"), F.count("*").alias("samples")))
 
 
 def zone_table_all(samples: DataFrame, zones: DataFrame, value: str = "value", bore: str = "bore_id", label: str = "all") -> DataFrame:

@@ -102,7 +102,7 @@ def _(spark, d):
 
 @register("surface_stats", f"{V.with_('node')} SELECT {BUNDLE_SQL.replace('(v', '(z')} FROM node")
 def _(spark, d):
-    return rounded(V.node(spark, d).agg(*A.bundle(F.col("z"))), sum=4)
+    return rounded(A.spread(V.node(spark, d), [], "z"), sum=4)
 
 
 @register("surface_area", f"{V.with_('node')} SELECT count(CASE WHEN z <= 950 THEN 1 END) * 625.0::DOUBLE AS below, count(CASE WHEN z >= 950 THEN 1 END) * 625.0::DOUBLE AS above FROM node")

@@ -41,7 +41,7 @@ def scaled(spark, d, mnemonic, divisor=200.0):
 
 @register("stats_bundle", f"{V.with_('curve')} SELECT mnemonic, {BUNDLE_SQL.replace('(v', '(value')} FROM curve GROUP BY mnemonic")
 def _(spark, d):
-    return rounded(V.curve(spark, d).groupBy("mnemonic").agg(*A.bundle(F.col("value"))), sum=4)
+    return rounded(A.spread(V.curve(spark, d), ["mnemonic"], "value"), sum=4)
 
 
 @register("geomean", f"{V.with_('curve')} SELECT bore_id, round(exp(avg(CASE WHEN value > 0 THEN ln(value) END)), 6) AS geomean FROM curve GROUP BY bore_id")
@@ -58,7 +58,7 @@ def _(spark, d):
   round(min(CASE WHEN run >= 0.1 * tot - 1e-12 * tot THEN v END), 6) AS p10, round(min(CASE WHEN run >= 0.5 * tot - 1e-12 * tot THEN v END), 6) AS p50, round(min(CASE WHEN run >= 0.9 * tot - 1e-12 * tot THEN v END), 6) AS p90 FROM t GROUP BY mnemonic""",
 )
 def _(spark, d):
-    return rounded(A.weighted(V.curve(spark, d), ["mnemonic"], "value", "md"), mean=5, std=5, sum=2)
+    return rounded(A.spread(V.curve(spark, d), ["mnemonic"], "value", "md"), mean=5, std=5, sum=2)
 
 
 @register(
