@@ -43,8 +43,8 @@ def weighted(df: DataFrame, keys: list[str], value: str, weight: str, also: tupl
     return out.where(F.col("count") > 0)
 
 
-#: Ranges of values that each group is dealt into by :func:`spread`, and the most groups whose ranges are broadcast (2 KB each).
-RANGES, BROADCAST_GROUPS = 256, 10_000
+#: Ranges of values that each group is dealt into by :func:`spread`, and the most groups whose ranges are broadcast (0.5 KB each).
+RANGES, BROADCAST_GROUPS = 64, 10_000
 PERCENTILES = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
 
 
@@ -53,7 +53,7 @@ def spread(df: DataFrame, keys: list[str], value: str, weight: str | None = None
 
     Approximate quantiles cut each group into ranges of values. Weights are added up by range, which tells the range that
     a percentile lies in, and only that range is ranked, by distinct values, so that results are exact and a common value
-    is one row. ``df`` is read three times; the facts of each group are stored.
+    is one row. ``df`` is read three times; facts and sums by range are stored.
     """
     from ..operators.graph import cut
 

@@ -1,24 +1,37 @@
-"""Connected components by distributed star steps, and checkpoints between the rounds of iterative operators."""
+"""Connected components by distributed star steps, and tables that are stored between the rounds of iterative operators."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _shared(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir")
+    if not found:
+        known = sc._jsc.sc().getCheckpointDir()
+        if known.isDefined():
+            return known.get()
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(found)
+    return found
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed and stored in the folder of ``spark.checkpoint.dir``; a local one only where Spark runs on this machine alone."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    """``df`` computed once and stored as a table in the folder of ``spark.checkpoint.dir``, which stays there.
+
+    It cuts lineage and survives lost executors. The folder is a new local one only where that is unset and Spark runs on this machine alone.
+    """
+    spark = df.sparkSession
+    path = f"{_shared(spark).rstrip('/')}/lithoframe-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(links: DataFrame) -> DataFrame:
