@@ -150,3 +150,24 @@ def from_points(points: DataFrame, g: dict, method: str = "nearest", power: floa
     queries = to.select((F.col("j") * g["ncol"] + F.col("i")).cast("long").alias("query_id"), "x", "y")
     near = spatial.nearest(known, queries, cell).join(known.select("point_id", "z"), "point_id", "left")
     return near.select((F.col("query_id") % g["ncol"]).cast("int").alias("i"), F.floor(F.col("query_id") / g["ncol"]).cast("int").alias("j"), "z")
+
+
+def lift(grid: DataFrame, g: dict) -> DataFrame:
+    """Nodes of a grid with their map position and a label (``block`` 0, i, j); values and all other lanes as they are."""
+    x, y = node_xy(F.col("i"), F.col("j"), g)
+    return grid.withColumns({"block": F.lit(0), "x": x, "y": y})
+
+
+def resample_lanes(nodes: DataFrame, g: dict, lanes: list[str], method: str = "nearest", power: float = 2.0) -> DataFrame:
+    """``i, j`` and a column for each lane of scattered nodes (``point_id, x, y`` and the lanes), gridded one by one.
+
+    Undefined and infinite values of a lane take no part in it.
+    """
+    out = None
+    for lane in lanes:
+        known = nodes.where(F.col(lane).isNotNull() & ~F.isnan(lane) & (F.abs(lane) < float("inf")))
+        one = from_points(known.select("point_id", "x", "y", F.col(lane).cast("double").alias("z")), g, method, power).withColumnRenamed("z", lane)
+        out = one if out is None else out.join(one, ["i", "j"])
+    if out is None:
+        raise ValueError("no lane to grid")
+    return out

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import node_xy
 from . import spatial
 
 #: Neighbours that are looked at for axes and for steps along them, how far steps are sought (in short
@@ -122,6 +123,53 @@ def occupied_edges(nodes: DataFrame) -> DataFrame:
     return e.join(back, ["i1", "j1", "i2", "j2"], "left_anti")
 
 
+def full_edge(g: dict, spark: SparkSession) -> DataFrame:
+    """``ring, seq, x, y``: the corner nodes of a geometry, from its origin along the first axis."""
+    i, j = g["ncol"] - 1, g["nrow"] - 1
+    corners = spark.createDataFrame([(0, k, *c) for k, c in enumerate(((0, 0), (i, 0), (i, j), (0, j)))], "ring int, seq int, i int, j int")
+    x, y = node_xy(F.col("i"), F.col("j"), g)
+    return corners.select("ring", "seq", x.alias("x"), y.alias("y"))
+
+
+def perimeter(nodes: DataFrame, ncol: int, nrow: int) -> DataFrame:
+    """``seq, i, j, x, y``: the outermost nodes of a structured surface that have a place, once around from node (0, 0)."""
+    if min(ncol, nrow) < 2:
+        raise ValueError("a perimeter needs two nodes along both axes")
+    i, j = F.col("i").cast("long"), F.col("j").cast("long")
+    # places along the low row, the high column, the high row backwards and the low column backwards
+    seq = F.when(j == 0, i).when(i == ncol - 1, ncol - 1 + j).when(j == nrow - 1, 2 * (ncol - 1) + nrow - 1 - i).when(i == 0, 2 * (ncol - 1) + 2 * (nrow - 1) - j)
+    inside = (i >= 0) & (i < ncol) & (j >= 0) & (j < nrow)
+    placed = nodes.where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    return placed.where(inside).withColumn("seq", seq).where("seq IS NOT NULL").select("seq", "i", "j", "x", "y")
+
+
+def edge(nodes: DataFrame, g: dict, kind: str = "occupied") -> DataFrame:
+    """The edge of a grid as rings: ``occupied`` (traced around cells with four nodes), ``hull`` of defined nodes, or ``full``.
+
+    Rings of an occupied edge are numbered within each connected piece (``piece_x, piece_y``).
+    """
+    from . import kernels
+
+    if kind == "full":
+        return full_edge(g, nodes.sparkSession)
+    at = lambda k: node_xy(F.col(f"i{k}"), F.col(f"j{k}"), g)
+    if kind == "hull":
+        x, y = node_xy(F.col("i"), F.col("j"), g)
+        return spatial.hull(nodes.where("z IS NOT NULL").select(x.alias("x"), y.alias("y")))
+    if kind != "occupied":
+        raise ValueError(f"unknown edge: {kind}")
+    sides = occupied_edges(nodes).select(F.lit(0).alias("mesh_id"), *(c.alias(f"{n}{k}") for k in (1, 2) for n, c in zip("xy", at(k), strict=True)))
+    return kernels.boundary_rings(sides).drop("mesh_id")
+
+
+def infer_grid(nodes: DataFrame, cell: float, tolerance: float = 1e-3, key: str = "vid") -> DataFrame:
+    """The geometry of mesh nodes (``vid, block, i, j, x, y``): by their labels if all are of one block, else by place alone."""
+    labelled, every, blocks = nodes.agg(F.count(F.when(F.expr("block IS NOT NULL AND i IS NOT NULL AND j IS NOT NULL"), 1)), F.count("*"), F.count_distinct("block")).head()
+    if every and labelled == every and blocks == 1:
+        return infer_geometry(nodes, tolerance, "i", "j")
+    return infer_geometry_xy(nodes, cell, tolerance, key)
+
+
 def structured_points(nodes: DataFrame) -> DataFrame:
     """Defined nodes with 1-based ``column`` and ``row``."""
     return nodes.where("z IS NOT NULL").select((F.col("i") + 1).alias("column"), (F.col("j") + 1).alias("row"), "z")

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lithoframe.operators import kernels, lattice, mesh, spatial
+from lithoframe.operators import grid, kernels, lattice, mesh, spatial
 
 
 def test_knn(spark):
@@ -102,3 +102,32 @@ def test_value_layer(spark):
     got = layer.collect()
     assert len(got) == 12 and {(r["low"], r["high"]) for r in got} == {(-8.0, 16.0)} and triangles.count() == 2 * 3 * 2
     assert mesh.value_layer(nodes)[1].count() == 2 * (6 * 4 - 4)
+
+
+G = {"xori": 10.0, "yori": 20.0, "xinc": 2.0, "yinc": 3.0, "ncol": 4, "nrow": 3, "rotation_deg": 0.0, "yflip": False}
+
+
+def test_edges(spark):
+    nodes = grid.constant(G, spark, 1.0)
+    full = [(r["x"], r["y"]) for r in lattice.edge(nodes, G, "full").orderBy("seq").collect()]
+    assert full == [(10, 20), (16, 20), (16, 26), (10, 26)]
+    around = [(r["i"], r["j"]) for r in lattice.perimeter(grid.lift(nodes, G), 4, 3).orderBy("seq").collect()]
+    assert around == [(0, 0), (1, 0), (2, 0), (3, 0), (3, 1), (3, 2), (2, 2), (1, 2), (0, 2), (0, 1)]
+    traced = lattice.edge(nodes.where("NOT (i = 3 AND j = 2)"), G).orderBy("seq").collect()
+    assert len(traced) == 11 and (traced[0]["x"], traced[0]["y"]) == (traced[-1]["x"], traced[-1]["y"]) and (14, 23) in {(r["x"], r["y"]) for r in traced}
+    assert {(r["x"], r["y"]) for r in lattice.edge(nodes, G, "hull").collect()} == set(full)
+    with pytest.raises(ValueError):
+        lattice.edge(nodes, G, "other")
+
+
+def test_lift_and_lanes(spark):
+    wide = grid.constant(G, spark, 0.0).withColumns({"z": (F.col("i") * 10 + F.col("j")).cast("double"), "phi": F.when(F.col("i") > 0, F.col("j") / 10.0)})
+    lifted = grid.lift(wide, G).withColumn("point_id", (F.col("i") * 100 + F.col("j")).cast("long"))
+    back = {(r["i"], r["j"]): (r["z"], r["phi"]) for r in grid.resample_lanes(lifted, G, ["z", "phi"]).collect()}
+    assert len(back) == 12 and all(z == i * 10 + j and phi == j / 10 for (i, j), (z, phi) in back.items())
+    mesh_nodes = lifted.withColumnRenamed("point_id", "vid")
+    by_label, by_place = (lattice.infer_grid(n, 3.0).head() for n in (mesh_nodes, mesh_nodes.withColumn("block", F.when(F.col("vid") > 0, 0))))
+    for r in (by_label, by_place):
+        assert (r["xori"], r["yori"], r["xinc"], r["yinc"], r["ncol"], r["nrow"], r["fits"]) == (10, 20, 2, 3, 4, 3, True)
+    with pytest.raises(ValueError):
+        grid.resample_lanes(lifted, G, [])
