@@ -52,14 +52,14 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/llm-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """``df`` as a Parquet table in the shared folder; cuts lineage and survives lost executors.
 
     Results may read it until they are used, so it stays; :func:`clear` removes all tables of the application.
     """
     spark = df.sparkSession
     path = f"{_folder(spark)}/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, mixing, neardup, quality, sharding, suffixes, toxicity, urls, warc
+from . import decontaminate, html, mixing, neardup, quality, sharding, suffixes, tokens, toxicity, urls, warc
 
 QUERIES = {
     "op1_url_filters": urls.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sharding": sharding.query,
     "op9_html_text": html.query,
     "op10_near_duplicates": neardup.query,
+    "op11_token_ids": tokens.query,
 }
 ORACLES = {
     "op1_url_filters": urls.SQL,
