@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, mixing, neardup, quality, sharding, suffixes, tokens, toxicity, urls, warc
+from . import decontaminate, divergence, html, merkle, mixing, neardup, quality, sharding, suffixes, tokens, toxicity, urls, warc
 
 QUERIES = {
     "op1_url_filters": urls.query,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_html_text": html.query,
     "op10_near_duplicates": neardup.query,
     "op11_token_ids": tokens.query,
+    "op12_merkle_manifest": merkle.query,
+    "op13_source_divergence": divergence.query,
 }
 ORACLES = {
     "op1_url_filters": urls.SQL,
@@ -23,4 +25,6 @@ ORACLES = {
     "op6_mixing": mixing.SQL,
     "op7_quality_rules": quality.SQL,
     "op10_near_duplicates": neardup.SQL,
+    "op12_merkle_manifest": merkle.SQL,
+    "op13_source_divergence": divergence.SQL,
 }
