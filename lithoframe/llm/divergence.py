@@ -5,10 +5,10 @@ gives each kept term the share ``p = 1 + floor(SCALE * (count + 1) / (all counts
 is what the term adds to the divergence from ``q``. Everything is exact in integers.
 
 Sums over all pairs of sources are split by how many sources have a term. Heavy terms (more than ``LIGHT`` sources) are
-dense tiles of terms x sources, summed pair by pair in numpy. A light term differs from the share of an absent term in few
-sources only: each pair starts from the absent shares of all light terms, every (source, share) that occurs is weighed by
-its number of terms against the absent shares of the others, and pairs of sources that share a light term are corrected
-from its posting. The partial sums add up to the dense result.
+dense tiles of terms x sources, summed pair by pair in numpy. Each pair starts from the absent shares of all terms, which a
+dense tile takes off again. A light term differs from the share of an absent term in few sources only: every (source,
+share) that occurs is weighed by its number of terms against the absent shares of the others, and pairs of sources that
+share a light term are corrected from its posting. The partial sums add up to the dense result.
 
 Texts are counted per task and group before anything is shuffled; a tile holds a bounded number of terms of at most
 2 x ``SIDE`` sources, so no task has a whole language. Null language, source or text is ''. A document without terms still
@@ -157,8 +157,8 @@ class Audit:
         dense = pick(each("tiles").where("terms > light_terms"), F.col("_tile"), none, F.col("absent"), none).unionByName(
             pick(sides(deal(heavy, "tiles", "term")), F.col("_tile"), F.col("term"), F.col("p"), none)
         )
-        # the pairs' start from absent terms is in tile 0
-        base = F.when(F.col("_tile") == 0, F.col("light_terms")).otherwise(0)
+        # each pair starts from the absent shares of all terms, in tile 0
+        base = F.when(F.col("_tile") == 0, F.col("terms")).otherwise(0)
         sparse = pick(each("steps"), F.col("_tile"), none, F.col("absent"), base).unionByName(
             pick(sides(deal(shares, "steps", "idx", "p")), F.col("_tile"), F.lit(""), F.col("p"), F.col("weight"))
         )
@@ -217,16 +217,17 @@ def _summed(sums, side: int):
 
 
 def _dense(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of a tile of heavy terms."""
+    """Sums of a tile of heavy terms, less what they give where they are absent (as a term of other blocks is here)."""
     sources, absent, _, rows, at, p, _ = _tile(table)
     term = table.column("term").take(pa.array(rows)).combine_chunks().dictionary_encode().indices.to_numpy() if len(rows) else np.zeros(0, np.int64)
     shares = np.tile(absent, (int(term.max()) + 1 if len(term) else 0, 1))
     shares[term, at] = p
-    return sources, np.stack([_gain(shares, shares[:, [b]]).sum(0) for b in range(len(sources))], axis=1)
+    value = np.stack([_gain(shares, shares[:, [b]]).sum(0) for b in range(len(sources))], axis=1)
+    return sources, value - len(shares) * _gain(absent[:, None], absent)
 
 
 def _sparse(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of light terms against absent shares: of all terms, and what those that occur add to it."""
+    """The start from absent terms, and what light terms that occur add to it against absent shares."""
     sources, absent, base, _, at, p, weight = _tile(table)
     start = _gain(absent[:, None], absent)
     value = start * base.max()
