@@ -1,7 +1,7 @@
 """Token ids in files of directly addressable codes (DAC).
 
 Texts are encoded with a public tokenizer, an end id follows each, and the ids are stored in ascending order of the keys.
-A segment holds the ids of whole documents (about ``SLICE_BYTES`` of text, or one longer text) as one image: an id's bits
+A segment holds the ids of whole documents (at most ``SEGMENT_BYTES`` of text, or one longer text) as one image: an id's bits
 are cut into chunks, chunk 0 of every id lies in level 0, and a bit a code says whether the id goes on in the next level.
 Where it goes on is the number of set bits before it, which a directory of ranks gives from one block of 256 bits. So any
 id is read from its position with one look per level, and nothing before it is decoded. Chunk widths are the cheapest for
@@ -33,6 +33,8 @@ from .common import small_batches, texts_of, written
 
 #: Bytes of text in a range of keys, about.
 RANGE_BYTES = 32 << 20
+#: Bytes of text in a segment, at most, unless one text has more.
+SEGMENT_BYTES = 4 << 20
 #: Chunks, and ids of them, beyond which an encoder forgets what it has encoded.
 KNOWN, KNOWN_IDS = 1 << 19, 1 << 22
 #: Ranges that are summed together in the directory, and positions of one segment that are looked up together.
@@ -44,9 +46,15 @@ RANK_BITS = 256
 _MAGIC = b"DAC1"
 
 # A tokenizer of bytes never joins a word with white space that follows it, so a text falls apart before every blank or
-# line end that comes after a character which no version of Unicode counts as white space.
-_SOLID = r"!-~¡-ᙿᚁ-᠍᠏-῿‐-‧‰-⁞⁡-⿿、-﻾＀-\U0010FFFF"
-_CHUNK = re.compile(rf"[ \n]*[^ \n]+(?:(?<![{_SOLID}])[ \n]+[^ \n]*)*|[ \n]+")
+# line end that comes after a character which no version of Unicode counts as white space. Such characters are told here
+# by their bytes: printable ASCII, two bytes that begin with C3 to DF, three that begin with E4 to EC. After any other
+# character the text is not parted, which is right, too.
+_PRINTABLE, _TWO, _THREE = (np.zeros(256, bool) for _ in range(3))
+_PRINTABLE[0x21:0x7F], _TWO[0xC3:0xE0], _THREE[0xE4:0xED] = True, True, True
+# New chunks are encoded together with NUL between them, where that stays a token of its own: no word takes in a NUL, and
+# between a solid character and white space it changes no split.
+_NUL, _JOINED = "\0", 512
+_JOINABLE = re.compile("[ \n][^\0]*[^\0\\s]\\Z")
 
 
 class _Known(dict):
@@ -74,6 +82,9 @@ class Encoder:
             found = json.load(f)
         split = found.get("pre_tokenizer") or {}
         self.apart = found.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        vocabulary = found["model"].get("vocab", {})
+        # the tokenizer writes byte 0 as U+0100
+        self.nul = vocabulary.get("\u0100") if self.apart and sum("\u0100" in word for word in vocabulary) == 1 else None
         self.special = [x["content"] for x in found.get("added_tokens") or []]
         self._forget()
 
@@ -87,31 +98,63 @@ class Encoder:
         self.known = _Known()
         self.ids, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, number of ids of each text)``."""
-        chunks: list[str] = []
-        first = np.zeros(len(texts) + 1, np.int64)
-        for k, text in enumerate(texts):
-            if self.apart and not any(s in text for s in self.special):
-                chunks += _CHUNK.findall(text)
-            elif text:
-                chunks.append(text)
-            first[k + 1] = len(chunks)
+        made = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(made), np.uint32), np.fromiter(map(len, made), np.int64, len(made))
+
+    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for chunks, most of them encoded many at a time."""
+        if self.nul is None:
+            return self._library(chunks)
+        fits = np.fromiter((_JOINABLE.match(c) is not None for c in chunks), bool, len(chunks))
+        joined = [c for c, fit in zip(chunks, fits.tolist(), strict=True) if fit]
+        ids, _ = self._library([_NUL.join(joined[k : k + _JOINED]) + _NUL for k in range(0, len(joined), _JOINED)])
+        ends = np.flatnonzero(ids == self.nul)
+        size = np.zeros(len(chunks), np.int64)
+        size[fits] = np.diff(ends, prepend=-1) - 1
+        other, size[~fits] = self._library([c for c, fit in zip(chunks, fits.tolist(), strict=True) if not fit])
+        out = np.zeros(size.sum(), np.uint32)
+        own = np.repeat(fits, size)
+        out[own], out[~own] = np.delete(ids, ends), other
+        return out, size
+
+    def _parts(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Where chunks begin; every text that is not empty begins one."""
+        begins = np.zeros(len(data) + 1, bool)
+        if self.apart:
+            solid = _PRINTABLE[data]
+            solid[1:] |= (data[1:] >= 0x80) & _TWO[data[:-1]]
+            solid[2:] |= (data[2:] >= 0x80) & _THREE[data[:-2]] & (data[1:-1] >= 0x80)
+            begins[1:-1] = solid[:-1] & ((data[1:] == 32) | (data[1:] == 10))
+            body = data.tobytes()
+            for found in (m.start() for s in self.special for m in re.finditer(re.escape(s.encode()), body)):
+                k = np.searchsorted(offsets, found, side="right")
+                begins[offsets[k - 1] : offsets[k]] = False
+        begins[offsets] = True
+        begins[len(data)] = False
+        return np.flatnonzero(begins)
+
+    def __call__(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, number of ids of each text)`` of texts as :func:`texts_of` gives them."""
+        begin = self._parts(offsets, data)
+        if not len(begin):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        bounds = np.append(begin, len(data)).astype(np.int64)
+        own = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         old = len(self.known)
-        at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        words = own.dictionary.to_pylist()
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         if len(self.known) > old:
-            made = self._library(list(itertools.islice(reversed(self.known), len(self.known) - old))[::-1])
-            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(made), np.uint32)])
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(m) for m in made])])
+            made, n = self._chunks(list(itertools.islice(reversed(self.known), len(self.known) - old))[::-1])
+            self.ids, self.start = np.concatenate([self.ids, made]), np.concatenate([self.start, self.start[-1] + np.cumsum(n)])
+        at = at[own.indices.to_numpy()]
         size = self.start[at + 1] - self.start[at]
         end = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(self.start[at] - end[:-1], size) + np.arange(end[-1])]
         if len(self.known) > KNOWN or len(self.ids) > KNOWN_IDS:
             self._forget()
-        return ids, np.diff(end[first])
+        return ids, np.diff(end[np.searchsorted(begin, offsets)])
 
 
 def widths(ids: np.ndarray) -> list[int]:
@@ -266,9 +309,9 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         encoder, shard, seq = Encoder.of(path), TaskContext.get().partitionId(), itertools.count()
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            for at, off, _ in texts_of(texts):
+            for at, off, data in texts_of(texts, SEGMENT_BYTES):
                 n = len(off) - 1
-                ids, count = encoder(texts.slice(at, n).to_pylist())
+                ids, count = encoder(off, data)
                 ids = np.insert(ids, np.cumsum(count), np.uint32(end_id))
                 lists = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), x) for x in (keys.slice(at, n), pa.array(count + 1, pa.int64()))]
                 yield pa.RecordBatch.from_arrays(
