@@ -158,17 +158,21 @@ class Encoder:
 
 
 def widths(ids: np.ndarray) -> list[int]:
-    """Chunk widths, lowest bits first, that take the fewest bits for ``ids`` with their continuation bits."""
-    sizes = np.zeros(33, np.int64)
+    """Chunk widths, lowest bits first, that take the fewest bits for ``ids`` with their continuation bits.
+
+    Widths are even and at most 16, so that four codes are whole bytes of one 64-bit word.
+    """
+    sizes = np.zeros(35, np.int64)
     found, n = np.unique(np.frexp(ids.astype(np.float64))[1], return_counts=True)
     sizes[found] = n
-    top = max(int(found[-1]) if len(found) else 0, 1)
-    over = np.concatenate([np.cumsum(sizes[::-1])[::-1], [0]])  # over[b]: ids with at least b bits
-    best, cut = [0.0] * (top + 1), [top] * (top + 1)
-    for a in range(top - 1, -1, -1):
+    top = max(int(found[-1]) + 1 if len(found) else 0, 2) // 2 * 2
+    over = np.cumsum(sizes[::-1])[::-1]  # over[b]: ids with at least b bits
+    best, cut = {top: 0.0}, {}
+    for a in range(top - 2, -1, -2):
         there = len(ids) if a == 0 else int(over[a + 1])
-        cost = [there * (b - a + (0 if b == top else 1 + 32 / RANK_BITS)) + best[b] for b in range(a + 1, top + 1)]
-        best[a], cut[a] = min(cost), a + 1 + int(np.argmin(cost))
+        ends = range(a + 2, min(a + 16, top) + 1, 2)
+        cost = [there * (b - a + (0 if b == top else 1 + 32 / RANK_BITS)) + best[b] for b in ends]
+        best[a], cut[a] = min(cost), ends[int(np.argmin(cost))]
     out, a = [], 0
     while a < top:
         out.append(cut[a] - a)
@@ -177,8 +181,22 @@ def widths(ids: np.ndarray) -> list[int]:
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
-    bits = (values[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    four = np.zeros((-(-len(values) // 4), 4), np.uint64)
+    four.reshape(-1)[: len(values)] = values
+    words = four[:, 0].copy()
+    for k in (1, 2, 3):
+        words |= four[:, k] << np.uint64(k * width)
+    return np.ascontiguousarray(words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : width // 2]).tobytes()
+
+
+def _unpack(data: np.ndarray, width: int, a: int, b: int) -> np.ndarray:
+    """Codes ``a`` to ``b``."""
+    first, last = a // 4, -(-b // 4)
+    words = np.zeros((last - first, 8), np.uint8)
+    words[:, : width // 2] = data[first * width // 2 : last * width // 2].reshape(-1, width // 2)
+    words, mask = words.view("<u8")[:, 0], np.uint64((1 << width) - 1)
+    four = np.stack([(words >> np.uint64(k * width)) & mask for k in range(4)], axis=1)
+    return four.reshape(-1)[a - 4 * first : b - 4 * first].astype(np.uint32)
 
 
 def _bits(data: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -188,7 +206,7 @@ def _bits(data: np.ndarray, a: int, b: int) -> np.ndarray:
 
 def image(ids: np.ndarray) -> bytes:
     """The bytes of a segment: magic, number of levels, then per level its width and number of codes, then per level the
-    packed codes and, but for the last, the continuation bitmap (whole blocks) and one 32-bit rank a block."""
+    packed codes (whole groups of four) and, but for the last, the continuation bitmap (whole blocks) and one 32-bit rank a block."""
     parts, heads, rest = [], [], ids.astype(np.uint32)
     wide = widths(rest)
     for k, w in enumerate(wide):
@@ -219,7 +237,7 @@ class Codes:
         for k in range(levels):
             width, n = struct.unpack_from("<IQ", data, 8 + 12 * k)
             blocks = -(-n // RANK_BITS) if k + 1 < levels else 0
-            sizes = (-(-width * n // 8), blocks * RANK_BITS // 8, 4 * blocks)
+            sizes = (-(-n // 4) * width // 2, blocks * RANK_BITS // 8, 4 * blocks)
             ends = np.cumsum((at, *sizes)).tolist()
             codes, bits, ranks = (np.frombuffer(data, np.uint8, s, e) for s, e in zip(sizes, ends, strict=False))
             self.levels.append((width, codes, bits, ranks.view("<u4")))
@@ -248,7 +266,7 @@ class Codes:
         for width, codes, bits, ranks in self.levels:
             bit = at * width
             value = np.zeros(len(at), np.uint64)
-            for k in range(5):
+            for k in range(3):
                 here = (bit >> 3) + k
                 value |= np.where(here < len(codes), codes[np.minimum(here, len(codes) - 1)], 0).astype(np.uint64) << np.uint64(8 * k)
             value = (value >> (bit & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)
@@ -269,8 +287,7 @@ class Codes:
         for width, codes, bits, ranks in self.levels:
             if b <= a:
                 break
-            part = _bits(codes, a * width, b * width).reshape(b - a, width)
-            value = part.astype(np.uint32) @ (np.uint32(1) << np.arange(width, dtype=np.uint32))
+            value = _unpack(codes, width, a, b)
             if left is None:
                 out, left = value, np.arange(b - a)
             else:
