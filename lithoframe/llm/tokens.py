@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import os
 import re
 import struct
 import zlib
@@ -34,9 +35,9 @@ from .common import small_batches, texts_of, written
 #: Bytes of text in a range of keys, about.
 RANGE_BYTES = 32 << 20
 #: Bytes of text in a segment, at most, unless one text has more.
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 #: Chunks, and ids of them, beyond which an encoder forgets what it has encoded.
-KNOWN, KNOWN_IDS = 1 << 19, 1 << 22
+KNOWN, KNOWN_IDS = 300_000, 1 << 21
 #: Ranges that are summed together in the directory, and positions of one segment that are looked up together.
 RANGES, POSITIONS = 4096, 1 << 16
 #: Positions of one cell of the directory.
@@ -53,14 +54,13 @@ _PRINTABLE, _TWO, _THREE = (np.zeros(256, bool) for _ in range(3))
 _PRINTABLE[0x21:0x7F], _TWO[0xC3:0xE0], _THREE[0xE4:0xED] = True, True, True
 # New chunks are encoded together with NUL between them, where that stays a token of its own: no word takes in a NUL, and
 # between a solid character and white space it changes no split.
-_NUL, _JOINED = "\0", 512
-_JOINABLE = re.compile("[ \n][^\0]*[^\0\\s]\\Z")
+_JOINED = 512
 
 
 class _Known(dict):
     """Numbers of chunks; a new one gets the next number."""
 
-    def __missing__(self, chunk: str) -> int:
+    def __missing__(self, chunk: bytes) -> int:
         self[chunk] = n = len(self)
         return n
 
@@ -77,6 +77,8 @@ class Encoder:
 
         from tokenizers import Tokenizer
 
+        # a task has one core, and the library's threads spin while they wait
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             found = json.load(f)
@@ -103,17 +105,18 @@ class Encoder:
         made = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         return np.fromiter(itertools.chain.from_iterable(made), np.uint32), np.fromiter(map(len, made), np.int64, len(made))
 
-    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The same for chunks, most of them encoded many at a time."""
         if self.nul is None:
-            return self._library(chunks)
-        fits = np.fromiter((_JOINABLE.match(c) is not None for c in chunks), bool, len(chunks))
+            return self._library([c.decode() for c in chunks])
+        solid = lambda c: _PRINTABLE[c[-1]] or _TWO[c[-2]] or _THREE[c[-3]]
+        fits = np.array([c[0] in b" \n" and (32 < c[-1] < 127 or c[-1] > 127 and bool(solid(c))) and 0 not in c for c in chunks], bool)
         joined = [c for c, fit in zip(chunks, fits.tolist(), strict=True) if fit]
-        ids, _ = self._library([_NUL.join(joined[k : k + _JOINED]) + _NUL for k in range(0, len(joined), _JOINED)])
+        ids, _ = self._library([(b"\0".join(joined[k : k + _JOINED]) + b"\0").decode() for k in range(0, len(joined), _JOINED)])
         ends = np.flatnonzero(ids == self.nul)
         size = np.zeros(len(chunks), np.int64)
         size[fits] = np.diff(ends, prepend=-1) - 1
-        other, size[~fits] = self._library([c for c, fit in zip(chunks, fits.tolist(), strict=True) if not fit])
+        other, size[~fits] = self._library([c.decode() for c, fit in zip(chunks, fits.tolist(), strict=True) if not fit])
         out = np.zeros(size.sum(), np.uint32)
         own = np.repeat(fits, size)
         out[own], out[~own] = np.delete(ids, ends), other
@@ -141,9 +144,9 @@ class Encoder:
         if not len(begin):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         bounds = np.append(begin, len(data)).astype(np.int64)
-        own = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        own = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         old = len(self.known)
-        words = own.dictionary.to_pylist()
+        words = own.dictionary.to_numpy(zero_copy_only=False).tolist()
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         if len(self.known) > old:
             made, n = self._chunks(list(itertools.islice(reversed(self.known), len(self.known) - old))[::-1])
@@ -151,7 +154,9 @@ class Encoder:
         at = at[own.indices.to_numpy()]
         size = self.start[at + 1] - self.start[at]
         end = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(self.start[at] - end[:-1], size) + np.arange(end[-1])]
+        where = np.repeat(self.start[at] - end[:-1], size)
+        where += np.arange(end[-1])
+        ids = self.ids[where]
         if len(self.known) > KNOWN or len(self.ids) > KNOWN_IDS:
             self._forget()
         return ids, np.diff(end[np.searchsorted(begin, offsets)])
