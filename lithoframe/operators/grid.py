@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import divided, node_xy, xy_to_ij
+from . import ranks
 
 
 def same_geometry(a: dict, b: dict, tolerance: float = 1e-9) -> None:
@@ -34,8 +35,9 @@ def combine(a: DataFrame, b: DataFrame, op: str, geometry: tuple[dict, dict] | N
     return met.select("i", "j", F.when(missing, F.raise_error(F.lit("geometry mismatch: a node is in one grid only")).cast("double")).otherwise(z).alias("z"))
 
 
-def thickness(top: DataFrame, base: DataFrame, clamp: bool = True) -> DataFrame:
-    d = combine(base, top, "minus")
+def thickness(top: DataFrame, base: DataFrame, clamp: bool = True, geometry: tuple[dict, dict] | None = None, sparse: bool = False) -> DataFrame:
+    """Base less top at each node, 0 where they cross (unless not ``clamp``); grids as in :func:`combine`."""
+    d = combine(base, top, "minus", geometry, sparse)
     return d.withColumn("z", F.when(F.col("z").isNotNull(), F.greatest("z", F.lit(0.0)))) if clamp else d
 
 
@@ -52,34 +54,19 @@ def areas(grid: DataFrame, depth: float, cell: float) -> DataFrame:
     return grid.agg((F.count(F.when(F.col("z") <= depth, 1)) * cell).alias("below"), (F.count(F.when(F.col("z") >= depth, 1)) * cell).alias("above"))
 
 
-def volume_between(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
-    """Unsigned volume over nodes that both define."""
-    return combine(a, b, "minus").agg((F.coalesce(F.sum(F.abs("z")), F.lit(0.0)) * cell).alias("volume"))
-
-
-#: Nodes that one range of values holds about, and the most ranges (one row each where their counts are added up).
-RANGE_NODES, MOST_RANGES = 1_000_000, 1024
+def volume_between(a: DataFrame, b: DataFrame, cell: float, geometry: tuple[dict, dict] | None = None) -> DataFrame:
+    """Unsigned volume over nodes that both define, however the grids leave the others out."""
+    return combine(a, b, "minus", geometry, sparse=True).agg((F.coalesce(F.sum(F.abs("z")), F.lit(0.0)) * cell).alias("volume"))
 
 
 def hypsometry(grid: DataFrame, cell: float) -> DataFrame:
     """A row per defined node: value and area of all nodes up to it, ties in order of i and j.
 
-    Nodes are dealt into ranges by approximate quantiles of (z, i, j), as many as their number needs; each range is
-    ranked on its own and offset by the counts before it, so no task sorts the whole grid, even where one value is
-    common. The table of offsets has one row per range.
+    Nodes are ranked by ranges of (z, i, j), as many as their number needs, so no task sorts the whole grid, even where
+    one value is common.
     """
-    rows = grid.where(F.col("z").isNotNull())
-    n = rows.count()
-    parts = min(max(64, n // RANGE_NODES), MOST_RANGES)
-    cuts = sorted(set(rows.approxQuantile("z", [k / parts for k in range(1, parts)], 0.2 / parts))) if n > parts else []
-    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("z"))) if cuts else F.lit(0)
-    # a value that is a cut may be common: its nodes are dealt further by i
-    common = F.coalesce(F.col("z").isin(*cuts), F.lit(False)) if cuts else F.lit(False)
-    rows = rows.withColumn("_b", F.struct(at.alias("k"), F.when(common, F.lit(1)).otherwise(0).alias("c"), F.when(common, F.col("i")).alias("i")))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offset = rows.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy("z", "i", "j"))
-    return rows.withColumn("_r", rank).join(offset, "_b").select("i", "j", "z", ((F.col("_o") + F.col("_r")) * cell).alias("area"))
+    found = ranks.numbered(grid.where("z IS NOT NULL").select("i", "j", "z"), ["z", "i", "j"])
+    return found.select("i", "j", "z", ((F.col("position") + 1) * cell).alias("area"))
 
 
 def smooth(grid: DataFrame, radius: int) -> DataFrame:

@@ -12,43 +12,55 @@ from pyspark.sql import functions as F
 HEADER_BYTES, HEADER_LINES = 64 * 1024, 160
 #: Kinds by extension.
 EXTENSIONS = {
-    "las": "las", "irap": "irap_grid", "gri": "irap_grid", "cps3": "cps3_grid", "csv": "csv_points", "geojson": "geojson", "json": "geojson",
-    "shp": "shapefile", "wellpath": "wellpath", "tops": "tops", "xyz": "xyz_points", "pol": "xyz_polygons",
+    "las": "las", "irap": "irap_grid", "gri": "irap_grid", "cps3": "cps3_grid", "cps3grid": "cps3_grid", "cps3lines": "cps3_lines", "csv": "csv_points",
+    "geojson": "geojson", "json": "geojson", "shp": "shapefile", "wellpath": "wellpath", "tops": "tops", "xyz": "xyz_points", "dat": "xyz_points",
+    "irapclassicpoints": "xyz_points", "earthvisiongrid": "earthvision", "xml": "xml", "pol": "xyz_polygons",
 }
 _NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 
 
 def kind_of(header: str, path: str) -> str | None:
-    """The kind of a file from its first bytes (Latin-1) and its name."""
+    """The kind of a file from its first bytes (Latin-1) and its name.
+
+    A section line or a title settles it at once; then grid records before line records, directives, well paths (which
+    need a well head and their columns), tops by four column lines, structured text, named columns, and numbers.
+    """
     lines = [x.strip() for x in header[:HEADER_BYTES].splitlines()[:HEADER_LINES]]
     filled = [x for x in lines if x]
     upper = [x.upper() for x in filled]
-    if any(x.startswith("~") for x in filled):
-        return "las"
-    if any("PETREL WELL TOPS" in x for x in upper):
-        return "tops"
-    if any(x.startswith(("FSLIMI", "FSNROW", "FSASCI")) for x in upper):
+    for x in upper:
+        if x.startswith("~"):
+            return "las"
+        if "PETREL WELL TOPS" in x:
+            return "tops"
+    heads = {x.split()[0] for x in upper}
+    if heads & {"FSNROW", "FSXINC", "FSLIMI"}:
         return "cps3_grid"
-    if any(x.startswith("->") for x in filled):
+    if any(x.startswith("->") for x in upper):
         return "cps3_lines"
-    if any(x.startswith("# GRID_SIZE") or x.startswith("# FIELD:") for x in upper):
+    if any(word in x for x in upper for word in ("EARTHVISION", "GRID_SIZE", "GRID_SPACE")) or any(x.startswith("#") and "FIELD:" in x for x in upper):
         return "earthvision"
-    if any(x.startswith("#") and "WELL TRACE" in x for x in upper) or any(re.match(r"MD\s+X\s+Y\s+Z\s+TVD", x) for x in upper):
+    well_head = any(word in x for x in upper for word in ("WELL TRACE", "WELL HEAD", "KELLY BUSHING"))
+    if well_head and any(all(word in x for word in ("MD", "TVD", "INCL", "AZIM")) for x in upper):
         return "wellpath"
-    if filled and filled[0].startswith("{") and "FeatureCollection" in header:
-        return "geojson"
-    if filled and filled[0].startswith("<"):
+    if {"MD", "TYPE", "SURFACE", "WELL"} <= set(upper):
+        return "tops"
+    start = header.lstrip()[:512].lower()
+    if start.startswith(("<?xml", "<crsmeta")) and "crsmeta" in start:
         return "xml"
-    if filled and "," in filled[0]:
-        names = {x.strip().lower() for x in filled[0].split(",")}
-        if {"x", "y"} <= names or {"easting", "northing"} <= names:
+    if start.startswith(("{", "[")) and '"type"' in start and any(word in start for word in ("featurecollection", '"feature"', "point", "polygon")):
+        return "geojson"
+    table = next((x for x in filled if "," in x and re.search("[A-Za-z]", x)), None)
+    if table:
+        names = {x.strip().strip('"').lower() for x in table.split(",")}
+        if names & {"x", "easting"} and names & {"y", "northing"} and names & {"z", "depth", "tvd"}:
             return "csv_points"
         if {"name", "md"} <= names:
             return "tops_csv"
-    if filled and re.match(r"-996\s+\d+", filled[0]):
-        return "irap_grid"
     first = next((x for x in filled if not x.startswith(("#", "!"))), "")
-    if re.fullmatch(rf"{_NUMBER}(?:[\s,]+{_NUMBER}){{2,}}", first):
+    if re.match(r"-996\s+\+?\d+(?:\s|$)", first):
+        return "irap_grid"
+    if sum(re.fullmatch(_NUMBER, x) is not None for x in [x for x in re.split(r"[\s,]+", first) if x][:4]) >= 3:
         return "xyz_points"
     return EXTENSIONS.get(path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else "")
 

@@ -61,7 +61,8 @@ def cps3_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", "poly_id", order.alias("vseq"), F.get("v", F.lit(0)).alias("x"), F.get("v", F.lit(1)).alias("y"))
 
 
-#: What says in its first lines that a file has another format, and that format.
+#: Lines that are looked at, what says in them that a file has another format, and that format.
+FOREIGN_LINES = 60
 FOREIGN = (
     (r"(?im)^\s*~", "LAS"),
     (r"(?im)^\s*(?:->|FSASCI|FFASCI|FFATTR|FSNROW|FSXINC|FSLIMI)", "CPS-3"),
@@ -72,7 +73,7 @@ FOREIGN = (
 def _plain(spark: SparkSession, path: str) -> DataFrame:
     """Lines of plain coordinate files; files of another format raise."""
     whole = _whole(spark, path)
-    top = F.array_join(F.slice(F.split("text", r"\r?\n"), 1, 40), "\n")
+    top = F.array_join(F.slice(F.split("text", r"\r?\n"), 1, FOREIGN_LINES), "\n")
     text = F.col("text")
     for pattern, name in FOREIGN:
         text = F.when(top.rlike(pattern), F.raise_error(F.concat(F.col("path"), F.lit(f" looks like {name}, not plain coordinates"))).cast("string")).otherwise(text)

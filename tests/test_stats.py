@@ -26,19 +26,31 @@ def samples(spark):
     return spark.createDataFrame(rows, "g string, v double, w double")
 
 
-@pytest.mark.parametrize("parts", [2, 64])
-def test_spread(spark, samples, parts):
-    same(stats.spread(samples, ["g"], "v", parts=parts), samples.groupBy("g").agg(*stats.bundle(F.col("v"))))
+@pytest.mark.parametrize(("parts", "most"), [(2, 5), (64, 5), (8, 300), (64, 1_000_000)])
+def test_spread(spark, samples, parts, most):
+    same(stats.spread(samples, ["g"], "v", parts=parts, most=most), samples.groupBy("g").agg(*stats.bundle(F.col("v"))))
     also = (F.count("*").alias("rows"),)
-    same(stats.spread(samples, ["g"], "v", "w", also, parts), stats.weighted(samples, ["g"], "v", "w", also))
+    same(stats.spread(samples, ["g"], "v", "w", also, parts, most), stats.weighted(samples, ["g"], "v", "w", also))
+
+
+@pytest.mark.parametrize("most", [5, 1_000_000])
+def test_percentiles(spark, samples, most):
+    wanted = {"low": 0.0, "third": 1 / 3, "late": 0.975, "top": 1.0}
+    got = stats.percentiles(samples, ["g"], "v", wanted, most=most)
+    same(got, samples.where("v IS NOT NULL").groupBy("g").agg(*(F.percentile("v", p).alias(n) for n, p in wanted.items())))
+    got = {r["g"]: r["p50"] for r in stats.percentiles(samples, ["g"], "v", {"p50": 0.5}, "w", most=most).collect()}
+    assert got == {r["g"]: r["p50"] for r in stats.weighted(samples, ["g"], "v", "w").collect()}
+    with pytest.raises(ValueError):
+        stats.percentiles(samples, ["g"], "v", {"x": 1.5})
+    assert stats.percentiles(samples.limit(0), ["g"], "v", wanted, most=most).count() == 0
 
 
 def test_spread_without_groups(spark, samples):
-    got, want = stats.spread(samples, [], "v").head(), samples.agg(*stats.bundle(F.col("v"))).head()
+    got, want = stats.spread(samples, [], "v", most=10).head(), samples.agg(*stats.bundle(F.col("v"))).head()
     assert [got[n] for n in stats.NAMES] == pytest.approx([want[n] for n in stats.NAMES])
     assert stats.spread(samples.limit(0), ["g"], "v").count() == 0
 
 
 def test_spread_beyond_the_bound(spark, samples, monkeypatch):
     monkeypatch.setattr(stats, "BROADCAST_GROUPS", 1)
-    same(stats.spread(samples, ["g"], "v", "w"), stats.weighted(samples, ["g"], "v", "w"))
+    same(stats.spread(samples, ["g"], "v", "w", most=10), stats.weighted(samples, ["g"], "v", "w"))
