@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import extras, geometry, lattices, wells
+from .plans import extras, geometry, lattices, surfaces, wells
 
-QUERIES: dict = {**wells.QUERIES, **geometry.QUERIES, **extras.QUERIES, **lattices.QUERIES}
-ORACLES: dict = {**wells.ORACLES, **geometry.ORACLES, **extras.ORACLES, **lattices.ORACLES}
+QUERIES: dict = {**wells.QUERIES, **geometry.QUERIES, **extras.QUERIES, **lattices.QUERIES, **surfaces.QUERIES}
+ORACLES: dict = {**wells.ORACLES, **geometry.ORACLES, **extras.ORACLES, **lattices.ORACLES, **surfaces.ORACLES}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
@@ -136,3 +136,58 @@ def faults(triangles: DataFrame, vertices: DataFrame, mesh: str = "mesh_id") ->
     many = sides.where("u <> v").groupBy(mesh, "u", "v").agg(F.count("*").alias("_n")).where("_n > 2").groupBy(mesh).agg(F.count("*").alias("n")).withColumn("kind", F.lit("edge of more than two"))
     columns = [mesh, "kind", "n"]
     return unknown.select(columns).union(flat.select(columns)).union(many.select(columns))
+
+
+def corners(triangles: DataFrame, mesh: str = "mesh_id") -> DataFrame:
+    """The corner table of triangles (``mesh, tid, a, b, c``): a row a corner ``k`` (0 to 2) with its ``vertex``, the vertices
+    of the ``next`` and ``prev`` corner, and the corner across the side between these, ``opposite`` (tid, k).
+
+    One shuffle on sides. A side of the outline has no opposite, nor has one that more than two triangles share (``shared``
+    has their number): such sides belong to :func:`faults`.
+    """
+    name = "abc"
+    each = F.array(*(F.struct(F.lit(k).alias("k"), F.col(name[k]).alias("vertex"), F.col(name[(k + 1) % 3]).alias("next"), F.col(name[(k + 2) % 3]).alias("prev")) for k in range(3)))
+    c = triangles.select(mesh, "tid", F.inline(each)).withColumns({"_u": F.least("next", "prev"), "_v": F.greatest("next", "prev")})
+    side = Window.partitionBy(mesh, "_u", "_v")
+    # the other corner of a pair is the one that the row is not: with two of them, their extremes
+    own = F.struct("tid", "k")
+    both = c.withColumns({"shared": F.count("*").over(side), "_low": F.min(own).over(side), "_high": F.max(own).over(side)})
+    across = F.when(F.col("shared") == 2, F.when(own == F.col("_low"), F.col("_high")).otherwise(F.col("_low")))
+    return both.select(mesh, "tid", "k", "vertex", "next", "prev", across.alias("opposite"), "shared")
+
+
+def outline(corner_table: DataFrame, mesh: str = "mesh_id") -> DataFrame:
+    """Directed sides ``u, v`` of a corner table that have no triangle beyond them."""
+    return corner_table.where("shared = 1").select(mesh, F.col("next").alias("u"), F.col("prev").alias("v"))
+
+
+def fans(corner_table: DataFrame, mesh: str = "mesh_id") -> DataFrame:
+    """``mesh, vertex, seq, tid, piece``: the triangles around each vertex, counter-clockwise, by stepping over shared sides.
+
+    A fan that is open begins at the outline, a closed one at its smallest neighbour. A vertex at which several fans meet
+    has several pieces, numbered by where they begin. One shuffle on vertices; a task holds the triangles of one vertex.
+    """
+    around = corner_table.groupBy(mesh, "vertex").agg(F.sort_array(F.collect_list(F.struct("next", "prev", "tid"))).alias("x"))
+    # where each corner's fan begins: sides that no other corner of the vertex ends with, then what is left over
+    ends = F.transform("x", lambda c: c["prev"])
+    opened = F.filter("x", lambda c: ~F.array_contains(ends, c["next"]))
+
+    def walk(start: Column, rest: Column) -> Column:
+        """Corners from ``start`` on, as long as the next one is among ``rest``."""
+
+        def step(done: Column, _: Column) -> Column:
+            at = F.element_at(done, -1)
+            found = F.filter(rest, lambda c: (c["next"] == at["prev"]) & (c["tid"] != at["tid"]) & ~F.exists(done, lambda d: d["tid"] == c["tid"]))
+            return F.when(F.size(found) > 0, F.concat(done, F.slice(found, 1, 1))).otherwise(done)
+
+        return F.aggregate(rest, F.array(start), step)
+
+    every = F.transform(opened, lambda c: walk(c, F.col("x")))
+    # closed fans: what no open one reaches, from its smallest corner, until nothing is left
+    def close(done: Column, c: Column) -> Column:
+        seen = F.exists(done, lambda fan: F.exists(fan, lambda d: d["tid"] == c["tid"]))
+        return F.when(seen, done).otherwise(F.concat(done, F.array(walk(c, F.col("x")))))
+
+    pieces = F.aggregate("x", every, close)
+    out = around.select(mesh, "vertex", F.posexplode(pieces).alias("piece", "fan"))
+    return out.select(mesh, "vertex", "piece", F.posexplode("fan").alias("seq", "c")).select(mesh, "vertex", "piece", "seq", F.col("c.tid").alias("tid"))
