@@ -36,14 +36,20 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video select option textarea title head".split())
 #: Elements that are not part of an article.
 BOILERPLATE = frozenset("nav header footer aside form button dialog menu fieldset".split())
-#: Words of class, id and role that mark boilerplate.
-MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side rail nav navbar navigation menu breadcrumb "
-    "breadcrumbs header footer cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup login search "
-    "share sharing social related recommended comment comments discussion replies reply disqus widget pagination pager toolbar tags".split()
+#: Words of class, id and role that mark boilerplate, in whatever value they stand.
+STRONG = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sidebar nav navbar navigation breadcrumb breadcrumbs cookie cookies newsletter subscribe "
+    "disqus comment comments pagination pager".split()
+)
+#: Words that mark it where they are a whole value, or all words of one do.
+MARKS = STRONG | frozenset(
+    "promo promotion banner side rail menu header footer consent notice notices alert popup modal overlay signup login search share sharing social related "
+    "recommended discussion replies reply responses respond widget toolbar tags".split()
 )
 #: Those of reader comments.
-COMMENTS = frozenset("comment comments reply replies discussion".split())
+COMMENTS = frozenset("comment comments reply replies discussion responses respond disqus".split())
+#: Elements that hold parts of a page.
+CONTAINERS = frozenset("div section main article td center".split())
 #: Elements that begin and end a block of text.
 BLOCKS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -58,10 +64,16 @@ CLOSES = {"p": BLOCKS - {"br", "button"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd"
 HEAD = frozenset("html head title meta link script style noscript template base".split())
 #: Elements that are boilerplate whatever they hold.
 NO_FRAME = frozenset("nav aside footer menu button dialog".split())
-#: What a known mark adds to the learnt evidence (log odds of -3 to 3), and the evidence below which an element is left out.
-PRIOR, AGAINST = -4.0, -2.0
-#: Words in elements with a class word that learning needs.
+#: What a known mark adds to the learnt evidence (log odds of -3 to 3), what one word of a value with other words does, what
+#: a part of links (in words) does, and the evidence below which an element is left out.
+PRIOR, PARTLY, LINKED, AGAINST = -4.0, -1.0, -2.0, -2.0
+#: The part of an element's words that must be links to count against it.
+LINKS = 0.5
+#: Words in elements with a class value that learning needs.
 LEAST_WORDS = 20
+#: The part of all words that stands for an article that is not marked, blocks that it has at least, and the part of its
+#: words up to which a container beside it is left out.
+MAIN, MAIN_BLOCKS, BESIDE = 0.6, 3, 0.25
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _RAW_END = {x: re.compile(rf"</{x}(?=[\s/>])", re.I) for x in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
@@ -73,11 +85,12 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 
 @dataclass
 class Element:
-    """An element with the words of its class, id and role, and the tokens from its begin to its end."""
+    """An element with the values of its class, id and role, their words, and the tokens from its begin to its end."""
 
     name: str
     parent: int
     marks: frozenset[str] = frozenset()
+    values: frozenset[str] = frozenset()
     hidden: bool = False
     begin: int = 0
     end: int = 0
@@ -99,7 +112,7 @@ class Token:
 
 @dataclass
 class Weights:
-    """Score of a word or a tag by its kind, where unseen tags cost ``tag``; and evidence of class words for an article."""
+    """Score of a word or a tag by its kind, where unseen tags cost ``tag``; and evidence of class values for an article."""
 
     of: dict[str, float] = field(default_factory=lambda: {"word:outside": -2.0, "word:link": -1.0})
     word: float = 1.0
@@ -113,9 +126,16 @@ class Weights:
             return token.words * self.of.get(token.kind, self.word)
         return self.of.get(token.kind, self.tag)
 
-    def against(self, marks: frozenset[str]) -> bool:
-        """Whether the words of an element's class speak against it: what was learnt, and a prior for known marks."""
-        return any(self.evidence.get(m, 0.0) + (PRIOR if m in MARKS else 0.0) < AGAINST for m in marks)
+    def speaks(self, value: str) -> float:
+        """Evidence of one class value: what was learnt, and a prior for known marks."""
+        words = [w for w in _SPLIT.split(value) if w]
+        if STRONG.intersection(words) or words and MARKS.issuperset(words):
+            return self.evidence.get(value, 0.0) + PRIOR
+        return self.evidence.get(value, PARTLY if MARKS.intersection(words) else 0.0)
+
+    def against(self, values: frozenset[str], linked: bool) -> bool:
+        """Whether the values of an element's class speak against it, and how much of it is links."""
+        return min(map(self.speaks, values), default=0.0) + (LINKED if linked else 0.0) < AGAINST
 
 
 def parse(page: str) -> tuple[list[Token], list[Element]]:
@@ -177,7 +197,8 @@ def parse(page: str) -> tuple[list[Token], list[Element]]:
             continue
         found = [(k.lower(), "".join(v).lower()) for k, *v in _ATTR.findall(m[3])]
         marks = frozenset(w for k, v in found if k != "hidden" for w in _SPLIT.split(v) if w)
-        elements.append(Element(name, open_[-1], marks, any(k == "hidden" for k, _ in found), len(out) - 1, n))
+        values = frozenset(w for k, v in found if k != "hidden" for w in v.split())
+        elements.append(Element(name, open_[-1], marks, values, any(k == "hidden" for k, _ in found), len(out) - 1, n))
         if name in _RAW_END:
             end = _RAW_END[name].search(page, at)
             at = end.start() if end else n
@@ -193,8 +214,8 @@ def _is_article(e: Element) -> bool:
 def tokens(page: str, weights: Weights | None = None) -> tuple[list[Token], list[Element], list[bool], list[int]]:
     """Judged tokens, elements, whether each element holds all articles of its page, and running counts of plain words.
 
-    An element is boilerplate by its name or because the words of its class speak against it, unless it is a frame: it
-    holds all articles of the page or, where no article is marked, more than half of the words outside of links.
+    An element is boilerplate by its name or because the evidence speaks against it, unless it is a frame: it holds all
+    articles of the page or, where no article is marked, more than half of the words outside of links.
     """
     weights = weights or Weights()
     out, elements = parse(page)
@@ -211,9 +232,11 @@ def tokens(page: str, weights: Weights | None = None) -> tuple[list[Token], list
                 holds[up] += 1
                 up = elements[up].parent
         headline = headline or (e.begin if e.name == "h1" else 0)
-    plain = [0]
+    plain, every = [0], [0]
     for t in out:
+        every.append(every[-1] + (0 if hidden[t.element] else t.words))
         plain.append(plain[-1] + (t.words if not (hidden[t.element] or link[t.element]) else 0))
+    span = lambda sums, e: sums[min(e.end, len(out))] - sums[e.begin]
     bad, inside = [False] * n, [False] * n
     for i, e in enumerate(elements[1:], 1):
         if hidden[i]:
@@ -223,13 +246,15 @@ def tokens(page: str, weights: Weights | None = None) -> tuple[list[Token], list
         elif e.name == "article":
             boiler = bool(e.marks & COMMENTS)
         else:
-            boiler = e.name in BOILERPLATE and not (e.name == "header" and inside[e.parent]) or weights.against(e.marks)
+            boiler = e.name in BOILERPLATE and not (e.name == "header" and inside[e.parent]) or weights.against(e.values, e.name in CONTAINERS and span(every, e) - span(plain, e) > LINKS * span(every, e))
             if boiler and e.name not in NO_FRAME:
-                large = 2 * (plain[min(e.end, len(out))] - plain[e.begin]) > plain[-1] and (not e.marks & COMMENTS or e.begin <= headline < e.end)
+                large = 2 * span(plain, e) > plain[-1] and (not e.marks & COMMENTS or e.begin <= headline < e.end)
                 boiler = not (holds[i] == articles if articles else large)
         bad[i] = bad[e.parent] or boiler
         inside[i] = inside[e.parent] or not bad[i] and _is_article(e)
     marked = any(inside)
+    if not marked:
+        _leave_out_beside(out, elements, bad, link, headline)
     for i, e in enumerate(elements):
         if bad[i]:  # its own tags, too
             out[e.begin].kind = "boilerplate"
@@ -248,11 +273,43 @@ def tokens(page: str, weights: Weights | None = None) -> tuple[list[Token], list
     return out, elements, [articles > 0 and h == articles for h in holds], plain
 
 
+def _leave_out_beside(out: list[Token], elements: list[Element], bad: list[bool], link: list[bool], headline: int) -> None:
+    """Where no article is marked: follows the container with most words inwards and leaves out small ones beside it."""
+    plain, every, blocks, seen = [0], [0], [0], -1
+    for t in out:
+        good = t.words if not bad[t.element] else 0
+        every.append(every[-1] + good)
+        plain.append(plain[-1] + (0 if link[t.element] else good))
+        blocks.append(blocks[-1] + (good > 0 and t.block != seen))
+        seen = t.block if good else seen
+    span = lambda sums, e: sums[min(e.end, len(out))] - sums[e.begin]
+    below: dict[int, list[int]] = {}
+    for i, e in enumerate(elements[1:], 1):
+        below.setdefault(e.parent, []).append(i)
+    at, lost = 0, set()
+    while True:
+        inner = [i for i in below.get(at, ()) if not bad[i] and elements[i].name in CONTAINERS | {"html", "body"}]
+        main = next((i for i in inner if span(plain, elements[i]) >= MAIN * plain[-1] and span(blocks, elements[i]) >= MAIN_BLOCKS), None)
+        if main is None:
+            break
+        for i in inner:
+            e, m = elements[i], elements[main]
+            few = i != main and span(plain, e) < BESIDE * span(plain, m) and not (e.values and e.values == m.values)
+            away = e.begin > m.begin or e.end <= headline or span(every, e) - span(plain, e) > LINKS * span(every, e)
+            if few and away and not e.begin <= headline < e.end:
+                lost.add(i)
+        at = main
+    for i, e in enumerate(elements[1:], 1):
+        bad[i] = bad[i] or i in lost or e.parent in lost
+        if bad[i] and e.parent in lost:
+            lost.add(i)
+
+
 def train(pages: list[str]) -> Weights:
-    """Log odds of lying inside the marked article: of words by their surroundings, of tags by name, of class words.
+    """Log odds of lying inside the marked article: of words by their surroundings, of tags by name, of class values.
 
-    Class words count every element that has them. A known mark inside an article stays boilerplate; only one that
-    holds articles speaks for it.
+    A value counts every element that has it. A known mark inside an article stays boilerplate; only one that holds
+    articles speaks for it.
     """
     weights = Weights()
     within, without = Counter(), Counter()
@@ -264,8 +321,8 @@ def train(pages: list[str]) -> Weights:
         for e, holds in zip(elements, frame, strict=True):
             end = min(e.end, len(out))
             article, every = own[end] - own[e.begin], plain[end] - plain[e.begin]
-            for m in e.marks:
-                if holds or m not in MARKS:
+            for m in e.values:
+                if holds or weights.speaks(m) > PRIOR:
                     within[m] += article
                 without[m] += 0 if holds else max(every - article, 0)
     weights.evidence = {m: min(max(math.log((within[m] + 0.5) / (without[m] + 0.5)), -3.0), 3.0) for m in within.keys() | without.keys() if within[m] + without[m] >= LEAST_WORDS}
