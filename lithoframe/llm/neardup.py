@@ -240,20 +240,31 @@ def _hot(pairs: DataFrame) -> list[int]:
 def _among_blocks(rows: DataFrame, open_: DataFrame, classes: DataFrame, sigs: DataFrame, least: list[int], k: int, per_cent: int) -> DataFrame:
     """Links between members of different components that share a bucket of ``open_`` (band, id, center, size, component).
 
-    A member's home is its largest bucket, so that members of a bucket have few homes.
+    A member's home is its largest bucket, so that members of a bucket have few homes. Members of a home's largest
+    component have blocks of their own, and blocks of one and the same component do not meet, so that what is exchanged
+    grows with the members outside of it and not with the square of the bucket.
     """
     ids = open_.groupBy("id", "component").agg(F.max(F.struct("size", "center"))["center"].alias("home"))
     sized = ids.join(classes.groupBy("id").agg(F.sum("n").alias("n")), "id")
-    homes = sized.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).alias("parts"), F.count("*").alias("size"))
+    each = sized.groupBy("home", "component").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    most = each.groupBy("home").agg(F.max(F.struct("size", "component"))["component"].alias("main"))
+    dealt = lambda size, n: F.greatest(F.ceil(size / BLOCK), F.ceil(n * 8 / BLOCK_BYTES), F.lit(1).cast("long"))
+    of = lambda own, c: F.coalesce(F.sum(F.when((F.col("component") == F.col("main")) == own, F.col(c))), F.lit(0).cast("long"))
+    homes = each.join(most, "home").groupBy("home", "main").agg(
+        dealt(of(True, "size"), of(True, "n")).alias("main_parts"), dealt(of(False, "size"), of(False, "n")).alias("parts"), F.sum("size").alias("size")
+    )
     homes = written(homes, "homes")
     hot = hot_keys(homes.select("home", "size"), homes.agg(F.sum("size")).head()[0] or 0)
-    block = F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("parts")))
+    is_main = F.col("component") == F.col("main")
+    block = F.xxhash64("home", is_main, F.pmod(F.xxhash64("id"), F.when(is_main, F.col("main_parts")).otherwise(F.col("parts"))))
     who = written(met(ids, homes, "home", hot, "id").select("id", "component", block.alias("block")), "who")
-    touched = open_.select("id", "band").join(who.select("id", "block"), "id").groupBy("band").agg(F.collect_set("block").alias("blocks"))
-    # a bucket has a block for each BLOCK members or so of a home; pairs of blocks, not of members
-    touched = touched.where(F.size("blocks") > 0).select(F.sort_array("blocks").alias("blocks")).distinct()
-    pairs = touched.select("blocks", F.posexplode("blocks").alias("at", "i"))
-    pairs = written(pairs.select("i", F.explode(F.expr("slice(blocks, at + 1, size(blocks) - at)")).alias("j")).distinct(), "block-pairs")
+    alone = who.groupBy("block").agg(F.when(F.min("component") == F.max("component"), F.min("component")).alias("only"))
+    shared = open_.select("id", "band").join(who.select("id", "block"), "id").select("band", "block").distinct()
+    touched = shared.join(alone, "block").groupBy("band").agg(F.sort_array(F.collect_set(F.struct("block", "only"))).alias("blocks")).select("blocks").distinct()
+    # a bucket has a block for each BLOCK members or so of a home; pairs of blocks, not of members, and of two components
+    pairs = touched.select(F.explode("blocks").alias("x"), "blocks")
+    partners = F.filter("blocks", lambda y: (y["block"] >= F.col("x.block")) & ~F.coalesce(y["only"] == F.col("x.only"), F.lit(False)))
+    pairs = written(pairs.select(F.col("x.block").alias("i"), F.explode(F.transform(partners, lambda y: y["block"])).alias("j")).distinct(), "block-pairs")
     texts = without(rows, who.select("id"), "doc_id", "left_semi")
     texts = texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).drop("h")
     sets = texts.mapInArrow(_shingles(k), "id long, shingles binary")

@@ -195,6 +195,29 @@ def test_near_duplicates_blocks(spark, monkeypatch):
     assert got == want and len(set(want.values())) == 1 and len({c for _, c in want}) > 5
 
 
+def test_near_duplicates_exchange(spark, monkeypatch):
+    # a bucket of one large component and a few other members: what meets grows with the bucket, not with its square
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    sizes = []
+    for n in (80, 320):
+        ids = spark.range(n).selectExpr("id", "if(id < 3, 1000 + id, 0) AS component")
+        open_ = ids.selectExpr("7L AS band", "id", "0L AS center", f"{n}L AS size", "component")
+        classes = ids.selectExpr("id", "10L AS n")
+        rows = spark.createDataFrame([(i, f"w{i % 3} " + " ".join(f"c{k}" for k in range(9))) for i in range(n)], "doc_id long, text string")
+        sigs = ids.selectExpr("id", f"cast(repeat('a', {neardup._K}) AS binary) AS sig")
+        seen = {}
+
+        def kept(df, name, seen=seen):
+            seen[name] = common.written(df, name)
+            return seen[name]
+
+        monkeypatch.setattr(neardup, "written", kept)
+        links = {(r["u"], r["v"]) for r in neardup._among_blocks(rows, open_, classes, sigs, neardup.least_matches(80), 5, 80).collect()}
+        assert links == {(u, v) for u in range(3) for v in range(u + 1, n) if u % 3 == v % 3}
+        sizes.append(seen["block-pairs"].count())
+    assert sizes[1] <= 4.5 * sizes[0]
+
+
 def test_components_hot(spark, monkeypatch):
     monkeypatch.setattr(common, "LEAST_HOT", 10)
     monkeypatch.setattr(components, "LEAST_HOT", 10)
