@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import node_xy
-from . import spatial
+from . import graph, ranks, spatial
 
 #: Neighbours that are looked at for axes and for steps along them, how far steps are sought (in short
 #: steps), how far from its axis a neighbour may lie, and the classes of steps.
@@ -215,3 +215,40 @@ def ring_area(rings: DataFrame, ring: str = "ring") -> DataFrame:
     nx, ny = F.coalesce(F.lead("x").over(own), F.first("x").over(last)), F.coalesce(F.lead("y").over(own), F.first("y").over(last))
     e = rings.withColumns({"_nx": nx, "_ny": ny})
     return e.groupBy(ring).agg((F.sum(F.col("x") * F.col("_ny") - F.col("_nx") * F.col("y")) / 2).alias("area"))
+
+
+def ordered_topology(points: DataFrame, indexed: DataFrame, tolerance: float = 1e-3, seq: str = "seq") -> DataFrame:
+    """``points`` with the ``column`` and ``row`` of an indexed export of which they are an ordered subset; else it raises.
+
+    Each point takes the first indexed point of its place that comes after the one its predecessor took. Both tables are
+    numbered by ranges of ``seq``. Points begin with the first indexed point of their place; where that does not come
+    after all that points before them have, they go on to the next that does, until nothing moves or none is left. Places
+    meet on a grid of the tolerance; of repeated places all candidates are kept.
+    """
+    p = ranks.numbered(points.withColumnRenamed(seq, "_seq"), ["_seq"], "_at")
+    e = ranks.numbered(indexed.select(F.col(seq).alias("_order"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("z").alias("_z"), "column", "row"), ["_order"], "_index")
+    cell = lambda c: F.floor(F.col(c) / tolerance)
+    reach = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))).alias("o")
+    q = p.select("_at", "x", "y", "z", cell("x").alias("_cx"), cell("y").alias("_cy"), reach)
+    q = q.withColumns({"_cx": F.col("_cx") + F.col("o.a"), "_cy": F.col("_cy") + F.col("o.b")})
+    near = " AND ".join(f"abs({c} - _{c}) <= {tolerance!r}" for c in "xyz")
+    found = q.join(e.select("_index", "_x", "_y", "_z", cell("_x").alias("_cx"), cell("_y").alias("_cy")), ["_cx", "_cy"]).where(near)
+    found = p.select("_at").join(found.groupBy("_at").agg(F.sort_array(F.collect_set("_index")).alias("_all")), "_at", "left")
+    now = graph.cut(found.select("_at", "_all", F.get("_all", F.lit(0)).alias("_index")))
+    while True:
+        here = now.withColumn("_range", F.expr(f"_at div {ranks.RANGE_ROWS}"))
+        ends = here.groupBy("_range").agg(F.max("_index").alias("_most")).withColumn("_one", F.lit(0))  # a row a range
+        ends = ends.select("_range", F.max("_most").over(Window.partitionBy("_one").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_most"))
+        own = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        before = here.withColumn("_own", F.max("_index").over(own)).join(ends, "_range").withColumn("_before", F.greatest("_own", "_most"))
+        moved = F.when(F.col("_before").isNull() | (F.col("_index") > F.col("_before")), F.col("_index")).otherwise(F.array_min(F.filter("_all", lambda c: c > F.col("_before"))))
+        after = graph.cut(before.select("_at", "_all", moved.alias("_index"), (F.col("_index").isNull() | moved.isNull()).alias("_none"), (~moved.eqNullSafe(F.col("_index"))).alias("_moved")))
+        none, changed = after.agg(F.count_if("_none"), F.count_if("_moved")).head()
+        if none:
+            raise ValueError("the points are not an ordered subset of the indexed export")
+        if not changed:
+            break
+        now = after.select("_at", "_all", "_index")
+    labelled = after.select("_at", "_index").join(e.select("_index", "column", "row"), "_index").select("_at", "column", "row")
+    kept = [c for c in points.columns if c not in ("column", "row")]
+    return p.withColumnRenamed("_seq", seq).select("_at", *kept).join(labelled, "_at").select(*kept, "column", "row")

@@ -7,7 +7,8 @@ from math import cos, radians, sin
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import delaunay, mesh, topology
+from ..operators import attributes, delaunay, kernels, lattice, mesh, topology
+from . import functions
 from . import views as V
 from .geometry import _QUAD
 from .wells import rounded
@@ -116,3 +117,49 @@ def _(spark, d):
 def _(spark, d):
     long = lambda c: F.col(c).cast("long").alias(c)
     return mesh.fans(mesh.corners(_flat(spark, d))).select("vertex", long("piece"), long("seq"), "tid")
+
+
+@register("points_where", f"{V.with_('point')} SELECT point_id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM point WHERE x * x + y * y < 6400 AND z > 0")
+def _(spark, d):
+    near = attributes.where(V.point(spark, d), lambda x, y: x * x + y * y < 6400)
+    return rounded(attributes.where(near, F.col("z") > 0))
+
+
+@register(
+    "points_columns",
+    f"{V.with_('point')} SELECT point_id, round(z / nullif(x, 0), 6) AS slope, round(CASE WHEN x >= 0 THEN sqrt(x) END, 6) AS root, round(z * 2 - y, 6) AS mixed, 7.5::DOUBLE AS level, CASE WHEN point_id % 3 = 0 THEN round(x, 6) END AS some FROM point",
+)
+def _(spark, d):
+    p = V.point(spark, d)
+    some = p.where("point_id % 3 = 0").select("point_id", F.col("x").alias("value"))
+    out = attributes.assign(attributes.assign(p, "Level", 7.5), "some", some)
+    out = attributes.assign(out, "slope", attributes.combined(F.col("z"), "/", F.col("x")))
+    out = attributes.assign(out, "root", attributes.combined(F.col("x"), "**", 0.5))
+    out = attributes.assign(out, "mixed", attributes.combined(attributes.combined(F.col("z"), "*", 2), "-", F.col("y")))
+    return rounded(out.select("point_id", "slope", "root", "mixed", "level", "some"))
+
+
+@register("surface_promote", f"{V.with_('node')} SELECT i, j, round(z, 6) AS primary, round(i * 1.5 + j, 6) AS z FROM node")
+def _(spark, d):
+    lanes = attributes.assign(V.node(spark, d), "My Lane", F.col("i") * 1.5 + F.col("j"))
+    return rounded(attributes.promote(lanes, "my-lane"))
+
+
+@register(
+    "ordered_topology",
+    f"{V.with_('node')}, e AS (SELECT *, row_number() OVER (ORDER BY j, i) AS seq FROM node) SELECT seq, (i + 1)::INT AS column, (j + 1)::INT AS row FROM e WHERE (i * 7 + j) % 3 <> 0",
+)
+def _(spark, d):
+    from ..operators import ranks
+
+    n = ranks.numbered(V.node(spark, d), ["j", "i"])
+    e = n.select((F.col("position") + 1).alias("seq"), (F.col("i") * 25.0).alias("x"), (F.col("j") * 25.0).alias("y"), "z", (F.col("i") + 1).alias("column"), (F.col("j") + 1).alias("row"), "i", "j")
+    return lattice.ordered_topology(e.where("(i * 7 + j) % 3 <> 0").select("seq", "x", "y", "z"), e.drop("i", "j")).select("seq", "column", "row")
+
+
+@register("contour_lines_sql")
+def _(spark, d):
+    functions.register(spark)
+    pieces = kernels._pieces(mesh.contour_segments(mesh.quad_split(V.node(spark, d)), [910.5, 955.5]), "level")
+    pieces.createOrReplaceTempView("contour_pieces")
+    return spark.sql("SELECT * FROM chain_lines(TABLE(contour_pieces) PARTITION BY (level, piece_x, piece_y), 0.05)")
