@@ -46,11 +46,12 @@ def model_inputs(samples: DataFrame, unit: str = "m", bore: str = "bore_id", kin
     return long.groupBy("input").agg(*characterise(F.col("v"), kind))
 
 
-def route_tops(records: DataFrame, wells: DataFrame) -> DataFrame:
+def route_tops(records: DataFrame, wells: DataFrame, bores: DataFrame | None = None) -> DataFrame:
     """Records (``rec, well``) with the loaded well (``id, load_seq``) that their name means and the rest as bore.
 
     A name means a well if it equals its id or continues it after an underscore, in normal form; the well that was
-    loaded first wins. Names meet only their own prefixes, so this is an equi-join.
+    loaded first wins. Names meet only their own prefixes, so this is an equi-join. With ``bores`` (``id, bore``) a bore
+    that its well does not have is the main one, ''.
     """
     r = records.withColumn("_key", id_key(F.col("well")))
     parts = F.split("_key", "_")
@@ -59,4 +60,8 @@ def route_tops(records: DataFrame, wells: DataFrame) -> DataFrame:
     met = r.select("*", F.explode(prefixes).alias("_prefix")).join(w, "_prefix")
     best = met.groupBy("rec").agg(F.min(F.struct("load_seq", "id", "well")).alias("b"))
     rest = F.trim(F.substring(F.col("b.well"), F.char_length("b.id") + 2, F.char_length("b.well")))
-    return best.select("rec", F.col("b.id").alias("id"), rest.alias("bore"))
+    out = best.select("rec", F.col("b.id").alias("id"), rest.alias("bore"))
+    if bores is None:
+        return out
+    known = bores.select("id", "bore", F.lit(True).alias("_known")).distinct()
+    return out.join(known, ["id", "bore"], "left").select("rec", "id", F.when(F.col("_known"), F.col("bore")).otherwise("").alias("bore"))

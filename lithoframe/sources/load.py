@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import id_key
+from ..operators import graph, petro, sets
 from ..project import Project
 from . import detect, shapes, text
 
@@ -61,19 +62,44 @@ def well_files(spark: SparkSession, folder: str, well: str) -> DataFrame:
     return met.groupBy("path", "kind", "label").agg(F.min("bore").alias("_bore")).select("path", "kind", F.coalesce(own, "_bore", F.lit("")).alias("bore"))
 
 
-def well(spark: SparkSession, folder: str, name: str) -> dict[str, DataFrame]:
-    """``curves``, ``paths`` and ``tops`` of a well, each row with its ``bore``; kinds without files are left out."""
+def well(spark: SparkSession, folder: str, name: str, head: tuple[float, float] = (0.0, 0.0), kb: float = 0.0) -> dict[str, DataFrame]:
+    """``curves``, ``paths`` and ``tops`` of a well, each row with its ``bore``; kinds without files are left out.
+
+    A file that its reader cannot take is left out with its reason, in ``skipped`` (path, kind, problem) if there are any. Without a path
+    file the main bore has a vertical one (two stations at ``head``, z from ``kb``) over the depths of its logs.
+    """
     files = well_files(spark, folder, name).cache()
-    out = {}
+    skipped = graph.cut(text.problems(files).join(files.select("path", "kind"), "path").select("path", "kind", "problem"))
+    good = files.join(skipped, "path", "left_anti")
+    out = {} if skipped.isEmpty() else {"skipped": skipped}
     for kind, what, reader in (("las", "curves", text.las), ("wellpath", "paths", text.wellpath), ("tops_csv", "tops", text.tops_csv)):
-        paths = [r["path"] for r in files.where(F.col("kind") == kind).collect()]  # a well's files
+        paths = [r["path"] for r in good.where(F.col("kind") == kind).collect()]  # a well's files
         if paths:
             rows = reader(spark, paths)
-            out[what] = rows.join(F.broadcast(files.select("path", "bore")), "path").withColumn("well", F.lit(name))
+            out[what] = rows.join(files.select("path", "bore"), "path").withColumn("well", F.lit(name))
+    if "paths" not in out and "curves" in out:
+        span = out["curves"].where("md IS NOT NULL").groupBy("well", "bore").agg(F.min("md").alias("low"), F.max("md").alias("high")).where("low < high")
+        flat = span.select("well", "bore", F.explode(F.array("low", "high")).alias("md"))
+        out["paths"] = flat.select(F.lit(None).cast("string").alias("path"), "well", "bore", "md", F.lit(float(head[0])).alias("x"), F.lit(float(head[1])).alias("y"), (F.col("md") - kb).alias("z"), F.lit(0.0).alias("inc"), F.lit(0.0).alias("azi"))
     files.unpersist()
     return out
 
 
+def well_tops(spark: SparkSession, path, wells: DataFrame, bores: DataFrame, hints: list[str] = ()) -> dict:
+    """``tops`` and ``contacts`` of a tops file for loaded wells (``id, load_seq``) and their ``bores`` (``id, bore``), and the ``strat`` column.
+
+    Horizons are tops, others contacts (``id, bore, name, md``); picks of wells that are not loaded are left out. A bore
+    that a well does not have is its main one. ``strat`` is a list of names, from the horizons of every well in the file,
+    loaded or not, and the order of ``hints`` (``A < B``), whose sides must mean one horizon each.
+    """
+    recs = graph.cut(text.well_tops(spark, path).withColumn("rec", F.struct("path", "seq")))
+    kind = F.lower("kind")
+    met = recs.join(petro.route_tops(recs.select("rec", "well"), wells, bores), "rec")
+    part = lambda what: met.where(kind == what).select("id", "bore", F.col("surface").alias("name"), "md")
+    horizons = recs.where(kind == "horizon").select("well", F.col("surface").alias("name"), "md", "seq")
+    return {"tops": part("horizon"), "contacts": part("other"), "strat": sets.strat_order(horizons, sets.resolve_hints(horizons, list(hints)))}
+
+
 #: Words of a file's or folder's name that say what GeoJSON holds where its shapes do not, names that are no
 #: well's, and ends of names that mean a bore.
 POLYGON_WORDS, POINT_WORDS = ("poly", "outline", "boundary", "fault"), ("point", "sample", "welltop")
@@ -118,7 +144,7 @@ def tree(spark: SparkSession, folder: str, unit: str = "m") -> tuple[Project, Da
 
     Files are read by kind, each kind as one table, however many files it has. Logs and paths belong to wells, by
     :func:`well_ids` (their bores are told apart by :func:`well`); tops to the wells they name (``pick_well``) or belong to; surfaces, points and polygons are named by their stem, or by their
-    way from the folder where files of a role share one. ``reason`` says why a file was left out.
+    way from the folder where files of a role share one. ``reason`` says why a file was left out, broken ones included.
     """
     files = detect.scan(spark, folder)
     shapes_ = [r["path"] for r in files.where("kind = 'geojson'").select("path").collect()]
@@ -128,7 +154,9 @@ def tree(spark: SparkSession, folder: str, unit: str = "m") -> tuple[Project, Da
     by_kind = F.create_map(*(F.lit(x) for pair in fixed.items() for x in pair))[F.col("kind")]
     files = files.join(roles, "path", "left").withColumn("role", F.coalesce("role", by_kind))
     reason = F.when(F.col("kind").isNull(), "unknown kind").when(F.col("kind") == "xml", "sidecar").when(F.col("role") == "ambiguous", "points or polygons").when(F.col("role").isNull(), "no reader")
-    files = well_ids(files, folder).withColumn("reason", reason)
+    # a file that its reader cannot take must not make the others of its kind fail
+    bad = graph.cut(text.problems(files.select("path", "kind")))
+    files = well_ids(files, folder).join(bad, "path", "left").withColumn("reason", F.coalesce(reason, "problem")).drop("problem")
     whole = F.regexp_replace(F.regexp_replace("path", "%20", " "), r"\.[^./]*$", "")
     inside = F.regexp_replace(whole, rf"^.*?/\Q{folder.rstrip('/').rsplit('/', 1)[-1]}\E/", "")
     shared = F.count("*").over(Window.partitionBy("role", "stem")) > 1

@@ -204,6 +204,38 @@ def las(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("md IS NOT NULL").select("path", "mnemonic", "unit", "seq", "md", value.alias("value"))
 
 
+def problems(files: DataFrame) -> DataFrame:
+    """``path, problem`` of files (``path, kind``) that their reader cannot take, by content; others are left out.
+
+    Looks for what would make a reader fail or find nothing: wrapped LAS data or LAS without curves or data, rows of plain
+    points that are no three numbers, grids without their header, well paths without their columns, GeoJSON that is none.
+    """
+    spark = files.sparkSession
+    wanted = files.where(F.col("kind").isin("las", "xyz_points", "irap_grid", "cps3_grid", "wellpath", "geojson"))
+    paths = [r["path"] for r in wanted.select("path").collect()]  # names of files, as readers get them
+    if not paths:
+        return files.select("path", F.lit("").alias("problem")).limit(0)
+    text, kind = F.col("text"), F.col("kind")
+    rows = F.filter(F.split(text, r"\r?\n"), lambda x: ~F.trim(x).rlike(r"^(?:[#!].*)?$"))
+    short = F.exists(rows, lambda x: (F.size(v := _numbers(x)) < 3) | F.exists(F.slice(v, 1, 3), lambda n: n.isNull()))
+    foreign = F.lit(False)
+    top = F.array_join(F.slice(F.split("text", r"\r?\n"), 1, FOREIGN_LINES), "\n")
+    for pattern, _ in FOREIGN:
+        foreign = foreign | top.rlike(pattern)
+    lacks = lambda pattern: ~text.rlike(pattern)
+    numbers = F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    found = (
+        F.when((kind == "las") & text.rlike(r"(?im)^\s*WRAP\s*\.\s+YES"), "wrapped data")
+        .when((kind == "las") & lacks(r"(?im)^~(?:C|Log_Definition)"), "no curves").when((kind == "las") & lacks(r"(?im)^~(?:A|Log_Data)"), "no data")
+        .when((kind == "xyz_points") & foreign, "another format").when((kind == "xyz_points") & short, "a row is not three numbers")
+        .when((kind == "irap_grid") & ((F.size(numbers) < 19) | F.exists(F.slice(numbers, 1, 19), lambda x: x.try_cast("double").isNull())), "no header")
+        .when((kind == "cps3_grid") & (lacks(r"(?m)^FSLIMI") | lacks(r"(?m)^FSNROW")), "no header")
+        .when((kind == "wellpath") & lacks(r"(?im)^\s*MD\s.*(?:INCL|AZIM)"), "no columns")
+        .when((kind == "geojson") & F.try_parse_json(text).isNull() & F.exists(F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, "struct<type: string>")["type"].isNull()), "no JSON")
+    )
+    return _whole(spark, paths).join(wanted.select("path", "kind"), "path").select("path", found.alias("problem")).where("problem IS NOT NULL")
+
+
 def crs_label(spark: SparkSession, path: str) -> DataFrame:
     """The label in a coordinate-system sidecar."""
     patterns = (r"(?is)<label>\s*(.*?)\s*</label>", r"(?is)<crs>\s*(.*?)\s*</crs>", r'(?i)\blabel\s*=\s*"([^"]*)"', r'(?i)\bname\s*=\s*"([^"]*)"')
