@@ -62,11 +62,11 @@ def well_files(spark: SparkSession, folder: str, well: str) -> DataFrame:
     return met.groupBy("path", "kind", "label").agg(F.min("bore").alias("_bore")).select("path", "kind", F.coalesce(own, "_bore", F.lit("")).alias("bore"))
 
 
-def well(spark: SparkSession, folder: str, name: str, head: tuple[float, float] = (0.0, 0.0), kb: float = 0.0) -> dict[str, DataFrame]:
+def well(spark: SparkSession, folder: str, name: str, head: tuple[float, float] | None = None, kb: float = 0.0) -> dict[str, DataFrame]:
     """``curves``, ``paths`` and ``tops`` of a well, each row with its ``bore``; kinds without files are left out.
 
     A file that its reader cannot take is left out with its reason, in ``skipped`` (path, kind, problem) if there are any. Without a path
-    file the main bore has a vertical one (two stations at ``head``, z from ``kb``) over the depths of its logs.
+    file, and with the well's ``head``, the main bore has a vertical one (two stations, z from ``kb``) over its logs' depths.
     """
     files = well_files(spark, folder, name).cache()
     skipped = graph.cut(text.problems(files).join(files.select("path", "kind"), "path").select("path", "kind", "problem"))
@@ -77,7 +77,7 @@ def well(spark: SparkSession, folder: str, name: str, head: tuple[float, float]
         if paths:
             rows = reader(spark, paths)
             out[what] = rows.join(files.select("path", "bore"), "path").withColumn("well", F.lit(name))
-    if "paths" not in out and "curves" in out:
+    if head is not None and "paths" not in out and "curves" in out:
         span = out["curves"].where("md IS NOT NULL").groupBy("well", "bore").agg(F.min("md").alias("low"), F.max("md").alias("high")).where("low < high")
         flat = span.select("well", "bore", F.explode(F.array("low", "high")).alias("md"))
         out["paths"] = flat.select(F.lit(None).cast("string").alias("path"), "well", "bore", "md", F.lit(float(head[0])).alias("x"), F.lit(float(head[1])).alias("y"), (F.col("md") - kb).alias("z"), F.lit(0.0).alias("inc"), F.lit(0.0).alias("azi"))
