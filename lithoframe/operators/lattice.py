@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import stats
 from ..functions.scalars import node_xy
 from . import graph, ranks, spatial
 
@@ -15,6 +16,17 @@ AXIS_NEIGHBOURS, STEP_NEIGHBOURS, STEP_REACH, AXIAL_TAN, STEP_BINS = 12, 64, 20.
 AXIS_POINTS = 2000
 
 
+def _medians(df: DataFrame, *columns: str) -> DataFrame:
+    """One row with the median of each column; of large tables by narrowing down, so that no state holds all values."""
+    if df.limit(stats.MOST_ROWS + 1).count() <= stats.MOST_ROWS:
+        return df.agg(*(F.percentile(c, 0.5).alias(c) for c in columns))
+    out = None
+    for c in columns:
+        one = stats.percentiles(df, [], c, {c: 0.5})
+        out = one if out is None else out.join(one)  # one row each
+    return out
+
+
 def infer_geometry(points: DataFrame, tolerance: float = 1e-3, column: str = "column", row: str = "row") -> DataFrame:
     """One row with the regular geometry that indexed points lie on; ``fits`` is whether the median residual is within tolerance.
 
@@ -23,20 +35,18 @@ def infer_geometry(points: DataFrame, tolerance: float = 1e-3, column: str = "co
     p = points.select(F.col(column).cast("long").alias("c"), F.col(row).cast("long").alias("r"), "x", "y")
     right = p.select((F.col("c") - 1).alias("c"), "r", F.col("x").alias("x2"), F.col("y").alias("y2"))
     up = p.select("c", (F.col("r") - 1).alias("r"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    med = lambda e: F.percentile(e, 0.5)
-    u = p.join(right, ["c", "r"]).agg(med(F.col("x2") - F.col("x")).alias("ux"), med(F.col("y2") - F.col("y")).alias("uy"))
-    v = p.join(up, ["c", "r"]).agg(med(F.col("x2") - F.col("x")).alias("vx"), med(F.col("y2") - F.col("y")).alias("vy"))
+    step = lambda to, a: p.join(to, ["c", "r"]).select((F.col("x2") - F.col("x")).alias(f"{a}x"), (F.col("y2") - F.col("y")).alias(f"{a}y"))
+    u, v = _medians(step(right, "u"), "ux", "uy"), _medians(step(up, "v"), "vx", "vy")
     size = p.agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("r").alias("r0"), F.max("r").alias("r1"))
     one = F.broadcast(u.join(v).join(size))  # one row each
     left = p.join(one).withColumns({
         "ox": F.col("x") - (F.col("c") - F.col("c0")) * F.col("ux") - (F.col("r") - F.col("r0")) * F.col("vx"),
         "oy": F.col("y") - (F.col("c") - F.col("c0")) * F.col("uy") - (F.col("r") - F.col("r0")) * F.col("vy"),
     })
-    keys = ("ux", "uy", "vx", "vy", "c0", "c1", "r0", "r1")
-    origin = left.groupBy(*keys).agg(med(F.col("ox")).alias("xori"), med(F.col("oy")).alias("yori"))
-    off = left.join(F.broadcast(origin.select("xori", "yori")))
-    residual = off.agg(med(F.sqrt((F.col("ox") - F.col("xori")) ** 2 + (F.col("oy") - F.col("yori")) ** 2)).alias("residual"))
-    return origin.join(residual).select(
+    origin = _medians(left, "ox", "oy").withColumnsRenamed({"ox": "xori", "oy": "yori"})
+    off = left.join(F.broadcast(origin))
+    residual = _medians(off.select(F.sqrt((F.col("ox") - F.col("xori")) ** 2 + (F.col("oy") - F.col("yori")) ** 2).alias("residual")), "residual")
+    return one.join(origin).join(residual).select(
         "xori", "yori", F.sqrt(F.col("ux") ** 2 + F.col("uy") ** 2).alias("xinc"), F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2).alias("yinc"),
         (F.col("c1") - F.col("c0") + 1).alias("ncol"), (F.col("r1") - F.col("r0") + 1).alias("nrow"), F.degrees(F.atan2("uy", "ux")).alias("rotation_deg"),
         (F.col("ux") * F.col("vy") - F.col("uy") * F.col("vx") < 0).alias("yflip"), "residual", (F.col("residual") <= tolerance).alias("fits"),

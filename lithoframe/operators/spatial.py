@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from . import graph
 
-#: Up to this many edges (48 bytes each) polygons are broadcast; more meet points by bands of y, of which there are so many at most.
+#: Points meet the edges of their band of y, of which there are so many at most; up to so many edges (56 bytes each) are broadcast.
 BROADCAST_EDGES, MOST_BANDS = 100_000, 1_000_000
+#: Points of a cell that a search begins with, at most (as long as smaller cells part them), and how much smaller a try is.
+CELL_POINTS, CELL_STEP = 256, 4.0
 #: Control points (40 bytes each) of one block of inverse-distance sums.
 BROADCAST_POINTS = 100_000
 
@@ -22,12 +24,24 @@ def _placed(df: DataFrame) -> DataFrame:
     return df.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) < 1e300" for c in "xy"))
 
 
+def _fitting(points: DataFrame, cell: float, most: int) -> float:
+    """``cell``, or a smaller one that holds at most ``most`` points; a count per cell each try, until points no longer part."""
+    size, before, stuck = float(cell), None, 0
+    while True:
+        full = points.groupBy(F.floor(F.col("x") / size), F.floor(F.col("y") / size)).count().agg(F.max("count")).head()[0] or 0
+        stuck = stuck + 1 if before is not None and full > 0.9 * before else 0
+        if full <= most or stuck > 2:
+            return size * CELL_STEP**stuck
+        size, before = size / CELL_STEP, full
+
+
 def nearest(points: DataFrame, queries: DataFrame, cell: float, key: str = "point_id", query: str = "query_id") -> DataFrame:
     """The nearest point of each query in the plane, ties to the smallest id; none for queries without a position.
 
-    Points and queries meet by cell. A query is settled once its best distance is no longer than the searched rings
-    reach; the rest go on with rings twice as wide (cells doubled), so no pair outside a ring is ever made. Rings end
-    at the extent of all points and queries, and each round's result is stored.
+    Points and queries meet by cell, at first of size ``cell`` or, where that holds many points, of a fitting one. A query
+    is settled once its best distance is no longer than the searched rings reach; the rest go on with rings twice as wide
+    (cells doubled), so no pair outside a ring is ever made. Rings end at the extent of all points and queries, and each
+    round's result is stored.
     """
     if not cell > 0:
         raise ValueError("cell must be positive")
@@ -39,7 +53,7 @@ def nearest(points: DataFrame, queries: DataFrame, cell: float, key: str = "poin
     if points.isEmpty():
         return none(queries.select(query))
     done = [none(nowhere)]
-    size, extent = float(cell), 2 * ((b[0] or 0.0) + (b[1] or 0.0))
+    size, extent = _fitting(points, cell, CELL_POINTS), 2 * ((b[0] or 0.0) + (b[1] or 0.0))
     while not left.isEmpty():
         pts = points.select(key, "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
         around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
@@ -67,7 +81,7 @@ def knn(points: DataFrame, queries: DataFrame, k: int, cell: float, key: str = "
     points = _placed(points).select(key, "x", "y")
     left = _placed(queries).select(query, F.col("x").alias("qx"), F.col("y").alias("qy"))
     b = points.select("x", "y").union(left.select("qx", "qy")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).head()
-    size, extent = float(cell), 2 * ((b[0] or 0.0) + (b[1] or 0.0))
+    size, extent = _fitting(points, cell, max(CELL_POINTS, 8 * k)), 2 * ((b[0] or 0.0) + (b[1] or 0.0))
     first = Window.partitionBy(query).orderBy("distance", key)
     done: list[DataFrame] = []
     while not done or not left.isEmpty():
@@ -121,21 +135,17 @@ def inside(points: DataFrame, rings: DataFrame, key: str = "point_id", poly: str
     e = edges(rings, poly)
     facts = e.agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y2") - F.col("y1"))).alias("height"), (F.max(F.greatest("y1", "y2")) - F.min(F.least("y1", "y2"))).alias("span")).head()
     points = points.select(key, "x", "y")
-    band = None
-    if facts["n"] <= broadcast_edges:
-        e = F.broadcast(e)
-    else:
-        # points meet the edges of their band of y; a band is about as high as two edges
-        size = max(2 * facts["height"], facts["span"] / MOST_BANDS) or 1.0
-        e = e.withColumn("_band", F.explode(F.sequence(F.floor(F.least("y1", "y2") / size), F.floor(F.greatest("y1", "y2") / size))))
-        points = points.withColumn("_band", F.floor(F.col("y") / size))
-        band = points["_band"] == e["_band"]
+    # a band is about as high as two edges
+    size = max(2 * (facts["height"] or 0.0), (facts["span"] or 0.0) / MOST_BANDS) or 1.0
+    e = e.withColumn("_band", F.explode(F.sequence(F.floor(F.least("y1", "y2") / size), F.floor(F.greatest("y1", "y2") / size))))
+    e = F.broadcast(e) if facts["n"] <= broadcast_edges else e
+    points = points.withColumn("_band", F.floor(F.col("y") / size))
     x, y = F.col("x"), F.col("y")
     cross = (F.col("x2") - F.col("x1")) * (y - F.col("y1")) - (F.col("y2") - F.col("y1")) * (x - F.col("x1"))
     on = (cross == 0) & x.between(F.least("x1", "x2"), F.greatest("x1", "x2")) & y.between(F.least("y1", "y2"), F.greatest("y1", "y2"))
     hit = ((F.col("y1") > y) != (F.col("y2") > y)) & (x < (F.col("x2") - F.col("x1")) * F.try_divide(y - F.col("y1"), F.col("y2") - F.col("y1")) + F.col("x1"))
     near = (F.col("y") >= F.least("y1", "y2")) & (F.col("y") <= F.greatest("y1", "y2"))
-    met = points.join(e, near if band is None else band & near)
+    met = points.join(e, "_band").where(near)
     each = met.groupBy(key, poly).agg(F.sum(F.coalesce(hit, F.lit(False)).cast("int")).alias("n"), F.max(on.cast("int")).alias("on"))
     return each.where("n % 2 = 1 AND on = 0").select(key).distinct()
 

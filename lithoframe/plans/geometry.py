@@ -38,6 +38,14 @@ def rings(spark):
 RINGS_SQL = "ring(poly_id, vseq, x, y) AS (VALUES " + ", ".join(f"({p}, {k}, {x}::DOUBLE, {y}::DOUBLE)" for p, ring in RINGS.items() for k, (x, y) in enumerate(ring)) + """),
  edge AS (SELECT poly_id, x AS x1, y AS y1, coalesce(lead(x) OVER w, first(x) OVER w0) AS x2, coalesce(lead(y) OVER w, first(y) OVER w0) AS y2 FROM ring WINDOW w AS (PARTITION BY poly_id ORDER BY vseq), w0 AS (PARTITION BY poly_id ORDER BY vseq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
 
+def drawn(spark, d):
+    """Rings through the scattered points, 40 of them, in order of their ids."""
+    return V.point(spark, d).select((F.col("point_id") % 40).cast("int").alias("poly_id"), F.col("point_id").alias("vseq"), "x", "y")
+
+
+DRAWN_SQL = V.with_("point", """ring AS (SELECT (point_id % 40)::INT AS poly_id, point_id AS vseq, x, y FROM point),
+ edge AS (SELECT poly_id, x AS x1, y AS y1, coalesce(lead(x) OVER w, first(x) OVER w0) AS x2, coalesce(lead(y) OVER w, first(y) OVER w0) AS y2 FROM ring WINDOW w AS (PARTITION BY poly_id ORDER BY vseq), w0 AS (PARTITION BY poly_id ORDER BY vseq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))""")
+
 _PATH_SQL = f"""{V.with_('survey')}, t AS (SELECT *, sin(radians(inc)) * cos(radians(azi)) AS tn, sin(radians(inc)) * sin(radians(azi)) AS te, cos(radians(inc)) AS td FROM survey),
  l AS (SELECT *, lag(md) OVER w AS pmd, lag(tn) OVER w AS pn, lag(te) OVER w AS pe, lag(td) OVER w AS pd FROM t WINDOW w AS (PARTITION BY bore_id ORDER BY md)),
  b AS (SELECT *, acos(least(greatest(tn * pn + te * pe + td * pd, -1.0), 1.0)) AS beta FROM l),
@@ -176,9 +184,9 @@ def _(spark, d):
     return spatial.inside(V.point(spark, d), rings(spark))
 
 
-@register("polygon_area", f"WITH {RINGS_SQL} SELECT poly_id, abs(sum(x1 * y2 - x2 * y1)) / 2 AS area FROM edge GROUP BY 1")
+@register("polygon_area", f"{DRAWN_SQL} SELECT poly_id, round(abs(sum(x1 * y2 - x2 * y1)) / 2, 6) AS area FROM edge GROUP BY 1")
 def _(spark, d):
-    return spatial.polygon_area(rings(spark))
+    return rounded(spatial.polygon_area(drawn(spark, d)))
 
 
 @register("points_bbox", f"{V.with_('point')} SELECT round(min(x), 6) AS xmin, round(min(y), 6) AS ymin, round(max(x), 6) AS xmax, round(max(y), 6) AS ymax FROM point")
@@ -311,9 +319,9 @@ def _(spark, d):
     return rounded(lattice.azimuth(V.point(spark, d).select(F.col("x").alias("dx"), F.col("y").alias("dy"))), azimuth=5)
 
 
-@register("ring_area", f"WITH {RINGS_SQL} SELECT poly_id AS ring, sum(x1 * y2 - x2 * y1) / 2 AS area FROM edge GROUP BY 1")
+@register("ring_area", f"{DRAWN_SQL} SELECT poly_id AS ring, round(sum(x1 * y2 - x2 * y1) / 2, 6) AS area FROM edge GROUP BY 1")
 def _(spark, d):
-    return lattice.ring_area(rings(spark).withColumnsRenamed({"poly_id": "ring", "vseq": "seq"}))
+    return rounded(lattice.ring_area(drawn(spark, d).withColumnsRenamed({"poly_id": "ring", "vseq": "seq"})))
 
 
 @register("contour_lines")
@@ -395,9 +403,9 @@ def _(spark, d):
     return rounded(grid.from_points(V.point(spark, d), WIDE, "nearest"))
 
 
-@register("polygon_total_area", f"WITH {RINGS_SQL} SELECT sum(a) AS area FROM (SELECT abs(sum(x1 * y2 - x2 * y1)) / 2 AS a FROM edge GROUP BY poly_id)")
+@register("polygon_total_area", f"{DRAWN_SQL} SELECT round(sum(a), 6) AS area FROM (SELECT abs(sum(x1 * y2 - x2 * y1)) / 2 AS a FROM edge GROUP BY poly_id)")
 def _(spark, d):
-    return spatial.total_area(rings(spark))
+    return rounded(spatial.total_area(drawn(spark, d)))
 
 
 @register("wells_without_top", "WITH u AS (SELECT DISTINCT user_id AS bore_id FROM events) SELECT bore_id FROM u WHERE bore_id % 3 <> 2")
