@@ -120,14 +120,20 @@ def resample(grid: DataFrame, g: dict, target: dict) -> DataFrame:
     return sample(grid, points, g, "_node").select("_node.i", "_node.j", "z")
 
 
-def from_points(points: DataFrame, g: dict, method: str = "nearest", power: float = 2.0) -> DataFrame:
-    """``i, j, z`` of scattered points on a geometry by ``nearest``, ``idw`` or ``min_curvature``; no points leave it undefined."""
-    from . import kernels, spatial
+def from_points(points: DataFrame, g: dict, method: str = "nearest", power: float = 2.0, start: DataFrame | None = None) -> DataFrame:
+    """``i, j, z`` of scattered points on a geometry by ``nearest``, ``idw`` or ``min_curvature``; no points leave it undefined.
+
+    Least curvature is one task up to a tile's number of nodes, and goes by tiles beyond it or from a surface ``start``
+    (``i, j, z``), which may be known from the same points before some of them moved.
+    """
+    from . import kernels, spatial, tiles
 
     spark, known = points.sparkSession, points.where("z IS NOT NULL")
     to = nodes(g, spark)
     if method == "idw":
         return to.select("i", "j").join(spatial.idw(known, to, ["i", "j"], power), ["i", "j"], "left")
+    if method == "min_curvature" and (start is not None or g["ncol"] * g["nrow"] > tiles.SIDE**2):
+        return to.select("i", "j").join(tiles.min_curvature(known, g, start)[0], ["i", "j"], "left")
     if method == "min_curvature":
         got = kernels.min_curvature_grid(known.withColumn("surface_id", F.lit(0)), g).select("i", "j", "z")
         return to.select("i", "j").join(got, ["i", "j"], "left")
