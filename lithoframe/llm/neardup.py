@@ -240,22 +240,22 @@ def _hot(pairs: DataFrame) -> list[int]:
 def _among_blocks(rows: DataFrame, open_: DataFrame, classes: DataFrame, sigs: DataFrame, least: list[int], k: int, per_cent: int) -> DataFrame:
     """Links between members of different components that share a bucket of ``open_`` (band, id, center, size, component).
 
-    A member's home is its largest bucket, so that members of a bucket have few homes. Members of a home's largest
-    component have blocks of their own, and blocks of one and the same component do not meet, so that what is exchanged
-    grows with the members outside of it and not with the square of the bucket.
+    A member's home is its largest bucket, so that members of a bucket have few homes. In homes of more than a block,
+    members of the largest component have blocks of their own, and blocks of one and the same component do not meet, so
+    that what is exchanged grows with the members outside of it and not with the square of the bucket.
     """
     ids = open_.groupBy("id", "component").agg(F.max(F.struct("size", "center"))["center"].alias("home"))
     sized = ids.join(classes.groupBy("id").agg(F.sum("n").alias("n")), "id")
     each = sized.groupBy("home", "component").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
-    most = each.groupBy("home").agg(F.max(F.struct("size", "component"))["component"].alias("main"))
+    most = each.groupBy("home").agg(F.max(F.struct("size", "component"))["component"].alias("main"), (F.sum("size") > BLOCK).alias("large"))
     dealt = lambda size, n: F.greatest(F.ceil(size / BLOCK), F.ceil(n * 8 / BLOCK_BYTES), F.lit(1).cast("long"))
-    of = lambda own, c: F.coalesce(F.sum(F.when((F.col("component") == F.col("main")) == own, F.col(c))), F.lit(0).cast("long"))
-    homes = each.join(most, "home").groupBy("home", "main").agg(
+    of = lambda own, c: F.coalesce(F.sum(F.when((F.col("large") & (F.col("component") == F.col("main"))) == own, F.col(c))), F.lit(0).cast("long"))
+    homes = each.join(most, "home").groupBy("home", "main", "large").agg(
         dealt(of(True, "size"), of(True, "n")).alias("main_parts"), dealt(of(False, "size"), of(False, "n")).alias("parts"), F.sum("size").alias("size")
     )
     homes = written(homes, "homes")
     hot = hot_keys(homes.select("home", "size"), homes.agg(F.sum("size")).head()[0] or 0)
-    is_main = F.col("component") == F.col("main")
+    is_main = F.col("large") & (F.col("component") == F.col("main"))
     block = F.xxhash64("home", is_main, F.pmod(F.xxhash64("id"), F.when(is_main, F.col("main_parts")).otherwise(F.col("parts"))))
     who = written(met(ids, homes, "home", hot, "id").select("id", "component", block.alias("block")), "who")
     alone = who.groupBy("block").agg(F.when(F.min("component") == F.max("component"), F.min("component")).alias("only"))
