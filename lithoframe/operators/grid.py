@@ -120,14 +120,27 @@ def resample(grid: DataFrame, g: dict, target: dict) -> DataFrame:
     return sample(grid, points, g, "_node").select("_node.i", "_node.j", "z")
 
 
-def from_points(points: DataFrame, g: dict, method: str = "nearest", power: float = 2.0, start: DataFrame | None = None) -> DataFrame:
+def default_geometry(points: DataFrame, cell: float, tolerance: float = 1e-3, key: str = "point_id") -> dict:
+    """The regular lattice that points lie on; points without one raise, as no other geometry is theirs."""
+    from . import lattice
+
+    r = lattice.infer_geometry_xy(points, cell, tolerance, key).head().asDict()
+    if not r["fits"]:
+        raise ValueError("no regular lattice fits these points: give a geometry or triangulate them")
+    return {k: r[k] for k in ("xori", "yori", "xinc", "yinc", "ncol", "nrow", "rotation_deg", "yflip")}
+
+
+def from_points(points: DataFrame, g: dict | None, method: str = "nearest", power: float = 2.0, start: DataFrame | None = None) -> DataFrame:
     """``i, j, z`` of scattered points on a geometry by ``nearest``, ``idw`` or ``min_curvature``; no points leave it undefined.
 
-    Least curvature is one task up to a tile's number of nodes, and goes by tiles beyond it or from a surface ``start``
+    Without a geometry it is that of the points (:func:`default_geometry`). Least curvature is one task up to a tile's number of nodes, and goes by tiles beyond it or from a surface ``start``
     (``i, j, z``), which may be known from the same points before some of them moved.
     """
     from . import kernels, spatial, tiles
 
+    if g is None:
+        extent = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count("*")).head()
+        g = default_geometry(points, 2 * max((extent[0] * extent[1] / max(extent[2], 1)) ** 0.5, 1e-9))
     spark, known = points.sparkSession, points.where("z IS NOT NULL")
     to = nodes(g, spark)
     if method == "idw":

@@ -6,7 +6,7 @@ import base64
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -83,3 +83,9 @@ def lanes(gathered: DataFrame, bore: str = "bore_id") -> DataFrame:
     good = F.when(F.abs("value") < float("inf"), F.col("value"))
     each = gathered.groupBy(bore, "mnemonic").agg(rows.alias("r"), F.coalesce(F.min(good), F.lit(0.0)).alias("low"), F.coalesce(F.max(good), F.lit(1.0)).alias("high"))
     return each.select(bore, "mnemonic", F.size("r").alias("n"), "low", "high", *(lane(F.col(f"r.{c}")).alias(c) for c in ("md", "tvd", "value")))
+
+
+def names(curves: DataFrame, name: str = "mnemonic") -> DataFrame:
+    """``seq, name``: the different names of logs in order without regard to case, equal ones by their own letters."""
+    found = curves.select(F.col(name).alias("name")).where("name IS NOT NULL").distinct()
+    return found.select((F.row_number().over(Window.orderBy(F.lower("name"), "name")) - 1).alias("seq"), "name")  # names of logs, a few

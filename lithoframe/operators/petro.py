@@ -65,3 +65,12 @@ def route_tops(records: DataFrame, wells: DataFrame, bores: DataFrame | None = N
         return out
     known = bores.select("id", "bore", F.lit(True).alias("_known")).distinct()
     return out.join(known, ["id", "bore"], "left").select("rec", "id", F.when(F.col("_known"), F.col("bore")).otherwise("").alias("bore"))
+
+
+def reservoir_area(rings: DataFrame, unit: str = "m", poly: str = "poly_id") -> DataFrame:
+    """``input, area``: the area within the outline in square metres; undefined where there is no outline."""
+    from ..functions.scalars import area_m2
+    from .spatial import edges
+
+    own = edges(rings, poly).groupBy(poly).agg((F.abs(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))) / 2).alias("a"))
+    return own.agg(area_m2(F.sum("a"), unit).alias("area")).select(F.lit("area").alias("input"), "area")

@@ -9,6 +9,7 @@ rounds that grow with the logarithm of the number of points instead of one round
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 from math import cos, radians, sin
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from . import graph, lattice, spatial
+from . import delaunay, graph, lattice, spatial
 
 #: How near a prediction a point must be (in shorter steps), what part of the whole set's step a measured one
 #: may be, how far (in longer steps) and how straight on (as a cosine) a point counts as beyond a fault, and how near.
@@ -37,10 +38,10 @@ class Topology:
     key: str
 
     def labelled(self) -> DataFrame | None:
-        """The points with ``column`` and ``row`` from 1, in one lattice; None unless the report is verified."""
+        """The points with ``column`` and ``row`` from 1, in order of rows and columns; None unless the report is verified."""
         if not self.report.head()["verified"]:
             return None
-        return self.nodes.select(self.key, "x", "y", "z", (F.col("i") + 1).alias("column"), (F.col("j") + 1).alias("row"))
+        return self.nodes.select(self.key, "x", "y", "z", (F.col("i") + 1).alias("column"), (F.col("j") + 1).alias("row")).orderBy("row", "column")
 
 
 def distinct_nodes(points: DataFrame, key: str = "point_id") -> DataFrame:
@@ -168,3 +169,27 @@ def _refused(own: DataFrame, links: DataFrame, steps: list[tuple[float, float]])
     ahead = ((F.col("x") - F.col("qx")) * unit[0] + (F.col("y") - F.col("qy")) * unit[1]) / F.col("distance")
     other = met.where(ahead > STRAIGHT).join(own.select("id", F.col("block").alias("ib")), "id").where("ib <> qb")
     return other.groupBy("q", "axis", "sign").agg(F.min(F.struct("distance", "id")).alias("b")).select(F.col("q").alias("p"), F.col("b.id").alias("q")).distinct()
+
+
+def geometry_or_surface(points: DataFrame, cell: float, tolerance: float = 1e-3, max_bridge: float | None = None, fallback: str = "tri", key: str = "point_id"):
+    """``("grid_geometry", one row)`` of points that lie on a regular lattice, else ``("tri_surface", surface)`` with a warning.
+
+    With ``fallback="error"`` points without a regular lattice raise. The triangulation takes axes, steps, blocks and
+    refused pairs from :func:`detect`.
+    """
+    if fallback not in ("tri", "error"):
+        raise ValueError(f"unknown fallback: {fallback}")
+    try:
+        fitted = graph.cut(lattice.infer_geometry_xy(points, cell, tolerance, key))
+        why = None if fitted.head()["fits"] else "no regular lattice fits these points"
+    except ValueError as e:
+        fitted, why = None, str(e)
+    if why is None:
+        return "grid_geometry", fitted
+    if fallback == "error":
+        raise ValueError(f"{why}; give a geometry or triangulate the points")
+    found = detect(points, key=key)
+    r = found.report.head()
+    made = delaunay.tri_surface(points, r["azimuth_deg"], r["cell_i"], r["cell_j"], found.nodes.select(key, "block", "i", "j"), found.refused, max_bridge=max_bridge, key=key)
+    warnings.warn(f"{why}: triangulated instead", stacklevel=2)
+    return "tri_surface", made

@@ -33,6 +33,34 @@ def clip(samples: DataFrame, zones: DataFrame, bore: str = "bore_id", md: str =
     return inside.select("_r.*", F.col("_z.name").alias("zone"), F.col("_z.zone_ord").alias("zone_ord"), F.col("_z.top_md").alias("top_md"), F.col("_z.base_md").alias("base_md"))
 
 
+def top(zones: DataFrame, name: str, bore: str = "bore_id") -> DataFrame:
+    """The interval of the top of that name (whatever its case) in each bore that has it: of several the uppermost."""
+    line = Window.partitionBy(bore).orderBy("top_md", "zone_ord", "name")
+    own = zones.where(F.lower("name") == name.lower()).withColumn("_n", F.row_number().over(line)).where("_n = 1").drop("_n")
+    return own.withColumn("thickness_md", F.col("base_md") - F.col("top_md"))
+
+
+def interval_log(samples: DataFrame, zones: DataFrame, name: str, bore: str = "bore_id", md: str = "md") -> DataFrame:
+    """Samples within the interval of a top, ``[top_md, base_md)``; none where its base is undefined.
+
+    A bore has one such interval, so this is an equi-join on bores.
+    """
+    own = top(zones, name, bore).select(bore, "top_md", "base_md")
+    return samples.join(own, bore).where((F.col(md) >= F.col("top_md")) & (F.col(md) < F.col("base_md"))).drop("top_md", "base_md")
+
+
+def picks(zones: DataFrame, names: list[str] | None = None, tvd: str = "top_tvd", bore: str = "bore_id") -> DataFrame:
+    """``bore, seq, name, tvd`` of zones from top to down, all or those named (whatever their case and outer blanks).
+
+    Depths must grow strictly from pick to pick of a bore, else it raises; a zone that a bore does not have is no pick.
+    """
+    own = zones if names is None else zones.where(F.lower(F.trim("name")).isin([n.strip().lower() for n in names]))
+    line = Window.partitionBy(bore).orderBy("zone_ord", "top_md", "name")
+    before = F.lag(tvd).over(line)
+    sure = F.when(before.isNull() | (F.col(tvd) > before), F.col(tvd)).otherwise(F.raise_error(F.concat(F.lit("picks are not in order of depth at "), F.col("name"))).cast("double"))
+    return own.select(bore, (F.row_number().over(line) - 1).alias("seq"), "name", sure.alias("tvd"))
+
+
 def zone_stats(samples: DataFrame, zones: DataFrame, value: str = "value", bore: str = "bore_id") -> DataFrame:
     """One row per bore and zone with the bundle; zones without samples have count 0."""
     got = clip(samples, zones, bore).groupBy(bore, "zone").agg(*bundle(F.col(value)))

@@ -7,11 +7,11 @@ from math import cos, radians, sin
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import attributes, delaunay, kernels, lattice, mesh, topology
+from ..operators import attributes, delaunay, kernels, lattice, logs, mesh, petro, topology, zones
 from . import functions
 from . import views as V
-from .geometry import _QUAD
-from .wells import rounded
+from .geometry import _QUAD, DRAWN_SQL, drawn
+from .wells import rounded, zones_of
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -163,3 +163,23 @@ def _(spark, d):
     pieces = kernels._pieces(mesh.contour_segments(mesh.quad_split(V.node(spark, d)), [910.5, 955.5]), "level")
     pieces.createOrReplaceTempView("contour_pieces")
     return spark.sql("SELECT * FROM chain_lines(TABLE(contour_pieces) PARTITION BY (level, piece_x, piece_y), 0.05)")
+
+
+@register("top_interval", f"{V.with_('curve', 'tops', 'zones')} SELECT bore_id, round(top_md, 6) AS top_md, round(base_md, 6) AS base_md, round(base_md - top_md, 6) AS thickness_md FROM zones WHERE zone = 'B'")
+def _(spark, d):
+    return rounded(zones.top(zones_of(spark, d), "b").select("bore_id", "top_md", "base_md", "thickness_md"))
+
+
+@register("interval_log", f"{V.with_('curve', 'tops', 'zones')} SELECT bore_id, mnemonic, md, round(value, 6) AS value, seq FROM curve JOIN zones USING (bore_id) WHERE zone = 'B' AND md >= top_md AND md < base_md")
+def _(spark, d):
+    return rounded(zones.interval_log(V.curve(spark, d), zones_of(spark, d), "B").select("bore_id", "mnemonic", "md", "value", "seq"))
+
+
+@register("log_names", f"{V.with_('curve')} SELECT (row_number() OVER (ORDER BY lower(name), name) - 1)::INT AS seq, name FROM (SELECT DISTINCT mnemonic AS name FROM curve)")
+def _(spark, d):
+    return logs.names(V.curve(spark, d))
+
+
+@register("reservoir_area", f"{DRAWN_SQL} SELECT 'area' AS input, round(sum(a) * 0.3048 * 0.3048, 4) AS area FROM (SELECT abs(sum(x1 * y2 - x2 * y1)) / 2 AS a FROM edge WHERE poly_id = 7 GROUP BY poly_id)")
+def _(spark, d):
+    return rounded(petro.reservoir_area(drawn(spark, d).where("poly_id = 7"), "ft"), area=4)

@@ -7,7 +7,7 @@ from fractions import Fraction
 
 import pytest
 
-from lithoframe.operators import delaunay, graph, topology
+from lithoframe.operators import delaunay, graph, grid, topology, zones
 
 SCHEMA = "point_id long, x double, y double, z double"
 
@@ -122,3 +122,27 @@ def test_placed_components(spark, monkeypatch):
     root = lambda k: 0 if k < 100 else 100
     assert got == {k: (root(k), places[k][0] - places[root(k)][0], places[k][1] - places[root(k)][1]) for k in places}
     assert {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(links, "u long, v long, di long, dj long")).collect()} == {k: root(k) for k in places}
+
+
+def test_geometry_or_surface(spark):
+    regular = frame(spark, {k: (10.0 * (k % 6), 10.0 * (k // 6)) for k in range(36)})
+    kind, found = topology.geometry_or_surface(regular, 20.0)
+    assert kind == "grid_geometry" and (found.head()["ncol"], found.head()["nrow"]) == (6, 6)
+    assert grid.default_geometry(regular, 20.0)["xinc"] == pytest.approx(10.0)
+    assert grid.from_points(regular, None, "nearest").count() == 36
+    bent_ = frame(spark, {100 * i + j: p for i, j, p in bent(9, 7)})
+    with pytest.warns(UserWarning, match="triangulated"):
+        kind, found = topology.geometry_or_surface(bent_, 100.0)
+    assert kind == "tri_surface" and found.triangles.count() > 80
+    with pytest.raises(ValueError):
+        topology.geometry_or_surface(bent_, 100.0, fallback="error")
+    with pytest.raises(ValueError):
+        grid.default_geometry(bent_, 100.0)
+
+
+def test_picks(spark):
+    rows = [("a", "Top", 0, 10.0, 9.0), ("a", "Mid", 1, 20.0, 19.0), ("a", "Low", 2, 30.0, 18.0)]
+    z = spark.createDataFrame(rows, "bore_id string, name string, zone_ord int, top_md double, top_tvd double")
+    assert [(r["seq"], r["name"], r["tvd"]) for r in zones.picks(z, ["top ", "LOW", "none"]).orderBy("seq").collect()] == [(0, "Top", 9.0), (1, "Low", 18.0)]
+    with pytest.raises(Exception, match="not in order of depth at Low"):
+        zones.picks(z).collect()
