@@ -4,7 +4,8 @@ A source's mean repetition rate is its target share of all bytes over its own by
 Poisson distribution of that mean at a uniform number hashed from seed and key, so it depends on nothing else and is
 the same after a lost executor. Documents are exploded by their count and dealt and ordered by a hash of seed, key and
 copy: a global shuffle. A null source is a source of its own; a null key is hashed as an empty string; a null text has
-no bytes; a source without bytes repeats once. Equal keys get equal counts; an empty table gives an empty one.
+no bytes; a source without bytes repeats once. Equal keys get equal counts; texts of any length
+are only measured and copied; an empty table gives an empty one.
 
 Small mean rates are looked up in a table of the distribution. Larger ones, whose exp(-rate) underflows at last, are
 inverted at the same number by summing probabilities from 12 deviations below the mean, the first one from its

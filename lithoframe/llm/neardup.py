@@ -12,7 +12,8 @@ components that very many texts share are dealt over several parts where they ar
 
 A text without words is linked with nothing; a null id is kept and belongs to nothing. The nodes of the graph are the
 smallest ids of equal sets: where ids repeat, a row gets the component of its own text, and an id that is the smallest of
-several sets stands for all of them. An empty table gives an empty one; columns that are not read do not matter.
+several sets stands for all of them. Texts of any length are compared by
+their full sets. An empty table gives an empty one; columns that are not read do not matter.
 """
 
 from __future__ import annotations

@@ -5,9 +5,13 @@ the risk, and the negative part of the risk is kept from going below zero. Featu
 of four to six bytes a text has (A-Z lower-cased, end punctuation cut); those that confirmed documents do not have
 clearly more often than unlabelled ones get no weight.
 
+The prior is the share of toxic among labelled ids, which takes these as a random sample of all documents.
+
 Learning sees only rows whose crc32(doc_id as text) mod 4 is not 2, and only their texts and whether they are confirmed
 toxic. Every whole text is scored; a null or empty text gets the classifier's bias. A null id is held out as its text
-"" is hashed. Repeated rows get equal scores; of several labels of an id, toxic wins.
+"" is hashed. Repeated rows get equal scores; of several labels of an id, toxic wins. Without
+documents or labels there is no feature and every score is the prior's; other columns than the two that are read do not
+matter.
 """
 
 from __future__ import annotations

@@ -4,7 +4,8 @@ Payload bytes are stored once per SHA-256; exact record headers are a table of t
 the two. Digests are verified: copies of one SHA-256 must agree in SHA-1 and length to be stored once, and stored bytes
 must have their SHA-256 when read; else the job fails. A null payload is empty, a null id sorts last. Rows that repeat an
 id and a payload are one record written again and keep one type: all of them are the response if that id is the
-smallest of its payload. An empty table gives empty archives; columns that are not read do not matter. Hot payloads are
+smallest of its payload. Payloads of any length are stored
+whole. An empty table gives empty archives; columns that are not read do not matter. Hot payloads are
 reduced to one row per task before any shuffle, and their records are dealt over several parts where they meet them.
 """
 
