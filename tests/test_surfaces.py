@@ -47,6 +47,25 @@ def test_triangles(spark, reach):
     assert len(got) == len(set(got)) and set(got) == brute(pts, reach)
 
 
+def test_triangles_of_dense_points(spark, monkeypatch):
+    # all points lie within reach of each other: what is stored grows with the points, not with their pairs
+    rng, rows, cut = random.Random(5), [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: rows.append((stored := cut(df)).count()) or stored)
+    pts = {k: (rng.random(), rng.random()) for k in range(600)}
+    got = [tuple(r) for r in delaunay.triangles(frame(spark, pts), 2.0).collect()]
+    sides = {frozenset(e) for a, b, c in got for e in ((a, b), (b, c), (a, c))}
+    assert len(got) == len(set(got)) and len(pts) - len(sides) + len(got) == 1 and sum(rows) < 60 * len(pts)
+
+
+def test_triangles_by_cells(spark, monkeypatch):
+    # cells so small that points are settled in several rounds; a clump far denser than the rest
+    monkeypatch.setattr(delaunay, "CELL_POINTS", 8)
+    rng = random.Random(7)
+    pts = {k * 37 % 71: (4 + rng.random() * 1e-2, 4 + rng.random() * 1e-2) if k < 30 else (rng.random() * 8, rng.random() * 8) for k in range(71)}
+    got = [tuple(r) for r in delaunay.triangles(frame(spark, pts), 1.5).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(pts, 1.5)
+
+
 def test_triangles_of_a_lattice(spark):
     # corners of a cell are on one circle: each cell is two triangles, fanned from its smallest id
     c, s = math.cos(0.5), math.sin(0.5)
