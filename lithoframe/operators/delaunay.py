@@ -28,12 +28,13 @@ from . import graph, mesh
 
 #: The longest link in cells if none is given, and what it must lie between (a cell's diagonal, two cells).
 DEFAULT_LINK, LEAST_LINK, MOST_LINK = 1.8, 2**0.5, 2.0
-#: Places on a bisector (in lengths of the edge) that count as one, so that corners of a lattice's cell are on one circle.
-SAME = 1e-7
+#: Sine of the sum of opposite angles up to which four corners are on one circle, as those of a lattice's cell are; all four
+#: see the same value. Corners whose places on a bisector (in lengths of the edge) differ by ``WIDE`` times that are compared.
+SAME, WIDE = 1e-7, 1000
 #: Points that a cell has at first at most, its halo in cells, the largest cell in longest edges (its halo exceeds one).
-CELL_POINTS, HALO, LARGEST = 256, 0.25, 4.5
+CELL_POINTS, HALO, LARGEST = 400, 0.25, 4.5
 #: Times that the largest cell may be halved, and the pyramid's extent; distances that a kernel holds at once.
-HALVINGS, LEVELS, BLOCK = 40, 30, 1 << 18
+HALVINGS, LEVELS, BLOCK = 40, 30, 1 << 16
 #: Points in cells that a circle's line crosses, a circle and in all, that the pyramid's last step compares one by one.
 DIRECT, LEAST_DIRECT = 64, 100_000
 
@@ -52,11 +53,11 @@ def _round(ex: np.ndarray, ey: np.ndarray, begin: np.ndarray, rank: np.ndarray)
         cross, dot = dx[:, None] * y - dy[:, None] * x, x * (x - dx[:, None]) + y * (y - dy[:, None])
         with np.errstate(all="ignore"):
             s = np.where(cross > 0, dot / (2 * cross), np.inf)
-        to = s.argmin(axis=1)
-        best = s[n, to]
-        same = s <= (best + SAME)[:, None]
-        r = np.sqrt((dx * dx + dy * dy) * (0.25 + best * best))
-        circle = np.stack([dx / 2 - best * dy, dy / 2 + best * dx, r], axis=1)
+            to = s.argmin(axis=1)
+            best = s[n, to]
+            same = s <= (best + WIDE * SAME)[:, None]
+            r = np.sqrt((dx * dx + dy * dy) * (0.25 + best * best))
+            circle = np.stack([dx / 2 - best * dy, dy / 2 + best * dx, r], axis=1)
         found = np.isfinite(r)
         one = found & (same.sum(axis=1) == 1)
         sides.append(np.stack([rows[one], at[one], to[one], np.minimum(rank[at[one]], rank[to[one]])], axis=1))
@@ -64,6 +65,11 @@ def _round(ex: np.ndarray, ey: np.ndarray, begin: np.ndarray, rank: np.ndarray)
         for k in np.flatnonzero(found & ~one):  # several on one circle, in order of their angle
             on = np.flatnonzero(same[k])
             on = on[np.argsort(-(dx[k] * x[k, on] + dy[k] * y[k, on]) / cross[k, on], kind="stable")]
+            t, place = to[k], np.arange(len(on))
+            early = place < np.flatnonzero(on == t)[0]
+            a, b = np.where(early, on, t), np.where(early, t, on)
+            around = np.hypot(dx[k], dy[k]) * np.hypot(x[k, a] - dx[k], y[k, a] - dy[k]) * np.hypot(x[k, b] - x[k, a], y[k, b] - y[k, a]) * np.hypot(x[k, b], y[k, b])
+            on = on[(on == t) | (2 * cross[k, on] * cross[k, t] * (s[k, on] - best[k]) <= SAME * around)]
             if (back := np.flatnonzero(on == begin[rows[k]])).size:
                 on = on[: back[0] + 1]
             chain, to[k] = np.append(at[k], on), on[-1]

@@ -66,6 +66,16 @@ def test_triangles_by_cells(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == brute(pts, 1.5)
 
 
+def test_triangles_of_nearly_one_circle(spark):
+    # trapezoids off their circle by ever more: whichever way one is cut, all four corners must agree on it
+    rng, pts = random.Random(2), {}
+    for k in range(60):
+        corners = [(0, 0), (10, 0), (5.5 + 10 ** (-10 + k / 10), 1), (4.5, 1)]
+        pts |= {4 * k + i: (1000.0 * k + x, y) for i, (x, y) in zip(rng.sample(range(4), 4), corners)}
+    got = [tuple(sorted(r)) for r in delaunay.triangles(frame(spark, pts), 15.0).collect()]
+    assert len(set(got)) == len(got) and sorted(t[0] // 4 for t in got) == sorted(2 * list(range(60)))
+
+
 def test_triangles_of_a_lattice(spark):
     # corners of a cell are on one circle: each cell is two triangles, fanned from its smallest id
     c, s = math.cos(0.5), math.sin(0.5)
